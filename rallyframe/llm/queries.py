@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, quality
+from . import exact, packing, planes, quality
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +21,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.plane_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def corpus_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_exact_dedup)}
+    found = (op1_quality_rules, op4_exact_dedup, op5_token_planes, op10_best_fit_packing)
+    return {f.__name__: f for f in found}

@@ -62,6 +62,14 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     return written(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed"), True
 
 
+TYPES = {"long": T.LongType(), "int": T.IntegerType(), "str": T.StringType(), "bytes": T.BinaryType(), "bool": T.BooleanType(), "double": T.DoubleType()}
+
+
+def columns(**types: str | T.DataType) -> T.StructType:
+    """A schema; unlike a DDL string it needs no session, so tasks can import it."""
+    return T.StructType([T.StructField(n, TYPES[t] if isinstance(t, str) else t) for n, t in types.items()])
+
+
 def map_batches(df: DataFrame, schema: T.StructType, each: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow where each() makes a dict of columns of a batch."""
     arrow = to_arrow(schema)
