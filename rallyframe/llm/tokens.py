@@ -38,20 +38,16 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for text in texts:
-            if UNSURE.search(text):
-                out += self._whole([text])
-                continue
-            units = UNIT.findall(text)
-            new = [u for u in set(units) if u not in known]
-            if new:
-                if len(known) + len(new) > UNITS_KEPT:
-                    known.clear()
-                    new = list(set(units))
-                known.update(zip(new, self._whole(new), strict=True))
-            out.append(b"".join(map(known.__getitem__, units)))
-        return out
+        known = self.known
+        split = [None if UNSURE.search(text) else UNIT.findall(text) for text in texts]
+        new = {u for units in split if units for u in units if u not in known}
+        if new:
+            if len(known) + len(new) > UNITS_KEPT:
+                known.clear()
+                new = {u for units in split if units for u in units}
+            listed = list(new)
+            known.update(zip(listed, self._whole(listed), strict=True))
+        return [self._whole([text])[0] if units is None else b"".join(map(known.__getitem__, units)) for text, units in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, UnitEncoder] = {}
