@@ -40,13 +40,28 @@ def _named(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     return rows.join(names, by)
 
 
+def _blocks_named(blocks: DataFrame, key: str) -> DataFrame:
+    """key, n_blocks, i, name: blocks named in sorted order.
+
+    Only distinct blocks are shuffled; their names go back by two 64-bit hashes. That is exact
+    because the hashes are checked to differ for the blocks at hand; where two
+    blocks share both, names go back by the blocks themselves.
+    """
+    hashes = (F.xxhash64("block").alias("h"), F.xxhash64("block", F.lit(1)).alias("h2"))
+    distinct = blocks.select("block").distinct().sortWithinPartitions("block")
+    names = written(distinct.select(*hashes, F.monotonically_increasing_id().alias("name")), "blocks")
+    if not names.groupBy("h", "h2").count().filter("count > 1").isEmpty():
+        return _named(blocks, ["block"], "blocks").select(key, "n_blocks", "i", "name")
+    return blocks.select(key, "n_blocks", "i", *hashes).join(names, ["h", "h2"]).select(key, "n_blocks", "i", "name")
+
+
 def block_names(docs: DataFrame, key: str = "key", block: int = BLOCK) -> DataFrame:
     """key, n_blocks, name: the identity of each text. key must be unique."""
     text = docs.select(key, normalised().alias("t"))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.length("t") / block)).cast("int")
     starts = F.sequence(F.lit(0), n_blocks - 1)
     cut = text.select(key, n_blocks.alias("n_blocks"), F.explode(F.transform(starts, lambda i: F.struct(i.alias("i"), F.substring("t", i * block + 1, F.lit(block)).alias("block")))).alias("b"))
-    level = _named(cut.select(key, "n_blocks", "b.i", "b.block"), ["block"], "blocks").select(key, "n_blocks", "i", "name")
+    level = _blocks_named(cut.select(key, "n_blocks", "b.i", "b.block"), key)
     done, level = [], written(level, "names")
     widest = level.agg(F.max("n_blocks")).first()[0] or 1
     while True:
