@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, packing, planes, quality
+from . import bpe, exact, minhash, packing, planes, quality, suffixes
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_rows(table(spark, sf_dir, "documents"))
+
+
 def op3_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,10 +33,14 @@ def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.plane_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_rows(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def corpus_queries() -> dict[str, Query]:
-    found = (op1_quality_rules, op3_pair_index_bpe, op4_exact_dedup, op5_token_planes, op10_best_fit_packing)
+    found = (op1_quality_rules, op2_suffix_dedup, op3_pair_index_bpe, op4_exact_dedup, op5_token_planes, op6_dart_minhash, op10_best_fit_packing)
     return {f.__name__: f for f in found}
