@@ -36,5 +36,16 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(s) AS text_sha256
 """
 
 
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS n, sha1(html) AS h FROM p),
+e AS (SELECT h, max(page_id) AS elected FROM d WHERE n >= 1000 GROUP BY h HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, d.h AS payload_digest,
+  CASE WHEN elected IS NULL OR elected = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN elected <> page_id THEN elected END AS refers_to
+FROM d LEFT JOIN e ON d.h = e.h AND n >= 1000
+"""
+
+
 def corpus_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op4_exact_dedup": OP4}
+    return {"op1_quality_rules": OP1, "op4_exact_dedup": OP4, "op7_warc": OP7}

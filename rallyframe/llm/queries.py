@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, minhash, packing, planes, quality, suffixes
+from . import bpe, exact, minhash, packing, planes, quality, suffixes, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +37,14 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_rows(table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def corpus_queries() -> dict[str, Query]:
-    found = (op1_quality_rules, op2_suffix_dedup, op3_pair_index_bpe, op4_exact_dedup, op5_token_planes, op6_dart_minhash, op10_best_fit_packing)
+    found = (op1_quality_rules, op2_suffix_dedup, op3_pair_index_bpe, op4_exact_dedup, op5_token_planes, op6_dart_minhash, op7_warc, op10_best_fit_packing)
     return {f.__name__: f for f in found}
