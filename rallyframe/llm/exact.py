@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keyed, whole_text, written
+from .shared import as_they_came, keyed, whole_text, written
 
 #: The deleted characters and the size of a block in characters.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -78,34 +78,22 @@ def block_names(docs: DataFrame, key: str = "key", block: int = BLOCK) -> DataFr
     return done[0] if len(done) == 1 else done[0].unionByName(done[-1])
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """key, doc_id, keep_id, group_size, kept, text_sha256: one row a document."""
-    rows, _ = keyed(docs)
+def exact_groups(rows: DataFrame) -> DataFrame:
+    """key, doc_id, keep_id, group_size, kept, text_sha256: one row a document of rows (key, doc_id, text)."""
     meta = rows.select("key", "doc_id", F.length("text").alias("n"), F.sha2(normalised().cast("binary"), 256).alias("text_sha256"))
-    named = meta.join(block_names(rows), "key")
+    named = written(meta.join(block_names(rows), "key"), "named")
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    groups = named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
+    groups = written(named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     one = named.join(groups, ["n_blocks", "name"])
     return one.select("key", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.key") == F.col("key")).alias("kept"), "text_sha256")
 
 
 def exact_rows(docs: DataFrame) -> DataFrame:
-    return exact_groups(docs).drop("key")
+    return exact_groups(keyed(docs)).drop("key")
 
 
 def exact_filter(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns as they came.
-
-    Where doc_id is null or repeated, of rows that share a doc_id and normalised text one stays.
-    """
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows, odd = keyed(docs)
-    if not odd:
-        return docs.join(kept.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
-    from pyspark.sql import Window
-
-    sha = F.sha2(normalised().cast("binary"), 256)
-    first = Window.partitionBy("doc_id", sha).orderBy(F.length(whole_text()).desc())
-    ranked = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", sha.alias("_own"), F.row_number().over(first).alias("_rank"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    return ranked.filter("_rank = 1").join(kept, same, "left_semi").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """The documents that stay, with their columns as they came."""
+    rows = keyed(docs)
+    kept = exact_groups(rows).filter("kept").select("key")
+    return as_they_came(rows.join(kept, "key", "left_semi"), docs)

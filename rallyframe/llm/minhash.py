@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import columns, keyed, map_batches, texts_of, to_arrow, written
+from .shared import as_they_came, columns, keyed, map_batches, texts_of, to_arrow, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -334,16 +334,22 @@ def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame)
     return met.mapInArrow(run, schema).distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """key, doc_id, class_id, class_size, n_links, kept: one row a document; the smallest key of a class is kept."""
-    rows, _ = keyed(docs)
-    classes = written(near_classes(rows), "classes")
-    sizes = classes.groupBy("class_key").agg(F.count("*").alias("class_size"))
+def near_groups(rows: DataFrame) -> DataFrame:
+    """key, doc_id, class_id, class_size, n_links, kept: one row a document of rows; the smallest key of a class is kept."""
+    classes = written(near_classes(rows.select("key", "text")), "classes")
+    sizes = written(classes.groupBy("class_key").agg(F.count("*").alias("class_size")), "sizes")
     ids = rows.select("key", "doc_id")
-    found = classes.join(sizes, "class_key").join(ids, "key")
-    first = ids.select(F.col("key").alias("class_key"), F.col("doc_id").alias("class_id"))
-    return found.join(first, "class_key").select("key", "doc_id", "class_id", "class_size", "n_links", (F.col("key") == F.col("class_key")).alias("kept"))
+    heads = sizes.join(ids.select(F.col("key").alias("class_key"), F.col("doc_id").alias("class_id")), "class_key")
+    found = classes.join(written(heads, "heads"), "class_key").join(ids, "key")
+    return found.select("key", "doc_id", "class_id", "class_size", "n_links", (F.col("key") == F.col("class_key")).alias("kept"))
 
 
 def near_rows(docs: DataFrame) -> DataFrame:
-    return near_groups(docs).drop("key")
+    return near_groups(keyed(docs)).drop("key")
+
+
+def near_filter(docs: DataFrame) -> DataFrame:
+    """One document of each class, with its columns as they came."""
+    rows = keyed(docs)
+    kept = near_groups(rows).filter("kept").select("key")
+    return as_they_came(rows.join(kept, "key", "left_semi"), docs)

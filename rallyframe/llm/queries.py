@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, extract, minhash, packing, planes, quality, suffixes, warc
+from . import bpe, exact, extract, langid, minhash, packing, planes, quality, suffixes, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,10 +45,14 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_rows(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def corpus_queries() -> dict[str, Query]:
-    found = (op1_quality_rules, op2_suffix_dedup, op3_pair_index_bpe, op4_exact_dedup, op5_token_planes, op6_dart_minhash, op7_warc, op8_html_extraction, op10_best_fit_packing)
+    found = (op1_quality_rules, op2_suffix_dedup, op3_pair_index_bpe, op4_exact_dedup, op5_token_planes, op6_dart_minhash, op7_warc, op8_html_extraction, op9_language_id, op10_best_fit_packing)
     return {f.__name__: f for f in found}

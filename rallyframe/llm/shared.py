@@ -46,20 +46,24 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(key, doc_id, text): key is a number that no two rows share.
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text, _row): key is a number that no two rows share, _row has all columns of docs.
 
     doc_id itself where it is unique and never null. Elsewhere rows are numbered in the
-    order (doc_id, nulls first; text), by a range sort and each partition's own count,
-    and the second value returned is True.
+    order (doc_id, nulls first; text), by a range sort and each partition's own count.
     """
-    rows = docs.select("doc_id", whole_text().alias("text"))
+    rows = docs.select("doc_id", whole_text().alias("text"), F.struct(*docs.columns).alias("_row"))
     odd = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
     if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text"), False
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed"), True
+        return rows.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text", "_row")
+    order = (F.col("doc_id").asc_nulls_first(), F.col("text").asc())
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "_row"), "keyed")
+
+
+def as_they_came(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows with a _row as rows of docs."""
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 TYPES = {"long": T.LongType(), "int": T.IntegerType(), "str": T.StringType(), "bytes": T.BinaryType(), "bool": T.BooleanType(), "double": T.DoubleType()}

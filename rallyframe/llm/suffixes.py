@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import columns, keyed, map_batches, texts_of, to_arrow
+from .shared import columns, keyed, map_batches, texts_of, to_arrow, written
 
 LENGTH = 100
 SEED = 24
@@ -417,9 +417,9 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    rows, _ = keyed(docs)
-    rows = rows.filter("key is not null")
-    return rows.join(repeated_spans(rows).withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left").drop("_key")
+    rows = keyed(docs).filter("key is not null")
+    spans = repeated_spans(rows.select("key", "text")).withColumnRenamed("key", "_key")
+    return rows.join(spans, F.col("key") == F.col("_key"), "left").drop("_key")
 
 
 def suffix_rows(docs: DataFrame) -> DataFrame:
@@ -435,3 +435,24 @@ def suffix_rows(docs: DataFrame) -> DataFrame:
         return out
 
     return map_batches(_with_spans(docs).select(F.col("doc_id").cast("long"), "text", "spans"), RESULT, each)
+
+
+def suffix_filter(docs: DataFrame) -> DataFrame:
+    """docs with the repeated bytes taken out of text, and n_chars, if there is one, counted anew.
+
+    Bytes of a character that is cut in two are dropped. Documents with nothing left stay, with an
+    empty text; a null text without repeats stays null.
+    """
+
+    def each(batch: pa.RecordBatch) -> dict:
+        return {"text": [without(text.encode(), merged(spans)).decode("utf-8", "ignore") for text, spans in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True)]} | {
+            "key": batch.column(0)
+        }
+
+    rows = keyed(docs).filter("key is not null")
+    spans = written(repeated_spans(rows.select("key", "text")), "spans")
+    changed = map_batches(rows.select("key", "text").join(spans, "key"), columns(key="long", text="str"), each)
+    joined = rows.select("key", "_row").join(changed.withColumnRenamed("text", "_text"), "key", "left")
+    text = F.coalesce("_text", F.col("_row")["text"])
+    new = {"text": text, "n_chars": F.when(F.col("_text").isNull(), F.col("_row")["n_chars"]).otherwise(F.length("_text").cast("long")) if "n_chars" in docs.columns else None}
+    return joined.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
