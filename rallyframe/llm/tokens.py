@@ -15,7 +15,8 @@ import re
 
 import numpy as np
 
-UNITS_KEPT = 1_500_000
+UNITS_KEPT = 800_000
+GROUP = 64
 UNIT = re.compile(r"\s*\S+|\s+")
 UNSURE = re.compile("[\x1c-\x1f\x85᠎​-‏ - ⁠-⁤﻿]")
 
@@ -37,7 +38,10 @@ class UnitEncoder:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers; GROUP texts are cut into units at a time."""
+        return [ids for k in range(0, len(texts), GROUP) for ids in self._encoded(texts[k : k + GROUP])]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         known = self.known
         split = [None if UNSURE.search(text) else UNIT.findall(text) for text in texts]
         new = {u for units in split if units for u in units if u not in known}
