@@ -29,11 +29,10 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .shared import columns, map_batches, texts_of
+from .tokens import CONTRACTIONS, LETTERS, NUMBERS, SPACES
 
 WORDS_KEPT = 1_000_000
-#: Contractions of the splitting rule, and Latin-1's letters, numbers and white space.
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+#: Bytes that stand for themselves among byte-level symbols.
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
 
 SIMPLE = re.compile("[^\x00-\xff]")

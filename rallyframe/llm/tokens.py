@@ -1,27 +1,32 @@
-"""Ids of whole texts by a byte-level tokenizers file, unit by unit.
-
-In a byte-level tokenizer with this splitting rule a run of white space always begins a
-new piece when it follows something else, so a text may be cut before each such run and
-its units encoded apart. Units repeat far more than texts do: each worker keeps the ids
-of those it has met (up to UNITS_KEPT, then it starts anew), and only new units go to the
-library. A text with a character whose class differs between the two notions of white
-space is encoded whole.
+"""Ids of whole texts by a byte-level tokenizers file, piece by piece.
+
+A byte-level tokenizer with this splitting rule encodes each piece apart from the others, and
+pieces repeat far more than texts do: each worker keeps the ids of those it has met (up to
+PIECES_KEPT, then it starts anew), and only new pieces go to the library. Texts of Latin-1 are
+cut by the rule itself. In others a run of white space always begins a new piece
+when it follows something else, so they are cut before each such run; those with a character
+whose class differs between the two notions of white space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
+#: Contractions of the splitting rule, and Latin-1's letters, numbers and white space.
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 
-UNITS_KEPT = 800_000
+PIECES_KEPT = 1_000_000
 GROUP = 64
+BEYOND_LATIN = re.compile("[^\x00-\xff]")
+PIECE = re.compile(f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 UNIT = re.compile(r"\s*\S+|\s+")
 UNSURE = re.compile("[\x1c-\x1f\x85᠎​-‏ - ⁠-⁤﻿]")
 
 
-class UnitEncoder:
+class PieceEncoder:
     """Encodes texts as the tokenizers library does, special tokens' strings being ordinary text."""
 
     def __init__(self, path: str):
@@ -35,30 +40,36 @@ class UnitEncoder:
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; GROUP texts are cut into units at a time."""
+        """The ids of each text as native (little-endian) unsigned 32-bit integers; GROUP texts are cut at a time."""
         return [ids for k in range(0, len(texts), GROUP) for ids in self._encoded(texts[k : k + GROUP])]
 
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        if not BEYOND_LATIN.search(text):
+            return PIECE.findall(text)
+        return [text] if UNSURE.search(text) else UNIT.findall(text)
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        split = [None if UNSURE.search(text) else UNIT.findall(text) for text in texts]
-        new = {u for units in split if units for u in units if u not in known}
+        split = [self.pieces(text) for text in texts]
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > PIECES_KEPT:
+            known.clear()
+            new = set().union(*split)
         if new:
-            if len(known) + len(new) > UNITS_KEPT:
-                known.clear()
-                new = {u for units in split if units for u in units}
             listed = list(new)
             known.update(zip(listed, self._whole(listed), strict=True))
-        return [self._whole([text])[0] if units is None else b"".join(map(known.__getitem__, units)) for text, units in zip(texts, split, strict=True)]
+        return [b"".join(map(known.__getitem__, x)) for x in split]
 
 
-_encoders: dict[str, UnitEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One encoder for each file and Python worker."""
     if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
