@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "forms")
+MODULES = ("scores", "forms", "joins")
 
 
 def all_queries():
