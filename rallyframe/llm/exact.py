@@ -89,11 +89,11 @@ def exact_groups(rows: DataFrame) -> DataFrame:
 
 
 def exact_rows(docs: DataFrame) -> DataFrame:
-    return exact_groups(keyed(docs)).drop("key")
+    return exact_groups(keyed(docs).rows).drop("key")
 
 
 def exact_filter(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns as they came."""
-    rows = keyed(docs)
+    rows = keyed(docs).rows
     kept = exact_groups(rows).filter("kept").select("key")
     return as_they_came(rows.join(kept, "key", "left_semi"), docs)

@@ -345,11 +345,11 @@ def near_groups(rows: DataFrame) -> DataFrame:
 
 
 def near_rows(docs: DataFrame) -> DataFrame:
-    return near_groups(keyed(docs)).drop("key")
+    return near_groups(keyed(docs).rows).drop("key")
 
 
 def near_filter(docs: DataFrame) -> DataFrame:
     """One document of each class, with its columns as they came."""
-    rows = keyed(docs)
+    rows = keyed(docs).rows
     kept = near_groups(rows).filter("kept").select("key")
     return as_they_came(rows.join(kept, "key", "left_semi"), docs)

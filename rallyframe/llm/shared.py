@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +47,17 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text, _row): key is a number that no two rows share, _row has all columns of docs.
+class Keyed(NamedTuple):
+    rows: DataFrame
+    by_doc_id: bool
+
+    def doc_id(self) -> Column:
+        """doc_id of rows that come from a join by key; taken from key where they are the same, so that it need not travel."""
+        return F.col("key") if self.by_doc_id else F.col("doc_id")
+
+
+def keyed(docs: DataFrame) -> Keyed:
+    """Rows (key, doc_id, text, _row): key is a number that no two rows share, _row has all columns of docs.
 
     doc_id itself where it is unique and never null. Elsewhere rows are numbered in the
     order (doc_id, nulls first; text), by a range sort and each partition's own count.
@@ -55,10 +65,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", whole_text().alias("text"), F.struct(*docs.columns).alias("_row"))
     odd = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
     if odd.isEmpty():
-        return rows.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text", "_row")
+        return Keyed(rows.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text", "_row"), True)
     order = (F.col("doc_id").asc_nulls_first(), F.col("text").asc())
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "_row"), "keyed")
+    return Keyed(written(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "_row"), "keyed"), False)
 
 
 def as_they_came(rows: DataFrame, docs: DataFrame) -> DataFrame:

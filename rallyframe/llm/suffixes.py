@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,7 +175,7 @@ def _hash_bytes(x: bytes) -> int:
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """ROWS of the documents of texts (key, text, hs, hot); a row without content is a span that goes."""
+    """ROWS of the documents of texts (key, text, hs, hot); a row without content is a span that goes, and is dealt by key."""
 
     def each(batch: pa.RecordBatch) -> dict:
         keys = batch.column(0).to_pylist()
@@ -204,7 +205,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                         g = _hash_bytes(raw[s : s + LENGTH - NEIGHBOURS + 1])
                     mark = (g, anchor - lo, content)
                     if mark in met:
-                        out.append((g, key, lo + off, anchor - lo, len(content), None))
+                        out.append((key, key, lo + off, anchor - lo, len(content), None))
                     else:
                         met.add(mark)
                         out.append((g, key, lo + off, anchor - lo, len(content), content))
@@ -373,8 +374,15 @@ def spans_of(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], []]
         for batch in batches:
-            for own, name in zip(held, ("g", "key", "at", "lead", "content"), strict=True):
-                own += batch.column(batch.schema.get_field_index(name)).to_pylist()
+            known = pc.is_null(batch.column(5))
+            done = batch.filter(known)
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), pc.add(done.column(2), done.column(4).cast(pa.int64()))], schema=schema)
+            batch = batch.filter(pc.invert(known))
+            if not batch.num_rows:
+                continue
+            for own, i in zip(held, (0, 1, 2, 3, 5), strict=True):
+                own += batch.column(i).to_pylist()
             if len(held[0]) >= BLOCK_ROWS and held[0][0] != held[0][-1]:
                 stop = len(held[0])
                 while held[0][stop - 1] == held[0][-1]:
@@ -384,17 +392,14 @@ def spans_of(rows: DataFrame) -> DataFrame:
         if held[0]:
             yield out(resolved(*held))
 
-    local = rows.filter("content is null").select("key", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
-    met = rows.filter("content is not null").repartition("g").sortWithinPartitions("g", "key", "at").mapInArrow(run, SPANS)
-    return local.unionByName(met)
+    return rows.repartition("g").sortWithinPartitions("g", "key", "at").mapInArrow(run, SPANS)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """key, spans: what goes of each document that loses something."""
     wanted = repeated(seeds(rows))
     texts = rows.select("key", "text").join(wanted, "key")
-    found = anchor_rows(texts).select("key", "g", "at", "lead", "size", "content")
-    return spans_of(found).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return spans_of(anchor_rows(texts)).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -416,12 +421,6 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    rows = keyed(docs).filter("key is not null")
-    spans = repeated_spans(rows.select("key", "text")).withColumnRenamed("key", "_key")
-    return rows.join(spans, F.col("key") == F.col("_key"), "left").drop("_key")
-
-
 def suffix_rows(docs: DataFrame) -> DataFrame:
     """RESULT: one row a document."""
 
@@ -434,7 +433,11 @@ def suffix_rows(docs: DataFrame) -> DataFrame:
                 out[name].append(value)
         return out
 
-    return map_batches(_with_spans(docs).select(F.col("doc_id").cast("long"), "text", "spans"), RESULT, each)
+    known = keyed(docs)
+    rows = known.rows.filter("key is not null").select("key", "text", *([] if known.by_doc_id else ["doc_id"]))
+    spans = repeated_spans(rows.select("key", "text")).withColumnRenamed("key", "_key")
+    joined = rows.join(spans, F.col("key") == F.col("_key"), "left")
+    return map_batches(joined.select(known.doc_id().cast("long").alias("doc_id"), "text", "spans"), RESULT, each)
 
 
 def suffix_filter(docs: DataFrame) -> DataFrame:
@@ -449,7 +452,7 @@ def suffix_filter(docs: DataFrame) -> DataFrame:
             "key": batch.column(0)
         }
 
-    rows = keyed(docs).filter("key is not null")
+    rows = keyed(docs).rows.filter("key is not null")
     spans = written(repeated_spans(rows.select("key", "text")), "spans")
     changed = map_batches(rows.select("key", "text").join(spans, "key"), columns(key="long", text="str"), each)
     joined = rows.select("key", "_row").join(changed.withColumnRenamed("text", "_text"), "key", "left")
