@@ -40,7 +40,7 @@ COORDINATES, ROWS = 100, 4
 BANDS = COORDINATES // ROWS
 #: Expected darts: with t = k ln k + 2 k an empty coordinate has a chance of about exp(-2) / k each.
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
-CHUNK_WORDS = 1 << 20
+CHUNK_BYTES = 1 << 21
 
 #: Signatures of similar texts agree in at least so many coordinates (SIMILARITY less 2.5 standard errors).
 AGREE = 70
@@ -58,37 +58,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, kept by the worker up to a bound."""
+#: Whether a byte is one of the six white space characters, and a fixed random number for each byte.
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * MIX[0])
+STEP = int(MIX[3]) | 1
+BACK = pow(STEP, -1, 1 << 64)
 
-    MOST = 2_000_000
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+def powers(x: int, n: int) -> np.ndarray:
+    """x ** 0 .. x ** (n - 1) modulo 2 ** 64."""
+    out = np.full(n, U(x))
+    out[0] = 1
+    return np.cumprod(out)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.MOST:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every word of the texts, in order; words are runs without white space.
 
-_hashes = WordHashes()
+    A word's hash is a difference of running sums of byte numbers times powers, moved back to its start.
+    """
+    data = np.frombuffer(b" ".join([*raws, b""]), dtype=np.uint8)
+    word = ~IS_SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    total = np.concatenate([[U(0)], np.cumsum(OF_BYTE[data] * powers(STEP, max(1, len(data)))[: len(data)])])
+    h = (total[end] - total[start]) * powers(BACK, max(1, len(data)))[start]
+    begins = np.cumsum([0] + [len(x) + 1 for x in raws[:-1]])
+    return np.searchsorted(begins, start, side="right") - 1, mixed(h + (end - start).astype(np.uint64) * MIX[2])
 
 
 def shingles(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle hash) of every shingle of the texts, documents ascending."""
-    split = [x.split() for x in raws]  # on the six ASCII white space characters
-    counts = np.array([len(x) for x in split], dtype=np.int64)
-    h = _hashes.of([w for ws in split for w in ws])
+    doc, h = word_hashes(raws)
     n = len(h)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ends = np.cumsum(counts)
-    doc = np.repeat(np.arange(len(raws)), counts)
-    left = ends[doc] - np.arange(n)  # words from here to the document's end
+    counts = np.bincount(doc, minlength=len(raws))
+    left = np.cumsum(counts)[doc] - np.arange(n)  # words from here to the document's end
     combined = np.zeros(n, dtype=np.uint64)
     padded = np.concatenate([h, np.zeros(WORDS, dtype=np.uint64)])
     for i in range(WORDS):
@@ -143,11 +149,11 @@ def signatures(doc: np.ndarray, unit: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 def in_chunks(raws: list[bytes]):
-    """Ranges of texts with about CHUNK_WORDS words."""
+    """Ranges of texts with about CHUNK_BYTES bytes."""
     at, size = 0, 0
     for i, raw in enumerate(raws):
-        size += len(raw) // 6 + 1
-        if size > CHUNK_WORDS or i == len(raws) - 1:
+        size += len(raw) + 1
+        if size > CHUNK_BYTES or i == len(raws) - 1:
             yield at, i + 1
             at, size = i + 1, 0
 
