@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "forms", "joins")
+MODULES = ("scores", "forms", "joins", "values", "brackets")
 
 
 def all_queries():
