@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "forms", "joins", "values", "brackets")
+MODULES = ("scores", "forms", "joins", "values", "brackets", "streams")
 
 
 def all_queries():
