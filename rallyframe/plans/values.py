@@ -211,3 +211,11 @@ def rating_relative(spark, d):
     rates = player_match(contest(spark, d)).groupBy("player_id", "surface").agg(F.avg("won").alias("rate"), F.count("*").alias("n"))
     field = rates.groupBy("surface").agg(F.median(F.when(F.col("n") >= 5, F.col("rate"))).alias("mid"))
     return rates.join(field, "surface").select("player_id", "surface", F.when(F.col("n") >= 5, F.round(F.col("rate") - F.col("mid"), 6)).alias("relative"))
+
+
+@query("order_numbered", "SELECT match_id, row_number() OVER (ORDER BY play_ts, match_id) AS seq FROM forecast", "forecast")
+def order_numbered(spark, d):
+    """A number in play order over all rows, by ranges and their sizes."""
+    from ..operators.ordering import numbered
+
+    return numbered(forecast(spark, d).select("match_id", "play_ts"), "play_ts", "match_id").select("match_id", "seq")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..operators.ordering import numbered
 
 TEXT = "tourney_id tourney_name tourney_level surface indoor round winner_id loser_id winner_name loser_name winner_ioc loser_ioc winner_hand loser_hand winner_entry loser_entry score".split()
 NUMBERS = "tourney_date draw_size best_of match_num winner_seed loser_seed winner_age loser_age winner_rank loser_rank winner_rank_points loser_rank_points winner_ht loser_ht minutes".split()
@@ -43,19 +44,9 @@ def cleaned(rows: DataFrame) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """rows with ``seq``: a number in play order, by a range sort and each partition's offset, so no task holds all rows."""
-    order = [F.col(c).asc_nulls_last() for c in ("tourney_date", "tourney_id", "round_index", "match_num", "winner_id", "loser_id")]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    placed = placed.persist()
-    sizes = {r["_part"]: (r["n"], r["lo"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("lo")).collect()}  # a row a partition
-    base, offsets = 0, []
-    for part in sorted(sizes):
-        n, lo = sizes[part]
-        offsets += [F.lit(part), F.lit(base - lo)]
-        base += n
-    shift = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0)
-    return placed.withColumn("seq", F.col("_row") + shift + 1).drop("_part", "_row")
+def in_play_order(rows: DataFrame) -> DataFrame:
+    """rows with ``seq``: a number in play order; ids make the order total."""
+    return numbered(rows, *[F.col(c).asc_nulls_last() for c in ("tourney_date", "tourney_id", "round_index", "match_num", "winner_id", "loser_id")])
 
 
 def replace_table(df: DataFrame, path: str, partition_by: list[str] = []) -> DataFrame:  # noqa: B006
