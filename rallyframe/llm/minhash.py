@@ -13,8 +13,10 @@ go on as one representative. In each bucket every member is paired with the buck
 most central member (the one with the most company over all its buckets), pairs are
 verified on their shingles, and links are joined into components. Where a bucket then
 still holds several components, members outside the largest are compared with all others
-by their signatures, in blocks, and pairs that may reach the threshold are verified
-as well. So copies of one text cost one pair each, and links beside the centres are found too.
+by their signatures, in blocks, and those that may reach the threshold are verified
+there. So copies of one text cost one pair each, and links beside the centres are found too.
+
+Joins that move texts or units are merge joins at every size, so a plan that fits small tables is the plan for large ones.
 
 Results: one row a document with class_id (the smallest key of the class; the doc_id where
 doc_ids are unique), class_size, n_links (verified links of its representative) and kept.
@@ -184,8 +186,11 @@ def signed(rows: DataFrame) -> DataFrame:
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted arrays of distinct units."""
-    if not len(x) or not len(y):
+    short, long = sorted((len(x), len(y)))
+    if not short:
         return 0.0
+    if short < SIMILARITY * long:
+        return short / long  # it can't be more
     both = np.concatenate([x, y])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
@@ -193,42 +198,34 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def units_of(raws: list[bytes]) -> list[np.ndarray]:
-    """The sorted units of each text."""
-    doc, unit = weighted(*shingles(raws))
+    """The sorted units of each text, the upper half of each number."""
+    doc, unit = weighted(*shingles(raws)) if any(raws) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
     order = np.lexsort((unit, doc))
     cuts = np.searchsorted(doc[order], np.arange(len(raws) + 1))
-    unit = unit[order]
+    unit = (unit[order] >> U(32)).astype(np.uint32)
     return [unit[cuts[i] : cuts[i + 1]] for i in range(len(raws))]
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b of the pairs whose texts have a similarity of SIMILARITY or more. rows: key, text."""
+def all_units(rows: DataFrame) -> DataFrame:
+    """key, units of rows (key, text)."""
 
-    def shrunk(batch: pa.RecordBatch) -> dict:
+    def each(batch: pa.RecordBatch) -> dict:
         raws = [x.encode() for x in texts_of(batch)]
-        units: list[bytes] = []
-        for a, b in in_chunks(raws):
-            units += [x.tobytes() for x in units_of(raws[a:b])]
-        return {"a": batch.column(0), "b": batch.column(2), "units": units}
-
-    def compared(batch: pa.RecordBatch) -> dict:
-        bs, texts = batch.column(1).to_pylist(), texts_of(batch, "text")
-        found: dict[int, np.ndarray] = {}
-        close = []
-        for b, text, units in zip(bs, texts, batch.column(2).to_pylist(), strict=True):
-            if b not in found:
-                if len(found) > 256:
-                    found.clear()
-                found[b] = units_of([text.encode()])[0]
-            x, y = np.frombuffer(units, np.uint64), found[b]
-            short, long = sorted((len(x), len(y)))
-            close.append(short >= SIMILARITY * long and similarity(x, y) >= SIMILARITY)
-        return {"a": batch.column(0), "b": batch.column(1), "close": close}
-
-    left = pairs.join(rows.select(F.col("key").alias("a"), "text"), "a").select("a", "text", "b")
-    units = map_batches(left, columns(a="long", b="long", units="bytes"), shrunk)
-    right = units.join(rows.select(F.col("key").alias("b"), "text"), "b").select("a", "b", "units", "text")
-    return map_batches(right, columns(a="long", b="long", close="bool"), compared).filter("close").select("a", "b")
+        return {"key": batch.column(0), "units": [x.tobytes() for a, b in in_chunks(raws) for x in units_of(raws[a:b])]}
+
+    return map_batches(rows.select("key", "text"), columns(key="long", units="bytes"), each)
+
+
+def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """a, b of the pairs whose texts have a similarity of SIMILARITY or more."""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        arrays = ([np.frombuffer(x, np.uint32) for x in batch.column(i).to_pylist()] for i in (2, 3))
+        return {"a": batch.column(0), "b": batch.column(1), "close": [similarity(x, y) >= SIMILARITY for x, y in zip(*arrays, strict=True)]}
+
+    left = pairs.join(units.select(F.col("key").alias("a"), F.col("units").alias("x")).hint("merge"), "a")
+    both = left.join(units.select(F.col("key").alias("b"), F.col("units").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+    return map_batches(both, columns(a="long", b="long", close="bool"), each).filter("close").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,25 +260,25 @@ def near_classes(rows: DataFrame) -> DataFrame:
     buckets = first.select("key", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = written(buckets.join(full, "bucket"), "buckets")
-    texts = written(rows.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "text"), "texts")
+    units = written(all_units(rows.join(buckets.select("key").distinct().hint("merge"), "key", "left_semi")), "units")
     score = buckets.groupBy("key").agg(F.sum("n").alias("score"))
     ranked = buckets.join(score, "key")
     centres = ranked.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("key")).alias("key")))["key"].alias("centre"))
     pairs = buckets.join(centres.select("bucket", (-F.col("centre")).alias("centre")), "bucket").filter("key <> centre")
-    links = written(verified(pairs.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), texts), "links")
-    further = between_components(buckets, components(links), first)
-    links = written(links.unionByName(verified(further, texts)), "links")
+    links = written(verified(pairs.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), units), "links")
+    links = written(links.unionByName(between_components(buckets, components(links), first, units)), "links")
     labels = components(links)
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     found = member.join(labels.withColumnRenamed("key", "head"), "head", "left").join(ends.withColumnRenamed("a", "head"), "head", "left")
     return found.select("key", F.coalesce("label", "head").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame) -> DataFrame:
-    """a, b: pairs of a bucket in different components whose signatures agree in AGREE coordinates or more.
+def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame, units: DataFrame) -> DataFrame:
+    """a, b: links between members of a bucket that are in different components.
 
-    A bucket of n members is dealt into ceil(n / BLOCK) blocks and compared block by block, so
-    a group holds 2 * BLOCK rows at most; in it only members outside the largest component take part as first ends.
+    A bucket of n members is dealt into ceil(n / BLOCK) blocks and compared block by block, so a group
+    holds 2 * BLOCK rows at most. In it members outside the largest component are compared with all others whose signatures agree
+    in AGREE coordinates or more, the likeliest first; a link joins two components, which then need no other.
     """
     known = buckets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     split = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
@@ -289,10 +286,10 @@ def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame)
     mixed_ones = known.join(split, "bucket", "left_semi").withColumn("own", F.pmod(F.xxhash64("key"), n_blocks).cast("int"))
     dealt = mixed_ones.select("bucket", "key", "label", "own", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
     dealt = dealt.select("key", "label", "own", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
-    dealt = dealt.join(first.select("key", "brief"), "key")
+    dealt = dealt.join(first.select("key", "brief").join(units.hint("merge"), "key").hint("merge"), "key")
 
     def compared(rows: list[list]) -> list[tuple[int, int]]:
-        keys, labels_, own, briefs = rows
+        keys, labels_, own, briefs, raw = rows
         code = np.unique(np.array(labels_), return_inverse=True)[1]
         if code.max() == 0:
             return []
@@ -300,20 +297,25 @@ def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame)
         block = np.array(own)
         foreign = np.flatnonzero(code != np.bincount(code).argmax())
         two = block.min() != block.max()
+        sets = [np.frombuffer(x, np.uint32) for x in raw]
         out = []
         for i in foreign.tolist():
             agree = (table == table[i]).sum(axis=1)
             near = (agree >= AGREE) & (code != code[i])
             if two:
                 near &= block != block[i]
-            out += [(max(keys[i], keys[j]), min(keys[i], keys[j])) for j in np.flatnonzero(near).tolist()]
+            near = np.flatnonzero(near)
+            for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+                if code[i] != code[j] and similarity(sets[i], sets[j]) >= SIMILARITY:
+                    out.append((max(keys[i], keys[j]), min(keys[i], keys[j])))
+                    code[code == code[j]] = code[i]
         return out
 
     schema = columns(a="long", b="long")
     arrow = to_arrow(schema)
 
     def run(batches):
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[] for _ in range(5)]
         group = None
 
         def out(rows):
@@ -322,7 +324,7 @@ def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame)
 
         for batch in batches:
             g = batch.column(0).to_pylist()
-            own = [batch.column(i).to_pylist() for i in range(1, 5)]
+            own = [batch.column(i).to_pylist() for i in range(1, 6)]
             begin = 0
             for i in range(len(g) + 1):
                 if i == len(g) or g[i] != group:
@@ -332,11 +334,11 @@ def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame)
                     if i < len(g):
                         if held[0]:
                             yield out(held)
-                        held, group = [[], [], [], []], g[i]
+                        held, group = [[] for _ in range(5)], g[i]
         if held[0]:
             yield out(held)
 
-    met = dealt.select("g", "key", "label", "own", "brief").repartition("g").sortWithinPartitions("g", "key")
+    met = dealt.select("g", "key", "label", "own", "brief", "units").repartition("g").sortWithinPartitions("g", "key")
     return met.mapInArrow(run, schema).distinct()
 
 
