@@ -19,10 +19,10 @@ Chance = Callable[[Column, Column], Column]
 ROUND_NAMES = {2: "F", 4: "SF", 8: "QF", 16: "R16", 32: "R32", 64: "R64", 128: "R128"}
 
 
-def padded(draws: DataFrame) -> DataFrame:
-    """draw_id, slot, player_id with the field of each draw filled up to a power of two; byes at the tail."""
+def padded(draws: DataFrame, at_least: int = 2) -> DataFrame:
+    """draw_id, slot, player_id with the field of each draw filled up to a power of two, at_least or more; byes at the tail."""
     sizes = draws.groupBy("draw_id").agg(F.max("slot").alias("last"))
-    size = F.pow(F.lit(2.0), F.greatest(F.lit(1.0), F.ceil(F.log2(F.col("last") + 1)))).cast("int")
+    size = F.greatest(F.lit(at_least), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("last") + 1))).cast("int"))
     slots = sizes.select("draw_id", F.explode(F.sequence(F.lit(0), size - 1)).alias("slot"))
     return slots.join(draws, ["draw_id", "slot"], "left")
 

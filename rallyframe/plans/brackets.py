@@ -27,7 +27,7 @@ def draws(spark, d):
 
 @query("bracket_padding", f"WITH {PADDED} SELECT draw_id, slot, player_id FROM field")
 def bracket_padding(spark, d):
-    return bracket.padded(draws(spark, d)).select("draw_id", F.col("slot").cast("long").alias("slot"), "player_id")
+    return bracket.padded(draws(spark, d), 1 << ROUNDS).select("draw_id", F.col("slot").cast("long").alias("slot"), "player_id")
 
 
 def exact_sql() -> str:
@@ -46,7 +46,7 @@ FROM (SELECT *, {h} AS h FROM {last}) a LEFT JOIN (SELECT *, {h} AS h FROM {last
 
 @query("bracket_advancement", exact_sql())
 def bracket_advancement(spark, d):
-    field = bracket.padded(draws(spark, d))
+    field = bracket.padded(draws(spark, d), 1 << ROUNDS)
     out = bracket.advancement(field, chance, ROUNDS).filter("player_id is not null")
     return out.select("draw_id", F.col("slot").cast("long").alias("slot"), "player_id", *[F.round(f"reach_{r}", 6).alias(f"reach_{r}") for r in range(1, ROUNDS + 1)])
 
@@ -66,7 +66,7 @@ s{r} AS (SELECT draw_id, sim, block, CASE WHEN first THEN aw ELSE bw END AS winn
 
 @query("bracket_simulation", simulated_sql())
 def bracket_simulation(spark, d):
-    results = bracket.simulate(bracket.padded(draws(spark, d)), chance, ROUNDS, SIMS)
+    results = bracket.simulate(bracket.padded(draws(spark, d), 1 << ROUNDS), chance, ROUNDS, SIMS)
     return bracket.frequencies(results, SIMS).select("draw_id", "player_id", F.col("round").cast("long").alias("round"), F.round("share", 6).alias("share"))
 
 
