@@ -281,7 +281,10 @@ def trained(sources: list[str]) -> BoostedTrees:
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> BoostedTrees:
     """Trees fitted to a bounded sample of the pages that mark their article."""
     marked = pages.select(whole_text("html").alias("html")).filter(F.col("html").rlike(r"(?i)<(article|main)\b"))
-    return trained([row["html"] for row in marked.orderBy(F.xxhash64("html"), F.length("html")).limit(sample).collect()])
+    share = min(1.0, 2 * sample / max(1, marked.count()))  # so that about twice the sample is looked at, however many pages there are
+    draw = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / float(1 << 30)
+    few = marked.filter(draw < share).orderBy(F.xxhash64("html"), F.length("html")).limit(sample)
+    return trained([row["html"] for row in few.collect()])
 
 
 def extracted(pages: DataFrame, trees: BoostedTrees | None = None) -> DataFrame:
