@@ -258,13 +258,14 @@ def near_classes(rows: DataFrame) -> DataFrame:
     member = marks.select("key", "same").join(heads, "same", "left").select("key", F.coalesce("head", "key").alias("head"))
     first = marks.join(heads.select(F.col("head").alias("key")), "key", "left_semi")
     buckets = first.select("key", F.explode("bands").alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    full = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "full")  # apart from the join, so that Spark may split a hot bucket
     buckets = written(buckets.join(full, "bucket"), "buckets")
     units = written(all_units(rows.join(buckets.select("key").distinct().hint("merge"), "key", "left_semi")), "units")
     score = buckets.groupBy("key").agg(F.sum("n").alias("score"))
     ranked = buckets.join(score, "key")
     centres = ranked.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("key")).alias("key")))["key"].alias("centre"))
-    pairs = buckets.join(centres.select("bucket", (-F.col("centre")).alias("centre")), "bucket").filter("key <> centre")
+    centres = written(centres.select("bucket", (-F.col("centre")).alias("centre")), "centres")
+    pairs = buckets.join(centres, "bucket").filter("key <> centre")
     links = written(verified(pairs.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), units), "links")
     links = written(links.unionByName(between_components(buckets, components(links), first, units)), "links")
     labels = components(links)
