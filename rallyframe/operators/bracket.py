@@ -119,3 +119,25 @@ def reconciled(sheet: DataFrame, entrants: DataFrame) -> DataFrame:
     only = ghosts.join(new, ["draw_id", "tie"]).groupBy("draw_id", "tie").agg(F.count("*").alias("n"), F.max("slot").alias("slot"), F.max("alternate").alias("alternate")).filter("n = 1")
     out = sheet.join(only.select("draw_id", "slot", "alternate"), ["draw_id", "slot"], "left")
     return out.select("draw_id", "slot", F.coalesce("alternate", "player_id").alias("player_id"), F.col("alternate").isNotNull().alias("replaced"))
+
+
+def complete_rounds(results: DataFrame, size: int) -> DataFrame:
+    """Results (draw_id, round, block, winner, loser) of the rounds before a draw's first incomplete one.
+
+    A round is complete when all size >> round ties have a winner; ties played beyond are left out, so nothing is pinned early.
+    """
+    done = results.filter("winner is not null").groupBy("draw_id", "round").agg(F.countDistinct("block").alias("n"))
+    full = done.filter(F.col("n") == F.lit(size) / F.pow(F.lit(2), F.col("round")))
+    rounds = full.groupBy("draw_id").agg(F.array_sort(F.collect_set("round")).alias("rounds"))
+    last = F.size(F.filter(F.transform("rounds", lambda r, i: F.struct(r.alias("r"), (i + 1).alias("i"))), lambda x: x["r"] == x["i"]))
+    return results.join(rounds.select("draw_id", last.alias("_last")), "draw_id").filter(F.col("round") <= F.col("_last")).drop("_last")
+
+
+def winner_convention(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """draw_id, convention: whether a feed lists winners ``first`` or ``second``, by ties whose winner is known; both or none is ``unknown``.
+
+    listed: draw_id, tie, first_id, second_id. known: draw_id, tie, winner.
+    """
+    met = listed.join(known, ["draw_id", "tie"])
+    counts = met.groupBy("draw_id").agg(F.count_if(F.col("winner") == F.col("first_id")).alias("a"), F.count_if(F.col("winner") == F.col("second_id")).alias("b"))
+    return counts.select("draw_id", F.when((F.col("a") > 0) & (F.col("b") == 0), "first").when((F.col("b") > 0) & (F.col("a") == 0), "second").otherwise("unknown").alias("convention"))

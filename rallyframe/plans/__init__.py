@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "forms", "joins", "values", "brackets", "streams", "models", "flagship")
+MODULES = ("scores", "forms", "joins", "values", "brackets", "streams", "models", "flagship", "ladders")
 
 
 def all_queries():
