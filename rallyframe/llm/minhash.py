@@ -228,6 +228,12 @@ def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return map_batches(both, columns(a="long", b="long", close="bool"), each).filter("close").select("a", "b")
 
 
+def checksum(edges: DataFrame) -> tuple:
+    """Count and two combinations of 64-bit hashes of distinct edges: one aggregation tells whether a round changed them."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """key, label: the smallest key of each component of links (a, b); by alternating star contraction.
 
@@ -235,6 +241,7 @@ def components(links: DataFrame) -> DataFrame:
     trees, so rounds are few. Each is written to the shared folder.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    mark = checksum(edges)
     while True:
         # large star: larger neighbours go to the smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -245,9 +252,8 @@ def components(links: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = written(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        changed = not now.exceptAll(edges).isEmpty() or not edges.exceptAll(now).isEmpty()
-        edges = now
-        if not changed:
+        before, mark, edges = mark, checksum(now), now
+        if mark == before:
             return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "key")
 
 
