@@ -5,7 +5,8 @@ full pieces after a first piece that may be shorter. Full pieces are sequences o
 own. All others go through a packer with a fixed number of open sequences: a bitset over
 free space says which amounts are on offer, a piece goes to the open sequence with the
 least free space that holds it, and when a new one is needed and none may be opened, the
-fullest closes. Pieces come longest first, which leaves few gaps.
+fullest closes. Pieces come in the order of a hash, and each run of as many as may be open
+goes longest first: every run has long and short pieces, however many a task packs.
 
 Nulls: a null text is a document of its end id alone; repeated rows are packed once each;
 an empty table gives no pieces; null doc_ids are packed like others.
@@ -93,25 +94,37 @@ class Packer:
         return sequence
 
 
+def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
+    """The rows of batches in tables of n rows, the last of which may be shorter."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= n:
+            rows = pa.Table.from_batches(held)
+            whole = rows.num_rows // n * n
+            yield from (rows.slice(i, n) for i in range(0, whole, n))
+            held = rows.slice(whole).to_batches()
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
+
+
 def pack(parts: DataFrame, size: int = SEQUENCE, most_open: int = OPEN) -> DataFrame:
     """PACKED for PIECES: a sequence and a place in it for each piece."""
     schema = to_arrow(PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = None
-        for batch in batches:
-            rows = batch.to_pydict()
-            if not batch.num_rows:
-                continue
+        for several in runs(batches, most_open):
+            rows = several.sort_by([("length", "descending")]).to_pydict()
+            part = rows.pop("part")[0]
             if packer is None:
-                packer = Packer(size, most_open, rows.pop("part")[0] << 40)
-            rows.pop("part", None)
+                packer = Packer(size, most_open, part << 40)
             placed = [packer.put(n) for n in rows["length"]]
             rows["sequence_id"], rows["offset"] = [x[0] for x in placed], [x[1] for x in placed]
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     dealt = parts.repartition("doc_id", "piece", "ids_crc32").withColumn("part", F.spark_partition_id().cast("long"))
-    dealt = dealt.sortWithinPartitions(F.col("length").desc(), "doc_id", "piece")
+    dealt = dealt.sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(run, PACKED)
 
 
