@@ -2,7 +2,8 @@
 
 A byte-level tokenizer with this splitting rule encodes each piece apart from the others, and
 pieces repeat far more than texts do: each worker keeps the ids of those it has met (up to
-PIECES_KEPT, then it starts anew), and only new pieces go to the library. Texts of Latin-1 are
+PIECES_KEPT, then it starts anew), and only new pieces go to the library. The strings of the
+file's special tokens are pieces of their own, found before all else. Texts of Latin-1 are
 cut by the rule itself. In others a run of white space always begins a new piece
 when it follows something else, so they are cut before each such run; those with a character
 whose class differs between the two notions of white space are encoded whole.
@@ -27,7 +28,7 @@ UNSURE = re.compile("[\x1c-\x1f\x85᠎​-‏ - ⁠-⁤﻿]")
 
 
 class PieceEncoder:
-    """Encodes texts as the tokenizers library does, special tokens' strings being ordinary text."""
+    """Encodes texts as the tokenizers library does; a special token's string stands for its id."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,7 +37,9 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        contents = sorted((re.escape(x.content) for x in added), key=len, reverse=True)
+        self.special_split = re.compile(f"({'|'.join(contents)})") if contents else None
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -46,8 +49,14 @@ class PieceEncoder:
         """The ids of each text as native (little-endian) unsigned 32-bit integers; GROUP texts are cut at a time."""
         return [ids for k in range(0, len(texts), GROUP) for ids in self._encoded(texts[k : k + GROUP])]
 
+    def pieces(self, text: str) -> list[str]:
+        if not self.special_split or not self.special_split.search(text):
+            return self.plain_pieces(text)
+        parts = self.special_split.split(text)
+        return [x for i, part in enumerate(parts) for x in ([part] if i % 2 else self.plain_pieces(part))]
+
     @staticmethod
-    def pieces(text: str) -> list[str]:
+    def plain_pieces(text: str) -> list[str]:
         if not BEYOND_LATIN.search(text):
             return PIECE.findall(text)
         return [text] if UNSURE.search(text) else UNIT.findall(text)

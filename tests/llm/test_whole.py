@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import math
+import zlib
 
-from rallyframe.llm import packing
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from rallyframe.llm import packing, planes
+from rallyframe.llm.tokens import PieceEncoder
+
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "é 日本\n <|endoftext|>\n\n z", "a\x1cb<|endoftext|> c", "<|endoftext| >", "it<|endoftext|>'s", "x  <|endoftext|>  y"]
 
 
 def test_packing_stays_full_beyond_the_open_sequences(spark):
@@ -17,3 +26,16 @@ def test_packing_stays_full_beyond_the_open_sequences(spark):
         ends[r.sequence_id] = r.offset + r.length
     assert sorted(r.length for r in rows) == sorted(lengths) and max(ends.values()) <= packing.SEQUENCE
     assert len(ends) <= 1.1 * math.ceil(sum(lengths) / packing.SEQUENCE)
+
+
+def test_special_tokens_of_the_byte_file(spark):
+    library, end = Tokenizer.from_file(BYTES), [packing.END_ID]
+    want = [x.ids for x in library.encode_batch(SPECIAL, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u4").tolist() for x in PieceEncoder(BYTES).encode(SPECIAL)] == want
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string")
+    crc = {i: (len(x) + 1, zlib.crc32(np.array(x + end, dtype="<u4").tobytes())) for i, x in enumerate(want)}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.packed_rows(docs, BYTES).collect()} == crc
+    rows = sorted(planes.plane_rows(docs, BYTES).collect(), key=lambda r: r.doc_id)
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows} == crc
+    assert [r.start for r in rows] == [sum(crc[j][0] for j in range(i)) for i in range(len(rows))]
