@@ -12,9 +12,9 @@ Bands of ROWS coordinates make candidates. Texts with equal words form one class
 go on as one representative. In each bucket every member is paired with the bucket's
 most central member (the one with the most company over all its buckets), pairs are
 verified on their shingles, and links are joined into components. Where a bucket then
-still holds several components, members outside the largest are compared with all others
-by their signatures, in blocks, and those that may reach the threshold are verified
-there. So copies of one text cost one pair each, and links beside the centres are found too.
+still holds several components, members outside the largest are compared with all others,
+in blocks: those that can reach the threshold by size and by their rarest units are verified
+there, the likeliest by their signatures first. So copies of one text cost one pair each, and links beside the centres are found too.
 
 Joins that move texts or units are merge joins at every size, so a plan that fits small tables is the plan for large ones.
 
@@ -44,8 +44,6 @@ BANDS = COORDINATES // ROWS
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 CHUNK_BYTES = 1 << 21
 
-#: Signatures of similar texts agree in at least so many coordinates (SIMILARITY less 2.5 standard errors).
-AGREE = 70
 BLOCK = 4096
 
 SIGNED = columns(key="long", same="bytes", bands=T.ArrayType(T.LongType()), brief="bytes")
@@ -280,12 +278,44 @@ def near_classes(rows: DataFrame) -> DataFrame:
     return found.select("key", F.coalesce("label", "head").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+class Postings:
+    """The holders of each unit among some sorted arrays of units.
+
+    Arrays of SIMILARITY share at least that part of either's units. So of any units of one that are more than
+    the rest, the other has one: the rarest are looked up.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        units = np.concatenate(sets)
+        order = np.argsort(units, kind="stable")
+        units = units[order]
+        new = np.concatenate([[True], units[1:] != units[:-1]])
+        self.code = np.empty(len(units), np.int32)  # for each unit of each array its place among distinct units
+        self.code[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.at = np.flatnonzero(new)
+        self.count = np.diff(np.concatenate([self.at, [len(units)]]))
+        self.holder = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+
+    def within_reach(self, i: int) -> np.ndarray:
+        """The arrays, i among them, that may have a similarity of SIMILARITY or more to i."""
+        mine, size = self.code[self.begin[i] : self.begin[i + 1]], int(self.sizes[i])
+        least = int(np.ceil(SIMILARITY * size - 1e-6))
+        rare = mine[np.argsort(self.count[mine], kind="stable")[: size - least + 1]]
+        n = self.count[rare]
+        spots = np.repeat(self.at[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        met = np.unique(self.holder[spots])
+        small, large = np.minimum(self.sizes[met], size), np.maximum(self.sizes[met], size)
+        return met[small >= SIMILARITY * large]
+
+
 def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame, units: DataFrame) -> DataFrame:
     """a, b: links between members of a bucket that are in different components.
 
     A bucket of n members is dealt into ceil(n / BLOCK) blocks and compared block by block, so a group
-    holds 2 * BLOCK rows at most. In it members outside the largest component are compared with all others whose signatures agree
-    in AGREE coordinates or more, the likeliest first; a link joins two components, which then need no other.
+    holds 2 * BLOCK rows at most. In it members outside the largest component are compared with all others that Postings does not
+    exclude, those first whose signatures agree most; a link joins two components, which then need no other.
     """
     known = buckets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     split = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
@@ -305,14 +335,15 @@ def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame,
         foreign = np.flatnonzero(code != np.bincount(code).argmax())
         two = block.min() != block.max()
         sets = [np.frombuffer(x, np.uint32) for x in raw]
+        postings = Postings(sets)
         out = []
         for i in foreign.tolist():
-            agree = (table == table[i]).sum(axis=1)
-            near = (agree >= AGREE) & (code != code[i])
+            near = postings.within_reach(i)
+            near = near[code[near] != code[i]]
             if two:
-                near &= block != block[i]
-            near = np.flatnonzero(near)
-            for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+                near = near[block[near] != block[i]]
+            agree = (table[near] == table[i]).sum(axis=1)
+            for j in near[np.argsort(-agree, kind="stable")].tolist():
                 if code[i] != code[j] and similarity(sets[i], sets[j]) >= SIMILARITY:
                     out.append((max(keys[i], keys[j]), min(keys[i], keys[j])))
                     code[code == code[j]] = code[i]

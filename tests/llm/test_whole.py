@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from rallyframe.llm import packing, planes
+from rallyframe.llm import minhash, packing, planes
 from rallyframe.llm.tokens import PieceEncoder
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,3 +39,36 @@ def test_special_tokens_of_the_byte_file(spark):
     rows = sorted(planes.plane_rows(docs, BYTES).collect(), key=lambda r: r.doc_id)
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows} == crc
     assert [r.start for r in rows] == [sum(crc[j][0] for j in range(i)) for i in range(len(rows))]
+
+
+def test_links_between_components_whose_signatures_differ(spark):
+    def units(*parts):
+        return np.concatenate([np.arange(a, z) for a, z in parts]).astype(np.uint32)
+
+    sets = {1: units((0, 1000)), 2: units((0, 1000), (9000, 9100)), 3: units((100, 1000), (2000, 2100)), 4: units((300, 1000), (3000, 3300)), 5: units((5000, 6000))}
+    assert minhash.similarity(sets[1], sets[3]) >= 0.8 > minhash.similarity(sets[1], sets[4])
+    signature = {k: np.arange(100) for k in sets} | {3: np.where(np.arange(100) < 65, np.arange(100), 7000)}
+    label = {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    buckets = spark.createDataFrame([(8, k, 5) for k in sets], "bucket bigint, key bigint, n bigint")
+    labels = spark.createDataFrame(list(label.items()), "key bigint, label bigint")
+    first = spark.createDataFrame([(k, x.astype(np.uint16).tobytes()) for k, x in signature.items()], "key bigint, brief binary")
+    held = spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "key bigint, units binary")
+    links = {(r.a, r.b) for r in minhash.between_components(buckets, labels, first, held).collect()}
+    assert len(links) == 1 and links <= {(3, 1), (3, 2)}
+
+
+def test_no_similar_pair_is_out_of_reach():
+    rng = np.random.default_rng(5)
+    base = np.arange(200)
+    sets = []
+    for n in rng.integers(1, 60, 120).tolist():  # from near copies to texts with little in common
+        own = np.concatenate([rng.choice(base, 200 - n, replace=False), rng.integers(1000, 3000, rng.integers(0, n + 1))])
+        sets.append(np.unique(own).astype(np.uint32))
+    sets += [np.arange(k, dtype=np.uint32) for k in range(1, 30)]
+    postings = minhash.Postings(sets)
+    similar = 0
+    for i, x in enumerate(sets):
+        near = {j for j, y in enumerate(sets) if minhash.similarity(x, y) >= minhash.SIMILARITY}
+        assert near <= set(postings.within_reach(i).tolist())
+        similar += len(near)
+    assert len(sets) < similar < len(sets) ** 2
