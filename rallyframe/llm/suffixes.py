@@ -8,8 +8,8 @@ Every 100-byte window has one anchor: the place in it of the smallest hash of SE
 sorted, about one in forty, and only where an anchor's SEED bytes occur twice. A row is
 a run of windows with one anchor and the bytes they cover. Rows meet by anchor; in each
 group the suffixes from the anchor on, and the reversed prefixes before it, are sorted:
-multikey quicksort by words to SHALLOW bytes, then a blind trie for each group that still
-ties. The common prefix lengths of neighbours in the two orders then say, for every
+multikey quicksort to SHALLOW bytes (eight bytes are one key), then a blind trie for each group
+that still ties. The common prefix lengths of neighbours in the two orders then say, for every
 window place, which rows have the same window; of each such class the earliest stays.
 
 Nulls: a null text counts as empty. Rows that share a doc_id, or have none, are
@@ -18,8 +18,10 @@ ordered by text (nulls first), see ``shared.keyed``. Texts under 100 bytes stay
 Plan: anchors are found where texts are read and travel as (hash, key), once a batch and
 hash. Texts move once, by key, and that exchange serves both the second look at the texts and
 the last join. Equal rows of a batch meet before they are sent, so a group of copies sends one
-row a batch; an anchor with more than HOT rows is dealt out by the 93 bytes that eight
-neighbouring windows share. Tasks stream groups in key order. Nothing goes to the driver.
+row a batch; an anchor that occurs more than HOT times is dealt out by the 93 bytes that eight
+neighbouring windows share, one that occurs more than SINGLE times by single windows. Tasks
+stream groups in key order and hold the different rows of one: at most SINGLE, or one where windows
+are single. Nothing goes to the driver.
 """
 
 from __future__ import annotations
@@ -34,13 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import columns, keyed, map_batches, texts_of, to_arrow, written
+from .shared import columns, keyed, map_batches, texts_of, to_arrow
 
 LENGTH = 100
 SEED = 24
 SHALLOW = 40
-HOT = 20_000
-NEIGHBOURS = 8
+HOT, NEIGHBOURS = 20_000, 8
+SINGLE = 500_000
 CHUNK = 1 << 21
 BLOCK_ROWS = 200_000
 PLACES = LENGTH - SEED + 1
@@ -133,7 +135,7 @@ def _joined(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
 
 
 def seeds(rows: DataFrame) -> DataFrame:
-    """SEEDS: a row for each anchor hash and batch; more holds further keys, and is not null if the hash repeats."""
+    """SEEDS: a row for each anchor hash and batch; more is null if it occurs once, else the number of occurrences and then further keys."""
 
     def each(batch: pa.RecordBatch) -> dict:
         keys = np.array(batch.column(0).to_pylist(), dtype=np.int64)
@@ -151,7 +153,7 @@ def seeds(rows: DataFrame) -> DataFrame:
         offsets, values = np.zeros(len(first) + 1, dtype=np.int64), []
         for i in np.flatnonzero(counts > 1).tolist():
             own = np.unique(key[first[i] : first[i] + counts[i]])
-            own = own[own != key[first[i]]]
+            own = np.concatenate([counts[i : i + 1], own[own != key[first[i]]]])
             offsets[i + 1] = len(own)
             values.append(own)
         offsets = np.cumsum(offsets)
@@ -163,28 +165,32 @@ def seeds(rows: DataFrame) -> DataFrame:
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """key, hs, hot: each document's anchor hashes that occur twice, and those with more than HOT rows."""
-    n = F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.greatest(F.lit(2), F.size("more") + 1))).over(Window.partitionBy("h"))
+    """key, hs, hot, single: each document's anchor hashes that occur twice, those more than HOT times, and those more than SINGLE times."""
+    n = F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.get("more", 0))).over(Window.partitionBy("h"))
     twice = found.withColumn("n", n).filter("n > 1")
-    each = twice.select("h", "n", F.explode(F.concat(F.array("key"), F.coalesce("more", F.array().cast("array<bigint>")))).alias("key"))
-    return each.groupBy("key").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("n") > HOT, F.col("h"))).alias("hot"))
+    keys = F.when(F.col("more").isNull(), F.array("key")).otherwise(F.concat(F.array("key"), F.slice("more", 2, F.greatest(F.size("more") - 1, F.lit(0)))))
+    each = twice.select("h", "n", F.explode(keys).alias("key"))
+    beyond = lambda most: F.collect_list(F.when(F.col("n") > most, F.col("h")))
+    return each.groupBy("key").agg(F.collect_list("h").alias("hs"), beyond(HOT).alias("hot"), beyond(SINGLE).alias("single"))
 
 
 def _hash_bytes(x: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
 
-def anchor_rows(texts: DataFrame) -> DataFrame:
-    """ROWS of the documents of texts (key, text, hs, hot); a row without content is a span that goes, and is dealt by key."""
+def anchor_rows(rows: DataFrame) -> DataFrame:
+    """ROWS of the documents of rows (key, _row, hs, hot, single), whose texts are _row.text; a row without content is a span that goes, and is dealt by key."""
 
     def each(batch: pa.RecordBatch) -> dict:
         keys = batch.column(0).to_pylist()
         wanted = np.unique(np.array([h for hs in batch.column(2).to_pylist() for h in hs or ()], dtype=np.int64)).view(np.uint64)
-        hot = {h & (1 << 64) - 1 for hs in batch.column(3).to_pylist() for h in hs or ()}
+        steps: dict[int, int] = {}
+        for column, step in ((3, NEIGHBOURS), (4, 1)):
+            steps.update({h & (1 << 64) - 1: step for hs in batch.column(column).to_pylist() for h in hs or ()})
         out: list[tuple] = []
         # places in doc_id order, so that the first of equal rows is the earliest
         by_key = sorted(range(len(keys)), key=keys.__getitem__)
-        texts = texts_of(batch)
+        texts = row_texts(batch.column(1))
         met: set[tuple] = set()
         for data, doc, shift, starts, ends in chunks([texts[i].encode() for i in by_key]):
             d, a, b, p, h = anchor_runs(data, starts, ends)
@@ -192,17 +198,17 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
             raw = data.tobytes()
             for i, first, last, anchor, seed in zip(d[use].tolist(), a[use].tolist(), b[use].tolist(), p[use].tolist(), h[use].tolist(), strict=True):
                 key, off = keys[by_key[doc[i]]], int(shift[i] - starts[i])
-                parts = [(first, last)]
-                if seed in hot:
+                parts, step = [(first, last)], steps.get(seed)
+                if step:
                     parts = []
-                    for j in range((anchor - last) // NEIGHBOURS, (anchor - first) // NEIGHBOURS + 1):
-                        parts.append((max(first, anchor - NEIGHBOURS * j - NEIGHBOURS + 1), min(last, anchor - NEIGHBOURS * j)))
+                    for j in range((anchor - last) // step, (anchor - first) // step + 1):
+                        parts.append((max(first, anchor - step * j - step + 1), min(last, anchor - step * j)))
                 for lo, hi in parts:
                     content = raw[lo : hi + LENGTH]
                     g = seed - (seed >> 63 << 64)
-                    if seed in hot:
-                        s = anchor - (anchor - lo) // NEIGHBOURS * NEIGHBOURS
-                        g = _hash_bytes(raw[s : s + LENGTH - NEIGHBOURS + 1])
+                    if step:
+                        s = anchor - (anchor - lo) // step * step
+                        g = _hash_bytes(raw[s : s + LENGTH - step + 1])
                     mark = (g, anchor - lo, content)
                     if mark in met:
                         out.append((key, key, lo + off, anchor - lo, len(content), None))
@@ -211,7 +217,12 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                         out.append((g, key, lo + off, anchor - lo, len(content), content))
         return {f.name: [x[i] for x in out] for i, f in enumerate(ROWS)}
 
-    return map_batches(texts.select("key", "text", "hs", "hot"), ROWS, each)
+    return map_batches(rows.select("key", "_row", "hs", "hot", "single"), ROWS, each)
+
+
+def row_texts(rows: pa.StructArray) -> list[str]:
+    """The texts of a column of _row; null counts as empty."""
+    return [x or "" for x in rows.field("text").to_pylist()]
 
 
 class BlindTrie:
@@ -264,39 +275,61 @@ class BlindTrie:
                 yield node, lcp
 
 
+def multikey_quicksort(words: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of rows of words (one key a column) within groups; rows with equal keys stay together.
+
+    All segments are split at once, each by a pivot of its own at its own depth: smaller and greater
+    rows go on at that depth, equal ones at the next.
+    """
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order])) + 1
+    begin = np.concatenate([[0], cuts])
+    size = np.diff(np.concatenate([begin, [len(order)]]))
+    depth = np.zeros(len(begin), dtype=np.int64)
+    while True:
+        open_ = (size > 1) & (depth < words.shape[1])
+        begin, size, depth = begin[open_], size[open_], depth[open_]
+        if not len(begin):
+            return order
+        inside = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(begin)), size)
+        spot = np.arange(len(segment)) + np.repeat(begin - inside, size)
+        key = words[order[spot], depth[segment]]
+        pivot = key[inside + size // 2][segment]
+        side = 3 * segment + 1 + (key > pivot) - (key < pivot)
+        order[spot] = order[spot][np.argsort(side, kind="stable")]
+        parts = np.bincount(side, minlength=3 * len(begin))
+        begin = np.repeat(begin - inside, 3) + np.cumsum(parts) - parts
+        depth = np.repeat(depth, 3)
+        depth[1::3] += 1
+        size = parts
+
+
+def common_bytes(words: np.ndarray) -> np.ndarray:
+    """How many bytes each row of big-endian words shares with the row before; 0 for the first."""
+    differ = words[1:] ^ words[:-1]
+    other = differ != 0
+    column = np.where(other.any(axis=1), other.argmax(axis=1), words.shape[1])
+    last = np.minimum(column, words.shape[1] - 1)
+    word = differ[np.arange(len(differ)), last]
+    agree, alive = np.zeros(len(differ), dtype=np.int64), column < words.shape[1]
+    for k in range(7):
+        alive &= (word >> np.uint64(8 * (7 - k))) == 0
+        agree += alive
+    return np.concatenate([[0], 8 * column + agree])
+
+
 def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): strings sorted within groups; lcp with the one before, -1 between groups.
 
-    Words of eight bytes are compared to a depth of SHALLOW, each level only among rows that still tie;
-    then a blind trie orders each group of ties.
+    Multikey quicksort orders the first SHALLOW bytes; then a blind trie orders each group of ties.
     """
     n = len(strings)
     sizes = np.array([len(x) for x in strings], dtype=np.int64)
-    padded = np.frombuffer(b"".join(x[:SHALLOW].ljust(SHALLOW, b"\0") for x in strings), dtype=">u8").reshape(n, SHALLOW // 8)
-    order = np.argsort(group, kind="stable")
-    lcp = np.full(n, LENGTH, dtype=np.int64)
-    same = np.concatenate([[False], group[order][1:] == group[order][:-1]])
-    lcp[~same] = -1
-    for level in range(SHALLOW // 8):
-        tied = lcp >= 8 * level
-        member = tied | np.concatenate([tied[1:], [False]])
-        spot = np.flatnonzero(member)
-        if not len(spot):
-            break
-        of = np.cumsum(~tied)[spot]
-        word = padded[order[spot], level].astype(np.uint64)
-        by = np.lexsort((word, of))
-        order[spot], word = order[spot][by], word[by]
-        differ = np.concatenate([[np.uint64(0)], word[1:] ^ word[:-1]])
-        # bytes that agree: leading zero bytes of the difference
-        agree = np.zeros(len(spot), dtype=np.int64)
-        alive = np.ones(len(spot), dtype=bool)
-        for k in range(8):
-            alive &= (differ >> np.uint64(8 * (7 - k))) == 0
-            agree += alive
-        inner = tied[spot]
-        at = spot[inner & (agree < 8)]
-        lcp[at] = 8 * level + agree[inner & (agree < 8)]
+    words = np.frombuffer(b"".join(x[:SHALLOW].ljust(SHALLOW, b"\0") for x in strings), dtype=">u8").reshape(n, SHALLOW // 8).astype(np.uint64)
+    order = multikey_quicksort(words, group)
+    lcp = common_bytes(words[order])
+    lcp[np.concatenate([[True], np.diff(group[order]) != 0])] = -1
     tied = lcp >= SHALLOW
     begins = np.flatnonzero(tied & ~np.concatenate([[False], tied[:-1]]))
     stops = np.flatnonzero(tied & ~np.concatenate([tied[1:], [False]])) + 1
@@ -322,19 +355,15 @@ def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, n
 
 
 def resolved(g: list[int], key: list[int], at: list[int], lead: list[int], content: list[bytes]) -> list[tuple[int, int, int]]:
-    """SPANS that go, of whole groups of rows that come in the order (g, key, at)."""
-    spans, first_of, single = [], {}, {}
-    for i in range(len(g)):
-        mark = (g[i], lead[i], content[i])
-        if first_of.setdefault(mark, i) != i:
-            spans.append((key[i], at[i], at[i] + len(content[i])))
-        else:
-            single[g[i]] = single.get(g[i], 0) + 1
-    use = [i for i in first_of.values() if single[g[i]] > 1]
-    if not use:
+    """SPANS that go, of whole groups of different rows in the order (g, key, at)."""
+    spans = []
+    groups = np.array(g, dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(groups)) + 1
+    sizes = np.diff(np.concatenate([[0], cuts, [len(g)]]))
+    rows = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+    if not len(rows):
         return spans
-    rows = np.array(use)
-    groups = np.array([g[i] for i in use], dtype=np.int64)
+    use, groups = rows.tolist(), groups[rows]
     leads = np.array([lead[i] for i in use], dtype=np.int64)
     lows = leads - np.array([len(content[i]) - LENGTH for i in use], dtype=np.int64)
     classes = []
@@ -365,41 +394,45 @@ def resolved(g: list[int], key: list[int], at: list[int], lead: list[int], conte
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
-    """SPANS that go, from ROWS."""
+    """SPANS that go, from ROWS. Of a group only rows that differ are held; the others go at once, for an equal row came before."""
     schema = to_arrow(SPANS)
 
     def out(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in spans], pa.int64()) for i in range(3)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]
+        held: list[tuple] = []
+        group, met = None, set()
         for batch in batches:
             known = pc.is_null(batch.column(5))
             done = batch.filter(known)
             if done.num_rows:
                 yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), pc.add(done.column(2), done.column(4).cast(pa.int64()))], schema=schema)
             batch = batch.filter(pc.invert(known))
-            if not batch.num_rows:
-                continue
-            for own, i in zip(held, (0, 1, 2, 3, 5), strict=True):
-                own += batch.column(i).to_pylist()
-            if len(held[0]) >= BLOCK_ROWS and held[0][0] != held[0][-1]:
-                stop = len(held[0])
-                while held[0][stop - 1] == held[0][-1]:
-                    stop -= 1
-                yield out(resolved(*[x[:stop] for x in held]))
-                held = [x[stop:] for x in held]
-        if held[0]:
-            yield out(resolved(*held))
+            spans = []
+            for row in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)], strict=True):
+                if row[0] != group:
+                    if len(held) >= BLOCK_ROWS:
+                        spans += resolved(*map(list, zip(*held, strict=True)))
+                        held = []
+                    group, met = row[0], set()
+                mark = row[3:]
+                if mark in met:
+                    spans.append((row[1], row[2], row[2] + len(row[4])))
+                else:
+                    met.add(mark)
+                    held.append(row)
+            if spans:
+                yield out(spans)
+        if held:
+            yield out(resolved(*map(list, zip(*held, strict=True))))
 
     return rows.repartition("g").sortWithinPartitions("g", "key", "at").mapInArrow(run, SPANS)
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """key, spans: what goes of each document that loses something."""
-    wanted = repeated(seeds(rows))
-    texts = rows.select("key", "text").join(wanted, "key")
-    return spans_of(anchor_rows(texts)).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+def repeated_spans(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """_key, spans: what goes of each document that loses something; rows (key, _row) hold the texts (key, text) once more."""
+    return spans_of(anchor_rows(rows.join(repeated(seeds(texts)), "key"))).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -421,41 +454,51 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
+def with_spans(docs: DataFrame, *columns: str) -> DataFrame:
+    """_row (a struct of columns of docs) and spans of every document; the one exchange of rows by key serves both joins."""
+    rows = keyed(docs).rows.filter("key is not null")
+    moving = rows.select("key", F.struct(*[F.col("_row")[c].alias(c) for c in columns]).alias("_row"))
+    spans = repeated_spans(rows.select("key", "text"), moving)
+    return moving.join(spans, F.col("key") == F.col("_key"), "left").select("_row", "spans")
+
+
 def suffix_rows(docs: DataFrame) -> DataFrame:
     """RESULT: one row a document."""
 
     def each(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {f.name: [] for f in RESULT}
-        for doc_id, text, spans in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), strict=True):
+        row = batch.column(0)
+        for doc_id, text, spans in zip(row.field("doc_id").cast(pa.int64()).to_pylist(), row_texts(row), batch.column(1).to_pylist(), strict=True):
             raw, runs = text.encode(), merged(spans)
-            row = (doc_id, len(raw), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest())
-            for name, value in zip(out, row, strict=True):
+            values = (doc_id, len(raw), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest())
+            for name, value in zip(out, values, strict=True):
                 out[name].append(value)
         return out
 
-    known = keyed(docs)
-    rows = known.rows.filter("key is not null").select("key", "text", *([] if known.by_doc_id else ["doc_id"]))
-    spans = repeated_spans(rows.select("key", "text")).withColumnRenamed("key", "_key")
-    joined = rows.join(spans, F.col("key") == F.col("_key"), "left")
-    return map_batches(joined.select(known.doc_id().cast("long").alias("doc_id"), "text", "spans"), RESULT, each)
+    return map_batches(with_spans(docs, "doc_id", "text"), RESULT, each)
 
 
 def suffix_filter(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of text, and n_chars, if there is one, counted anew.
 
     Bytes of a character that is cut in two are dropped. Documents with nothing left stay, with an
-    empty text; a null text without repeats stays null.
+    empty text; rows without repeats stay as they came, a null text null.
     """
+    counted = "n_chars" in docs.columns
 
-    def each(batch: pa.RecordBatch) -> dict:
-        return {"text": [without(text.encode(), merged(spans)).decode("utf-8", "ignore") for text, spans in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True)]} | {
-            "key": batch.column(0)
-        }
-
-    rows = keyed(docs).rows.filter("key is not null")
-    spans = written(repeated_spans(rows.select("key", "text")), "spans")
-    changed = map_batches(rows.select("key", "text").join(spans, "key"), columns(key="long", text="str"), each)
-    joined = rows.select("key", "_row").join(changed.withColumnRenamed("text", "_text"), "key", "left")
-    text = F.coalesce("_text", F.col("_row")["text"])
-    new = {"text": text, "n_chars": F.when(F.col("_text").isNull(), F.col("_row")["n_chars"]).otherwise(F.length("_text").cast("long")) if "n_chars" in docs.columns else None}
-    return joined.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, spans = batch.column(0), batch.column(1).to_pylist()
+            text, own = rows.field("text").to_pylist(), {f.name: rows.field(i) for i, f in enumerate(rows.type)}
+            lengths = own["n_chars"].to_pylist() if counted else None
+            for i, several in enumerate(spans):
+                if several:
+                    text[i] = without((text[i] or "").encode(), merged(several)).decode("utf-8", "ignore")
+                    if counted:
+                        lengths[i] = len(text[i])
+            own["text"] = pa.array(text, own["text"].type)
+            if counted:
+                own["n_chars"] = pa.array(lengths, own["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+
+    return with_spans(docs, *docs.columns).mapInArrow(run, docs.schema)

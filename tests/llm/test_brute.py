@@ -56,9 +56,10 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [3, 20_000])
-def test_suffixes(spark, texts, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "single"), [(3, 10**9), (20_000, 10**9), (3, 9), (1, 1)])
+def test_suffixes(spark, texts, monkeypatch, hot, single):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "SINGLE", single)
     random.seed(hot)
     base = "".join(random.choice("abc d") for _ in range(2000))
     rows = []
