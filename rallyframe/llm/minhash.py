@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_they_came, columns, keyed, map_batches, texts_of, to_arrow, written
+from .shared import Scratch, as_they_came, columns, keyed, map_batches, texts_of, to_arrow, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -196,11 +196,11 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def units_of(raws: list[bytes]) -> list[np.ndarray]:
-    """The sorted units of each text, the upper half of each number."""
+    """The sorted units of each text."""
     doc, unit = weighted(*shingles(raws)) if any(raws) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
     order = np.lexsort((unit, doc))
     cuts = np.searchsorted(doc[order], np.arange(len(raws) + 1))
-    unit = (unit[order] >> U(32)).astype(np.uint32)
+    unit = unit[order]
     return [unit[cuts[i] : cuts[i + 1]] for i in range(len(raws))]
 
 
@@ -218,7 +218,7 @@ def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """a, b of the pairs whose texts have a similarity of SIMILARITY or more."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        arrays = ([np.frombuffer(x, np.uint32) for x in batch.column(i).to_pylist()] for i in (2, 3))
+        arrays = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
         return {"a": batch.column(0), "b": batch.column(1), "close": [similarity(x, y) >= SIMILARITY for x, y in zip(*arrays, strict=True)]}
 
     left = pairs.join(units.select(F.col("key").alias("a"), F.col("units").alias("x")).hint("merge"), "a")
@@ -232,13 +232,13 @@ def checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """key, label: the smallest key of each component of links (a, b); by alternating star contraction.
 
     Each round points every key to the smallest key near it; a round halves the depth of
     trees, so rounds are few. Each is written to the shared folder.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = scratch.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = checksum(edges)
     while True:
         # large star: larger neighbours go to the smallest neighbour
@@ -249,31 +249,37 @@ def components(links: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the key itself go to the smallest of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = written(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, mark, edges = mark, checksum(now), now
+        now = scratch.written(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, mark, old, edges = mark, checksum(now), edges, now
+        scratch.drop(old)
         if mark == before:
             return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "key")
 
 
-def near_classes(rows: DataFrame) -> DataFrame:
-    """key, class_key, n_links for rows (key, text)."""
-    marks = written(signed(rows), "signed")
-    heads = marks.filter("same is not null").groupBy("same").agg(F.min("key").alias("head"))
+def near_classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, class_key, n_links for rows (key, text).
+
+    What a join needs of an aggregation is written before, so that Spark may split a hot key of the join.
+    """
+    marks = scratch.written(signed(rows), "signed")
+    heads = scratch.written(marks.filter("same is not null").groupBy("same").agg(F.min("key").alias("head")), "heads")
     member = marks.select("key", "same").join(heads, "same", "left").select("key", F.coalesce("head", "key").alias("head"))
     first = marks.join(heads.select(F.col("head").alias("key")), "key", "left_semi")
     buckets = first.select("key", F.explode("bands").alias("bucket"))
-    full = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "full")  # apart from the join, so that Spark may split a hot bucket
-    buckets = written(buckets.join(full, "bucket"), "buckets")
-    units = written(all_units(rows.join(buckets.select("key").distinct().hint("merge"), "key", "left_semi")), "units")
+    full = scratch.written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "full")
+    buckets = scratch.written(buckets.join(full, "bucket"), "buckets")
+    units = scratch.written(all_units(rows.join(buckets.select("key").distinct().hint("merge"), "key", "left_semi")), "units")
     score = buckets.groupBy("key").agg(F.sum("n").alias("score"))
     ranked = buckets.join(score, "key")
     centres = ranked.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("key")).alias("key")))["key"].alias("centre"))
-    centres = written(centres.select("bucket", (-F.col("centre")).alias("centre")), "centres")
+    centres = scratch.written(centres.select("bucket", (-F.col("centre")).alias("centre")), "centres")
     pairs = buckets.join(centres, "bucket").filter("key <> centre")
-    links = written(verified(pairs.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), units), "links")
-    links = written(links.unionByName(between_components(buckets, components(links), first, units)), "links")
-    labels = components(links)
+    links = scratch.written(verified(pairs.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), units), "links")
+    labels = scratch.written(components(links, scratch), "labels")
+    links = scratch.written(links.unionByName(between_components(buckets, labels, first, units, scratch)), "links")
+    labels = scratch.written(components(links, scratch), "labels")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
+    ends = scratch.written(ends, "ends")
     found = member.join(labels.withColumnRenamed("key", "head"), "head", "left").join(ends.withColumnRenamed("a", "head"), "head", "left")
     return found.select("key", F.coalesce("label", "head").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -310,38 +316,38 @@ class Postings:
         return met[small >= SIMILARITY * large]
 
 
-def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame, units: DataFrame) -> DataFrame:
+def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: links between members of a bucket that are in different components.
 
-    A bucket of n members is dealt into ceil(n / BLOCK) blocks and compared block by block, so a group
-    holds 2 * BLOCK rows at most. In it members outside the largest component are compared with all others that Postings does not
-    exclude, those first whose signatures agree most; a link joins two components, which then need no other.
+    In each bucket the foreign members, those outside its largest component, are compared with all members, both in
+    blocks of BLOCK: a bucket of n members, f of them foreign, costs about n * ceil(f / BLOCK) + f * ceil(n / BLOCK) rows, n where all but a
+    few are in one component. A group compares only what Postings does not exclude,
+    those first whose signatures agree most; a link joins two components, which then need no other.
     """
     known = buckets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mixed_ones = known.join(split, "bucket", "left_semi").withColumn("own", F.pmod(F.xxhash64("key"), n_blocks).cast("int"))
-    dealt = mixed_ones.select("bucket", "key", "label", "own", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
-    dealt = dealt.select("key", "label", "own", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+    sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n_all"))
+    largest = scratch.written(largest.filter("n_all > top.c").select("bucket", F.col("top.label").alias("main"), (F.col("n_all") - F.col("top.c")).alias("f")), "largest")
+    several = scratch.written(known.join(largest, "bucket"), "mixed")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    row, column = (F.pmod(F.xxhash64("key", F.lit(i)), blocks(c)).cast("int") for i, c in enumerate(("n", "f")))
+    any_ = several.select("bucket", "key", "label", F.lit(False).alias("foreign"), row.alias("i"), F.explode(F.sequence(F.lit(0), blocks("f") - 1)).alias("j"))
+    foreign = several.filter("label <> main").select("bucket", "key", "label", F.lit(True).alias("foreign"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("i"), column.alias("j"))
+    dealt = any_.unionByName(foreign).select("key", "label", "foreign", F.xxhash64("bucket", "i", "j").alias("g"))
     dealt = dealt.join(first.select("key", "brief").join(units.hint("merge"), "key").hint("merge"), "key")
 
     def compared(rows: list[list]) -> list[tuple[int, int]]:
-        keys, labels_, own, briefs, raw = rows
+        keys, labels_, foreign, briefs, raw = rows
         code = np.unique(np.array(labels_), return_inverse=True)[1]
         if code.max() == 0:
             return []
         table = np.frombuffer(b"".join(briefs), np.uint16).reshape(len(keys), COORDINATES)
-        block = np.array(own)
-        foreign = np.flatnonzero(code != np.bincount(code).argmax())
-        two = block.min() != block.max()
-        sets = [np.frombuffer(x, np.uint32) for x in raw]
+        sets = [np.frombuffer(x, np.uint64) for x in raw]
         postings = Postings(sets)
         out = []
-        for i in foreign.tolist():
+        for i in np.flatnonzero(np.array(foreign)).tolist():
             near = postings.within_reach(i)
             near = near[code[near] != code[i]]
-            if two:
-                near = near[block[near] != block[i]]
             agree = (table[near] == table[i]).sum(axis=1)
             for j in near[np.argsort(-agree, kind="stable")].tolist():
                 if code[i] != code[j] and similarity(sets[i], sets[j]) >= SIMILARITY:
@@ -376,13 +382,14 @@ def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame,
         if held[0]:
             yield out(held)
 
-    met = dealt.select("g", "key", "label", "own", "brief", "units").repartition("g").sortWithinPartitions("g", "key")
+    met = dealt.select("g", "key", "label", "foreign", "brief", "units").repartition("g").sortWithinPartitions("g", "key")
     return met.mapInArrow(run, schema).distinct()
 
 
 def near_groups(rows: DataFrame) -> DataFrame:
     """key, doc_id, class_id, class_size, n_links, kept: one row a document of rows; the smallest key of a class is kept."""
-    classes = written(near_classes(rows.select("key", "text")), "classes")
+    with Scratch(rows.sparkSession) as scratch:
+        classes = written(near_classes(rows.select("key", "text"), scratch), "classes")
     sizes = written(classes.groupBy("class_key").agg(F.count("*").alias("class_size")), "sizes")
     ids = rows.select("key", "doc_id")
     heads = sizes.join(ids.select(F.col("key").alias("class_key"), F.col("doc_id").alias("class_id")), "class_key")

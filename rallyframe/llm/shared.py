@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new one."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local master gets a new one; on a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="rallyframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,11 +35,45 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: the lineage ends there."""
-    path = new_path(df.sparkSession, label)
+    return _written(df, new_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted when the block ends, or before by ``drop``.
+
+    For steps whose result is itself written before the block ends; nothing may read them later.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for _, path in self.tables:
+            self._delete(path)
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        self.tables.append((_written(df, path), path))
+        return self.tables[-1][0]
+
+    def drop(self, table: DataFrame) -> None:
+        for path in [p for t, p in self.tables if t is table]:
+            self._delete(path)
+        self.tables = [(t, p) for t, p in self.tables if t is not table]
+
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
