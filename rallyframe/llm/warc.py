@@ -35,6 +35,7 @@ from .shared import columns, new_path, to_arrow, whole_text
 
 MIN_REVISIT = 1000
 ROLL_BYTES = 64 << 20
+READERS = 20_000  # tasks that read, at most; each takes all files that fall to it
 DATE = "2000-01-01T00:00:00Z"  # a fixed value: no clock in deterministic files
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -186,7 +187,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("file")
-    return files.repartition("file").mapInArrow(run, RECORDS)
+    # with a number, for a few bytes of names would else be merged into one task that reads all
+    return files.repartition(min(READERS, max(1, files.count())), "file").mapInArrow(run, RECORDS)
 
 
 def warc_rows(pages: DataFrame) -> DataFrame:
