@@ -59,9 +59,10 @@ def write_planes(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         shard, first, row, rest, index = None, 0, 0, bytearray(), []
 
         def out(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal first, rest, index
-            while len(rest) >= 4 * block or (last and rest):
-                n = min(block, len(rest) // 4)
+            nonlocal first, index
+            done = 0
+            while len(rest) - done >= 4 * block or (last and done < len(rest)):
+                n = min(block, (len(rest) - done) // 4)
                 own, later, room = [], [], n
                 for doc_id, r, at, total in index:
                     take = min(total - at, room)
@@ -70,9 +71,10 @@ def write_planes(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
                         room -= take
                     if at + take < total:
                         later.append((doc_id, r, at + take, total))
-                values = [shard, first, n, *to_planes(np.frombuffer(bytes(rest[: 4 * n]), dtype="<u4")), own]
+                values = [shard, first, n, *to_planes(np.frombuffer(bytes(rest[done : done + 4 * n]), dtype="<u4")), own]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
-                rest, index, first = rest[4 * n :], later, first + n
+                index, first, done = later, first + n, done + 4 * n
+            del rest[:done]
 
         for batch in batches:
             if not batch.num_rows:
