@@ -8,14 +8,14 @@ language over all its grams; counts are corrected for each filter's false positi
 the language with the most decides. The score is its share of all corrected counts.
 
 Learning uses text and non-null lang of documents whose crc32(doc_id as text) mod 4 is not 2, at most about SAMPLE
-a language (chosen by a hash of doc_id, so the same on every run), for the LANGS most frequent languages. A prediction reads the text alone.
+a language (chosen by a hash of doc_id, so the same on every run), for every language there is. A prediction reads the text alone.
 
 Nulls: a null text, and one without letters, is ``und`` with score 0; a null lang is not learnt; a null doc_id is
 not held out. Without anything learnt all is ``und``. Ties go to the first language by name. Repeated
 rows repeat their results.
 
 Plan: the sample is a filter where texts are read, so texts don't move; its grams are counted per batch, then summed by (lang, gram); the tables that go to tasks have
-GRAMS rows a language. Prediction is one pass where texts are read, in pieces of CHUNK bytes.
+GRAMS numbers a language (a table of n languages: about 16 * GRAMS * n / 8 bytes). Prediction is one pass where texts are read, in pieces of CHUNK bytes.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from .shared import columns, map_batches, texts_of
 
 UNKNOWN = "und"
 SAMPLE = 3000
-LANGS = 1000
 GRAMS = 6000
 HASHES = 3
 ROWS_PER_GRAM = 16
@@ -60,7 +59,7 @@ def held_out():
 def gram_counts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """lang, gram, n: in how many of the sampled texts of a language a gram occurs."""
     rows = docs.filter("text is not null and lang is not null").filter(~held_out()).select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()  # a row a language
+    counts = rows.groupBy("lang").count().collect()  # a row a language
     shares = [x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))]
     share = F.try_element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(0.0)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -83,7 +82,7 @@ def gram_counts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 class Filters:
-    """Bit-sliced Bloom filters: table[word][row] has a bit for each of up to 64 languages."""
+    """Bit-sliced Bloom filters: table[word][row] has a bit for each of 64 languages, and there are as many words as languages need."""
 
     def __init__(self, learnt: dict[str, list[int]]):
         self.langs = sorted(learnt)
