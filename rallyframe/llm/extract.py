@@ -7,14 +7,17 @@ picks the labels with the greatest total among those without contradiction: what
 a node labelled as boilerplate is boilerplate, and article nodes may hold boilerplate
 but not the other way round.
 
-The trees are fitted to pages that say themselves where their article is (article and main
-elements and the like), to copies of them with boilerplate of other pages put in under various
-names, and to copies with the names hidden, so that the trees also learn from density, depth and siblings. The sample is bounded: SAMPLE pages, the first by a hash of
-their content, so it is the same on every run.
+The trees are fitted to a bounded sample: SAMPLE different pages of at most SAMPLE_CHARS characters that mark their article,
+the first by a hash of their content, so it is the same on every run. What is known of their nodes does not come from
+the names that are features: the article is what lies in the element that HTML has for it; what lies outside, or in
+elements that HTML has for other things, is not part of it. A node in the article with a name of
+boilerplate, or with a text that other pages of the sample repeat, is left out of the fit. Names are learnt from boxes put into copies of the pages, whose content is
+taken from other pages; a last copy hides all names, so that the trees also learn from density, depth and siblings.
 
 Nulls: a null html is empty and gives an empty text. Rows are independent; repeated
 rows repeat their results; extra columns are not read. Malformed, truncated and very long
-pages are read to their end; unclosed elements end where their parent ends.
+pages are read to their end in time that grows with their length; unclosed elements end where their parent ends, and a
+tag that is never closed is text.
 
 Plan: one pass where pages are read, no shuffle; the model in the closure has a fixed size.
 """
@@ -23,6 +26,8 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,12 @@ from pyspark.sql import functions as F
 from .boosted import BoostedTrees
 from .shared import columns, map_batches, texts_of, whole_text
 
-SAMPLE = 600
+SAMPLE, SAMPLE_CHARS = 600, 200_000
 EXTRACTED = columns(page_id="long", url="str", text="str", n_chars="long")
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = "script style noscript template textarea title svg iframe object select"
+HIDDEN = frozenset("script style noscript template textarea title svg iframe object select".split())
 BLOCKS = (
     "html body article main section div header footer nav aside form h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd table thead tbody tfoot tr td th "
     "blockquote pre figure figcaption address fieldset details summary dialog menu center hgroup search"
@@ -55,11 +60,9 @@ CONTENT = frozenset("article content main post entry story body text page-conten
 BOILER_TAGS = frozenset("nav aside footer header form dialog menu fieldset search".split())
 CONTENT_TAGS = frozenset("article main".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+CLOSING = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN}
 ATTRS = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -67,6 +70,87 @@ KINDS = ("body", "article", "main", "section", "div", "header", "footer", "nav",
 KIND_OF = {t: KINDS.index("heading" if t in HEADINGS else t if t in KINDS else "other") for t in {*BLOCKS, *KINDS}}
 #: Columns that say by name what a node is; hidden in the second copy of the sample.
 NAMED = 10 + len(KINDS)
+#: An attribute of boxes that a copy of a page was given; no page can have it.
+BOX = "\1"
+
+
+def tokens(source: str) -> Iterator[tuple[str | None, str | None, bool, str]]:
+    """(text, tag, is it an end tag, attributes): pieces of text, and tags without those of elements whose inside is hidden.
+
+    Each place is read a bounded number of times: a quote that is never closed is no quote, and makes tags
+    end at the next ``>`` up to the last quote of the page.
+    """
+    at, last, plain_until = 0, source.rfind(">"), -1
+    while at < len(source):
+        begin = source.find("<", at)
+        if begin < 0 or begin > last:
+            yield source[at:], None, False, ""
+            return
+        if begin > at:
+            yield source[at:begin], None, False, ""
+        name = NAME.match(source, begin)
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(source)
+        elif not name:
+            other = source[begin + 1 : begin + 2] in ("!", "?", "/")
+            at = source.find(">", begin) + 1 if other else begin + 1
+            if not other:
+                yield "<", None, False, ""
+        else:
+            found = REST.match(source, name.end()) if begin > plain_until else None
+            if not found and begin > plain_until:
+                plain_until = max(source.rfind('"'), source.rfind("'"))
+            at = found.end() if found else source.find(">", name.end()) + 1
+            tag = name[2].lower()
+            if tag in HIDDEN and not name[1]:
+                closing = CLOSING[tag].search(source, at)
+                at = closing.end() if closing else len(source)
+            else:
+                yield None, tag, bool(name[1]), source[name.end() : at - 1]
+
+
+class OpenElements:
+    """The open elements, each with the block node around its inside, and how many of each tag are open, in all and since the last scope."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int]] = [("", 0)]
+        self.count: Counter = Counter()
+        self.scopes: list[Counter] = [Counter()]
+
+    def push(self, tag: str, node: int) -> None:
+        self.items.append((tag, node))
+        self.count[tag] += 1
+        self.scopes[-1][tag] += 1
+        if tag in SCOPES:
+            self.scopes.append(Counter())
+
+    def pop(self) -> str:
+        tag = self.items.pop()[0]
+        if tag in SCOPES:
+            self.scopes.pop()
+        self.count[tag] -= 1
+        self.scopes[-1][tag] -= 1
+        return tag
+
+    def close(self, *tags: str) -> bool:
+        """Ends elements up to the last of tags; whether a block was among them."""
+        block = False
+        while True:
+            tag = self.pop()
+            block |= tag in KIND_OF
+            if tag in tags:
+                return block
+
+    def close_before(self, tag: str) -> None:
+        """Ends what an element of this tag ends: a paragraph, or one of its own kind, in the same scope."""
+        ends = ("p", *SAME_ENDS.get(tag, ())) if tag in ENDS_P else SAME_ENDS.get(tag, ())
+        if any(self.scopes[-1][t] > 0 for t in ends):
+            self.close(*ends)
+
+    @property
+    def node(self) -> int:
+        return self.items[-1][1]
 
 
 class Page:
@@ -74,51 +158,38 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.depth, self.boiler, self.content = ["body"], [-1], [0], [False], [False]
-        self.children, self.index = [0], [0]
+        self.children, self.index, self.box = [0], [0], [False]
         self.direct, self.linked, self.tags = [0], [0], [1]
         self.pieces: list[tuple[int, int, str]] = []
-        stack: list[tuple[str, int]] = [("", 0)]  # open elements with the block node around their inside
-        block = links = 0
-        for m in TOKEN.finditer(source):
-            text = m["text"]
-            if text is not None:
-                node = stack[-1][1]
+        stack, block = OpenElements(), 0
+        for text, tag, is_end, attrs in tokens(source):
+            if tag is None:
+                node, n = stack.node, len(text)
                 self.pieces.append((node, block, text))
-                n = len(text)
                 self.direct[node] += n
-                if links:
+                if stack.count["a"]:
                     self.linked[node] += n
                 continue
-            tag = m["tag"]
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if m["end"]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        if any(t in KIND_OF for t, _ in stack[i:]):
-                            block += 1
-                        del stack[i:]
-                        break
+            if is_end:
+                if stack.count[tag]:
+                    block += stack.close(tag)
                 continue
-            self.tags[stack[-1][1]] += 1
+            self.tags[stack.node] += 1
             if tag in VOID:
                 if tag == "br":
-                    self.pieces.append((stack[-1][1], block, " "))
+                    self.pieces.append((stack.node, block, " "))
                 elif tag == "hr":
                     block += 1
                 continue
             if tag in ENDS_P or tag in SAME_ENDS:
-                self._close_before(tag, stack)
-                links = sum(t == "a" for t, _ in stack)
-            tokens = self._tokens(m["attrs"])
-            boiler, content = bool(tokens & BOILER), bool(tokens & CONTENT)
+                stack.close_before(tag)
+            names = self._tokens(attrs)
+            boiler, content = bool(names & BOILER), bool(names & CONTENT)
             if tag in ("html", "body", "head"):
-                stack.append((tag, stack[-1][1]))
+                stack.push(tag, stack.node)
                 continue
             if tag in KIND_OF or boiler or content:
-                around = stack[-1][1]
+                around = stack.node
                 if tag in KIND_OF:
                     block += 1
                 self.tag.append(tag)
@@ -126,19 +197,17 @@ class Page:
                 self.depth.append(self.depth[around] + 1)
                 self.boiler.append(boiler)
                 self.content.append(content)
+                self.box.append(BOX in attrs)
                 self.index.append(self.children[around])
                 self.children[around] += 1
                 for x in (self.children, self.direct, self.linked):
                     x.append(0)
                 self.tags.append(1)
-                stack.append((tag, len(self.tag) - 1))
+                stack.push(tag, len(self.tag) - 1)
             else:
-                stack.append((tag, stack[-1][1]))
-            if tag == "a":
-                links += 1
-            if m["attrs"].endswith("/") and tag not in KIND_OF:
+                stack.push(tag, stack.node)
+            if attrs.endswith("/") and tag not in KIND_OF:
                 stack.pop()
-                links -= tag == "a"
 
     @staticmethod
     def _tokens(attrs: str) -> set[str]:
@@ -151,16 +220,6 @@ class Page:
             out.update(WORDS.findall(value))
         return out
 
-    @staticmethod
-    def _close_before(tag: str, stack: list[tuple[str, int]]) -> None:
-        ends = ("p", *SAME_ENDS.get(tag, ())) if tag in ENDS_P else SAME_ENDS.get(tag, ())
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in ends:
-                del stack[i:]
-                return
-            if stack[i][0] in SCOPES:
-                return
-
     def features(self) -> np.ndarray:
         n = len(self.tag)
         parent = np.array(self.parent)
@@ -196,16 +255,33 @@ class Page:
         )
         return np.concatenate([named, rest], axis=1)
 
-    def said(self) -> np.ndarray:
-        """Labels by the page's own marks: inside an article and under nothing that is boilerplate by name."""
-        out = np.zeros(len(self.tag), dtype=bool)
-        off = np.zeros(len(self.tag), dtype=bool)
-        for i in range(1, len(self.tag)):
+    def blocks(self) -> list[str]:
+        """The text right inside each node."""
+        own: list[list[str]] = [[] for _ in self.tag]
+        for node, _, piece in self.pieces:
+            own[node].append(piece)
+        return [" ".join("".join(x).split()) for x in own]
+
+    def known(self, repeated: frozenset[str] = frozenset()) -> np.ndarray:
+        """1 for nodes of the article, 0 for others, -1 where nothing is known.
+
+        The article is what lies in an article or main element (or, without one, in a node with a name of content);
+        boxes and elements for other things are not part of it; of nodes with a name of boilerplate or a text that other
+        pages repeat it is not known.
+        """
+        n = len(self.tag)
+        marked = [t in CONTENT_TAGS for t in self.tag]
+        if not any(marked):
+            marked = self.content
+        text = self.blocks() if repeated else None
+        out, off, doubtful = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        for i in range(1, n):
             p = self.parent[i]
-            own = self.tag[i] in CONTENT_TAGS or (self.content[i] and not self.boiler[i])
-            bad = self.boiler[i] or (self.tag[i] in BOILER_TAGS and not (self.tag[i] == "header" and out[p]))
-            off[i] = off[p] or bad
-            out[i] = not off[i] and (own or out[p])
+            inside = marked[i] or out[p] != 0
+            other = self.tag[i] in BOILER_TAGS and not (self.tag[i] == "header" and inside)
+            off[i] = off[p] or self.box[i] or other
+            doubtful[i] = doubtful[p] or (inside and (self.boiler[i] or (text is not None and text[i] in repeated)))
+            out[i] = 0 if off[i] else -1 if doubtful[i] else int(inside)
         return out
 
     def decoded(self, odds: np.ndarray) -> np.ndarray:
@@ -257,33 +333,39 @@ def disturbed(source: str, other: str, k: int) -> str:
     for i, (t, x) in enumerate(((inner[k % 6], pieces[0]), (outer[k % 6], pieces[1]))):
         name = "" if t in BOILER_TAGS and k % 2 else f' class="{names[(7 * k + i) % len(names)]}"'
         line = ("li", "h2", "p", "label")[0 if t == "ul" else 1 + k // 6 % 3]
-        boxes.append(f"<{t}{name}><{line}>{x}</{line}></{t}>")
+        boxes.append(f"<{t}{name} {BOX}><{line}>{x}</{line}></{t}>")
     ends = [m.end() for m in re.finditer(r"(?i)</p>", source) if m.start() > start] or [len(source)]
     at = ends[k % len(ends)]
     return source[:start] + boxes[1] + source[start + 1 : at] + boxes[0] + source[at:]
 
 
 def trained(sources: list[str]) -> BoostedTrees:
-    """Trees fitted to pages with an article or main element."""
+    """Trees fitted to pages that mark their article."""
+    read = [Page(x) for x in sources]
+    texts = Counter(t for page in read for t in {x for x in page.blocks() if x})
+    repeated = frozenset(t for t, n in texts.items() if n > 1)
     xs, ys = [], []
-    for k, source in enumerate(sources):
-        page, changed = Page(source), Page(disturbed(source, sources[k - 1], k))
-        x, y = page.features(), page.said()
-        hidden = x.copy()
-        hidden[:, :NAMED] = 0
-        xs += [x, changed.features(), hidden]
-        ys += [y, changed.said(), y]
+    for k, (source, page) in enumerate(zip(sources, read, strict=True)):
+        changed = Page(disturbed(source, sources[k - 1], k))
+        for own, hide in ((page, False), (changed, False), (page, True)):
+            x, y = own.features(), own.known(repeated)
+            if hide:
+                x[:, :NAMED] = 0
+            xs.append(x[y >= 0])
+            ys.append(y[y >= 0])
     if not sources:  # no page says where its article is: nothing is known to be boilerplate
-        xs, ys = [np.zeros((1, Page("").features().shape[1]))], [np.array([True])]
+        xs, ys = [np.zeros((1, Page("").features().shape[1]))], [np.array([1])]
     return BoostedTrees().fit(np.concatenate(xs), np.concatenate(ys).astype(np.float64))
 
 
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> BoostedTrees:
-    """Trees fitted to a bounded sample of the pages that mark their article."""
-    marked = pages.select(whole_text("html").alias("html")).filter(F.col("html").rlike(r"(?i)<(article|main)\b"))
-    share = min(1.0, 2 * sample / max(1, marked.count()))  # so that about twice the sample is looked at, however many pages there are
-    draw = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / float(1 << 30)
-    few = marked.filter(draw < share).orderBy(F.xxhash64("html"), F.length("html")).limit(sample)
+    """Trees fitted to a bounded sample of the different pages that mark their article by an element, a class, an id or a role."""
+    named = rf"(?i)<({'|'.join(sorted(CONTENT_TAGS))})\b|\b(class|id|role)\s*=\s*[^>]*\b({'|'.join(sorted(CONTENT))})\b"
+    marked = pages.select(F.col("html")).filter(F.length("html") <= SAMPLE_CHARS).filter(F.col("html").rlike(named)).withColumn("h", F.xxhash64("html"))
+    # so that about twice the sample is looked at, however many pages there are
+    share = min(1.0, 2 * sample / max(1, marked.agg(F.approx_count_distinct("h")).first()[0]))
+    drawn = marked.filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share)
+    few = drawn.groupBy("h").agg(F.first("html").alias("html")).orderBy("h").limit(sample)
     return trained([row["html"] for row in few.collect()])
 
 
