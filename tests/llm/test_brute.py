@@ -18,8 +18,11 @@ from rallyframe.llm import minhash, queries, suffixes
 from rallyframe.llm.bpe import PairIndexBPE
 from rallyframe.llm.extract import Page, trained
 from rallyframe.llm.oracles import corpus_sql
+from rallyframe.llm.shared import written
 from rallyframe.llm.tokens import PieceEncoder
 
+from .cases import odd_documents
+
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -41,7 +44,8 @@ def test_sql(spark, sf_dir, name):
     assert clean(got) == clean(want)
 
 
-def removed(rows):
+def without_repeats(rows):
+    """doc_id: (bytes, removed bytes, removed runs, kept bytes)."""
     seen, out = set(), {}
     for doc, text in sorted(rows):
         b = text.encode()
@@ -52,10 +56,14 @@ def removed(rows):
             seen.add(b[i : i + 100])
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(bool(gone[i]) and (i == 0 or not gone[i - 1]) for i in range(len(b)))
-        out[doc] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[doc] = (len(b), sum(gone), spans, kept)
     return out
 
 
+def removed(rows):
+    return {d: (*x[:3], hashlib.sha256(x[3]).hexdigest()) for d, x in without_repeats(rows).items()}
+
+
 @pytest.mark.parametrize(("hot", "single"), [(3, 10**9), (20_000, 10**9), (3, 9), (1, 1)])
 def test_suffixes(spark, texts, monkeypatch, hot, single):
     monkeypatch.setattr(suffixes, "HOT", hot)
@@ -82,16 +90,8 @@ def test_blind_trie_orders_and_measures():
         assert lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def test_near_classes(spark, texts):
-    random.seed(2)
-    base = [f"w{random.randrange(500)}" for _ in range(200)]
-    rows = [t for t in texts[:120]]
-    for i in range(60):  # a family of different near copies, and passages that many share
-        words = list(base)
-        for _ in range(random.randrange(1, 9)):
-            words[random.randrange(200)] = f"z{random.randrange(10_000)}"
-        rows.append((10_000 + i, " ".join(words)))
-        rows.append((20_000 + i, " ".join(base[:60] + [f"q{random.randrange(10**6)}" for _ in range(120)])))
+def near_labels(rows):
+    """doc_id: the smallest doc_id of its class, from all pairs."""
     grams = {d: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.split()) else Counter() for d, t in rows}
     label = {d: d for d, _ in rows}
 
@@ -107,8 +107,22 @@ def test_near_classes(spark, texts):
             if both and both >= 0.8 * sum((grams[a] | grams[b]).values()):
                 x, y = sorted((find(a), find(b)))
                 label[y] = x
+    return {d: find(d) for d in ids}
+
+
+def test_near_classes(spark, texts):
+    random.seed(2)
+    base = [f"w{random.randrange(500)}" for _ in range(200)]
+    rows = [t for t in texts[:120]]
+    for i in range(60):  # a family of different near copies, and passages that many share
+        words = list(base)
+        for _ in range(random.randrange(1, 9)):
+            words[random.randrange(200)] = f"z{random.randrange(10_000)}"
+        rows.append((10_000 + i, " ".join(words)))
+        rows.append((20_000 + i, " ".join(base[:60] + [f"q{random.randrange(10**6)}" for _ in range(120)])))
+    want = near_labels(rows)
     got = {r.doc_id: r.class_id for r in minhash.near_rows(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {d: find(d) for d in ids}
+    assert got == want
 
 
 def test_signatures_estimate_similarity():
@@ -176,16 +190,45 @@ def test_extraction_leaves_boilerplate_out(sf_dir):
     assert page.text(page.decoded(trees.log_odds(page.features()))) == "Title Para one is long and has many words in it so it counts & stays."
 
 
-def test_pipeline_against_its_parts(spark, sf_dir):
+def test_pipeline(spark, sf_dir):
+    """All five stages by brute force: rules by SQL, the others from the texts that the stage before leaves."""
     import corpus_pipeline
 
-    packed = corpus_pipeline.run(spark, sf_dir).collect()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    good = {r.doc_id for r in queries.op1_quality_rules(spark, sf_dir).filter("kept").collect()}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    good = {d for d, kept in con.sql(f"select doc_id, kept from ({corpus_sql()['op1_quality_rules']})").fetchall() if kept}
+    texts = {d: t for d, t in con.sql("select doc_id, coalesce(text, '') from documents").fetchall() if d in good}
     groups: dict[str, list] = {}
-    for d in good:
-        groups.setdefault("".join(c for c in texts[d] if c not in " \t\n\v\f\r"), []).append(d)
+    for d, t in texts.items():
+        groups.setdefault("".join(c for c in t if c not in " \t\n\v\f\r"), []).append(d)
     exact = {min(g, key=lambda d: (-len(texts[d]), d)) for g in groups.values()}
-    assert {r.doc_id for r in packed} <= exact
-    assert len({r.doc_id for r in packed}) >= 0.7 * len(exact)
+    labels = near_labels([(d, texts[d]) for d in exact])
+    near = [(d, texts[d]) for d in exact if labels[d] == d]
+    left = {d: x[3].decode("utf-8", "ignore") for d, x in without_repeats(near).items()}
+    assert len(good) > len(exact) > len(near) and any(left[d] != t for d, t in near)
+    library, want = Tokenizer.from_file(BYTES), set()
+    for d, t in left.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
+        at = 0
+        for piece, n in enumerate([len(ids) % 2048 or 2048] + [2048] * ((len(ids) - 1) // 2048)):
+            want.add((d, piece, at, n, zlib.crc32(ids[at : at + n].tobytes())))
+            at += n
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    filled: dict[int, list] = {}
+    for r in rows:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 2048 and all(o == sum(n for p, n in x if p < o) for o, _ in x) for x in filled.values())
+
+
+def test_stages_of_odd_rows(spark):
+    """Nulls, repeats, long texts, clashing names and no rows at all, through all stages in turn."""
+    import corpus_pipeline
+
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = written(stage(spark, docs, ""), name)
+            assert out.columns == docs.columns and out.count() <= docs.count()
+            docs = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert sorted({str(r.doc_id) for r in packed.collect()}) == sorted({str(r.doc_id) for r in docs.collect()})
