@@ -75,6 +75,19 @@ def simulate(draws: DataFrame, chance: Chance, rounds: int, sims: int, seed: int
     return out
 
 
+def played(draws: DataFrame, of_side: str, first_wins: Callable[[int, Column, Column], Column], rounds: int) -> DataFrame:
+    """draw_id, round, block, winner, loser of draws without byes, where first_wins says of a round's number and both sides, structs of player_id and the column of_side, who wins."""
+    now, out = draws.select("draw_id", F.col("slot").cast("long").alias("at"), F.struct("player_id", of_side).alias("side")), None
+    for r in range(1, rounds + 1):
+        halves = [F.max_by("side", "at").alias("b"), F.min_by("side", "at").alias("a")]
+        pairs = now.groupBy("draw_id", F.floor(F.col("at") / 2).alias("block")).agg(*halves).withColumn("first", first_wins(r, F.col("a"), F.col("b")))
+        done = pairs.select("draw_id", "block", F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("w"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("l"))
+        one = done.select("draw_id", F.lit(r).alias("round"), "block", F.col("w.player_id").alias("winner"), F.col("l.player_id").alias("loser"))
+        out = one if out is None else out.unionByName(one)
+        now = done.select("draw_id", F.col("block").alias("at"), F.col("w").alias("side"))
+    return out
+
+
 def frequencies(results: DataFrame, sims: int) -> DataFrame:
     """draw_id, player_id, round, share: how often each player won each round."""
     won = results.filter("winner is not null").groupBy("draw_id", F.col("winner").alias("player_id"), "round").agg(F.count("*").alias("n"))
