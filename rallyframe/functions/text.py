@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Accented letters and what they are without the accent.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćđęąłńśźżőűřěůťďňğış"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszccdealnszzoureutdngis"
-# Words that end a score early, strongest first.
-ENDINGS = (("walkover", r"W/?O"), ("default", r"DEF"), ("retired", r"RET"), ("unfinished", r"ABN|ABD|UNFINISHED"))
+# What a score holds where it ended early, strongest first, and tokens that are no sets.
+ENDINGS = (("walkover", "W/O|^ *W *O *$"), ("default", "DEF"), ("retired", "RET"), ("unfinished", "ABN|ABD|UNFINISHED"))
+NO_SET = ("RET", "DEF", "W/O", "ABN", "ABD", "(RET)", "-")
 SET = r"^(\d{1,2})-(\d{1,2})(?:\((\d+)\))?$"
+#: Games beyond which a side of a set is a slip of the pen.
+MOST_GAMES = 30
 # Codes of levels and surfaces, and the order of rounds.
 LEVELS = {"G": "slam", "M": "masters", "F": "finals", "500": "500", "250": "250", "A": "main", "D": "team", "O": "olympics", "C": "challenger"}
 ROUNDS = ("Q1", "Q2", "Q3", "R128", "R64", "R32", "R16", "QF", "SF", "BR", "F", "RR")
 
 
-def plain_name(name: Column) -> Column:
-    """Lower case without accents; hyphens and dots are spaces, apostrophes go, runs of spaces are one."""
-    x = F.translate(F.lower(name), ACCENTED, PLAIN)
-    x = F.regexp_replace(F.translate(x, "'’", ""), r"[-. ]+", " ")
-    return F.trim(x)
+@F.pandas_udf(T.StringType())
+def unaccented(names: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks; each different name of a batch is folded once."""
+    known = {x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)) for x in names.dropna().unique() if not x.isascii()}
+    return names.replace(known) if known else names
+
+
+def plain_name(name: Column, folded: bool = False) -> Column:
+    """Lower case without accents; hyphens and dots are spaces, apostrophes go, runs of white space are one; null counts as empty. folded: accents are gone already."""
+    x = F.lower(F.coalesce(name if folded else unaccented(name), F.lit("")))
+    return F.trim(F.regexp_replace(F.translate(x, "-.'", "  "), r"\s+", " "))
 
 
-def slug(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
+def slug(name: Column, folded: bool = False) -> Column:
+    return F.regexp_replace(F.regexp_replace(plain_name(name, folded), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def surname_key(name: Column) -> Column:
-    """``surname|initial`` of "First Last" and of "Last F." alike: single letters are initials."""
-    words = F.filter(F.split(plain_name(name), " "), lambda w: w != "")
+def surname_key(name: Column, folded: bool = False) -> Column:
+    """``surname|initial`` of "First Last" and of "Last F." alike: single letters are initials.
+
+    A single word is its own key; initials alone give the first of them; nothing gives an empty key.
+    """
+    words = F.filter(F.split(plain_name(name, folded), " "), lambda w: w != "")
     initials, long = F.filter(words, lambda w: F.length(w) == 1), F.filter(words, lambda w: F.length(w) > 1)
-    last = F.element_at(F.when(F.size(long) > 0, long).otherwise(words), -1)
-    first = F.when(F.size(initials) > 0, F.get(initials, 0)).otherwise(F.substring(F.get(words, 0), 1, 1))
-    return F.when(F.size(words) > 0, F.concat_ws("|", last, first))
+    last, first = F.element_at(long, -1), F.coalesce(F.get(initials, 0), F.substring(F.get(long, 0), 1, 1))
+    single = (F.size(long) == 1) & (F.size(initials) == 0)
+    return F.when(F.size(long) == 0, F.coalesce(F.get(words, 0), F.lit(""))).when(single, last).otherwise(F.concat_ws("|", last, first))
 
 
 def mapped(code: Column, values: dict[str, str], default: str | None = None) -> Column:
@@ -56,36 +69,44 @@ def ordinal(yyyymmdd: Column) -> Column:
     return F.datediff(F.make_date(F.floor(yyyymmdd / 10000).cast("int"), month.cast("int"), day.cast("int")), F.lit("0001-01-01").cast("date")) + 1
 
 
-def set_scores(score: Column) -> Column:
-    """array<struct<w, l, tb>> of the sets of a score; tb is the loser's points of a tiebreak."""
-    tokens = F.filter(F.split(F.coalesce(score, F.lit("")), " +"), lambda t: F.regexp_like(t, F.lit(SET)))
-    part = lambda t, i: F.regexp_extract(t, SET, i).try_cast("int")
-    return F.transform(tokens, lambda t: F.struct(part(t, 1).alias("w"), part(t, 2).alias("l"), part(t, 3).alias("tb")))
-
-
-def score_status(score: Column) -> Column:
+def score_status(score: Column, n_sets: Column) -> Column:
     """How a match ended; a score without sets and without such a word is unfinished."""
     upper, out = F.upper(F.coalesce(score, F.lit(""))), None
     for name, pattern in ENDINGS:
-        hit = F.regexp_like(upper, F.lit(rf"(^|[^A-Z])({pattern})([^A-Z]|$)"))
+        hit = F.regexp_like(upper, F.lit(pattern))
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.when(F.size(set_scores(score)) == 0, "unfinished").otherwise("completed")
+    return out.when(n_sets == 0, "unfinished").otherwise("completed")
 
 
-def parsed_score(score: Column) -> Column:
-    """struct<status, n_sets, games, margin, tiebreaks, usable>: usable scores are complete and of plausible sets."""
-    sets = set_scores(score)
-    total = F.aggregate(sets, F.lit(0), lambda a, s: a + s["w"] + s["l"])
-    margin = F.aggregate(sets, F.lit(0), lambda a, s: a + s["w"] - s["l"])
-    ties = F.size(F.filter(sets, lambda s: F.greatest(s["w"], s["l"]) + F.least(s["w"], s["l"]) == 13))
-    wild = F.exists(sets, lambda s: F.greatest(s["w"], s["l"]) > 30)
-    won = F.size(F.filter(sets, lambda s: s["w"] > s["l"]))
-    usable = (score_status(score) == "completed") & ~wild & (won >= 2)
-    return F.struct(score_status(score).alias("status"), F.size(sets).alias("n_sets"), total.alias("games"), margin.alias("margin"), ties.alias("tiebreaks"), usable.alias("usable"))
+def with_score(rows: DataFrame, score: str) -> DataFrame:
+    """rows with status, sets (array<struct<w, l, tb>>), n_sets, games, margin, tiebreaks, usable of a column of scores.
+
+    Brackets go; a token that is neither a set nor a word of an ending, and a set with more than MOST_GAMES, is left out and spoils the score.
+    A walkover has no sets. A score is usable if it is complete and unspoilt, the winner took two or three sets, more than the loser and the last one, of five at most.
+    Each step is a column of its own, so that a score is split and matched once.
+    """
+    text = F.coalesce(F.col(score), F.lit(""))
+    part = lambda t, i: F.regexp_extract(t, SET, i).try_cast("int")
+    tokens = F.filter(F.split(F.translate(text, "[]", ""), r"\s+"), lambda t: (t != "") & ~F.upper(t).isin(*NO_SET))
+    read = lambda t: F.when(F.regexp_like(t, F.lit(SET)), F.struct(part(t, 1).alias("w"), part(t, 2).alias("l"), part(t, 3).alias("tb")))
+    out = rows.withColumn("_read", F.transform(tokens, read)).withColumn("_good", F.filter("_read", lambda x: x.isNotNull() & (x["w"] <= MOST_GAMES) & (x["l"] <= MOST_GAMES)))
+    out = out.withColumn("status", score_status(F.col(score), F.size("_good"))).withColumn("sets", F.when(F.col("status") == "walkover", F.slice("_good", 1, 0)).otherwise(F.col("_good")))
+    total = lambda f: F.aggregate("sets", F.lit(0), lambda a, x: a + f(x))
+    won, lost = F.size(F.filter("sets", lambda x: x["w"] > x["l"])), F.size(F.filter("sets", lambda x: x["l"] > x["w"]))
+    last = F.get("sets", F.size("sets") - 1)
+    whole = (F.col("status") == "completed") & (F.size("_read") == F.size("_good")) & (F.size("sets") <= 5)
+    usable = whole & (won > lost) & won.isin(2, 3) & (lost <= 2) & (last["w"] > last["l"])
+    figures = {
+        "n_sets": F.size("sets"), "games": total(lambda x: x["w"] + x["l"]), "margin": total(lambda x: x["w"] - x["l"]), "tiebreaks": F.size(F.filter("sets", lambda x: x["tb"].isNotNull())),
+        "usable": F.coalesce(usable, F.lit(False)),
+    }
+    return out.withColumns(figures).drop("_read", "_good")
 
 
 def is_qualifying(round_name: Column) -> Column:
-    return F.startswith(round_name, F.lit("Q")) & (round_name != "QF")
+    """Rounds Q1, Q2 and so on; a quarter-final (QF) begins with the same letter and is not one."""
+    upper = F.upper(F.coalesce(round_name, F.lit("")))
+    return F.startswith(upper, F.lit("Q")) & (upper != "QF")
 
 
 def lower_first(id_column: Column) -> Column:

@@ -7,14 +7,16 @@ rows alone and carried forward.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.market import log_loss  # noqa: F401  (used by callers beside these)
+from .folds import streamed
 
 ROLLING = (10, 25, 50)
 SESSION_DAYS = 30
-LOAD_ROWS = 60
 
 
 def before(w: WindowSpec, n: int | None = None) -> WindowSpec:
@@ -41,27 +43,40 @@ def streak(df: DataFrame, key: list[str], value: str, order: list[str], out: str
     return marked.withColumn(out, F.row_number().over(Window.partitionBy(*key, "_island").orderBy(*order)).cast("long") - 1).drop("_island")
 
 
-def load_before(day: str, w: WindowSpec, days: int, amount: Column | None = None, rows: int = LOAD_ROWS) -> Column:
-    """Rows (or their amounts) of the last ``days`` days before this row, among its last ``rows`` rows.
+def load_before(key: list[str], day: str, order: list[str], days: int, amount: Column | None = None) -> Column:
+    """Rows (or their amounts) of a key in the last ``days`` days before this row, in the order (day, order).
 
-    A frame by rows keeps out later rows of the same day; the filter by day is done on that bounded frame.
+    A frame by days takes whole days; what the row's own day has from this row on is taken off again. Frames, so no row is copied.
     """
-    pairs = F.collect_list(F.struct(F.col(day).alias("d"), F.coalesce(amount, F.lit(0.0)).alias("a") if amount is not None else F.lit(1.0).alias("a"))).over(before(w, rows))
-    recent = F.filter(pairs, lambda x: F.datediff(F.col(day), x["d"]) <= days)
-    return F.aggregate(recent, F.lit(0.0), lambda a, x: a + x["a"])
+    x = F.lit(1) if amount is None else amount
+    by_day = Window.partitionBy(*key).orderBy(F.unix_date(F.col(day))).rangeBetween(-days, 0)
+    from_here = Window.partitionBy(*key, day).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    return F.coalesce(F.sum(x).over(by_day), F.lit(0)) - F.coalesce(F.sum(x).over(from_here), F.lit(0))
+
+
+class _Means:
+    """Bias-corrected exponential means of one key: two sums a half-life."""
 
+    def __init__(self, value: str, ids: list[str], half_lives: tuple[float, ...]):
+        self.value, self.ids, self.keep, self.sums = value, ids, [0.5 ** (1 / h) for h in half_lives], [(0.0, 0.0) for _ in half_lives]
 
-def ewma(values: Column, half_life: float) -> Column:
-    """Bias-corrected exponential mean of an array in order, nulls skipped; null if there is none."""
-    keep = 0.5 ** (1 / half_life)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    step = lambda a, x: F.struct((a["s"] * keep + x * (1 - keep)).alias("s"), (a["w"] * keep + (1 - keep)).alias("w"))
-    return F.aggregate(F.filter(values, lambda x: x.isNotNull()), start, step, lambda a: F.try_divide(a["s"], a["w"]))
+    def row(self, row: dict) -> Iterator[tuple]:
+        yield (*(row[c] for c in self.ids), *(s / w if w else None for s, w in self.sums))
+        x = row[self.value]
+        if x is not None and x == x:
+            self.sums = [(s * k + x * (1 - k), w * k + (1 - k)) for (s, w), k in zip(self.sums, self.keep, strict=True)]
 
+    def end(self) -> Iterator[tuple]:
+        return iter(())
 
-def ewma_before(x: Column, w: WindowSpec, half_life: float, rows: int = 200) -> Column:
-    """ewma of the last ``rows`` rows before the current one; weights beyond are under 2 ** -(rows / half_life)."""
-    return ewma(F.collect_list(x).over(before(w, rows)), half_life)
+
+def ewma_before(rows: DataFrame, key: list[str], order: str, value: str, half_lives: tuple[float, ...] = (5.0, 20.0)) -> DataFrame:
+    """key, order and ewma_h for each half-life: the bias-corrected mean of all earlier values of the key, missing ones skipped; null before the first.
+
+    A fold with constant state over rows in order: work grows with rows and no history is held.
+    """
+    schema = T.StructType([rows.schema[order], *[T.StructField(f"ewma_{h:g}", T.DoubleType()) for h in half_lives]])
+    return streamed(rows.select(*key, order, F.col(value).cast("double").alias(value)), key, [order], lambda _: _Means(value, [order], half_lives), schema)
 
 
 def head_to_head(results: DataFrame, by: list[str] = [], order: list[str] = ["match_id"]) -> DataFrame:  # noqa: B006

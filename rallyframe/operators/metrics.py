@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import log_loss, logit
+from .ordering import running_totals
 
 BINS = 10
 
@@ -28,11 +29,10 @@ def classification(y: Column, p: Column) -> list[Column]:
 def auc(df: DataFrame, y: str, p: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """by, auc: the Mann-Whitney statistic with tied scores counted half.
 
-    Rows are first counted by distinct score; running totals of negatives are made within by.
+    Rows are first counted by distinct score; totals of negatives run within by, over as many tasks as there are ranges.
     """
     counts = df.groupBy(*by, p).agg(F.sum(F.col(y)).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = running_totals(counts, [p], {"below": F.col("neg")}, by).withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return won.groupBy(*by).agg(F.round(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 

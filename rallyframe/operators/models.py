@@ -11,10 +11,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import running_total
+from ..session import written
+from .ordering import numbered, running_totals
 
 #: Seasons that a fold needs before it, the part of a training window that fits (the rest calibrates), calibration's bounds.
 LEAST_SEASONS = 2
@@ -65,14 +66,16 @@ def calibrated(model: PipelineModel, held: DataFrame, rows: DataFrame, label: st
 
 
 def walk_forward(rows: DataFrame, features: list[str], label: str, order: list[str], season: str = "season", kind: str = "logistic", calibrate: bool = True) -> DataFrame:
-    """Predictions of each season by a model of the seasons before it; the last part of those calibrates."""
-    out, rows = None, rows.persist()  # each fold reads it; a lost part is computed again
+    """Predictions of each season by a model of the seasons before it; the last part of each of those calibrates."""
+    sizes = rows.groupBy(F.col(season).alias("_s")).agg(F.count("*").alias("_n"))
+    placed = numbered(rows, *order, name="_i", by=[season]).join(sizes, F.col(season) == F.col("_s"))
+    last = F.col("_i") - 1 > FIT_SHARE * (F.col("_n") - 1)
+    rows = written(placed.select(*rows.columns, last.alias("_held")), "folds")  # each fold reads it
+    out = None
     for s in folds(rows, season):
-        before, now = rows.filter(F.col(season) < s), rows.filter(F.col(season) == s)
+        before, now = rows.filter(F.col(season) < s), rows.filter(F.col(season) == s).drop("_held")
         if calibrate:
-            cut = before.select(F.percent_rank().over(Window.partitionBy(season).orderBy(*order)).alias("_k"), "*")
-            fit_rows, held = cut.filter(F.col("_k") <= FIT_SHARE).drop("_k"), cut.filter(F.col("_k") > FIT_SHARE).drop("_k")
-            one = calibrated(fitted(fit_rows, features, label, kind), held, now, label)
+            one = calibrated(fitted(before.filter("not _held"), features, label, kind), before.filter("_held"), now, label)
         else:
             one = scored(fitted(before, features, label, kind), now)
         out = one if out is None else out.unionByName(one)
@@ -87,23 +90,21 @@ def symmetrised(forward: Column, reverse: Column, kind: str = "chance") -> Colum
 def residual_chance(rows: DataFrame, by: str, pred: str, actual: str, line: str, cells: int = 6, least: int = 500) -> DataFrame:
     """rows with p_over: the share of a cell's residuals above line - pred; small cells use their group's, small groups all.
 
-    A cell is a group and a quantile range of predictions. Residuals and queries go into one ordering a cell and are
-    counted by a running sum, so no row meets another.
+    A cell is a group and a quantile range of predictions. Residuals are counted by cell and value once; only the counts go to the
+    pools that are asked for. Counts and queries then run in one order, in ranges, so no row meets another and no pool is one task.
     """
     edges = rows.groupBy(by).agg(F.percentile(pred, F.array(*[F.lit(i / cells) for i in range(1, cells)])).alias("edges"))
     known = rows.join(edges, by).withColumn("cell", F.size(F.filter("edges", lambda e: e < F.col(pred)))).drop("edges")
-    wide = known.withColumn("n_cell", F.count("*").over(Window.partitionBy(by, "cell"))).withColumn("n_group", F.count("*").over(Window.partitionBy(by)))
+    counts = written(known.groupBy(by, "cell", (F.col(actual) - F.col(pred)).alias("v")).agg(F.count("*").alias("c")), "residuals")
+    sizes = counts.groupBy(by, "cell").agg(F.sum("c").alias("n_cell"))
+    sizes = sizes.join(sizes.groupBy(by).agg(F.sum("n_cell").alias("n_group")), by)  # a row a cell
     level = F.when(F.col("n_cell") >= least, F.concat_ws("/", F.col(by).cast("string"), F.col("cell").cast("string"))).when(F.col("n_group") >= least, F.col(by).cast("string")).otherwise("*")
-    asked = wide.withColumn("pool", level)
+    asked = sizes.withColumn("pool", level)
     pools = F.array(F.concat_ws("/", F.col(by).cast("string"), F.col("cell").cast("string")), F.col(by).cast("string"), F.lit("*"))
-    wanted = asked.select("pool").distinct()
-    residuals = wide.select(F.explode(pools).alias("pool"), (F.col(actual) - F.col(pred)).alias("v")).join(wanted, "pool", "left_semi")
-    sizes = residuals.groupBy("pool").agg(F.count("*").alias("size"))
-    counts = residuals.groupBy("pool", "v").agg(F.count("*").alias("c"))  # equal residuals are one row
-    queries = asked.select("pool", (F.col(line) - F.col(pred)).alias("v"), F.struct(*rows.columns).alias("_row"), F.lit(0).cast("long").alias("c"))
-    both = counts.select("pool", "v", F.lit(None).cast(queries.schema["_row"].dataType).alias("_row"), "c").unionByName(queries)
-    w = Window.partitionBy("pool").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("below", F.sum("c").over(w)).filter("_row is not null").join(sizes, "pool")
+    residuals = counts.select(F.explode(pools).alias("pool"), "v", "c").join(asked.select("pool").distinct(), "pool", "left_semi").groupBy("pool", "v").agg(F.sum("c").alias("c"))
+    queries = known.join(asked.select(by, "cell", "pool"), [by, "cell"]).select("pool", (F.col(line) - F.col(pred)).alias("v"), F.struct(*rows.columns).alias("_row"), F.lit(0).cast("long").alias("c"))
+    both = residuals.select("pool", "v", F.lit(None).cast(queries.schema["_row"].dataType).alias("_row"), "c").unionByName(queries).withColumn("_asks", F.col("_row").isNotNull())
+    placed = running_totals(both, ["v", "_asks"], {"below": F.col("c")}, ["pool"]).filter("_asks").join(residuals.groupBy("pool").agg(F.sum("c").alias("size")), "pool")
     p = 1 - F.col("below") / F.col("size")
     return placed.select("_row.*", F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p)).alias("p_over"))
 
@@ -112,7 +113,7 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """n, w, z of the signed-rank test on paired values, with average ranks and a normal approximation."""
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).filter("d <> 0").withColumn("m", F.abs("d"))
     counts = d.groupBy("m").agg(F.count("*").alias("c"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("up"))
-    ranked = running_total(counts, "m", "c").select("c", "up", (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
+    ranked = running_totals(counts, ["m"], {"before": F.col("c")}).select("c", "up", (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
     sums = ranked.agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"))
     n = F.col("n")
     return sums.select("n", F.round("w", 4).alias("w"), F.round((F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24), 6).alias("z"))

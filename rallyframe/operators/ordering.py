@@ -1,38 +1,34 @@
-"""Numbers that follow a global order without a task that holds all rows."""
+"""Numbers and totals that follow an order, without a task that holds all rows or all rows of a group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 
-def ranged(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """rows range-sorted by order, with ``_part`` (the range) and ``_place`` (a row's place in it); kept, as its parts are read twice."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return placed.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()).persist()
 
+def running_totals(rows: DataFrame, order: list[Column | str], values: dict[str, Column], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows with the totals of values over all earlier rows (of the same by), 0 for the first. Ties of order go in any order.
 
-def running_total(rows: DataFrame, order: str, value: str) -> DataFrame:
-    """rows with ``before``: the total of value over all rows of smaller order. order must be unique.
-
-    Totals run within ranges; the totals of ranges (a row a range) are shifted in from the driver.
+    Rows are range-sorted by (by, order) and written once, for both reads below need the same ranges. Totals run within
+    a range; totals of ranges (a row a range and by) are summed apart and joined, so a group of any size spreads over many tasks.
     """
-    placed = ranged(rows, order)
-    base, shifts = 0, []
-    for r in placed.groupBy("_part").agg(F.sum(value).alias("t")).orderBy("_part").collect():
-        shifts += [F.lit(r["_part"]), F.lit(base)]
-        base += r["t"] or 0
-    shift = F.create_map(*shifts)[F.col("_part")] if shifts else F.lit(0)
-    within = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("before", within + shift).drop("_part", "_place")
-
-
-def numbered(rows: DataFrame, *order: Column | str, name: str = "seq") -> DataFrame:
-    """rows with a number from 1 on in the order given."""
-    placed = ranged(rows, *order)
-    base, shifts = 0, []
-    for r in placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_place").alias("lo")).orderBy("_part").collect():
-        shifts += [F.lit(r["_part"]), F.lit(base - r["lo"])]
-        base += r["n"]
-    shift = F.create_map(*shifts)[F.col("_part")] if shifts else F.lit(0)
-    return placed.withColumn(name, F.col("_place") + shift + 1).drop("_part", "_place")
+    keys = [F.col(c).asc_nulls_first() for c in by]
+    summed = rows.withColumns({f"_v_{n}": v for n, v in values.items()})
+    placed = summed.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = written(placed.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    parts = placed.groupBy("_part", *by).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by], *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in values])
+    inside = Window.partitionBy("_part", *by).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    here = placed.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_h_{n}") for n in values])
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return here.join(bases, same).select(*rows.columns, *[(F.col(f"_h_{n}") + F.col(f"_b_{n}")).alias(n) for n in values])
+
+
+def numbered(rows: DataFrame, *order: Column | str, name: str = "seq", by: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows with a number from 1 on in the order given (within by)."""
+    return running_totals(rows, list(order), {name: F.lit(1).cast("long")}, by).withColumn(name, F.col(name) + 1)

@@ -1,17 +1,22 @@
-"""Sequential ratings: a fold over each pool's results in order, pools in parallel.
+"""Sequential ratings: a fold over each pool's results in order, pools in parallel, resumable from its state.
 
-A rating depends on all earlier results of a pool, so a pool is one group and its fold is sequential; pools (tours, circuits,
-or pool x parameter set in a sweep) are independent and spread over the cluster. A group's
-state is two numbers a player and scope. Rows reach the fold sorted and are emitted before they are folded in.
+A rating depends on all earlier results of a pool, so a pool's fold is sequential; pools (tours, circuits,
+or pool x parameter set in a sweep) are independent and spread over the cluster. Rows of a pool stream through a task in
+sorted order, are emitted before they are folded in, and are not held: memory is the players' state. The state leaves as rows too, and
+rows of an earlier state come before a pool's results, so a fold of new results alone goes on where the last one ended.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .folds import streamed
 
 
 @dataclass(frozen=True)
@@ -37,6 +42,16 @@ def k_factor(n: Column, rule: EloRule = EloRule()) -> Column:  # noqa: B008
     return rule.k_scale / F.pow(n + rule.k_offset, F.lit(rule.k_power))
 
 
+MATCH = "match_id bigint, w_elo double, l_elo double, w_surface_elo double, l_surface_elo double"
+STATE = "player_id bigint, scope string, rating double, played bigint, last_day int"
+RESULT = ("match_id", "day", "surface", "winner_id", "loser_id", "margin", "walkover")
+
+
+def _fields(ddl: str) -> list[T.StructField]:
+    kinds = {"bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "int": T.IntegerType()}
+    return [T.StructField(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))]
+
+
 class _Pool:
     def __init__(self, rule: EloRule):
         self.rule, self.rating, self.played, self.last = rule, {}, {}, {}
@@ -61,8 +76,6 @@ class _Pool:
     def fold(self, winner, loser, surface, day, margin: float) -> None:
         rule, factor = self.rule, 1.0
         if rule.margin_weight:
-            import math
-
             factor = min(1.8, max(0.5, math.log1p(max(0.0, margin)) / math.log1p(5)))
         for scope in (None, surface):  # a new surface rating starts from the overall one just updated
             seeds = [self.value(p, None, day, rule.base) for p in (winner, loser)]
@@ -75,80 +88,99 @@ class _Pool:
         if day is not None:
             self.last[winner] = self.last[loser] = day
 
+    def row(self, row: dict) -> Iterator[tuple]:
+        if row["_known"]:
+            key = (row["player_id"], row["scope"])
+            self.rating[key], self.played[key] = row["rating"], row["played"]
+            if row["last_day"] is not None:
+                self.last[row["player_id"]] = row["last_day"]
+            return
+        m, day, surface, w, x, margin, walkover = (row[c] for c in RESULT)
+        (wo, ws), (lo, ls) = self.seen(w, surface, day), self.seen(x, surface, day)
+        yield (m, wo, lo, ws, ls, *[None] * 5)
+        if not walkover:
+            self.fold(w, x, surface, day, margin)
 
-ELO_SCHEMA = "match_id bigint, w_elo double, l_elo double, w_surface_elo double, l_surface_elo double"
+    def end(self) -> Iterator[tuple]:
+        for (player, scope), rating in self.rating.items():
+            yield (*[None] * 5, player, scope, rating, self.played[player, scope], self.last.get(player))
 
 
-def elo(results: DataFrame, pool: list[str], rule: EloRule = EloRule()) -> DataFrame:  # noqa: B008
-    """pool, match_id and the ratings of both players before each match.
+def elo_fold(results: DataFrame, pool: list[str], rules: EloRule | dict[str, EloRule] = EloRule(), state: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """pool, and either the columns MATCH of each result or, after them, the columns STATE of each player and scope.
 
     results: pool, match_id (the order), day (a number of days, or null), surface, winner_id, loser_id, margin, walkover.
-    Walkovers are emitted but not folded in.
+    Walkovers are emitted but not folded in. Several rules are named by the pool's last column. state: pool and STATE of earlier results.
     """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in results.select(*pool).schema)
+    start = (lambda key: _Pool(rules[key[-1]])) if isinstance(rules, dict) else (lambda key: _Pool(rules))
+    rows = results.select(*pool, *RESULT).withColumn("_known", F.lit(False))
+    known = _fields(STATE)
+    if state is None:
+        rows = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in known])
+    else:
+        rows = rows.unionByName(state.select(*pool, *[f.name for f in known]).withColumn("_known", F.lit(True)), allowMissingColumns=True)
+    return streamed(rows, pool, [F.desc("_known"), "match_id"], start, T.StructType(_fields(f"{MATCH}, {STATE}")))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = _Pool(rule), []
-        rows = rows.sort_values("match_id")
-        for m, day, s, w, x, margin, walkover in zip(*(rows[c].tolist() for c in ("match_id", "day", "surface", "winner_id", "loser_id", "margin", "walkover")), strict=True):
-            day = None if day is None or day != day else day
-            (wo, ws), (lo, ls) = state.seen(w, s, day), state.seen(x, s, day)
-            out.append((*key, m, wo, lo, ws, ls))
-            if not walkover:
-                state.fold(w, x, s, day, margin)
-        return pd.DataFrame(out, columns=[*pool, "match_id", "w_elo", "l_elo", "w_surface_elo", "l_surface_elo"])
 
-    rows = results.select(*pool, "match_id", "day", "surface", "winner_id", "loser_id", "margin", "walkover")
-    return rows.groupBy(*pool).applyInPandas(run, f"{kinds}, {ELO_SCHEMA}")
+def elo(results: DataFrame, pool: list[str], rule: EloRule = EloRule(), state: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """pool, match_id and the ratings of both players before each match."""
+    return elo_fold(results, pool, rule, state).filter("match_id is not null").select(*pool, *[f.name for f in _fields(MATCH)])
 
 
-def elo_sweep(results: DataFrame, pool: list[str], rules: dict[str, EloRule]) -> DataFrame:
-    """elo under several rules: pools times rules run in parallel, with the rule's name in ``rule``."""
-    out = None
-    for name, rule in rules.items():
-        one = elo(results, pool, rule).withColumn("rule", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def elo_state(results: DataFrame, pool: list[str], rule: EloRule = EloRule(), state: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """pool and STATE after the last result: a row a player for all results (null scope) and for each surface."""
+    return elo_fold(results, pool, rule, state).filter("match_id is null").select(*pool, *[f.name for f in _fields(STATE)])
 
 
-SERVE_SCHEMA = "match_id bigint, w_serve double, w_return double, l_serve double, l_return double"
+def elo_sweep(results: DataFrame, pool: list[str], rules: dict[str, EloRule]) -> DataFrame:
+    """elo under several rules, named in ``rule``: pools times rules run in parallel over one reading of the results."""
+    several = results.withColumn("rule", F.explode(F.array(*map(F.lit, rules))))
+    return elo_fold(several, [*pool, "rule"], rules).filter("match_id is not null").select(*pool, "rule", *[f.name for f in _fields(MATCH)])
+
+
+SERVE = "match_id bigint, w_serve double, w_return double, l_serve double, l_return double"
+SERVED = ("match_id", "surface", "winner_id", "loser_id", "w_points", "w_won", "l_points", "l_won")
+
+
+class _ServePool:
+    def __init__(self, average: float, rate: float, prior: float, surface_share: float):
+        self.average, self.rate, self.prior, self.surface_share = average, rate, prior, surface_share
+        self.overall: dict = {}  # player: [serve, return, points served, points returned]
+        self.on_surface: dict = {}  # (player, surface): [serve, return, points of both kinds]
+
+    def seen(self, player, surface) -> tuple[float, float]:
+        """Serve and return, each shrunk by its own points, blended with the surface's by all points played there."""
+        serve, back, n_serve, n_back = self.overall.get(player, (0.0, 0.0, 0.0, 0.0))
+        own_serve, own_back, n = self.on_surface.get((player, surface), (0.0, 0.0, 0.0))
+        shrink = lambda x, points: x * points / (points + self.prior)
+        w = self.surface_share * n / (n + self.prior)
+        return (1 - w) * shrink(serve, n_serve) + w * shrink(own_serve, n), (1 - w) * shrink(back, n_back) + w * shrink(own_back, n)
+
+    def row(self, row: dict) -> Iterator[tuple]:
+        m, surface, w, x, *counts = (row[c] for c in SERVED)
+        (ws, wr), (ls, lr) = self.seen(w, surface), self.seen(x, surface)
+        yield m, ws, wr, ls, lr
+        if any(v is None or not math.isfinite(v) for v in counts) or counts[0] <= 0 or counts[2] <= 0:
+            return
+        for server, returner, n, won, chance in ((w, x, counts[0], counts[1], self.average + ws - lr), (x, w, counts[2], counts[3], self.average + ls - wr)):
+            move = self.rate * (won / n - chance) * min(n / 100.0, 1.5)
+            for player, i, step in ((server, 0, move), (returner, 1, -move)):
+                overall, own = self.overall.setdefault(player, [0.0] * 4), self.on_surface.setdefault((player, surface), [0.0] * 3)
+                overall[i] += step
+                overall[2 + i] += n
+                own[i] += step
+                own[2] += n
+
+    def end(self) -> Iterator[tuple]:
+        return iter(())
 
 
 def serve_return(results: DataFrame, pool: list[str], average: float, rate: float = 0.04, prior: float = 400.0, surface_share: float = 0.35) -> DataFrame:
     """Serve and return ratings before each match, as deviations from the average share of points won on serve.
 
-    results: pool, match_id, surface, winner_id, loser_id, w_points, w_won, l_points, l_won. Rows without counts are emitted only.
+    results: pool, match_id, surface, winner_id, loser_id, w_points, w_won, l_points, l_won. Rows without finite, positive counts are emitted only.
     """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in results.select(*pool).schema)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        deviation: dict[tuple, float] = {}
-        points: dict[tuple, float] = {}
-
-        def shrunk(k: tuple) -> float:
-            n = points.get(k, 0.0)
-            return deviation.get(k, 0.0) * n / (n + prior)
-
-        def seen(player, side: str, surface) -> float:
-            n = points.get((player, side, surface), 0.0)
-            w = surface_share * n / (n + prior)
-            return (1 - w) * shrunk((player, side, None)) + w * shrunk((player, side, surface))
-
-        out = []
-        for m, s, w, x, wp, ww, lp, lw in rows.sort_values("match_id")[["match_id", "surface", "winner_id", "loser_id", "w_points", "w_won", "l_points", "l_won"]].itertuples(index=False):
-            ws, wr, ls, lr = seen(w, "serve", s), seen(w, "return", s), seen(x, "serve", s), seen(x, "return", s)
-            out.append((*key, m, ws, wr, ls, lr))
-            if any(v is None or v != v for v in (wp, ww, lp, lw)) or wp <= 0 or lp <= 0:
-                continue
-            for server, returner, n, won, chance in ((w, x, wp, ww, average + ws - lr), (x, w, lp, lw, average + ls - wr)):
-                move = rate * (won / n - chance) * min(n / 100.0, 1.5)
-                for k, step in (((server, "serve"), move), ((returner, "return"), -move)):
-                    for scope in (None, s):
-                        deviation[(*k, scope)] = deviation.get((*k, scope), 0.0) + step
-                        points[(*k, scope)] = points.get((*k, scope), 0.0) + n
-        return pd.DataFrame(out, columns=[*pool, "match_id", "w_serve", "w_return", "l_serve", "l_return"])
-
-    return results.groupBy(*pool).applyInPandas(run, f"{kinds}, {SERVE_SCHEMA}")
+    return streamed(results.select(*pool, *SERVED), pool, ["match_id"], lambda key: _ServePool(average, rate, prior, surface_share), T.StructType(_fields(SERVE)))
 
 
 def current(rated: DataFrame, results: DataFrame, pool: list[str]) -> DataFrame:

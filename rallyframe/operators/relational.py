@@ -18,11 +18,17 @@ def pair_key(a: str, b: str) -> list[Column]:
 def banded_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, days: int, left_id: str, right_id: str, low: int | None = None) -> DataFrame:
     """keys, left_id, right_id, gap: one-to-one matches on keys with days apart in [low, days], nearest first.
 
-    Two passes: the best right row of each left row, then the best left row of each right row; ties go to smaller ids.
+    Rows meet by keys and a stretch of days as wide as the band: each right row goes to the stretches that its own day reaches, two or
+    three, so only rows near in time meet. Two passes: the best right row of each left row, then the best left row of each right row; ties go to smaller ids.
     """
+    lowest = -days if low is None else low
+    width = max(1, days - lowest)
+    stretch = lambda c, shift=0: F.floor((F.unix_date(F.to_date(c)) + shift) / width)
     gap = F.datediff(F.col(right_day), F.col(left_day))
-    joined = left.select(*keys, left_id, left_day).join(right.select(*keys, right_id, right_day), keys)
-    near = joined.withColumn("gap", gap).filter(F.col("gap").between(-days if low is None else low, days))
+    reached = F.explode(F.sequence(stretch(right_day, -days), stretch(right_day, -lowest)))
+    near_right = right.filter(F.col(right_day).isNotNull()).select(*keys, right_id, right_day, reached.alias("_s"))
+    joined = left.select(*keys, left_id, left_day, stretch(left_day).alias("_s")).join(near_right, [*keys, "_s"]).drop("_s")
+    near = joined.withColumn("gap", gap).filter(F.col("gap").between(lowest, days))
     order = F.struct(F.abs("gap").alias("g"), left_id, right_id)
     first = near.groupBy(left_id).agg(F.min_by(F.struct(*keys, right_id, "gap"), order).alias("m")).select(left_id, "m.*")
     second = first.groupBy(right_id).agg(F.min_by(F.struct(*keys, left_id, "gap"), order).alias("m")).select("m.*", right_id)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import form
+from ..operators.ordering import numbered, running_totals
 from .registry import query
 from .views import by_player, contest, forecast, player_match, table
 
@@ -64,20 +65,17 @@ def form_career(spark, d):
 
 @query(
     "form_rest_and_load",
-    """WITH r AS (SELECT match_id, player_id, CAST(ts AS DATE) AS day, margin, row_number() OVER (PARTITION BY player_id ORDER BY match_id) AS i FROM player_match)
-SELECT a.match_id, a.player_id, CAST(max(CASE WHEN b.i = a.i - 1 THEN date_diff('day', b.day, a.day) END) AS BIGINT) AS rest_days,
-  CAST(count(*) FILTER (WHERE date_diff('day', b.day, a.day) <= 7) AS BIGINT) AS matches_7d, CAST(count(*) FILTER (WHERE date_diff('day', b.day, a.day) <= 14) AS BIGINT) AS matches_14d,
-  round(coalesce(sum(b.margin) FILTER (WHERE date_diff('day', b.day, a.day) <= 14), 0), 4) AS margin_14d
-FROM r a LEFT JOIN r b ON a.player_id = b.player_id AND b.i BETWEEN a.i - 60 AND a.i - 1 GROUP BY a.match_id, a.player_id""",
+    """WITH r AS (SELECT match_id, player_id, CAST(ts AS DATE) AS day, margin FROM player_match),
+j AS (SELECT a.match_id, a.player_id, date_diff('day', b.day, a.day) AS gap, b.margin FROM r a LEFT JOIN r b ON a.player_id = b.player_id AND (b.day < a.day OR b.day = a.day AND b.match_id < a.match_id))
+SELECT match_id, player_id, min(gap) AS rest_days, count(*) FILTER (WHERE gap <= 14) AS matches_14d, count(*) FILTER (WHERE gap <= 30) AS matches_30d, round(coalesce(sum(margin) FILTER (WHERE gap <= 14), 0), 4) + 0 AS margin_14d FROM j GROUP BY match_id, player_id""",
     PM,
 )
 def form_rest_and_load(spark, d):
     rows = player_match(contest(spark, d)).withColumn("day", F.to_date("ts"))
-    w = by_player()
+    load = lambda days, amount=None: form.load_before(["player_id"], "day", ["match_id"], days, amount)
     return rows.select(
-        "match_id", "player_id", F.datediff("day", F.lag("day").over(w)).cast("long").alias("rest_days"),
-        form.load_before("day", w, 7).cast("long").alias("matches_7d"), form.load_before("day", w, 14).cast("long").alias("matches_14d"),
-        F.round(form.load_before("day", w, 14, F.col("margin")), 4).alias("margin_14d"),
+        "match_id", "player_id", F.datediff("day", F.lag("day").over(by_player("day", "match_id"))).cast("long").alias("rest_days"),
+        load(14).cast("long").alias("matches_14d"), load(30).cast("long").alias("matches_30d"), (F.round(load(14, F.col("margin")), 4) + 0.0).alias("margin_14d"),
     )
 
 
@@ -90,9 +88,8 @@ SELECT r.match_id, r.player_id, round(s5 / w5, 4) AS ewma_5, round(s20 / w20, 4)
 
 @query("form_ewma", EW, PM)
 def form_ewma(spark, d):
-    w = by_player()
-    rows = player_match(contest(spark, d))
-    return rows.select("match_id", "player_id", F.round(form.ewma_before(F.col("margin"), w, 5.0), 4).alias("ewma_5"), F.round(form.ewma_before(F.col("margin"), w, 20.0, 1000), 4).alias("ewma_20"))
+    out = form.ewma_before(player_match(contest(spark, d)), ["player_id"], "match_id", "margin")
+    return out.select("match_id", "player_id", *[F.round(c, 4).alias(c) for c in ("ewma_5", "ewma_20")])
 
 
 @query(
@@ -163,13 +160,14 @@ def form_last_with_statistics(spark, d):
 
 @query(
     "form_expanding_mean",
-    """SELECT match_id, surface, CASE WHEN count(*) OVER w >= 50 THEN round(avg(total) OVER w, 8) END AS reference_line FROM contest
+    """SELECT match_id, surface, CASE WHEN count(*) OVER w >= 50 THEN round(avg(total) OVER w, 6) END AS reference_line FROM contest
 WINDOW w AS (PARTITION BY surface, retired ORDER BY match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "contest",
 )
 def form_expanding_mean(spark, d):
-    w = form.before(Window.partitionBy("surface", "retired").orderBy("match_id"))
-    return contest(spark, d).select("match_id", "surface", F.when(F.count("*").over(w) >= 50, F.round(F.avg("total").over(w), 8)).alias("reference_line"))
+    rows = contest(spark, d).select("match_id", "surface", "retired", "total")
+    sums = running_totals(rows, ["match_id"], {"n": F.lit(1), "t": F.col("total")}, ["surface", "retired"])
+    return sums.select("match_id", "surface", F.when(F.col("n") >= 50, F.round(F.col("t") / F.col("n"), 6)).alias("reference_line"))
 
 
 @query(
@@ -208,10 +206,11 @@ def form_keep_preferred(spark, d):
     "forecast",
 )
 def form_chronological_cut(spark, d):
-    w = Window.partitionBy("season")
-    train = F.row_number().over(w.orderBy("play_ts", "match_id")) <= F.floor(0.85 * F.count("*").over(w))
-    rows = forecast(spark, d).select("season", "match_id", F.when(train, "train").otherwise("calibrate").alias("part"))
-    return rows.groupBy("season", "part").agg(F.count("*").alias("n"), F.min("match_id").alias("first_match"))
+    rows = forecast(spark, d).select("season", "match_id", "play_ts")
+    sizes = rows.groupBy("season").agg(F.count("*").alias("size"))
+    train = F.col("place") <= F.floor(0.85 * F.col("size"))
+    cut = numbered(rows, "play_ts", "match_id", name="place", by=["season"]).join(sizes, "season").select("season", "match_id", F.when(train, "train").otherwise("calibrate").alias("part"))
+    return cut.groupBy("season", "part").agg(F.count("*").alias("n"), F.min("match_id").alias("first_match"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import relational as rel
+from .brackets import DRAWS, chance, draws
 from .registry import query
 from .views import contest, forecast, player_match, price, table
 
@@ -64,7 +65,7 @@ def join_unordered_pair(spark, d):
     return rows.join(pairs, ["pair_lo", "pair_hi"]).select("match_id", "n", "lo_wins")
 
 
-BAND = """WITH o AS (SELECT o_custkey % 500 AS k, o_orderkey AS left_id, CAST(o_orderdate AS DATE) AS a FROM orders), l AS (SELECT l_orderkey * 10 + l_linenumber AS right_id, l_suppkey % 500 AS k, CAST(l_shipdate AS DATE) AS b FROM lineitem WHERE l_linenumber = 1),
+BAND = """WITH o AS (SELECT o_custkey % 500 AS k, o_orderkey AS left_id, CAST(o_orderdate AS DATE) AS a FROM orders), l AS (SELECT l_orderkey * 10 + l_linenumber AS right_id, l_suppkey % 500 AS k, CAST(l_shipdate AS DATE) AS b FROM lineitem),
 j AS (SELECT o.k, left_id, right_id, date_diff('day', a, b) AS gap FROM o JOIN l USING (k) WHERE date_diff('day', a, b) BETWEEN -7 AND 7),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY abs(gap), right_id) AS p FROM j) WHERE p = 1),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY abs(gap), left_id) AS q FROM f) WHERE q = 1) SELECT k, left_id, right_id, gap FROM s"""
@@ -73,8 +74,7 @@ s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY
 @query("join_banded_nearest", BAND)
 def join_banded_nearest(spark, d):
     left = table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("k"), F.col("o_orderkey").alias("left_id"), F.to_date("o_orderdate").alias("a"))
-    right = table(spark, d, "lineitem").filter("l_linenumber = 1")
-    right = right.select((F.col("l_suppkey") % 500).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("right_id"), F.to_date("l_shipdate").alias("b")).distinct()
+    right = table(spark, d, "lineitem").select((F.col("l_suppkey") % 500).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("right_id"), F.to_date("l_shipdate").alias("b")).distinct()  # lines repeat their numbers
     return rel.banded_nearest(left, right, ["k"], "a", "b", 7, "left_id", "right_id")
 
 
@@ -146,15 +146,14 @@ def join_lookup_fallback(spark, d):
 
 @query(
     "join_all_pairs",
-    """WITH t AS (SELECT player_id, avg(won) AS r FROM player_match GROUP BY player_id ORDER BY count(*) DESC, player_id LIMIT 16)
-SELECT a.player_id AS i, b.player_id AS j, round(1 / (1 + pow(10, (b.r - a.r))), 6) AS p FROM t a JOIN t b ON a.player_id < b.player_id""",
-    "contest player_match",
+    f"""WITH {DRAWS} SELECT a.draw_id, a.player_id AS i, b.player_id AS j, round(1 / (1 + exp((b.strength - a.strength) / 3000)), 6) AS p FROM draws a JOIN draws b ON a.draw_id = b.draw_id AND a.slot < b.slot""",
 )
 def join_all_pairs(spark, d):
-    """Win chances of all pairs of a field of sixteen: the field is the bound."""
-    field = player_match(contest(spark, d)).groupBy("player_id").agg(F.avg("won").alias("r"), F.count("*").alias("n")).orderBy(F.desc("n"), "player_id").limit(16)
-    a, b = field.select(F.col("player_id").alias("i"), F.col("r").alias("ri")), field.select(F.col("player_id").alias("j"), F.col("r").alias("rj"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(1 / (1 + F.pow(F.lit(10.0), F.col("rj") - F.col("ri"))), 6).alias("p"))
+    """Win chances of all pairs inside every draw; a draw's field has sixteen places, so pairs grow with the draws alone."""
+    field = draws(spark, d)
+    a = field.select("draw_id", F.col("slot").alias("_a"), F.col("player_id").alias("i"), F.col("strength").alias("ri"))
+    b = field.select("draw_id", F.col("slot").alias("_b"), F.col("player_id").alias("j"), F.col("strength").alias("rj"))
+    return a.join(b, "draw_id").filter("_a < _b").select("draw_id", "i", "j", F.round(chance(F.col("ri"), F.col("rj")), 6).alias("p"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market as mk
 from ..operators import metrics, models
+from ..operators.ordering import numbered
 from .registry import query
 from .views import forecast, priced, table
 
@@ -58,17 +59,14 @@ def model_feature_redundancy(spark, d):
 @query("model_permutation")
 def model_permutation(spark, d):
     """Loss of log likelihood when an input is replaced by that of another row of its season (a hash decides which)."""
-    from pyspark.sql import Window
-
     rows, features = models.with_indicators(inputs(spark, d), ["p_win", "market", "over"])
     model = models.fitted(rows, features, "label")
-    own, other = Window.partitionBy("season").orderBy("match_id"), Window.partitionBy("season").orderBy(F.xxhash64("match_id"), "match_id")
+    keyed = numbered(rows, "match_id", name="_i", by=["season"])
+    moved = numbered(rows.select("season", "match_id", "p_win", "market", "over"), F.xxhash64("match_id"), "match_id", name="_i", by=["season"])
     out = None
     base = models.scored(model, rows).agg(mk.log_loss(F.col("label"), F.col("p")).alias("loss"))
     for f in ("p_win", "market", "over"):
-        keyed = rows.withColumn("_i", F.row_number().over(own))
-        moved = rows.select("season", F.col(f).alias("_v"), F.row_number().over(other).alias("_i"))
-        mixed = keyed.join(moved, ["season", "_i"]).withColumn(f, F.col("_v")).drop("_v", "_i")
+        mixed = keyed.join(moved.select("season", "_i", F.col(f).alias("_v")), ["season", "_i"]).withColumn(f, F.col("_v")).drop("_v", "_i")
         one = models.scored(model, mixed).agg(mk.log_loss(F.col("label"), F.col("p")).alias("loss")).select(F.lit(f).alias("feature"), "loss")
         out = one if out is None else out.unionByName(one)
     return out.unionByName(base.select(F.lit("none").alias("feature"), "loss"))

@@ -306,14 +306,13 @@ SELECT surface, count(*) AS bets, round(avg(unit) * 100, 4) AS roi_pct, round(av
 )
 def market_synthetic_line(spark, d):
     """Bets against the mean of all earlier results of the segment, at a fixed price."""
-    from pyspark.sql import Window
-
+    from ..operators.ordering import running_totals
     from .views import table
 
     y = F.col("o_totalprice") / 1000
-    w = Window.partitionBy("surface").orderBy("play_ts", "match_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = forecast(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), "o_totalprice"), "match_id")
-    rows = rows.select("season", "surface", y.alias("y"), (y * 0.9 + 10).alias("pred"), F.avg(y).over(w).alias("line"), F.count("*").over(w).alias("n")).filter("n >= 50")
+    rows = running_totals(rows.select("play_ts", "match_id", "surface", y.alias("y")), ["play_ts", "match_id"], {"n": F.lit(1), "t": F.col("y")}, ["surface"]).filter("n >= 50")
+    rows = rows.withColumn("pred", F.col("y") * 0.9 + 10).withColumn("line", F.col("t") / F.col("n"))
     rows = rows.filter(F.abs(F.col("pred") - F.col("line")) > 5)
     won = F.when(F.col("pred") > F.col("line"), F.col("y") > F.col("line")).otherwise(F.col("y") < F.col("line"))
     return rows.groupBy("surface").agg(

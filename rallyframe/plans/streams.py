@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..session import shared_path
 from ..sources import drawsheets, pages
 from ..streaming import flows
 from .registry import query
 from .views import table
 
 
-def folder(spark, name: str) -> str:
-    """A new folder below the shared one that the cluster names, or below a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rallyframe-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "stream_windows",
     "SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 )
 def stream_windows(spark, d):
-    rows = flows.run_now(flows.windowed(flows.event_stream(spark, d)), folder(spark, "windows"))
+    rows = flows.run_now(flows.windowed(flows.event_stream(spark, d)), shared_path(spark, "windows"))
     return flows.settled(rows, ["start", "event_type"]).select(F.substring(F.col("start").cast("string"), 1, 10).alias("day"), "event_type", "n", "total")
 
 
@@ -33,7 +25,7 @@ def stream_windows(spark, d):
     "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id",
 )
 def stream_latest(spark, d):
-    return flows.settled(flows.run_now(flows.latest(flows.event_stream(spark, d), "user_id"), folder(spark, "latest")), ["user_id"])
+    return flows.settled(flows.run_now(flows.latest(flows.event_stream(spark, d), "user_id"), shared_path(spark, "latest")), ["user_id"])
 
 
 @query(
@@ -43,13 +35,14 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 SELECT user_id, count(DISTINCT e) AS sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, e, count(*) AS n FROM s GROUP BY ALL) GROUP BY user_id""",
 )
 def stream_sessions(spark, d):
-    rows = flows.run_now(flows.editions(flows.event_stream(spark, d), "12 hours"), folder(spark, "sessions"), "append" if False else "complete")
+    rows = flows.run_now(flows.editions(flows.event_stream(spark, d), "12 hours"), shared_path(spark, "sessions"), "complete")
+    rows = flows.newest(rows)  # complete mode writes all sessions in each batch, as late rows may have moved them
     return rows.groupBy("user_id").agg(F.countDistinct("start").alias("sessions"), F.max("n").alias("longest"))
 
 
 @query("stream_first_rows", "SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY ALL")
 def stream_first_rows(spark, d):
-    rows = flows.run_now(flows.without_repeats(flows.event_stream(spark, d), ["user_id", "event_type"]), folder(spark, "first"), "append")
+    rows = flows.run_now(flows.without_repeats(flows.event_stream(spark, d), ["user_id", "event_type"]), shared_path(spark, "first"), "append")
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -61,7 +54,7 @@ SELECT user_id, max(i) AS n, round(arg_max(s / w, i), 6) AS form FROM e GROUP BY
 
 @query("stream_running_form", FORM)
 def stream_running_form(spark, d):
-    rows = flows.settled(flows.run_now(flows.running_form(flows.event_stream(spark, d)), folder(spark, "form")), ["user_id"])
+    rows = flows.settled(flows.run_now(flows.running_form(flows.event_stream(spark, d)), shared_path(spark, "form")), ["user_id"])
     return rows.select("user_id", "n", F.round("form", 6).alias("form"))
 
 

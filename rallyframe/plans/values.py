@@ -12,22 +12,33 @@ from .registry import query
 from .views import contest, forecast, table
 
 
+#: Names of parts with capitals, accents, dots and single words among them.
+NAME = """CASE p_partkey % 5 WHEN 0 THEN replace(replace(upper(p_name), 'A', 'Á'), 'O', 'Ǒ') WHEN 1 THEN replace(p_name, 'e', 'é-') WHEN 2 THEN split_part(p_name, ' ', 1) WHEN 3 THEN concat(p_name, ' J. K') ELSE concat('Ž. ', p_name, '.  x ') END"""
+NAMED = f"""n AS (SELECT p_partkey, trim(regexp_replace(translate(lower(strip_accents({NAME})), '-.' || chr(39), '  '), '\\s+', ' ', 'g')) AS plain FROM part)"""
+
+
+def named(spark, d):
+    """Names with accents put in and taken out again: one pass through Arrow over the names."""
+    return table(spark, d, "part").select("p_partkey", tx.unaccented(F.expr(NAME)).alias("name"))
+
+
 @query(
     "text_names",
-    r"""SELECT p_partkey, trim(regexp_replace(translate(lower(p_name), '''', ''), '[-. ]+', ' ', 'g')) AS plain, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part""",
+    rf"""WITH {NAMED} SELECT p_partkey, plain, regexp_replace(regexp_replace(plain, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM n""",
 )
 def text_names(spark, d):
-    return table(spark, d, "part").select("p_partkey", tx.plain_name(F.col("p_name")).alias("plain"), tx.slug(F.col("p_name")).alias("slug"))
+    """Names with accents and marks put in, folded."""
+    return named(spark, d).select("p_partkey", tx.plain_name(F.col("name"), folded=True).alias("plain"), tx.slug(F.col("name"), folded=True).alias("slug"))
 
 
 @query(
     "text_surname_key",
-    r"""WITH w AS (SELECT p_partkey, list_filter(string_split(trim(regexp_replace(lower(p_name), '[-. ]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM part),
+    rf"""WITH {NAMED}, w AS (SELECT p_partkey, list_filter(string_split(plain, ' '), lambda x: x <> '') AS w FROM n),
 k AS (SELECT *, list_filter(w, lambda x: length(x) = 1) AS i, list_filter(w, lambda x: length(x) > 1) AS l FROM w)
-SELECT p_partkey, CASE WHEN len(w) > 0 THEN (CASE WHEN len(l) > 0 THEN l[-1] ELSE w[-1] END) || '|' || (CASE WHEN len(i) > 0 THEN i[1] ELSE left(w[1], 1) END) END AS key FROM k""",
+SELECT p_partkey, CASE WHEN len(l) = 0 THEN coalesce(w[1], '') WHEN len(l) = 1 AND len(i) = 0 THEN l[1] ELSE l[-1] || '|' || coalesce(i[1], left(l[1], 1)) END AS key FROM k""",
 )
 def text_surname_key(spark, d):
-    return table(spark, d, "part").select("p_partkey", tx.surname_key(F.col("p_name")).alias("key"))
+    return named(spark, d).select("p_partkey", tx.surname_key(F.col("name"), folded=True).alias("key"))
 
 
 @query(
@@ -54,24 +65,27 @@ def text_dates(spark, d):
     return rows.select("o_orderkey", tx.day_of(F.col("n")).cast("string").alias("day"), F.floor(F.col("n") / 10000).cast("long").alias("season"), tx.ordinal(F.col("n")).cast("long").alias("ordinal"))
 
 
-SCORE = """concat(l_linenumber % 8, '-', l_suppkey % 8, ' ', l_partkey % 8, '-', CAST(l_quantity AS BIGINT) % 8, CASE WHEN l_orderkey % 5 = 0 THEN concat(' 7-6(', l_suppkey % 10, ')') ELSE '' END,
-  CASE WHEN l_orderkey % 11 = 0 THEN ' RET' WHEN l_orderkey % 13 = 0 THEN ' W/O' WHEN l_orderkey % 17 = 0 THEN ' DEF' WHEN l_orderkey % 19 = 0 THEN ' 44-2' ELSE '' END)"""
+SCORE = """concat(l_linenumber % 8, '-', l_suppkey % 8, ' ', l_partkey % 8, '-', CAST(l_quantity AS BIGINT) % 8, CASE WHEN l_orderkey % 5 = 0 THEN concat(' 7-6(', l_suppkey % 10, ')') WHEN l_orderkey % 7 = 0 THEN ' [10-8]' ELSE '' END,
+  CASE WHEN l_orderkey % 11 = 0 THEN ' RET' WHEN l_orderkey % 13 = 0 THEN ' W/O' WHEN l_orderkey % 17 = 0 THEN ' DEF' WHEN l_orderkey % 19 = 0 THEN ' 44-2' WHEN l_orderkey % 23 = 0 THEN ' xx' WHEN l_orderkey % 29 = 0 THEN ' 6-3 4-6 6-1 7-5' ELSE '' END)"""
 
 
 @query(
     "text_scores",
-    rf"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {SCORE} AS score FROM lineitem),
-t AS (SELECT *, list_transform(list_filter(string_split(score, ' '), lambda x: regexp_full_match(x, '\d{{1,2}}-\d{{1,2}}(\(\d+\))?')), lambda x: [regexp_extract(x, '^(\d+)-(\d+)', 1)::INT, regexp_extract(x, '^(\d+)-(\d+)', 2)::INT]) AS z FROM s),
-u AS (SELECT *, CASE WHEN contains(score, 'W/O') THEN 'walkover' WHEN contains(score, 'DEF') THEN 'default' WHEN contains(score, 'RET') THEN 'retired' WHEN len(z) = 0 THEN 'unfinished' ELSE 'completed' END AS status FROM t)
-SELECT score, status, len(z) AS n_sets, count(*) AS n, CAST(max(list_sum(list_transform(z, lambda x: x[1] + x[2]))) AS BIGINT) AS games, CAST(max(list_sum(list_transform(z, lambda x: x[1] - x[2]))) AS BIGINT) AS margin,
-  max(len(list_filter(z, lambda x: x[1] + x[2] = 13))) AS tiebreaks,
-  bool_or(status = 'completed' AND len(list_filter(z, lambda x: greatest(x[1], x[2]) > 30)) = 0 AND len(list_filter(z, lambda x: x[1] > x[2])) >= 2) AS usable FROM u GROUP BY ALL""",
+    rf"""WITH s AS (SELECT {SCORE} AS score, count(*) AS n FROM lineitem GROUP BY ALL),
+k AS (SELECT *, list_filter(regexp_split_to_array(translate(score, '[]', ''), '\s+'), lambda x: x NOT IN ('', 'RET', 'DEF', 'W/O', 'ABN', 'ABD', '(RET)', '-')) AS t FROM s),
+f AS (SELECT *, list_filter(t, lambda x: regexp_full_match(x, '\d{{1,2}}-\d{{1,2}}(\(\d+\))?') AND TRY_CAST(regexp_extract(x, '^(\d+)-', 1) AS INT) <= 30 AND TRY_CAST(regexp_extract(x, '-(\d+)', 1) AS INT) <= 30) AS g FROM k),
+z AS (SELECT *, CASE WHEN contains(score, 'W/O') THEN 'walkover' WHEN contains(score, 'DEF') THEN 'default' WHEN contains(score, 'RET') THEN 'retired' WHEN len(g) = 0 THEN 'unfinished' ELSE 'completed' END AS status FROM f),
+y AS (SELECT *, CASE WHEN status = 'walkover' THEN [] ELSE list_transform(g, lambda x: [regexp_extract(x, '^(\d+)-', 1)::INT, regexp_extract(x, '-(\d+)', 1)::INT]) END AS p FROM z),
+v AS (SELECT *, len(list_filter(p, lambda x: x[1] > x[2])) AS won, len(list_filter(p, lambda x: x[2] > x[1])) AS lost FROM y)
+SELECT score, status, len(p) AS n_sets, n, CAST(coalesce(list_sum(list_transform(p, lambda x: x[1] + x[2])), 0) AS BIGINT) AS games, CAST(coalesce(list_sum(list_transform(p, lambda x: x[1] - x[2])), 0) AS BIGINT) AS margin,
+  CASE WHEN status = 'walkover' THEN 0 ELSE len(list_filter(g, lambda x: contains(x, '('))) END AS tiebreaks,
+  status = 'completed' AND len(t) = len(g) AND len(p) <= 5 AND won > lost AND won IN (2, 3) AND lost <= 2 AND p[-1][1] > p[-1][2] AS usable FROM v""",
 )
 def text_scores(spark, d):
     """Scores made from numbers at hand, parsed into sets, games, margin, status; equal scores are parsed once."""
     scores = table(spark, d, "lineitem").select(F.expr(SCORE).alias("score")).groupBy("score").agg(F.count("*").alias("n"))
-    p = scores.select("score", "n", tx.parsed_score(F.col("score")).alias("p"))
-    return p.select("score", "p.status", F.col("p.n_sets").cast("long").alias("n_sets"), "n", F.col("p.games").cast("long").alias("games"), F.col("p.margin").cast("long").alias("margin"), F.col("p.tiebreaks").cast("long").alias("tiebreaks"), "p.usable")
+    long = [F.col(c).cast("long").alias(c) for c in ("n_sets", "games", "margin", "tiebreaks")]
+    return tx.with_score(scores, "score").select("score", "status", "n", *long, "usable")
 
 
 @query(
@@ -165,6 +179,16 @@ def rating_elo(spark, d):
     return ratings.elo(pooled(spark, d), ["pool"]).select("pool", "match_id", F.round("w_elo", 6).alias("w_elo"), F.round("l_elo", 6).alias("l_elo"))
 
 
+@query("rating_elo_resumed", ELO_SQL + " AND m.match_id > (SELECT median(match_id) FROM contest)", "contest")
+def rating_elo_resumed(spark, d):
+    """Ratings of the later half of all results, folded from the state that the earlier half left."""
+    rows = pooled(spark, d)
+    half = rows.agg(F.median("match_id")).first()[0]
+    state = ratings.elo_state(rows.filter(F.col("match_id") <= half), ["pool"])
+    later = ratings.elo(rows.filter(F.col("match_id") > half), ["pool"], state=state)
+    return later.select("pool", "match_id", F.round("w_elo", 6).alias("w_elo"), F.round("l_elo", 6).alias("l_elo"))
+
+
 @query("rating_elo_surface")
 def rating_elo_surface(spark, d):
     return ratings.elo(pooled(spark, d), ["pool"])
@@ -182,7 +206,7 @@ def rating_elo_sweep(spark, d):
 @query("rating_serve_return")
 def rating_serve_return(spark, d):
     rows = contest(spark, d).select(
-        F.col("surface").alias("pool"), "match_id", F.lit("any").alias("surface"), "winner_id", "loser_id", F.floor("total").cast("double").alias("w_points"), F.floor(F.col("total") * 0.65).cast("double").alias("w_won"),
+        F.col("surface").alias("pool"), "match_id", F.when(F.col("match_id") % 3 == 0, "slow").otherwise("fast").alias("surface"), "winner_id", "loser_id", F.floor("total").cast("double").alias("w_points"), F.floor(F.col("total") * 0.65).cast("double").alias("w_won"),
         F.when(~F.col("retired"), F.floor("total").cast("double")).alias("l_points"), F.floor(F.col("total") * 0.6).cast("double").alias("l_won"),
     )
     return ratings.serve_return(rows, ["pool"], 0.62)

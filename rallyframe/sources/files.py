@@ -30,16 +30,12 @@ def cleaned(rows: DataFrame) -> DataFrame:
     typed = rows.select(*[F.trim(c).alias(c) if c in TEXT else tx.number(F.col(c)).alias(c) for c in RESULTS.names], "source_file", "is_challenger_file")
     ok = (F.col("winner_id") != "") & (F.col("loser_id") != "") & (F.col("winner_id") != F.col("loser_id")) & F.col("tourney_date").between(19000101, 21001231)
     level = F.when(F.col("is_challenger_file") == 1, "challenger").otherwise(tx.mapped(F.col("tourney_level"), tx.LEVELS, "other"))
-    score = tx.parsed_score(F.col("score"))
     return (
-        typed.filter(ok)
+        tx.with_score(typed.filter(ok), "score")
         .withColumn("season", F.floor(F.col("tourney_date") / 10000).cast("int"))
         .withColumn("level", level)
         .withColumn("indoor", F.when(F.col("indoor") == "I", 1).when(F.col("indoor") == "O", 0))
         .withColumn("round_index", F.array_position(F.array(*map(F.lit, tx.ROUNDS)), F.col("round")))
-        .withColumn("_score", score)
-        .select("*", "_score.*")
-        .drop("_score")
         .withColumn("has_stats", F.col("w_svpt").isNotNull() & F.col("l_svpt").isNotNull() & (F.col("w_SvGms") > 0))
     )
 

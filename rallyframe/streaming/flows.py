@@ -42,6 +42,12 @@ def settled(rows: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """The rows of the last batch, for streams that write their whole result in each."""
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.filter(F.col("batch") == last).drop("batch")
+
+
 def windowed(stream: DataFrame, size: str = "1 day") -> DataFrame:
     """Counts and sums by tumbling window and kind; rows later than LATE are left out."""
     return (

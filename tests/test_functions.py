@@ -16,21 +16,27 @@ def one(spark, **columns):
 
 
 @pytest.mark.parametrize(
-    ("score", "status", "games", "margin", "ties", "usable"),
+    ("score", "status", "n_sets", "games", "margin", "ties", "usable"),
     [
-        ("6-4 6-3", "completed", 19, 5, 0, True), ("7-6(5) 6-7(4) 7-6(8)", "completed", 39, 1, 3, True), ("4-6 7-5 6-2 3-6 6-4", "completed", 49, 3, 0, True),
-        ("6-0 3-1 RET", "retired", 10, 8, 0, False), ("W/O", "walkover", 0, 0, 0, False), ("6-2 6-7(5) DEF", "default", 21, 3, 1, False), ("", "unfinished", 0, 0, 0, False),
-        (None, "unfinished", 0, 0, 0, False), ("60-0 xx", "completed", 60, 60, 0, False), ("6-4 6-4 6-4", "completed", 30, 6, 0, True),
+        ("6-1 7-5", "completed", 2, 19, 7, 0, True), ("6-7(9) 7-6(3) 7-6(11)", "completed", 3, 39, 1, 3, True), ("2-6 6-4 3-6 6-2 7-5", "completed", 5, 47, 1, 0, True),
+        ("6-2 4-1 RET", "retired", 2, 13, 7, 0, False), ("6-2 W/O", "walkover", 0, 0, 0, 0, False), (" w o ", "walkover", 0, 0, 0, 0, False), ("7-6(2) 1-0 def", "default", 2, 14, 2, 1, False), ("", "unfinished", 0, 0, 0, 0, False),
+        (None, "unfinished", 0, 0, 0, 0, False), ("31-29 6-4", "completed", 1, 10, 2, 0, False), ("6-3 6-2 zz", "completed", 2, 17, 7, 0, False), ("6-3 6-2 4-6", "completed", 3, 27, 5, 0, False),
+        ("6-1 6-2 5-7 4-6 6-3 7-5", "completed", 6, 58, 10, 0, False), ("3-6 6-1 [10-7]", "completed", 3, 33, 5, 0, True), ("7-6 6-7 7-6", "completed", 3, 39, 1, 0, True), ("6-4 UNFINISHED", "unfinished", 1, 10, 2, 0, False),
+        ("45-0", "unfinished", 0, 0, 0, 0, False), ("6-4", "completed", 1, 10, 2, 0, False),
     ],
 )
-def test_scores(spark, score, status, games, margin, ties, usable):
-    got = one(spark, p=tx.parsed_score(F.lit(score).cast("string")))["p"]
-    assert (got["status"], got["games"], got["margin"], got["tiebreaks"], got["usable"]) == (status, games, margin, ties, usable)
+def test_scores(spark, score, status, n_sets, games, margin, ties, usable):
+    """Expected values follow the rules as with_score states them."""
+    got = tx.with_score(spark.createDataFrame([(score,)], "score string"), "score").first()
+    assert (got["status"], got["n_sets"], got["games"], got["margin"], got["tiebreaks"], got["usable"]) == (status, n_sets, games, margin, ties, usable)
 
 
 def test_names(spark):
-    got = one(spark, a=tx.surname_key(F.lit("Sinner J.")), b=tx.surname_key(F.lit("Jannik Sinner")), c=tx.surname_key(F.lit("Van De Zandschulp B.")), d=tx.plain_name(F.lit("  Jo-Wilfried  O'Hara-Ñandú. ")), e=tx.slug(F.lit("-A  b/C-")))
-    assert got == {"a": "sinner|j", "b": "sinner|j", "c": "zandschulp|b", "d": "jo wilfried ohara nandu", "e": "a-b-c"}
+    keys = {"Mira Tolvaj": "tolvaj|m", "Tolvaj M.": "tolvaj|m", "De La Vega-Ruiz P. Q.": "ruiz|p", "Orlan": "orlan", "J K": "j", "": "", " . ": "", None: "", "Ǎdám Šor": "sor|a", "Łoś": "łos"}
+    rows = spark.createDataFrame([(k,) for k in keys], "n string").select("n", tx.surname_key(F.col("n")).alias("k"))
+    assert {r.n: r.k for r in rows.collect()} == keys
+    got = one(spark, d=tx.plain_name(F.lit("  Anne-Sofí   D'Arbó-Ñuz. ")), e=tx.slug(F.lit("-Córdoba Ñandú  / C-")), f=tx.plain_name(F.lit(None).cast("string")))
+    assert got == {"d": "anne sofi darbo nuz", "e": "cordoba-nandu-c", "f": ""}
 
 
 @pytest.mark.parametrize(("p", "hold"), [(0.50, 0.5), (0.60, 0.7357), (0.65, 0.8296), (0.70, 0.9008), (0.75, 0.9492)])
@@ -48,7 +54,7 @@ def test_sets_and_tiebreaks_are_fair_and_complementary():
         assert p + f(b, a) == pytest.approx(1, abs=1e-9)
 
 
-PRICES = [(1.20, 5.00), (1.90, 1.95), (1.05, 12.0), (2.50, 1.55), (1.50, 3.25)]
+PRICES = [(1.17, 5.40), (1.86, 1.99), (1.04, 13.5), (2.66, 1.49), (1.57, 2.95)]
 
 
 @pytest.mark.parametrize(("a", "b"), PRICES)

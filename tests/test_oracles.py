@@ -48,6 +48,4 @@ def test_plan_equals_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_plan_without_sql_has_rows(spark, sf_dir, name):
-    if name == "model_walk_forward":
-        pytest.skip("covered by its own test")
-    assert QUERIES[name](spark, sf_dir).limit(1).count() >= (0 if name in ("bracket_surprises", "bracket_calls", "bracket_progression", "bracket_reconstruction", "bracket_live_move") else 1)
+    assert QUERIES[name](spark, sf_dir).limit(1).count() == 1
