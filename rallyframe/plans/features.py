@@ -41,12 +41,12 @@ def pairwise(sides: DataFrame, keep: list[str], first: str, names: list[str], si
 
 def form_sql() -> str:
     frame = lambda n: "UNBOUNDED PRECEDING" if n is None else f"{n} PRECEDING"
-    parts = [f"avg({v}) OVER (PARTITION BY {by} ORDER BY match_id ROWS BETWEEN {frame(n)} AND 1 PRECEDING) AS {name}" for name, (v, by, n) in FORM.items()]
+    parts = [f"round(avg({v}) OVER (PARTITION BY {by} ORDER BY match_id ROWS BETWEEN {frame(n)} AND 1 PRECEDING), 5) AS {name}" for name, (v, by, n) in FORM.items()]
     return f"f AS (SELECT match_id, player_id, {', '.join(parts)} FROM player_match)"
 
 
 def wide_sql() -> str:
-    sides = ", ".join(f"round(a.{n}, 5) AS p1_{n}, round(b.{n}, 5) AS p2_{n}, round(a.{n} - b.{n}, 5) + 0 AS d_{n}" for n in FORM)
+    sides = ", ".join(f"a.{n} AS p1_{n}, b.{n} AS p2_{n}, round(a.{n} - b.{n}, 5) + 0 AS d_{n}" for n in FORM)
     sizes = ", ".join(f"round(abs(a.{n} - b.{n}), 5) AS abs_{n}" for n in SIZED)
     return f"""WITH {form_sql()}, o AS (SELECT match_id, winner_id, loser_id, CAST('0x' || left(md5(CAST(match_id AS VARCHAR)), 2) AS INT) % 2 = 0 AS w1 FROM contest)
 SELECT o.match_id, CASE WHEN w1 THEN 1 ELSE 0 END AS y_win, {sides}, {sizes} FROM o JOIN f a ON a.match_id = o.match_id AND a.player_id = CASE WHEN w1 THEN winner_id ELSE loser_id END
@@ -57,7 +57,7 @@ JOIN f b ON b.match_id = o.match_id AND b.player_id = CASE WHEN w1 THEN loser_id
 def features_pairwise(spark, d):
     rows = player_match(contest(spark, d))
     frame = lambda by, n: Window.partitionBy(*by.split(", ")).orderBy("match_id").rowsBetween(Window.unboundedPreceding if n is None else -n, -1)
-    form = rows.select("match_id", "won", *[F.avg(F.expr(v)).over(frame(by, n)).alias(name) for name, (v, by, n) in FORM.items()])
+    form = rows.select("match_id", "won", *[F.round(F.avg(F.expr(v)).over(frame(by, n)), 5).alias(name) for name, (v, by, n) in FORM.items()])
     first = tx.lower_first(F.col("match_id"))
     sides = form.withColumn("y_win", F.when(first, 1).otherwise(0)).withColumn("_first", (F.col("won") == 1) == first)
     out = pairwise(sides, ["match_id", "y_win"], "_first", list(FORM), SIZED)
