@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import market as mk
 from ..operators import form, metrics, ratings
 from .registry import query
-from .values import pooled
+from .scores import CLASSIFY
+from .values import ELO_SQL, pooled
 from .views import by_player, contest, player_match
 
 
@@ -40,7 +41,13 @@ def flagship_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir)
 
 
-@query("flagship_scorecard")
+ELO_STEPS = ELO_SQL[: ELO_SQL.rindex("SELECT m.pool")]
+SCORECARD = f"""{ELO_STEPS}, x AS (SELECT m.pool AS surface, m.match_id, e.r AS w, e.r2 AS l, CAST('0x' || left(md5(CAST(m.match_id AS VARCHAR)), 2) AS INT) % 2 = 0 AS first FROM e JOIN m ON e.id = CAST(m.match_id AS VARCHAR) WHERE kind = 'm'),
+s AS (SELECT surface, CASE WHEN first THEN 1 ELSE 0 END AS y_win, 1 / (1 + pow(10, (CASE WHEN first THEN l - w ELSE w - l END) / 400)) AS p_win FROM x)
+SELECT surface, {CLASSIFY} FROM s GROUP BY surface"""
+
+
+@query("flagship_scorecard", SCORECARD, "contest")
 def flagship_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the rating's chances by surface."""
     rows = features(spark, sf_dir).withColumn("p", mk.clipped(ratings.expected(F.col("p1_elo"), F.col("p2_elo"))))
