@@ -37,6 +37,31 @@ def slug(name: Column, folded: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(plain_name(name, folded), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+# Words of a tournament's name that are not its city.
+NOT_CITY = (" Challenger", " Open", " Masters", " Cup", " Championships")
+
+
+def tour_of(tournament: Column) -> Column:
+    """wta, challenger or atp, by words in a tournament's name."""
+    low = F.lower(F.coalesce(tournament, F.lit("")))
+    return F.when(F.contains(low, F.lit("wta")), "wta").when(F.contains(low, F.lit("challenger")), "challenger").otherwise("atp")
+
+
+def tournament_slug(name: Column) -> Column:
+    """The slug of a tournament's city: what follows the last dash, without the words that are not its own."""
+    return slug(F.regexp_replace(F.substring_index(F.coalesce(name, F.lit("")), " - ", -1), "|".join(NOT_CITY), ""))
+
+
+def without_seed(name: Column) -> Column:
+    return F.trim(F.substring_index(name, "(", 1))
+
+
+def clock(cell: Column) -> Column:
+    """The time at the head of a cell that may hold more, or null."""
+    found = F.regexp_extract(F.coalesce(cell, F.lit("")), r"^\s*(\d{1,2}:\d\d)", 1)
+    return F.when(found != "", found)
+
+
 def surname_key(name: Column, folded: bool = False) -> Column:
     """``surname|initial`` of "First Last" and of "Last F." alike: single letters are initials.
 

@@ -74,7 +74,7 @@ def source_slugs(spark, d):
     return pages.slugs(table(spark, d, "pages"), 'href="/')
 
 
-@query("source_json_walk")
+@query("source_json_walk", "SELECT event_id, '$.data.rows[0]' AS path, CAST(user_id AS VARCHAR) AS player1, CAST(event_id AS VARCHAR) AS player2 FROM events")
 def source_json_walk(spark, d):
     """Objects with two players, anywhere in documents made from the events' own payloads."""
     e = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.struct(F.array(F.struct(F.col("user_id").alias("p1"), F.col("event_id").alias("p2"))).alias("rows")).alias("data"))).alias("payload"))

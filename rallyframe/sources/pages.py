@@ -40,14 +40,14 @@ def slugs(pages: DataFrame, prefix: str, html: str = "html") -> DataFrame:
 
 
 def listing(pages: DataFrame, html: str = "html", keep: list[str] = ["page_id"]) -> DataFrame:  # noqa: B006
-    """keep, ts, day, href, p1_name, p2_name, p1_odds, p2_odds of listed matches; a row needs two names and two prices."""
+    """keep, ts, day, href, p1_name, p2_name, p1_odds, p2_odds of listed matches, day in UTC; a row needs two names and two prices."""
     rows = _rows(pages, html, r"(?i)<tr[^>]*>", keep)
     names = F.transform(F.split(_text(F.regexp_extract("row", r"<a [^>]*>([^<]*)</a>", 1)), r"\s+-\s+"), lambda x: F.trim(x))
     prices = F.regexp_extract_all("row", F.lit(rf"<b>\s*{PRICE}\s*</b>"), F.lit(1))
     got = rows.select(*keep, _found("row", r'ts="(\d+)"').try_cast("long").alias("ts"), _found("row", r'href="([^"]*)"').alias("href"), names.alias("names"), prices.alias("prices"))
     got = got.filter((F.size("names") == 2) & (F.size("prices") >= 2) & F.col("ts").isNotNull() & (F.get("names", F.lit(0)) != "") & (F.get("names", F.lit(1)) != ""))
     return got.select(
-        *keep, "ts", F.date_format(F.timestamp_seconds("ts"), "yyyyMMdd").cast("int").alias("day"), "href", F.get("names", F.lit(0)).alias("p1_name"), F.get("names", F.lit(1)).alias("p2_name"),
+        *keep, "ts", F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts") / 86400).cast("int")), "yyyyMMdd").cast("int").alias("day"), "href", F.get("names", F.lit(0)).alias("p1_name"), F.get("names", F.lit(1)).alias("p2_name"),
         F.get("prices", F.lit(0)).cast("double").alias("p1_odds"), F.get("prices", F.lit(1)).cast("double").alias("p2_odds"),
     )
 
