@@ -59,11 +59,13 @@ def expected_value(p: Column, price: Column) -> Column:
 def kelly(p: Column, price: Column) -> Column:
     """Share of the bank: (p b - q) / b between 0 and KELLY_CAP."""
     b = price - 1
-    return F.greatest(F.lit(0.0), F.least(F.lit(KELLY_CAP), (p * b - (1 - p)) / b))
+    share = (p * b - (1 - p)) / b
+    return F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(KELLY_CAP), share)))
 
 
 def clipped(p: Column, eps: float = EPS) -> Column:
-    return F.least(F.lit(1 - eps), F.greatest(F.lit(eps), p))
+    """p within eps of 0 and 1; no chance stays none (least and greatest would pass over it)."""
+    return F.when(p.isNotNull(), F.least(F.lit(1 - eps), F.greatest(F.lit(eps), p)))
 
 
 def log_loss(y: Column, p: Column, eps: float = EPS) -> Column:

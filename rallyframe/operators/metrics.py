@@ -64,6 +64,13 @@ def average_rank(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
     return df.withColumn(out, F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
 
 
+def ranked(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
+    """df with the average rank of x within by, for groups of any size: distinct values are counted, totals run over ranges, ranks are joined back."""
+    counts = df.groupBy(*by, x).agg(F.count("*").alias("_c"))
+    ranks = running_totals(counts, [x], {"_below": F.col("_c")}, by).select(*by, x, (F.col("_below") + (F.col("_c") + 1) / 2).alias(out))
+    return df.join(ranks, [*by, x])
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str], least: int = 4) -> DataFrame:
     """by, n, rho for groups of ``least`` rows or more."""
     ranked = average_rank(average_rank(df, x, by, "_rx"), y, by, "_ry")

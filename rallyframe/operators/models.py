@@ -87,26 +87,29 @@ def symmetrised(forward: Column, reverse: Column, kind: str = "chance") -> Colum
     return {"chance": (forward + 1 - reverse) / 2, "total": (forward + reverse) / 2, "spread": (forward - reverse) / 2}[kind]
 
 
-def residual_chance(rows: DataFrame, by: str, pred: str, actual: str, line: str, cells: int = 6, least: int = 500) -> DataFrame:
+def residual_chance(rows: DataFrame, by: str, pred: str, actual: str, line: str, cells: int = 6, least: int = 500, fit: DataFrame | None = None) -> DataFrame:
     """rows with p_over: the share of a cell's residuals above line - pred; small cells use their group's, small groups all.
 
-    A cell is a group and a quantile range of predictions. Residuals are counted by cell and value once; only the counts go to the
+    Residuals are those of fit (by, pred, actual), or of rows where it is None. A cell is a group and a quantile range of fit's predictions; where there
+    is no residual at all p_over is null. Residuals are counted by cell and value once; only the counts go to the
     pools that are asked for. Counts and queries then run in one order, in ranges, so no row meets another and no pool is one task.
     """
-    edges = rows.groupBy(by).agg(F.percentile(pred, F.array(*[F.lit(i / cells) for i in range(1, cells)])).alias("edges"))
-    known = rows.join(edges, by).withColumn("cell", F.size(F.filter("edges", lambda e: e < F.col(pred)))).drop("edges")
-    counts = written(known.groupBy(by, "cell", (F.col(actual) - F.col(pred)).alias("v")).agg(F.count("*").alias("c")), "residuals")
+    fit = rows if fit is None else fit
+    edges = fit.groupBy(by).agg(F.percentile(pred, F.array(*[F.lit(i / cells) for i in range(1, cells)])).alias("edges"))
+    celled = lambda x: x.join(edges, by, "left").withColumn("cell", F.coalesce(F.size(F.filter("edges", lambda e: e < F.col(pred))), F.lit(0))).drop("edges")
+    known = celled(rows)
+    counts = written(celled(fit).groupBy(by, "cell", (F.col(actual) - F.col(pred)).alias("v")).agg(F.count("*").alias("c")), "residuals")
     sizes = counts.groupBy(by, "cell").agg(F.sum("c").alias("n_cell"))
-    sizes = sizes.join(sizes.groupBy(by).agg(F.sum("n_cell").alias("n_group")), by)  # a row a cell
+    asked = known.select(by, "cell").distinct().join(sizes, [by, "cell"], "left").join(sizes.groupBy(by).agg(F.sum("n_cell").alias("n_group")), by, "left")  # a row a cell
     level = F.when(F.col("n_cell") >= least, F.concat_ws("/", F.col(by).cast("string"), F.col("cell").cast("string"))).when(F.col("n_group") >= least, F.col(by).cast("string")).otherwise("*")
-    asked = sizes.withColumn("pool", level)
+    asked = asked.withColumn("pool", level)
     pools = F.array(F.concat_ws("/", F.col(by).cast("string"), F.col("cell").cast("string")), F.col(by).cast("string"), F.lit("*"))
     residuals = counts.select(F.explode(pools).alias("pool"), "v", "c").join(asked.select("pool").distinct(), "pool", "left_semi").groupBy("pool", "v").agg(F.sum("c").alias("c"))
     queries = known.join(asked.select(by, "cell", "pool"), [by, "cell"]).select("pool", (F.col(line) - F.col(pred)).alias("v"), F.struct(*rows.columns).alias("_row"), F.lit(0).cast("long").alias("c"))
     both = residuals.select("pool", "v", F.lit(None).cast(queries.schema["_row"].dataType).alias("_row"), "c").unionByName(queries).withColumn("_asks", F.col("_row").isNotNull())
-    placed = running_totals(both, ["v", "_asks"], {"below": F.col("c")}, ["pool"]).filter("_asks").join(residuals.groupBy("pool").agg(F.sum("c").alias("size")), "pool")
+    placed = running_totals(both, ["v", "_asks"], {"below": F.col("c")}, ["pool"]).filter("_asks").join(residuals.groupBy("pool").agg(F.sum("c").alias("size")), "pool", "left")
     p = 1 - F.col("below") / F.col("size")
-    return placed.select("_row.*", F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p)).alias("p_over"))
+    return placed.select("_row.*", F.when(p.isNotNull(), F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))).alias("p_over"))
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -42,6 +42,12 @@ def k_factor(n: Column, rule: EloRule = EloRule()) -> Column:  # noqa: B008
     return rule.k_scale / F.pow(n + rule.k_offset, F.lit(rule.k_power))
 
 
+def drifted(rating: Column, idle_days: Column, rule: EloRule = EloRule()) -> Column:  # noqa: B008
+    """A rating after days without a match."""
+    years = (idle_days - rule.idle_grace) / 365.0
+    return F.when(years > 0, rule.base + (rating - rule.base) * F.pow(F.lit(1.0 - rule.idle_rate), years)).otherwise(rating)
+
+
 MATCH = "match_id bigint, w_elo double, l_elo double, w_surface_elo double, l_surface_elo double"
 STATE = "player_id bigint, scope string, rating double, played bigint, last_day int"
 RESULT = ("match_id", "day", "surface", "winner_id", "loser_id", "margin", "walkover")
