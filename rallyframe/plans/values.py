@@ -163,7 +163,7 @@ def pooled(spark, d, pool: str = "surface"):
     )
 
 
-ELO_SQL = """WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY match_id) i, match_id, surface AS pool, surface || '|' || winner_id w, surface || '|' || loser_id l FROM contest),
+ELO_SQL = """WITH RECURSIVE m AS (SELECT row_number() OVER (PARTITION BY surface ORDER BY match_id) i, match_id, surface AS pool, surface || '|' || winner_id w, surface || '|' || loser_id l FROM contest),
 e(kind, id, r, r2, n, i) USING KEY (kind, id) AS (
  SELECT 'p', p, 1500.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT, 0::BIGINT FROM (SELECT w p FROM m UNION SELECT l FROM m)
  UNION (WITH cur AS (SELECT max(i) i FROM recurring.e),
@@ -189,27 +189,85 @@ def rating_elo_resumed(spark, d):
     return later.select("pool", "match_id", F.round("w_elo", 6).alias("w_elo"), F.round("l_elo", 6).alias("l_elo"))
 
 
-@query("rating_elo_surface")
+CHANCE = "1 / (1 + pow(10, ({b} - {a}) / 400))"
+SURFACE_SQL = f"""WITH RECURSIVE m AS (SELECT row_number() OVER (PARTITION BY surface ORDER BY match_id) i, match_id, surface AS pool, surface || '|' || winner_id w, surface || '|' || loser_id l, retired AS cut FROM contest),
+e(kind, id, r, s, f, x, n, ns, nf, i) USING KEY (kind, id) AS (
+ SELECT 'p', p, 1500e0, 0e0, 0e0, 0e0, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM (SELECT w p FROM m UNION SELECT l FROM m)
+ UNION (WITH cur AS (SELECT max(i) i FROM recurring.e),
+  t AS (SELECT m.*, a.r ra, b.r rb, a.n na, b.n nb, a.s sa, a.f fa, b.s sb, b.f fb, a.ns sna, a.nf fna, b.ns snb, b.nf fnb, CASE WHEN cut THEN a.ns ELSE a.nf END ka, CASE WHEN cut THEN b.ns ELSE b.nf END kb,
+    CASE WHEN cut THEN a.s ELSE a.f END oa, CASE WHEN cut THEN b.s ELSE b.f END ob FROM m, cur, recurring.e a, recurring.e b WHERE m.i = cur.i + 1 AND a.kind = 'p' AND b.kind = 'p' AND a.id = m.w AND b.id = m.l),
+  u AS (SELECT *, ra + 200 / pow(na + 5, 0.4) * (1 - {CHANCE.format(a="ra", b="rb")}) ua, rb - 200 / pow(nb + 5, 0.4) * (1 - {CHANCE.format(a="ra", b="rb")}) ub FROM t),
+  v AS (SELECT *, CASE WHEN ka = 0 THEN ua ELSE oa END va, CASE WHEN kb = 0 THEN ub ELSE ob END vb FROM u),
+  z AS (SELECT *, va + 200 / pow(ka + 5, 0.4) * (1 - {CHANCE.format(a="va", b="vb")}) wa, vb - 200 / pow(kb + 5, 0.4) * (1 - {CHANCE.format(a="va", b="vb")}) wb FROM v)
+  SELECT 'p', w, ua, CASE WHEN cut THEN wa ELSE sa END, CASE WHEN cut THEN fa ELSE wa END, 0e0, na + 1, sna + CASE WHEN cut THEN 1 ELSE 0 END, fna + CASE WHEN cut THEN 0 ELSE 1 END, i FROM z
+  UNION ALL SELECT 'p', l, ub, CASE WHEN cut THEN wb ELSE sb END, CASE WHEN cut THEN fb ELSE wb END, 0e0, nb + 1, snb + CASE WHEN cut THEN 1 ELSE 0 END, fnb + CASE WHEN cut THEN 0 ELSE 1 END, i FROM z
+  UNION ALL SELECT 'm', CAST(match_id AS VARCHAR), ra, rb, (ka * oa + 60 * ra) / (ka + 60), (kb * ob + 60 * rb) / (kb + 60), 0, 0, 0, i FROM z))
+SELECT m.pool, m.match_id, round(r, 6) AS w_elo, round(s, 6) AS l_elo, round(f, 6) AS w_surface_elo, round(x, 6) AS l_surface_elo FROM e JOIN m ON e.id = CAST(m.match_id AS VARCHAR) WHERE kind = 'm'"""
+
+
+@query("rating_elo_surface", SURFACE_SQL, "contest")
 def rating_elo_surface(spark, d):
-    return ratings.elo(pooled(spark, d), ["pool"])
+    """Overall ratings and those of each surface, blended by matches played on it."""
+    rated = ratings.elo(pooled(spark, d), ["pool"])
+    return rated.select("pool", "match_id", *[F.round(c, 6).alias(c) for c in ("w_elo", "l_elo", "w_surface_elo", "l_surface_elo")])
+
+
+SWEEP_SQL = """WITH RECURSIVE rules(rule, scale, power, weighted) AS (VALUES ('usual', 200e0, 4e-1, false), ('constant k', 32e0, 0e0, false), ('no drift', 200e0, 4e-1, false), ('by margin', 200e0, 4e-1, true)),
+m AS (SELECT rule, scale, power, CASE WHEN weighted THEN least(1.8e0, greatest(0.5e0, ln(1 + greatest(0, margin)) / ln(6))) ELSE 1e0 END AS f, row_number() OVER (PARTITION BY rule, surface ORDER BY match_id) i, rule || '|' || match_id AS id,
+  rule || '|' || surface || '|' || winner_id w, rule || '|' || surface || '|' || loser_id l FROM contest, rules),
+e(kind, id, r, r2, n, i) USING KEY (kind, id) AS (
+ SELECT 'p', p, 1500e0, 0e0, 0::BIGINT, 0::BIGINT FROM (SELECT w p FROM m UNION SELECT l FROM m)
+ UNION (WITH cur AS (SELECT max(i) i FROM recurring.e),
+  x AS (SELECT m.*, a.r ra, b.r rb, a.n na, b.n nb, f * scale * (1 - 1 / (1 + pow(10, (b.r - a.r) / 400))) AS step FROM m, cur, recurring.e a, recurring.e b WHERE m.i = cur.i + 1 AND a.kind = 'p' AND b.kind = 'p' AND a.id = m.w AND b.id = m.l)
+  SELECT 'p', w, ra + step / pow(na + 5, power), 0e0, na + 1, i FROM x UNION ALL SELECT 'p', l, rb - step / pow(nb + 5, power), 0e0, nb + 1, i FROM x UNION ALL SELECT 'm', id, ra, rb, 0, i FROM x)),
+s AS (SELECT string_split(id, '|')[1] AS rule, 1 / (1 + pow(10, (r2 - r) / 400)) AS p FROM e WHERE kind = 'm')
+SELECT rule, count(*) AS n, round(-avg(ln(p)), 6) AS log_loss, round(avg(CASE WHEN round(p, 9) > 0.5 THEN 1e0 ELSE 0 END), 6) AS accuracy FROM s GROUP BY rule"""
 
 
-@query("rating_elo_sweep")
+@query("rating_elo_sweep", SWEEP_SQL, "contest")
 def rating_elo_sweep(spark, d):
     """Log loss of several rating rules: pools times rules in parallel, scored in one aggregation."""
     rules = {"usual": ratings.EloRule(), "constant k": ratings.EloRule(k_scale=32.0, k_power=0.0), "no drift": ratings.EloRule(idle_rate=0.0), "by margin": ratings.EloRule(margin_weight=True)}
     rated = ratings.elo_sweep(pooled(spark, d), ["pool"], rules)
     p = ratings.expected(F.col("w_elo"), F.col("l_elo"))
-    return rated.groupBy("rule").agg(F.count("*").alias("n"), F.avg(-F.ln(mk.clipped(p))).alias("log_loss"), F.avg(F.when(p > 0.5, 1.0).otherwise(0.0)).alias("accuracy"))
+    return rated.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg(-F.ln(mk.clipped(p))), 6).alias("log_loss"), F.round(F.avg(F.when(F.round(p, 9) > 0.5, 1.0).otherwise(0.0)), 6).alias("accuracy"))
+
+
+def seen_sql(p: str) -> str:
+    """Serve and return of player p (a or b) as seen before a match: shrunk by their points, blended with the surface's."""
+    own = lambda c: f"CASE WHEN slow THEN {p}.{c}1 ELSE {p}.{c}2 END"
+    n = f"({own('n')})"
+    blend = lambda c, k: f"(1 - 0.35e0 * {n} / ({n} + 400)) * {p}.{c} * {p}.{k} / ({p}.{k} + 400) + 0.35e0 * {n} / ({n} + 400) * ({own(c)}) * {n} / ({n} + 400)"
+    return f"{blend('s', 'ns')} AS {p}_s, {blend('b', 'nb')} AS {p}_b"
+
+
+def served_sql(side: str, other: str, up: str, down: str, points: str, returned: str) -> str:
+    """The state of a side after a match: its own serve moves up, its return moves against the other's."""
+    own = lambda i, cond: f"p.{side}s{i} + CASE WHEN {cond} THEN {up} ELSE 0 END, p.{side}b{i} - CASE WHEN {cond} THEN {down} ELSE 0 END, p.{side}n{i} + CASE WHEN {cond} THEN wp + lp ELSE 0 END"
+    return f"SELECT 'p', {other}, p.{side}s + {up}, p.{side}b - {down}, p.{side}ns + {points}, p.{side}nb + {returned}, {own(1, 'slow')}, {own(2, 'NOT slow')}, i FROM y p WHERE wp > 0 AND lp > 0"
+
+
+STATE_COLUMNS = "s b ns nb s1 b1 n1 s2 b2 n2".split()
+SERVE_SQL = f"""WITH RECURSIVE m AS (SELECT row_number() OVER (PARTITION BY surface ORDER BY match_id) i, match_id, surface AS pool, surface || '|' || winner_id w, surface || '|' || loser_id l, match_id % 3 = 0 AS slow,
+  floor(total)::DOUBLE wp, floor(total * 0.65e0)::DOUBLE ww, CASE WHEN NOT retired THEN floor(total)::DOUBLE END lp, floor(total * 0.6e0)::DOUBLE lw FROM contest),
+e(kind, id, {", ".join(STATE_COLUMNS)}, i) USING KEY (kind, id) AS (
+ SELECT 'p', p, {", ".join("0e0" for _ in STATE_COLUMNS)}, 0::BIGINT FROM (SELECT w p FROM m UNION SELECT l FROM m)
+ UNION (WITH cur AS (SELECT max(i) i FROM recurring.e),
+  x AS (SELECT m.*, {seen_sql("a")}, {seen_sql("b")}, {", ".join(f"{p}.{c} AS {p}{c}" for p in "ab" for c in STATE_COLUMNS)} FROM m, cur, recurring.e a, recurring.e b WHERE m.i = cur.i + 1 AND a.kind = 'p' AND b.kind = 'p' AND a.id = m.w AND b.id = m.l),
+  y AS (SELECT *, 0.04e0 * (ww / nullif(wp, 0) - (0.62e0 + a_s - b_b)) * least(wp / 100, 1.5e0) AS up1, 0.04e0 * (lw / nullif(lp, 0) - (0.62e0 + b_s - a_b)) * least(lp / 100, 1.5e0) AS up2 FROM x)
+  {served_sql("a", "w", "up1", "up2", "wp", "lp")} UNION ALL {served_sql("b", "l", "up2", "up1", "lp", "wp")}
+  UNION ALL SELECT 'm', CAST(match_id AS VARCHAR), a_s, a_b, b_s, b_b, 0, 0, 0, 0, 0, 0, i FROM y))
+SELECT m.pool, m.match_id, round(s, 9) + 0 AS w_serve, round(b, 9) + 0 AS w_return, round(ns, 9) + 0 AS l_serve, round(nb, 9) + 0 AS l_return FROM e JOIN m ON e.id = CAST(m.match_id AS VARCHAR) WHERE kind = 'm'"""
 
 
-@query("rating_serve_return")
+@query("rating_serve_return", SERVE_SQL, "contest")
 def rating_serve_return(spark, d):
     rows = contest(spark, d).select(
         F.col("surface").alias("pool"), "match_id", F.when(F.col("match_id") % 3 == 0, "slow").otherwise("fast").alias("surface"), "winner_id", "loser_id", F.floor("total").cast("double").alias("w_points"), F.floor(F.col("total") * 0.65).cast("double").alias("w_won"),
         F.when(~F.col("retired"), F.floor("total").cast("double")).alias("l_points"), F.floor(F.col("total") * 0.6).cast("double").alias("l_won"),
     )
-    return ratings.serve_return(rows, ["pool"], 0.62)
+    rated = ratings.serve_return(rows, ["pool"], 0.62)
+    return rated.select("pool", "match_id", *[(F.round(c, 9) + 0.0).alias(c) for c in ("w_serve", "w_return", "l_serve", "l_return")])
 
 
 @query(
