@@ -75,6 +75,25 @@ def source_fixtures(spark, d):
     return pages.fixtures(page_of(table(spark, d, "orders"), F.floor(k / 20), "o_orderkey", said(head, one, two)), keep=["page"])
 
 
+@query(
+    "source_day_results",
+    """WITH r AS (SELECT *, o_orderkey // 20 AS page, last_value(CASE WHEN o_orderkey % 5 = 0 THEN 'Cup ' || (o_orderkey // 5) || CASE o_orderkey // 5 % 4 WHEN 0 THEN ' WTA' WHEN 1 THEN ' Challenger' WHEN 2 THEN ' Futures' ELSE '' END END IGNORE NULLS) OVER (PARTITION BY o_orderkey // 20 ORDER BY o_orderkey) AS cup FROM orders)
+SELECT page, o_orderkey AS match_id, cup AS tournament, CASE WHEN contains(cup, 'WTA') THEN 'wta' WHEN contains(cup, 'Challenger') THEN 'challenger' ELSE 'atp' END AS tour, 'Customer ' || o_custkey AS p1_name, 'Clerk ' || (o_orderkey % 97) AS p2_name, '2 ' || (o_orderkey % 2) AS score,
+  CASE WHEN o_orderkey % 7 <> 0 THEN CAST(105 + o_custkey % 40 * 5 AS DOUBLE) / 100 END AS p1_odds, CAST(107 + o_orderkey % 50 * 3 AS DOUBLE) / 100 AS p2_odds FROM r WHERE o_orderkey % 11 <> 0 AND NOT coalesce(contains(cup, 'Futures'), false)""",
+)
+def source_day_results(spark, d):
+    """Pages of 20 results in two rows each under head rows; some without a link, some without a price, some of circuits that are not followed."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    cup = F.floor(k / 5)
+    kind = F.when(cup % 4 == 0, " WTA").when(cup % 4 == 1, " Challenger").when(cup % 4 == 2, " Futures").otherwise("")
+    head = F.when(k % 5 == 0, said('<tr class="head flags"><td class="t-name">Cup ', cup, kind, "</td></tr>")).otherwise("")
+    link = F.when(k % 11 == 0, "").otherwise(said('<td><a href="/match-detail/?id=', k, '">info</a></td>'))
+    first = F.when(k % 7 == 0, "-").otherwise(money(105 + c % 40 * 5))
+    one = said('<tr class="one"><td class="t-name"><a href="#">Customer ', c, "</a> (", k % 9, ')</td><td class="result">2</td><td class="score">2</td><td class="score">', k % 2, '</td><td class="coursew">', first, '</td><td class="course">', money(107 + k % 50 * 3), "</td>", link, "</tr>")
+    two = said('<tr class="two"><td class="t-name"><a href="#">Clerk ', k % 97, "</a> (", k % 5, ")</td></tr>")
+    return pages.day_results(page_of(table(spark, d, "orders"), F.floor(k / 20), "o_orderkey", said(head, one, two)), keep=["page"])
+
+
 @query(
     "source_quotes",
     """WITH q AS (SELECT *, l_linenumber % 3 AS m, 'Book ' || (l_suppkey % 12) AS book, CAST(120 + (l_partkey + side) % 40 * 5 AS DOUBLE) / 100 AS price_close, CAST(125 + (l_partkey + side) % 40 * 5 AS DOUBLE) / 100 AS first,

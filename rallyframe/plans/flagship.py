@@ -9,7 +9,7 @@ from ..functions import market as mk
 from ..operators import form, metrics, ratings
 from .registry import query
 from .scores import CLASSIFY
-from .values import ELO_SQL, pooled
+from .values import ELO_SQL, SURFACE_SQL, pooled
 from .views import by_player, contest, player_match
 
 
@@ -36,9 +36,21 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("match_id", "surface", *sides, (sign * (F.col("h2h_wins") - F.col("h2h_losses"))).alias("h2h_diff"), F.when(F.col("first"), 1).otherwise(0).alias("y_win"), (sign * F.col("margin")).alias("y_spread"), F.col("total").alias("y_total"))
 
 
-@query("flagship_features")
+SIDE = ("win_rate_10", "win_rate_25", "win_rate_50", "career_n", "elo", "surface_elo")
+FEATURES = f"""{SURFACE_SQL[: SURFACE_SQL.rindex("SELECT m.pool")]}, f AS (SELECT match_id, won, {", ".join(f"round(avg(won) OVER (PARTITION BY player_id ORDER BY match_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS win_rate_{n}" for n in (10, 25, 50))},
+  count(*) OVER (PARTITION BY player_id ORDER BY match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS career_n FROM player_match),
+g AS (SELECT f.*, CASE WHEN won = 1 THEN e.r ELSE e.s END AS elo, CASE WHEN won = 1 THEN e.f ELSE e.x END AS surface_elo FROM f JOIN e ON e.kind = 'm' AND e.id = CAST(f.match_id AS VARCHAR)),
+k AS (SELECT c.match_id, c.surface, c.margin, c.total, CAST('0x' || left(md5(CAST(c.match_id AS VARCHAR)), 2) AS INT) % 2 = 0 AS first, count(p.match_id) FILTER (WHERE p.winner_id = c.winner_id) - count(p.match_id) FILTER (WHERE p.winner_id = c.loser_id) AS met FROM contest c
+  LEFT JOIN contest p ON p.match_id < c.match_id AND least(p.winner_id, p.loser_id) = least(c.winner_id, c.loser_id) AND greatest(p.winner_id, p.loser_id) = greatest(c.winner_id, c.loser_id) GROUP BY ALL)
+SELECT k.match_id, surface, {", ".join(f"round(a.{c}, 6) AS p1_{c}, round(b.{c}, 6) AS p2_{c}, round(a.{c} - b.{c}, 6) + 0 AS diff_{c}" for c in SIDE)}, CASE WHEN first THEN met ELSE -met END AS h2h_diff, CASE WHEN first THEN 1 ELSE 0 END AS y_win,
+  CASE WHEN first THEN margin ELSE -margin END AS y_spread, total AS y_total FROM k JOIN g a ON a.match_id = k.match_id AND (a.won = 1) = first JOIN g b ON b.match_id = k.match_id AND (b.won = 1) <> first"""
+
+
+@query("flagship_features", FEATURES, "contest player_match")
 def flagship_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir)
+    rows = features(spark, sf_dir)
+    plain = ("match_id", "surface", "h2h_diff", "y_win", "y_spread", "y_total")
+    return rows.select(*[c if c in plain or c.endswith("career_n") else (F.round(c, 6) + 0.0).alias(c) for c in rows.columns])
 
 
 ELO_STEPS = ELO_SQL[: ELO_SQL.rindex("SELECT m.pool")]

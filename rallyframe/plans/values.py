@@ -145,13 +145,24 @@ def scoring_match(spark, d):
     return forecast(spark, d).select("match_id", F.round(prob.match(p, F.lit(3)), 6).alias("best_of_3"), F.round(prob.match(p, F.lit(5)), 6).alias("best_of_5"), F.round(prob.race(p, F.lit(0.6)), 6).alias("race"))
 
 
-@query("scoring_chain")
+CHAIN_SQL = """WITH RECURSIVE c AS (SELECT DISTINCT round(0.55e0 + p_win * 2e-1, 3) AS a, 64e-2 AS b FROM forecast),
+t(a, b, i, j, p) AS (SELECT a, b, 0, 0, 1e0 FROM c UNION ALL SELECT a, b, i + x, j + 1 - x, sum(p * CASE WHEN x = 1 THEN own ELSE 1 - own END) FROM
+  (SELECT *, CASE WHEN (i + j + 1) // 2 % 2 = 0 THEN a ELSE 1 - b END AS own FROM t WHERE i < 7 AND j < 7 AND NOT (i = 6 AND j = 6)), (VALUES (0), (1)) v(x) GROUP BY a, b, i + x, j + 1 - x),
+tb AS (SELECT a, b, sum(CASE WHEN i = 7 AND j < 6 THEN p WHEN i = 6 AND j = 6 THEN p * a * (1 - b) / (a * (1 - b) + (1 - a) * b) ELSE 0 END) AS tiebreak FROM t GROUP BY a, b),
+h AS (SELECT a, b, pow(a, 4) * (1 + 4 * (1 - a) + 10 * (1 - a) ** 2) + 20 * pow(a * (1 - a), 3) * a ** 2 / (a ** 2 + (1 - a) ** 2) AS ha, pow(b, 4) * (1 + 4 * (1 - b) + 10 * (1 - b) ** 2) + 20 * pow(b * (1 - b), 3) * b ** 2 / (b ** 2 + (1 - b) ** 2) AS hb FROM c),
+g(a, b, ha, hb, i, j, p) AS (SELECT a, b, ha, hb, 0, 0, 1e0 FROM h UNION ALL SELECT a, b, ha, hb, i + x, j + 1 - x, sum(p * CASE WHEN x = 1 THEN own ELSE 1 - own END) FROM
+  (SELECT *, CASE WHEN (i + j) % 2 = 0 THEN ha ELSE 1 - hb END AS own FROM g WHERE i < 7 AND j < 7 AND NOT (i = 6 AND j = 6) AND NOT (greatest(i, j) = 6 AND abs(i - j) >= 2)), (VALUES (0), (1)) v(x) GROUP BY a, b, ha, hb, i + x, j + 1 - x),
+s AS (SELECT g.a, g.b, any_value(tiebreak) AS tiebreak, sum(CASE WHEN i = 6 AND j < 5 OR i = 7 THEN p WHEN i = 6 AND j = 6 THEN p * tiebreak ELSE 0 END) AS st FROM g JOIN tb ON tb.a = g.a AND tb.b = g.b GROUP BY g.a, g.b)
+SELECT match_id, s.a, round(tiebreak, 6) AS tiebreak, round(st, 6) AS "set", round(st ** 2 * (3 - 2 * st), 6) AS "match" FROM forecast JOIN s ON s.a = round(0.55e0 + p_win * 2e-1, 3)"""
+
+
+@query("scoring_chain", CHAIN_SQL, "forecast")
 def scoring_chain(spark, d):
     """Point, tiebreak, set and match for each distinct pair of serve chances, joined back to the matches."""
     rows = forecast(spark, d).select("match_id", F.round(0.55 + F.col("p_win") * 0.2, 3).alias("a"), F.lit(0.64).alias("b"))
     chances = rows.select("a", "b").distinct()
     chances = chances.withColumn("tiebreak", prob.tiebreak_chance("a", "b")).withColumn("set", prob.set_chance("a", "b")).withColumn("match", prob.match(F.col("set"), F.lit(3)))
-    return rows.join(chances, ["a", "b"]).select("match_id", "a", "tiebreak", "set", "match")
+    return rows.join(chances, ["a", "b"]).select("match_id", "a", *[F.round(c, 6).alias(c) for c in ("tiebreak", "set", "match")])
 
 
 def pooled(spark, d, pool: str = "surface"):

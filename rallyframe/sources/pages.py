@@ -79,6 +79,34 @@ def fixtures(pages: DataFrame, html: str = "html", keep: list[str] = ["page_id"]
     return got.select(*keep, "tournament", "start_time", F.col("name").alias("p1_name"), "p2_name", F.get("p", F.lit(0)).cast("double").alias("p1_odds"), F.get("p", F.lit(1)).cast("double").alias("p2_odds"))
 
 
+# Words of tournaments that are not followed.
+SKIPPED = ("itf", "futures", "utr", "exhibition")
+
+
+def day_results(pages: DataFrame, html: str = "html", keep: list[str] = ["page_id"]) -> DataFrame:  # noqa: B006
+    """keep, match_id, tournament, tour, p1_name, p2_name, score, p1_odds, p2_odds of a page of a day's matches in two rows each.
+
+    A head row names the tournament of the rows below; a match is a row with a link to its page and the row after it, and needs both
+    names. Tournaments with a word of SKIPPED are left out. A price that is no number is null.
+    """
+    from pyspark.sql import Window
+
+    from ..functions import text as tx
+
+    rows = _rows(pages, html, r"(?i)<tr(?=[\s>])", keep)
+    w = Window.partitionBy(*keep).orderBy("i")
+    head = F.regexp_like("row", F.lit(r'^ class="[^"]*\bhead\b'))
+    label = _text(F.regexp_extract("row", r'<td class="t-name">(.*?)</td>', 1))
+    cells = lambda names: F.regexp_extract_all("row", F.lit(rf'<td class="(?:[^"]* )?(?:{names})(?: [^"]*)?">([^<]*)'), F.lit(1))
+    got = rows.select(
+        *keep, "i", head.alias("head"), label.alias("label"), tx.without_seed(label).alias("name"), _found("row", r'href="[^"]*/match-detail/\?id=(\d+)').try_cast("long").alias("match_id"), cells("coursew?").alias("p"), F.trim(F.array_join(cells("score"), " ")).alias("score")
+    )
+    got = got.withColumn("tournament", F.last(F.when(F.col("head"), F.col("label")), ignorenulls=True).over(w)).withColumn("p2_name", F.lead("name").over(w))
+    got = got.filter("not head and match_id is not null and name <> '' and p2_name <> ''").filter(~F.regexp_like(F.lower(F.coalesce("tournament", F.lit(""))), F.lit("|".join(SKIPPED))))
+    price = lambda i: F.trim(F.get("p", F.lit(i))).try_cast("double")
+    return got.select(*keep, "match_id", "tournament", tx.tour_of(F.col("tournament")).alias("tour"), F.col("name").alias("p1_name"), "p2_name", "score", price(0).alias("p1_odds"), price(1).alias("p2_odds"))
+
+
 #: Words of a line's heading and the market and unit that they mean.
 MARKETS = {"Over/Under": "totals", "Asian Handicap": "handicap", "Correct score": "correct_score", "Home/Away": "h2h"}
 SIDES = {"totals": ("over", "under")}
