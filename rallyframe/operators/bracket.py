@@ -32,11 +32,12 @@ def rounds_of(size: int) -> list[str]:
     return [ROUND_NAMES[size >> i] for i in range(size.bit_length() - 1)]
 
 
-def advancement(draws: DataFrame, chance: Chance, rounds: int) -> DataFrame:
+def advancement(draws: DataFrame, chance: Chance, rounds: int, pinned: DataFrame | None = None) -> DataFrame:
     """draw_id, slot, player_id, strength and reach_1 .. reach_n: exact chances to win each round.
 
     A player's chance to win round r is that of winning round r - 1 times the chance against whoever comes out
     of the other half of the block, each weighted by their own. Byes have no strength and are beaten surely.
+    pinned: draw_id, round, block, winner of ties that have been played; their winners go on surely and nobody else of their blocks does.
     """
     now = draws.select("draw_id", "slot", "player_id", "strength", F.when(F.col("player_id").isNull(), 0.0).otherwise(1.0).alias("reach_0"))
     for r in range(1, rounds + 1):
@@ -48,7 +49,11 @@ def advancement(draws: DataFrame, chance: Chance, rounds: int) -> DataFrame:
         beat = F.aggregate("others", F.lit(0.0), lambda a, o: a + o["p"] * chance(F.col("strength"), o["strength"]))
         there = F.aggregate("others", F.lit(0.0), lambda a, o: a + o["p"])
         won = F.col(f"reach_{r - 1}") * F.coalesce(beat + 1 - there, F.lit(1.0))
-        now = met.withColumn(f"reach_{r}", won).drop("half", "others")
+        if pinned is not None:
+            done = pinned.filter(F.col("round") == r).select("draw_id", F.col("block").alias("_block"), F.col("winner").alias("_winner"))
+            met = met.withColumn("_block", F.floor(F.col("slot") / (1 << r))).join(done, ["draw_id", "_block"], "left")
+            won = F.when(F.col("_winner").isNull(), won).otherwise(F.coalesce((F.col("_winner") == F.col("player_id")).cast("double"), F.lit(0.0)))
+        now = met.withColumn(f"reach_{r}", won).drop("half", "others", "_block", "_winner")
     return now
 
 

@@ -37,15 +37,17 @@ def bracket_padding(spark, d):
     return bracket.padded(draws(spark, d), 1 << ROUNDS).select("draw_id", F.col("slot").cast("long").alias("slot"), "player_id")
 
 
-def advancement_sql(field: str, name: str, rounds: int = ROUNDS) -> list[str]:
-    """CTEs name0 .. of the chances to win each round in a field (draw_id, slot, player_id, strength), and ``name`` with all of them."""
+def advancement_sql(field: str, name: str, rounds: int = ROUNDS, pins: str = "") -> list[str]:
+    """CTEs name0 .. of the chances to win each round in a field (draw_id, slot, player_id, strength), and ``name`` with all of them; pins (draw_id, round, block, winner) are settled ties."""
     parts = [f"{name}0 AS (SELECT *, CASE WHEN player_id IS NULL THEN 0e0 ELSE 1e0 END AS p FROM {field})"]
     for r in range(1, rounds + 1):
         h, last = f"(slot // {1 << (r - 1)})", f"{name}{r - 1}"
         parts.append(
-            f"""{name}{r} AS (SELECT a.draw_id, a.slot, a.player_id, a.strength, a.p * (coalesce(sum(b.p / (1 + exp((b.strength - a.strength) / 3000))), 0) + 1 - coalesce(sum(b.p), 0)) AS p
+            f"""{name}{"x" if pins else ""}{r} AS (SELECT a.draw_id, a.slot, a.player_id, a.strength, a.p * (coalesce(sum(b.p / (1 + exp((b.strength - a.strength) / 3000))), 0) + 1 - coalesce(sum(b.p), 0)) AS p
 FROM (SELECT *, {h} AS h FROM {last}) a LEFT JOIN (SELECT *, {h} AS h FROM {last} WHERE player_id IS NOT NULL) b ON a.draw_id = b.draw_id AND b.h = CASE WHEN a.h % 2 = 0 THEN a.h + 1 ELSE a.h - 1 END GROUP BY a.draw_id, a.slot, a.player_id, a.strength, a.p)"""
         )
+        if pins:
+            parts.append(f"{name}{r} AS (SELECT x.* REPLACE (CASE WHEN w.winner IS NULL THEN p WHEN w.winner = player_id THEN 1e0 ELSE 0e0 END AS p) FROM {name}x{r} x LEFT JOIN {pins} w ON w.draw_id = x.draw_id AND w.round = {r} AND w.block = slot // {1 << r})")
     chosen = ", ".join(f"{name}{r}.p AS reach_{r}" for r in range(1, rounds + 1))
     joins = " ".join(f"JOIN {name}{r} USING (draw_id, slot)" for r in range(2, rounds + 1))
     return [*parts, f"{name} AS (SELECT draw_id, slot, {name}1.player_id, {chosen} FROM {name}1 {joins} WHERE {name}1.player_id IS NOT NULL)"]
@@ -181,6 +183,25 @@ def bracket_live_move(spark, d):
     return out.select("draw_id", "player_id", "alive", F.round("before", 6).alias("before"), F.round("now", 6).alias("now"), F.round(F.col("now") - F.col("before"), 6).alias("move"))
 
 
+@query(
+    "bracket_pinned",
+    event_sql(f"SELECT draw_id, player_id, {reaches()} FROM r", "pins AS (SELECT * FROM results WHERE round = 1 OR round = 2 AND (draw_id + block) % 3 <> 0)", *advancement_sql("entrants", "r", pins="pins")),
+)
+def bracket_pinned(spark, d):
+    """Chances in a running event: played ties of two rounds are pinned, ties still on court and later ones are open."""
+    full, results = one_event(spark, d)
+    pins = results.filter((F.col("round") == 1) | ((F.col("round") == 2) & ((F.col("draw_id") + F.col("block")) % 3 != 0)))
+    return bracket.advancement(full, chance, ROUNDS, pins).select("draw_id", "player_id", *[F.round(f"reach_{r}", 6).alias(f"reach_{r}") for r in range(1, ROUNDS + 1)])
+
+
+@query("bracket_replayable", event_sql("SELECT draw_id, count(*) AS draw_size, min(player_id) AS first_player FROM entrants WHERE draw_id % 5 <> 0 GROUP BY draw_id"))
+def bracket_replayable(spark, d):
+    """Events whose draw can be rebuilt from their results; every fifth has lost its final and cannot."""
+    _, results = one_event(spark, d)
+    known = results.filter((F.col("draw_id") % 5 != 0) | (F.col("round") < ROUNDS))
+    return bracket.reconstructed(known, ROUNDS).groupBy("draw_id").agg(F.count("*").alias("draw_size"), F.min("player_id").alias("first_player"))
+
+
 @query(
     "bracket_state",
     event_sql(
