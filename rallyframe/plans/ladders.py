@@ -95,3 +95,25 @@ def bracket_convention(spark, d):
     tie = F.concat_ws("/", "round", "block").alias("tie")
     listed = results.select("draw_id", tie, F.when(even, F.col("winner")).otherwise(F.col("loser")).alias("first_id"), F.when(even, F.col("loser")).otherwise(F.col("winner")).alias("second_id"))
     return bracket.winner_convention(listed, results.select("draw_id", tie, "winner"))
+
+
+@query(
+    "ladder_sides",
+    f"""WITH {RUNGS}, j AS (SELECT g.match_id, ln, o_totalprice / 60000 > ln AS over, p, greatest(t, 1) AS t, least(0.95, greatest(0.05, p + CASE WHEN g.match_id % 2 = 0 THEN 8e-2 ELSE -8e-2 END)) AS q FROM g JOIN orders ON o_orderkey = g.match_id),
+s AS (SELECT match_id, ln, side, CASE WHEN side = 'over' THEN q ELSE 1 - q END AS q, greatest(1.01, least(50, 1 / (CASE WHEN side = 'over' THEN p ELSE 1 - p END * t))) AS price, (side = 'over') = over AS won FROM j, (VALUES ('over'), ('under')) v(side)),
+b AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY ev DESC, ln, side) AS k FROM (SELECT *, round(q * price - 1, 6) AS ev FROM s) WHERE ev > 0.01)
+SELECT rungs, side, count(*) AS bets, round(avg(CASE WHEN won THEN price - 1 ELSE -1 END) * 100, 4) AS roi_pct FROM (SELECT 'all' AS rungs, * FROM b UNION ALL SELECT 'best', * FROM b WHERE k = 1) GROUP BY rungs, side""",
+    "price",
+)
+def ladder_sides(spark, d):
+    """Bets on both sides of every rung, all of them and the best of each match."""
+    out = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), (F.col("o_totalprice") / 60000).alias("actual"))
+    lean = F.when(F.col("match_id") % 2 == 0, 0.08).otherwise(-0.08)
+    rows = rungs(spark, d).join(out, "match_id").withColumn("q", F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col("p") + lean)))
+    over = F.col("actual") > F.col("ln")
+    side = lambda name, p, q, won: F.struct(F.lit(name).alias("side"), p.alias("p"), q.alias("q"), won.alias("won"))
+    long = rows.select("match_id", "ln", F.greatest("t", F.lit(1.0)).alias("t"), F.explode(F.array(side("over", F.col("p"), F.col("q"), over), side("under", 1 - F.col("p"), 1 - F.col("q"), ~over))).alias("s")).select("match_id", "ln", "t", "s.*")
+    bets = long.withColumn("price", F.greatest(F.lit(1.01), F.least(F.lit(50.0), 1 / (F.col("p") * F.col("t"))))).withColumn("ev", F.round(mk.expected_value(F.col("q"), F.col("price")), 6)).filter("ev > 0.01")
+    one = form.first_by(bets, ["match_id"], -F.col("ev"), F.col("ln"), F.col("side"))
+    both = bets.withColumn("rungs", F.lit("all")).unionByName(one.withColumn("rungs", F.lit("best")))
+    return both.groupBy("rungs", "side").agg(F.count("*").alias("bets"), F.round(F.avg(F.when(F.col("won"), F.col("price") - 1).otherwise(-1.0)) * 100, 4).alias("roi_pct"))

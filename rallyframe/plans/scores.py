@@ -252,6 +252,44 @@ def market_closing_line_value(spark, d):
     )
 
 
+@query(
+    "market_controls",
+    """WITH s AS (SELECT unnest([CASE WHEN p1_price <= p2_price THEN 'favourite' ELSE 'underdog' END, 'first']) AS strategy, p1_price AS o, y_win AS won FROM priced
+UNION ALL SELECT unnest([CASE WHEN p1_price <= p2_price THEN 'underdog' ELSE 'favourite' END, 'second']), p2_price, 1 - y_win FROM priced)
+SELECT strategy, count(*) AS bets, round(avg(won * o - 1) * 100, 4) AS roi_pct, round(avg(won), 6) AS hit_rate FROM s GROUP BY strategy""",
+    MARKET,
+)
+def market_controls(spark, d):
+    """Returns of rules that know nothing: always the favourite, the underdog, the first or the second side."""
+    low = F.col("p1_price") <= F.col("p2_price")
+    bet = lambda name, o, won: F.struct(name.alias("strategy"), o.alias("o"), won.alias("won"))
+    one, two = (F.col("p1_price"), F.col("y_win")), (F.col("p2_price"), 1 - F.col("y_win"))
+    bets = F.array(bet(F.when(low, "favourite").otherwise("underdog"), *one), bet(F.lit("first"), *one), bet(F.when(low, "underdog").otherwise("favourite"), *two), bet(F.lit("second"), *two))
+    rows = priced(spark, d).select(F.explode(bets).alias("b")).select("b.*")
+    return rows.groupBy("strategy").agg(F.count("*").alias("bets"), F.round(F.avg(F.col("won") * F.col("o") - 1) * 100, 4).alias("roi_pct"), F.round(F.avg("won"), 6).alias("hit_rate"))
+
+
+@query(
+    "market_price_move",
+    """WITH m AS (SELECT match_id, median(p1_price) AS m1, median(p2_price) AS m2 FROM price GROUP BY match_id), j AS (SELECT p.*, o.p1_open, o.p2_open, m1, m2 FROM priced p JOIN opening o USING (match_id) JOIN m USING (match_id)),
+b AS (SELECT *, CASE WHEN p_win * p1_open - 1 >= (1 - p_win) * p2_open - 1 THEN 1 ELSE 2 END AS side, greatest(p_win * p1_open - 1, (1 - p_win) * p2_open - 1) AS ev FROM j),
+c AS (SELECT season, CASE WHEN side = 1 THEN p1_open / p1_price ELSE p2_open / p2_price END - 1 AS move, CASE WHEN side = 1 THEN p1_open > 1.15 * m1 ELSE p2_open > 1.15 * m2 END AS stale FROM b WHERE ev > 0.03)
+SELECT season, count(*) AS bets, round(avg(move) * 100, 4) AS move_pct, count(*) FILTER (WHERE stale) AS stale, round(avg(move) FILTER (WHERE NOT stale) * 100, 4) AS fresh_move_pct FROM c GROUP BY season""",
+    "forecast price closing opening priced",
+)
+def market_price_move(spark, d):
+    """How far the price of bets at the opening moved by the close, also without quotes that stood 15 percent above the books' median."""
+    quotes = price(spark, d)
+    middle = quotes.groupBy("match_id").agg(F.median("p1_price").alias("m1"), F.median("p2_price").alias("m2"))
+    bets = betting.with_bets(priced(spark, d).join(first_capture(quotes), "match_id").join(middle, "match_id"), o1="p1_open", o2="p2_open")
+    first = F.col("side") == 1
+    move = F.when(first, F.col("p1_open") / F.col("p1_price")).otherwise(F.col("p2_open") / F.col("p2_price")) - 1
+    rows = bets.select("season", move.alias("move"), F.when(first, F.col("p1_open") > 1.15 * F.col("m1")).otherwise(F.col("p2_open") > 1.15 * F.col("m2")).alias("stale"))
+    return rows.groupBy("season").agg(
+        F.count("*").alias("bets"), F.round(F.avg("move") * 100, 4).alias("move_pct"), F.count_if("stale").alias("stale"), F.round(F.avg(F.when(~F.col("stale"), F.col("move"))) * 100, 4).alias("fresh_move_pct")
+    )
+
+
 @query(
     "market_open_vs_close",
     """WITH j AS (SELECT c.match_id, c.p1_price, o.p1_open, f.season FROM closing c JOIN opening o USING (match_id) JOIN forecast f USING (match_id))
