@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from rallyframe.operators import bracket, models, ordering, ratings
+from rallyframe.functions import market as mk
+from rallyframe.operators import bracket, metrics, models, ordering, ratings
 from rallyframe.operators import relational as rel
 from rallyframe.plans.values import pooled
 from rallyframe.sources import drawsheets, files, pages
@@ -186,3 +188,43 @@ def test_results_files(spark, tmp_path):
     ]
     with pytest.raises(ValueError):
         files.replace_table(spark.range(0), str(tmp_path / "out"))
+
+
+def test_day_pages_with_odd_rows(spark):
+    page = (
+        '<table><tr class="flags head"><td class="t-name">River Cup</td></tr><tr class="a"><td class="t-name"><a>Ode B.</a> (2)</td><td class="score">2</td><td class="score">0</td><td class="course">x</td><td class="coursew">3.5</td><td><a href="/match-detail/?id=71">i</a></td></tr>'
+        '<tr class="a"><td class="t-name">Pell C.</td></tr><tr class="b"><td class="t-name">No Link</td></tr><tr class="head"><td class="t-name">ITF Shore</td></tr><tr class="c"><td class="t-name">Q</td><td><a href="/match-detail/?id=72">i</a></td></tr><tr><td class="t-name">R</td></tr></table>'
+    )
+    rows = spark.createDataFrame([(1, page), (2, ""), (3, None), (4, "<tr><td class='t-name'>")], "page_id int, html string")
+    got = pages.day_results(rows).collect()
+    assert [tuple(r) for r in got] == [(1, 71, "River Cup", "atp", "Ode B.", "Pell C.", "2 0", None, 3.5)]
+
+
+def test_pinned_ties_settle_their_blocks(spark):
+    draw = spark.createDataFrame([(1, i, i, 0.0) for i in range(4)], "draw_id int, slot int, player_id int, strength double")
+    even = lambda a, b: 1 / (1 + F.exp(b - a))
+    pins = spark.createDataFrame([(1, 1, 0, 1)], "draw_id int, round int, block int, winner int")
+    got = {r.player_id: (r.reach_1, r.reach_2) for r in bracket.advancement(draw, even, 2, pins).collect()}
+    assert got == {0: (0.0, 0.0), 1: (1.0, 0.5), 2: (0.5, 0.25), 3: (0.5, 0.25)}
+    none = bracket.advancement(draw, even, 2, pins.limit(0)).collect()
+    assert all(math.isclose(r.reach_2, 0.25) for r in none)
+
+
+def test_residual_chances_from_earlier_rows(spark):
+    fit = spark.createDataFrame([(1, 0.0, float(i)) for i in range(-50, 50)], "g int, pred double, actual double")
+    asked = spark.createDataFrame([(1, 1, 10.0, 30.0), (2, 1, 10.0, 999.0), (3, 2, 0.0, 0.0)], "id int, g int, pred double, line double")
+    got = {r.id: r.p_over for r in models.residual_chance(asked, "g", "pred", "actual", "line", least=10, fit=fit).collect()}
+    assert math.isclose(got[1], 0.29) and math.isclose(got[2], 1e-6, rel_tol=1e-3) and math.isclose(got[3], 0.49)
+    assert [r.p_over for r in models.residual_chance(asked, "g", "pred", "actual", "line", fit=fit.limit(0)).collect()] == [None] * 3
+
+
+def test_ranks_share_ties_in_groups(spark):
+    rows = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 3.0), ("b", 9.0)], "g string, x double")
+    assert sorted((r.g, r.x, r.k) for r in metrics.ranked(rows, "x", ["g"], "k").collect()) == [("a", 1.0, 1.0), ("a", 3.0, 2.5), ("a", 3.0, 2.5), ("b", 9.0, 1.0)]
+
+
+def test_no_chance_has_no_loss(spark):
+    rows = spark.createDataFrame([(1, 0.5), (0, None)], "y int, p double")
+    loss = rows.agg(mk.log_loss(F.col("y"), F.col("p")).alias("l")).first().l
+    assert math.isclose(loss, math.log(2))
+    assert [r.k for r in rows.select(mk.kelly(F.col("p"), F.lit(3.0)).alias("k")).collect()] == [0.05, None]
