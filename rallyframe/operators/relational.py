@@ -109,3 +109,20 @@ def lookup(rows: DataFrame, out: str, *sources: tuple[str, DataFrame, str, str])
         rows = rows.join(one, F.col(column) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         names.append(f"_v{i}")
     return rows.withColumn(out, F.coalesce(*names)).drop(*names)
+
+
+def best_in_band(left: DataFrame, right: DataFrame, days: int = 10, least: float = 0.2) -> DataFrame:
+    """left_id, right_id, jaccard, gap: for each left entity the right one of the most similar set within ``days`` of it, if ``least`` or more.
+
+    Both sides: id, day (a number), items (an array without repeats). The nearer day, then the smaller id goes first among equals. Rows meet by item and
+    stretch of days, the right side in its own and both neighbouring stretches, so that pairs are few where days are many.
+    """
+    stretch = F.floor(F.col("day") / days)
+    a = left.select(F.col("id").alias("left_id"), F.col("day").alias("a_day"), F.size("items").alias("a_size"), stretch.alias("stretch"), F.explode("items").alias("item"))
+    b = right.select(F.col("id").alias("right_id"), F.col("day").alias("b_day"), F.size("items").alias("b_size"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"), "items")
+    b = b.withColumn("item", F.explode("items")).drop("items")
+    gap = F.abs(F.col("a_day") - F.col("b_day"))
+    shared = a.join(b, ["item", "stretch"]).filter(gap <= days).groupBy("left_id", "right_id", "a_size", "b_size", gap.alias("gap")).agg(F.count("*").alias("both"))
+    scored = shared.withColumn("jaccard", F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both"))).filter(F.col("jaccard") >= least)
+    best = scored.groupBy("left_id").agg(F.max(F.struct("jaccard", (-F.col("gap")).alias("g"), (-F.col("right_id")).alias("r"))).alias("x"))
+    return best.select("left_id", (-F.col("x.r")).alias("right_id"), "x.jaccard", (-F.col("x.g")).alias("gap"))

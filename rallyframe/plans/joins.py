@@ -123,6 +123,21 @@ def join_jaccard(spark, d):
     return rel.set_similarity(sets, "e", "i", 0.5).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query(
+    "join_best_in_band",
+    """WITH i AS (SELECT DISTINCT o_orderkey AS id, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, l_partkey AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT id, count(*) AS n FROM i GROUP BY id),
+p AS (SELECT a.id AS left_id, b.id AS right_id, abs(a.day - b.day) AS gap, count(*) AS c FROM i a JOIN i b ON a.item = b.item AND a.id % 2 = 1 AND b.id % 2 = 0 AND abs(a.day - b.day) <= 10 GROUP BY ALL),
+s AS (SELECT left_id, right_id, gap, c / (x.n + y.n - c) AS jaccard FROM p JOIN n x ON x.id = left_id JOIN n y ON y.id = right_id)
+SELECT left_id, right_id, round(jaccard, 6) AS jaccard, gap FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY jaccard DESC, gap, right_id) AS k FROM s WHERE jaccard >= 0.2) WHERE k = 1""",
+)
+def join_best_in_band(spark, d):
+    """For each odd order the even one with the most similar parts within ten days."""
+    items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("items"))
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), day.alias("day")).join(items, "id")
+    return rel.best_in_band(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0")).withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query(
     "join_common_sample",
     """WITH b AS (SELECT DISTINCT ln, book FROM price), n AS (SELECT count(DISTINCT ln) AS n FROM price), c AS (SELECT book FROM b GROUP BY book HAVING count(*) = (SELECT n FROM n))
