@@ -10,7 +10,7 @@ but not the other way round.
 The trees are fitted to a bounded sample: SAMPLE different pages of at most SAMPLE_CHARS characters that mark their article,
 the first by a hash of their content, so it is the same on every run. What is known of their nodes does not come from
 the names that are features: the article is what lies in the element that HTML has for it; what lies outside, or in
-elements that HTML has for other things, is not part of it. A node in the article with a name of
+elements that HTML has for other things, is not part of it. In a table where no page marks its article all of a page is, but for those elements. A node in the article with a name of
 boilerplate, or with a text that other pages of the sample repeat, is left out of the fit. Names are learnt from boxes put into copies of the pages, whose content is
 taken from other pages; a last copy hides all names, so that the trees also learn from density, depth and siblings.
 
@@ -63,7 +63,7 @@ CONTENT_TAGS = frozenset("article main".split())
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 CLOSING = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN}
-ATTRS = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+ATTRS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 KINDS = ("body", "article", "main", "section", "div", "header", "footer", "nav", "aside", "form", "p", "li", "ul", "td", "table", "blockquote", "pre", "heading", "other")
@@ -272,7 +272,7 @@ class Page:
         n = len(self.tag)
         marked = [t in CONTENT_TAGS for t in self.tag]
         if not any(marked):
-            marked = self.content
+            marked = self.content if any(self.content) else [True] * n
         text = self.blocks() if repeated else None
         out, off, doubtful = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         for i in range(1, n):
@@ -317,17 +317,28 @@ class Page:
                 block = b
                 parts.append(piece)
         out.append("".join(parts))
-        return " ".join(" ".join(html_lib.unescape(x).split()) for x in out if x.strip()).strip()
+        return " ".join(filter(None, (" ".join(html_lib.unescape(x).split()) for x in out)))
+
+
+def under_another_name(source: str, k: int) -> tuple[str, int]:
+    """source with its article in another element that says so, and where that begins (0 without an article)."""
+    tag, attrs = (("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("section", ' class="post-body"'))[k % 5]
+    begin = re.search(r"(?i)<(?:article|main)\b[^>]*>", source)
+    if not begin:
+        return source, 0
+    rest = re.sub(r"(?i)</(?:article|main)\s*>", f"</{tag}>", source[begin.end() :], count=1)
+    return f"{source[: begin.start()]}<{tag}{attrs}>{rest}", begin.start()
+
+
+def words_of(source: str) -> list[str]:
+    return re.sub(r"<[^>]*>", " ", source).split()
 
 
 def disturbed(source: str, other: str, k: int) -> str:
     """source with its article under another name and two pieces of other in it as boilerplate."""
     names, inner, outer = sorted(BOILER), ("div", "section", "aside", "form", "ul", "nav"), ("header", "div", "section", "header", "aside", "ul")
-    tag, attrs = (("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("section", ' class="post-body"'))[k % 5]
-    source = re.sub(r"(?i)<(?:article|main)\b[^>]*>", f"\0<{tag}{attrs}>", source, count=1)
-    source = re.sub(r"(?i)</(?:article|main)\s*>", f"</{tag}>", source, count=1)
-    start = source.find("\0")
-    words = re.sub(r"<[^>]*>", " ", other).split()
+    source, start = under_another_name(source, k)
+    words = words_of(other)
     pieces = [" ".join(words[i : i + 5 + 7 * (k % 6)]) for i in (k % 11, 20 + k % 17)]
     boxes = []
     for i, (t, x) in enumerate(((inner[k % 6], pieces[0]), (outer[k % 6], pieces[1]))):
@@ -336,34 +347,61 @@ def disturbed(source: str, other: str, k: int) -> str:
         boxes.append(f"<{t}{name} {BOX}><{line}>{x}</{line}></{t}>")
     ends = [m.end() for m in re.finditer(r"(?i)</p>", source) if m.start() > start] or [len(source)]
     at = ends[k % len(ends)]
-    return source[:start] + boxes[1] + source[start + 1 : at] + boxes[0] + source[at:]
+    return source[:start] + boxes[1] + source[start:at] + boxes[0] + source[at:]
+
+
+#: Parts of articles beside headings and paragraphs; {0} to {3} are four pieces of text.
+PARTS = (
+    "<ul><li>{0}</li><li>{1}</li><li>{2}</li></ul>", "<div><p>{0}</p><p>{1}</p></div>", "<table><tr><th>{0}</th><td>{1}</td></tr><tr><th>{2}</th><td>{3}</td></tr></table>", "<blockquote>{0}</blockquote>",
+    "<section><h2>{0}</h2><p>{1}</p></section>", "<pre>{0}</pre>", "<figure><img src=x><figcaption>{0}</figcaption></figure>", "<div>{0}</div>", "<ol><li>{0}</li><li>{1}</li></ol>", "<div><ul><li>{0}</li><li>{1}</li></ul><blockquote><p>{2}</p></blockquote></div>",
+    "<dl><dt>{0}</dt><dd>{1}</dd><dt>{2}</dt><dd>{3}</dd></dl>", "<section><div><p>{0}</p><pre>{1}</pre></div><p>{2}</p></section>", "<table><thead><tr><td>{0}</td></tr></thead><tbody><tr><td>{1}</td></tr></tbody></table>", "<blockquote><p>{0}</p><p>{1}</p></blockquote>",
+)
+
+
+def enriched(source: str, other: str, k: int) -> str:
+    """source with its article under another name and PARTS made of other's words in it as content, some before a heading, some with a name that says nothing."""
+    source, start = under_another_name(source, k)
+    words, kind = words_of(other) or ["word"], ("", ' class="c-17 wide"', ' id="x9"')[k // 7 % 3]
+    end = re.search(r"(?i)</(?:article|main|section|body)\b", source[start:])
+    inside = source[start : start + end.start()] if end else source[start:]
+    places = sorted({start + (m.end() if m[0][1] == "/" else m.start()) for m in re.finditer(r"(?i)<h[1-6]\b|</p\s*>", inside)})
+    out, at = [], 0
+    for n, place in enumerate(places[k % 3 :: 3] or places[:1]):
+        size, first = (3, 8, 25, 60)[(n + k) % 4], 13 * n + k
+        pieces = [" ".join((words * (2 + 4 * size // len(words)))[(first + i * size) % len(words) :][:size]) for i in range(4)]
+        out += [source[at:place], re.sub(r"^<(\w+)", rf"<\1{kind}", PARTS[(k + 5 * n) % len(PARTS)].format(*pieces))]
+        at = place
+    return "".join([*out, source[at:]])
 
 
 def trained(sources: list[str]) -> BoostedTrees:
-    """Trees fitted to pages that mark their article."""
+    """Trees fitted to pages that mark their article, or to pages of which none does."""
     read = [Page(x) for x in sources]
     texts = Counter(t for page in read for t in {x for x in page.blocks() if x})
     repeated = frozenset(t for t, n in texts.items() if n > 1)
     xs, ys = [], []
     for k, (source, page) in enumerate(zip(sources, read, strict=True)):
-        changed = Page(disturbed(source, sources[k - 1], k))
-        for own, hide in ((page, False), (changed, False), (page, True)):
+        changed, fuller = Page(disturbed(source, sources[k - 1], k)), Page(enriched(source, sources[k - 1], k))
+        for own, hide in ((page, False), (changed, False), (fuller, False), (page, True)):
             x, y = own.features(), own.known(repeated)
             if hide:
                 x[:, :NAMED] = 0
             xs.append(x[y >= 0])
             ys.append(y[y >= 0])
-    if not sources:  # no page says where its article is: nothing is known to be boilerplate
+    if not sources:  # nothing is known to be boilerplate
         xs, ys = [np.zeros((1, Page("").features().shape[1]))], [np.array([1])]
     return BoostedTrees().fit(np.concatenate(xs), np.concatenate(ys).astype(np.float64))
 
 
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> BoostedTrees:
-    """Trees fitted to a bounded sample of the different pages that mark their article by an element, a class, an id or a role."""
+    """Trees fitted to a bounded sample of the different pages that mark their article by an element, a class, an id or a role; of all different pages where none does."""
     named = rf"(?i)<({'|'.join(sorted(CONTENT_TAGS))})\b|\b(class|id|role)\s*=\s*[^>]*\b({'|'.join(sorted(CONTENT))})\b"
-    marked = pages.select(F.col("html")).filter(F.length("html") <= SAMPLE_CHARS).filter(F.col("html").rlike(named)).withColumn("h", F.xxhash64("html"))
-    # so that about twice the sample is looked at, however many pages there are
-    share = min(1.0, 2 * sample / max(1, marked.agg(F.approx_count_distinct("h")).first()[0]))
+    short = pages.select(F.col("html")).filter((F.length("html") <= SAMPLE_CHARS) & (F.col("html") != "")).withColumn("h", F.xxhash64("html"))
+    marked = short.filter(F.col("html").rlike(named))
+    n = marked.agg(F.approx_count_distinct("h")).first()[0]
+    if not n:
+        marked, n = short, short.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, 2 * sample / max(1, n))  # so that about twice the sample is looked at, however many pages there are
     drawn = marked.filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share)
     few = drawn.groupBy("h").agg(F.first("html").alias("html")).orderBy("h").limit(sample)
     return trained([row["html"] for row in few.collect()])
