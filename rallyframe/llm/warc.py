@@ -1,18 +1,19 @@
 """Deterministic sharded WARC files of pages, and their reader.
 
-Pages are range-sorted by page_id; each task writes its range as gzip members, one a
+Pages are sorted by ranges of page_id, called shards, whose bounds come from exact sums of bytes over the ids in order: they depend on the data alone,
+not on a sample, on partitions or on adaptive plans. Each shard is written as gzip members, one a
 record, and rolls to a new file when the compressed size passes a bound. Headers and digests are made anew
 from the payload, so equal tables give equal files. A file is written under a temporary
 name of the attempt and renamed when complete; the manifest, written by Spark at the end,
-names the files that count. A lost executor's ranges are written again under the same final names.
+names the files that count. A lost executor's shards are written again under the same final names.
 
 Of equal payloads of MIN_REVISIT bytes or more the row with the largest page_id becomes a response
 and the others revisit it; rows that repeat both page_id and payload are all responses if theirs is the largest page_id.
 Nulls: a null html is an empty payload; a null url becomes a urn; a null page_id is kept as null
 and never elected while there is another. An empty table gives an empty manifest.
 
-Plan: pages move once (the range sort). Which page is the response is decided on digests, pre-aggregated
-in each task; revisits reach the writer as short rows in the same range sort, so that
+Plan: pages move once (to their shards; sizes by id are summed first, without payloads). Which page is the response is decided on digests, pre-aggregated
+in each task; revisits reach the writer as short rows in the same shards, so that
 no join moves payloads and a payload with very many copies is no hot key.
 """
 
@@ -25,16 +26,20 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_totals
 from .shared import columns, new_path, to_arrow, whole_text
 
 MIN_REVISIT = 1000
 ROLL_BYTES = 64 << 20
+#: Bytes of payloads and headers of a shard, or more where there would be over SHARDS of them.
+SHARD_BYTES, SHARDS, HEAD_BYTES = 16 << 20, 65_536, 600
 READERS = 20_000  # tasks that read, at most; each takes all files that fall to it
 DATE = "2000-01-01T00:00:00Z"  # a fixed value: no clock in deterministic files
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -125,6 +130,22 @@ class _Files:
         return self.name, self.records, self.size, self.hash.hexdigest()
 
 
+def shards(rows: DataFrame) -> tuple[Column, int]:
+    """The shard of a page_id (0 for null), and how many there are: bounds are ids at which exact running sums of bytes pass multiples of one size."""
+    sizes = rows.filter("page_id is not null").groupBy("page_id").agg(F.sum(F.octet_length("html") + HEAD_BYTES).alias("bytes"))
+    placed = running_totals(sizes, ["page_id"], {"before": F.col("bytes")})
+    total = placed.agg(F.max(F.col("before") + F.col("bytes"))).first()[0] or 0
+    size = max(SHARD_BYTES, -(-total // SHARDS))
+    bounds = placed.groupBy(F.floor(F.col("before") / F.lit(size)).alias("s")).agg(F.min("page_id").alias("low")).select("low")
+    lows = np.sort(np.array([r["low"] for r in bounds.collect()], np.int64))  # SHARDS + 1 numbers at most
+
+    @F.pandas_udf("int")
+    def shard(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(lows, ids, "right"), dtype="int32")
+
+    return F.when(F.col("page_id").isNull(), 0).otherwise(shard(F.coalesce("page_id", F.lit(0)))), len(lows) + 1
+
+
 def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) under path; returns the manifest."""
     html = whole_text("html")
@@ -142,11 +163,15 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES) -> Dat
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], f.type) for i, f in enumerate(schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Files(f"{path}/records", TaskContext.get().partitionId(), roll_bytes)
-        page, known = object(), {}
+        files, shard, page, known = None, None, object(), {}
         for batch in batches:
             done: list[tuple] = []
             for row in batch.to_pylist():
+                if row["shard"] != shard:
+                    if files is not None and files.out is not None:
+                        done.append(files.close())
+                    shard, page = row["shard"], object()
+                    files = _Files(f"{path}/records", shard, roll_bytes)
                 if row["page_id"] != page:
                     page, known = row["page_id"], {}
                 if row["kind"] == 0:
@@ -156,10 +181,11 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES) -> Dat
                     done += files.add(record(page, row["url"], row["html"].encode(), known.get(row["digest"]), revisit))
             if done:
                 yield manifest(done)
-        if files.out is not None:
+        if files is not None and files.out is not None:
             yield manifest([files.close()])
 
-    sharded = both.repartitionByRange(order).sortWithinPartitions(order, "kind", "digest", "url")
+    shard, n = shards(rows)
+    sharded = both.withColumn("shard", shard).repartition(n, "shard").sortWithinPartitions("shard", order, "kind", "digest", "url")
     sharded.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 

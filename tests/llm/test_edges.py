@@ -90,6 +90,20 @@ def test_warc_of_odd_rows(spark, tmp_path):
     assert warc.warc_rows(pages.limit(0)).collect() == []
 
 
+def test_equal_pages_give_equal_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD_BYTES", 60_000)
+    rows = spark.range(4000).selectExpr("id * id % 7919 * 1000003 as page_id", "concat('http://h/', id) as url", "repeat(concat('text ', id % 700), 1 + cast(id % 211 as int)) as html")
+    seen = []
+    for parts, adaptive in ((1, "true"), (7, "true"), (23, "false"), (4, "false")):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        warc.write_warc(rows.repartition(parts, "html"), f"file://{tmp_path}/{parts}", roll_bytes=4_000)
+        seen.append(sorted((p.name, zlib.crc32(p.read_bytes())) for p in (tmp_path / str(parts) / "records").glob("*.gz")))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len({name.split("-")[1] for name, _ in seen[0]}) > 10 and len(seen[0]) > 30 and all(x == seen[0] for x in seen)
+    ids = [r.page_id for r in warc.read_warc(spark, f"file://{tmp_path}/23").collect()]
+    assert sorted(ids) == sorted(r.page_id for r in rows.collect())
+
+
 def test_extraction_of_odd_rows(spark):
     rows = {r.page_id: r for r in extract.extracted(odd_pages(spark)).collect()}
     assert rows[1].text.startswith("T words in a row") and rows[1].n_chars == len(rows[1].text)
