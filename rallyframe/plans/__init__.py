@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "forms", "joins", "values", "brackets", "streams", "models", "flagship", "features", "ladders", "captures", "reports")
+MODULES = ("scores", "forms", "joins", "values", "brackets", "streams", "models", "flagship", "features", "ladders", "captures", "reports", "frames")
 
 
 def all_queries():
