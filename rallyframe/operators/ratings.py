@@ -31,6 +31,7 @@ class EloRule:
     idle_grace: int = 90
     blend: float = 60.0
     margin_weight: bool = False
+    season_regress: float = 0.0  # share of the way back to the base at each change of season
 
 
 def expected(a: Column, b: Column) -> Column:
@@ -49,8 +50,10 @@ def drifted(rating: Column, idle_days: Column, rule: EloRule = EloRule()) -> Col
 
 
 MATCH = "match_id bigint, w_elo double, l_elo double, w_surface_elo double, l_surface_elo double"
-STATE = "player_id bigint, scope string, rating double, played bigint, last_day int"
+STATE = "player_id bigint, scope string, rating double, played bigint, last_day int, season bigint"
 RESULT = ("match_id", "day", "surface", "winner_id", "loser_id", "margin", "walkover")
+NO_STATE = [None] * len(STATE.split(", "))
+ANSWER = "ask_id bigint, player_id bigint, elo double, surface_elo double, played bigint"
 
 
 def _fields(ddl: str) -> list[T.StructField]:
@@ -59,12 +62,18 @@ def _fields(ddl: str) -> list[T.StructField]:
 
 
 class _Pool:
+    """Ratings of a pool. A change of season moves all ratings, but only its number is kept: each rating knows at which change it was last written and is moved when it is read."""
+
     def __init__(self, rule: EloRule):
         self.rule, self.rating, self.played, self.last = rule, {}, {}, {}
+        self.season, self.changes, self.written = None, 0, {}
 
     def value(self, player, scope, day, seed: float) -> float:
         """The stored rating, or seed, with the drift that idle days owe."""
         r = self.rating.get((player, scope), seed)
+        behind = self.changes - self.written.get((player, scope), self.changes)
+        if behind:
+            r = self.rule.base + (r - self.rule.base) * (1.0 - self.rule.season_regress) ** behind
         last = self.last.get(player)
         if day is not None and last is not None:
             years = (day - last - self.rule.idle_grace) / 365.0
@@ -91,35 +100,60 @@ class _Pool:
                 n = self.played.get((player, scope), 0)
                 self.rating[player, scope] = r + sign * factor * rule.k_scale / (n + rule.k_offset) ** rule.k_power * surprise
                 self.played[player, scope] = n + 1
+                if self.rule.season_regress:
+                    self.written[player, scope] = self.changes
         if day is not None:
             self.last[winner] = self.last[loser] = day
 
+    def begin(self, season) -> None:
+        """Counts a change of season before the season's first result."""
+        if self.rule.season_regress and season is not None:
+            self.changes += self.season is not None and season != self.season
+            self.season = season
+
     def row(self, row: dict) -> Iterator[tuple]:
         if row["_known"]:
             key = (row["player_id"], row["scope"])
-            self.rating[key], self.played[key] = row["rating"], row["played"]
+            self.rating[key], self.played[key], self.season, self.written[key] = row["rating"], row["played"], row["season"], 0
             if row["last_day"] is not None:
                 self.last[row["player_id"]] = row["last_day"]
             return
         m, day, surface, w, x, margin, walkover = (row[c] for c in RESULT)
+        self.begin(row["_season"])
         (wo, ws), (lo, ls) = self.seen(w, surface, day), self.seen(x, surface, day)
-        yield (m, wo, lo, ws, ls, *[None] * 5)
+        yield (m, wo, lo, ws, ls, *NO_STATE)
         if not walkover:
             self.fold(w, x, surface, day, margin)
 
     def end(self) -> Iterator[tuple]:
-        for (player, scope), rating in self.rating.items():
-            yield (*[None] * 5, player, scope, rating, self.played[player, scope], self.last.get(player))
+        for player, scope in self.rating:
+            yield (*[None] * 5, player, scope, self.value(player, scope, None, self.rule.base), self.played[player, scope], self.last.get(player), self.season)
+
+
+class _AskedPool(_Pool):
+    """A pool that answers questions about players on the way and says nothing else."""
+
+    def row(self, row: dict) -> Iterator[tuple]:
+        if row["ask_id"] is None:
+            for _ in super().row(row):
+                pass
+        else:
+            self.begin(row["_season"])
+            player = row["player_id"]
+            yield (row["ask_id"], player, *self.seen(player, row["surface"], row["day"]), self.played.get((player, None), 0))
+
+    def end(self) -> Iterator[tuple]:
+        return iter(())
 
 
 def elo_fold(results: DataFrame, pool: list[str], rules: EloRule | dict[str, EloRule] = EloRule(), state: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """pool, and either the columns MATCH of each result or, after them, the columns STATE of each player and scope.
 
-    results: pool, match_id (the order), day (a number of days, or null), surface, winner_id, loser_id, margin, walkover.
+    results: pool, match_id (the order), day (a number of days, or null), surface, winner_id, loser_id, margin, walkover, and season where a rule regresses at its changes.
     Walkovers are emitted but not folded in. Several rules are named by the pool's last column. state: pool and STATE of earlier results.
     """
     start = (lambda key: _Pool(rules[key[-1]])) if isinstance(rules, dict) else (lambda key: _Pool(rules))
-    rows = results.select(*pool, *RESULT).withColumn("_known", F.lit(False))
+    rows = results.select(*pool, *RESULT, _season(results)).withColumn("_known", F.lit(False))
     known = _fields(STATE)
     if state is None:
         rows = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in known])
@@ -128,6 +162,21 @@ def elo_fold(results: DataFrame, pool: list[str], rules: EloRule | dict[str, Elo
     return streamed(rows, pool, [F.desc("_known"), "match_id"], start, T.StructType(_fields(f"{MATCH}, {STATE}")))
 
 
+def _season(rows: DataFrame) -> Column:
+    return (F.col("season") if "season" in rows.columns else F.lit(None)).cast("long").alias("_season")
+
+
+def elo_asked(results: DataFrame, questions: DataFrame, pool: list[str], rule: EloRule = EloRule()) -> DataFrame:  # noqa: B008
+    """pool and ANSWER: what players were rated at many points of the pools' histories, by one fold of each pool.
+
+    questions: pool, ask_id, match_id, player_id, surface, day (and season): the rating of a player just before that match. They travel in the pool's stream, in front of
+    the result of that number, and the fold answers with the state of the asked player alone; so any number of replays costs one reading of the results.
+    """
+    rows = results.select(*pool, *RESULT, _season(results)).withColumns({"ask_id": F.lit(None).cast("long"), "player_id": F.lit(None).cast("long"), "_known": F.lit(False), "_asks": F.lit(1)})
+    asked = questions.select(*pool, "ask_id", "match_id", "player_id", "surface", "day", _season(questions)).withColumns({"_known": F.lit(False), "_asks": F.lit(0)})
+    return streamed(rows.unionByName(asked, allowMissingColumns=True), pool, ["match_id", "_asks"], lambda _: _AskedPool(rule), T.StructType(_fields(ANSWER)))
+
+
 def elo(results: DataFrame, pool: list[str], rule: EloRule = EloRule(), state: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """pool, match_id and the ratings of both players before each match."""
     return elo_fold(results, pool, rule, state).filter("match_id is not null").select(*pool, *[f.name for f in _fields(MATCH)])

@@ -8,6 +8,7 @@ from ..functions import market as mk
 from ..functions import probability as prob
 from ..functions import text as tx
 from ..operators import ratings
+from ..session import written
 from .registry import query
 from .views import contest, forecast, table
 
@@ -168,8 +169,9 @@ def scoring_chain(spark, d):
 def pooled(spark, d, pool: str = "surface"):
     """The contests as results of pools; within a pool the surface is whether the match was cut short."""
     rows = contest(spark, d)
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     return rows.select(
-        F.col(pool).alias("pool"), "match_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"), F.when(F.col("retired"), "short").otherwise("full").alias("surface"),
+        F.col(pool).alias("pool"), "match_id", day.alias("day"), F.floor(day / 7).alias("season"), F.when(F.col("retired"), "short").otherwise("full").alias("surface"),
         "winner_id", "loser_id", "margin", F.lit(False).alias("walkover"),
     )
 
@@ -223,14 +225,15 @@ def rating_elo_surface(spark, d):
     return rated.select("pool", "match_id", *[F.round(c, 6).alias(c) for c in ("w_elo", "l_elo", "w_surface_elo", "l_surface_elo")])
 
 
-SWEEP_SQL = """WITH RECURSIVE rules(rule, scale, power, weighted) AS (VALUES ('usual', 200e0, 4e-1, false), ('constant k', 32e0, 0e0, false), ('no drift', 200e0, 4e-1, false), ('by margin', 200e0, 4e-1, true)),
-m AS (SELECT rule, scale, power, CASE WHEN weighted THEN least(1.8e0, greatest(0.5e0, ln(1 + greatest(0, margin)) / ln(6))) ELSE 1e0 END AS f, row_number() OVER (PARTITION BY rule, surface ORDER BY match_id) i, rule || '|' || match_id AS id,
+SWEEP_SQL = """WITH RECURSIVE rules(rule, scale, power, weighted, keep) AS (VALUES ('usual', 200e0, 4e-1, false, 1e0), ('constant k', 32e0, 0e0, false, 1e0), ('no drift', 200e0, 4e-1, false, 1e0), ('by margin', 200e0, 4e-1, true, 1e0), ('by season', 200e0, 4e-1, false, 7e-1)),
+m AS (SELECT rule, scale, power, keep, dense_rank() OVER (PARTITION BY rule, surface ORDER BY date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7) AS epoch, CASE WHEN weighted THEN least(1.8e0, greatest(0.5e0, ln(1 + greatest(0, margin)) / ln(6))) ELSE 1e0 END AS f, row_number() OVER (PARTITION BY rule, surface ORDER BY match_id) i, rule || '|' || match_id AS id,
   rule || '|' || surface || '|' || winner_id w, rule || '|' || surface || '|' || loser_id l FROM contest, rules),
-e(kind, id, r, r2, n, i) USING KEY (kind, id) AS (
- SELECT 'p', p, 1500e0, 0e0, 0::BIGINT, 0::BIGINT FROM (SELECT w p FROM m UNION SELECT l FROM m)
+e(kind, id, r, r2, n, epoch, i) USING KEY (kind, id) AS (
+ SELECT 'p', p, 1500e0, 0e0, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM (SELECT w p FROM m UNION SELECT l FROM m)
  UNION (WITH cur AS (SELECT max(i) i FROM recurring.e),
-  x AS (SELECT m.*, a.r ra, b.r rb, a.n na, b.n nb, f * scale * (1 - 1 / (1 + pow(10, (b.r - a.r) / 400))) AS step FROM m, cur, recurring.e a, recurring.e b WHERE m.i = cur.i + 1 AND a.kind = 'p' AND b.kind = 'p' AND a.id = m.w AND b.id = m.l)
-  SELECT 'p', w, ra + step / pow(na + 5, power), 0e0, na + 1, i FROM x UNION ALL SELECT 'p', l, rb - step / pow(nb + 5, power), 0e0, nb + 1, i FROM x UNION ALL SELECT 'm', id, ra, rb, 0, i FROM x)),
+  y AS (SELECT m.*, 1500 + (a.r - 1500) * pow(keep, m.epoch - a.epoch) ra, 1500 + (b.r - 1500) * pow(keep, m.epoch - b.epoch) rb, a.n na, b.n nb FROM m, cur, recurring.e a, recurring.e b WHERE m.i = cur.i + 1 AND a.kind = 'p' AND b.kind = 'p' AND a.id = m.w AND b.id = m.l),
+  x AS (SELECT *, f * scale * (1 - 1 / (1 + pow(10, (rb - ra) / 400))) AS step FROM y)
+  SELECT 'p', w, ra + step / pow(na + 5, power), 0e0, na + 1, epoch, i FROM x UNION ALL SELECT 'p', l, rb - step / pow(nb + 5, power), 0e0, nb + 1, epoch, i FROM x UNION ALL SELECT 'm', id, ra, rb, 0, 0, i FROM x)),
 s AS (SELECT string_split(id, '|')[1] AS rule, 1 / (1 + pow(10, (r2 - r) / 400)) AS p FROM e WHERE kind = 'm')
 SELECT rule, count(*) AS n, round(-avg(ln(p)), 6) AS log_loss, round(avg(CASE WHEN round(p, 9) > 0.5 THEN 1e0 ELSE 0 END), 6) AS accuracy FROM s GROUP BY rule"""
 
@@ -238,12 +241,44 @@ SELECT rule, count(*) AS n, round(-avg(ln(p)), 6) AS log_loss, round(avg(CASE WH
 @query("rating_elo_sweep", SWEEP_SQL, "contest")
 def rating_elo_sweep(spark, d):
     """Log loss of several rating rules: pools times rules in parallel, scored in one aggregation."""
-    rules = {"usual": ratings.EloRule(), "constant k": ratings.EloRule(k_scale=32.0, k_power=0.0), "no drift": ratings.EloRule(idle_rate=0.0), "by margin": ratings.EloRule(margin_weight=True)}
+    rules = {"usual": ratings.EloRule(), "constant k": ratings.EloRule(k_scale=32.0, k_power=0.0), "no drift": ratings.EloRule(idle_rate=0.0), "by margin": ratings.EloRule(margin_weight=True), "by season": ratings.EloRule(season_regress=0.3)}
     rated = ratings.elo_sweep(pooled(spark, d), ["pool"], rules)
     p = ratings.expected(F.col("w_elo"), F.col("l_elo"))
     return rated.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg(-F.ln(mk.clipped(p))), 6).alias("log_loss"), F.round(F.avg(F.when(F.round(p, 9) > 0.5, 1.0).otherwise(0.0)), 6).alias("accuracy"))
 
 
+#: Matches of an event and the places at which its rounds begin: events of 16 players in the pool's order.
+EVENT_MATCHES, ROUND_STARTS = 15, (0, 8, 12, 14)
+REPLAY_SQL = ELO_SQL.replace("SELECT m.pool, m.match_id, round(r, 6) AS w_elo, round(r2, 6) AS l_elo FROM e JOIN m ON e.id = CAST(m.match_id AS VARCHAR) WHERE kind = 'm'", "SELECT * FROM replayed").replace(
+    " FROM x))\n",
+    f""" FROM x)),
+rated AS (SELECT m.pool, m.i, (m.i - 1) // {EVENT_MATCHES} AS event, (m.i - 1) % {EVENT_MATCHES} AS place, m.w, m.l, r AS ra, r2 AS rb FROM e JOIN m ON e.id = CAST(m.match_id AS VARCHAR) WHERE kind = 'm'),
+sides AS (SELECT pool, i, event, place, w AS id, ra AS own, 1 - 1 / (1 + pow(10, (rb - ra) / 400)) AS move FROM rated UNION ALL SELECT pool, i, event, place, l, rb, -(1 - 1 / (1 + pow(10, (rb - ra) / 400))) FROM rated),
+after AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n, own + 200 / pow(row_number() OVER (PARTITION BY id ORDER BY i) + 4, 0.4) * move AS r FROM sides),
+rounds(round, begins) AS (VALUES {", ".join(f"({r + 1}, {b})" for r, b in enumerate(ROUND_STARTS))}),
+asked AS (SELECT s.pool, s.event, rounds.round, s.id, min(s.event * {EVENT_MATCHES} + begins + 1) AS cut FROM sides s JOIN rounds ON s.place >= begins GROUP BY ALL),
+replayed AS (SELECT asked.pool, event, CAST(round AS BIGINT) AS round, CAST(string_split(asked.id, '|')[2] AS BIGINT) AS player_id, round(coalesce(h.r, 1500), 6) AS elo, coalesce(h.n, 0) AS played
+  FROM asked ASOF LEFT JOIN (SELECT id, i, r, n FROM after) h ON asked.id = h.id AND asked.cut > h.i)
+""",
+)
+
+
+@query("rating_replay", REPLAY_SQL, "contest")
+def rating_replay(spark, d):
+    """Events of each pool replayed from every round: what each player who still plays in it was rated when that round began. One fold for all events and rounds."""
+    from ..operators.ordering import numbered
+
+    placed = numbered(pooled(spark, d), "match_id", name="i", by=["pool"]).withColumn("event", F.floor((F.col("i") - 1) / EVENT_MATCHES)).withColumn("place", (F.col("i") - 1) % EVENT_MATCHES)
+    placed = written(placed, "placed")
+    rounds = F.explode(F.filter(F.array(*[F.struct(F.lit(r + 1).alias("round"), F.lit(b).alias("begins")) for r, b in enumerate(ROUND_STARTS)]), lambda x: x["begins"] <= F.col("place"))).alias("x")
+    sides = placed.select("pool", "event", rounds, F.explode(F.array("winner_id", "loser_id")).alias("player_id")).select("pool", "event", "x.round", "player_id", (F.col("event") * EVENT_MATCHES + F.col("x.begins") + 1).alias("i"))
+    opens = placed.select("pool", "i", "match_id", "day", "surface")
+    asked = sides.distinct().join(opens, ["pool", "i"]).withColumn("ask_id", F.col("event") * len(ROUND_STARTS) + F.col("round"))
+    answers = ratings.elo_asked(placed, asked, ["pool"])
+    n = len(ROUND_STARTS)
+    return answers.select("pool", F.floor((F.col("ask_id") - 1) / n).alias("event"), ((F.col("ask_id") - 1) % n + 1).alias("round"), "player_id", F.round("elo", 6).alias("elo"), "played")
+
+
 def seen_sql(p: str) -> str:
     """Serve and return of player p (a or b) as seen before a match: shrunk by their points, blended with the surface's."""
     own = lambda c: f"CASE WHEN slow THEN {p}.{c}1 ELSE {p}.{c}2 END"
