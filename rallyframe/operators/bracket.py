@@ -38,23 +38,41 @@ def advancement(draws: DataFrame, chance: Chance, rounds: int, pinned: DataFrame
     A player's chance to win round r is that of winning round r - 1 times the chance against whoever comes out
     of the other half of the block, each weighted by their own. Byes have no strength and are beaten surely.
     pinned: draw_id, round, block, winner of ties that have been played; their winners go on surely and nobody else of their blocks does.
+
+    A draw is one row with the array of its places, so a round is an expression on that array and the plan grows by one step a round; a field has at most a few hundred places.
     """
-    now = draws.select("draw_id", "slot", "player_id", "strength", F.when(F.col("player_id").isNull(), 0.0).otherwise(1.0).alias("reach_0"))
-    for r in range(1, rounds + 1):
-        half = F.floor(F.col("slot") / (1 << (r - 1)))
-        members = now.withColumn("half", half)
-        field = members.filter("player_id is not null").groupBy("draw_id", "half").agg(F.collect_list(F.struct("strength", F.col(f"reach_{r - 1}").alias("p"))).alias("others"))
-        other = field.select("draw_id", F.when(F.col("half") % 2 == 0, F.col("half") + 1).otherwise(F.col("half") - 1).alias("half"), "others")
-        met = members.join(other, ["draw_id", "half"], "left")
-        beat = F.aggregate("others", F.lit(0.0), lambda a, o: a + o["p"] * chance(F.col("strength"), o["strength"]))
-        there = F.aggregate("others", F.lit(0.0), lambda a, o: a + o["p"])
-        won = F.col(f"reach_{r - 1}") * F.coalesce(beat + 1 - there, F.lit(1.0))
-        if pinned is not None:
-            done = pinned.filter(F.col("round") == r).select("draw_id", F.col("block").alias("_block"), F.col("winner").alias("_winner"))
-            met = met.withColumn("_block", F.floor(F.col("slot") / (1 << r))).join(done, ["draw_id", "_block"], "left")
-            won = F.when(F.col("_winner").isNull(), won).otherwise(F.coalesce((F.col("_winner") == F.col("player_id")).cast("double"), F.lit(0.0)))
-        now = met.withColumn(f"reach_{r}", won).drop("half", "others", "_block", "_winner")
-    return now
+    one = F.when(F.col("player_id").isNull(), 0.0).otherwise(1.0)
+    place = F.struct(F.col("slot").cast("long").alias("slot"), "player_id", "strength", F.array(one).alias("reach"))
+    now = draws.groupBy("draw_id").agg(F.array_sort(F.collect_list(place)).alias("field"))
+    if pinned is not None:
+        ties = pinned.groupBy("draw_id", _tie(F.col("round"), F.col("block")).alias("at")).agg(F.max("winner").alias("winner"))
+        now = now.join(ties.groupBy("draw_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "winner"))).alias("pins")), "draw_id", "left")
+    # the rounds are steps of one aggregate over the array, so that no round's array is worked out twice
+    played_out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("field"), lambda field, r: F.transform(field, _with_round(field, r, chance, pinned is not None)))
+    now = now.select("draw_id", played_out.alias("field"))
+    return now.select("draw_id", F.explode("field").alias("e")).select("draw_id", "e.slot", "e.player_id", "e.strength", *[F.col("e.reach")[r].alias(f"reach_{r}") for r in range(rounds + 1)])
+
+
+def _tie(r: Column, block: Column) -> Column:
+    """One number for a tie of a draw."""
+    return r.cast("long") * (1 << 32) + block.cast("long")
+
+
+def _with_round(field: Column, r: Column, chance: Chance, pins: bool) -> Callable[[Column], Column]:
+    """A place of field with the chance to win round r put after those in its reach."""
+
+    def place(e: Column) -> Column:
+        block = lambda x, up: F.floor(x["slot"] / F.pow(F.lit(2.0), r - 1 + up))
+        there = F.filter(field, lambda o: o["player_id"].isNotNull() & (block(o, 1) == block(e, 1)) & (block(o, 0) != block(e, 0)))
+        # 1 less the chance to lose to each who may come; meeting nobody is a win
+        beat = F.aggregate(there, F.lit(1.0), lambda s, o: s + F.element_at(o["reach"], -1) * (chance(e["strength"], o["strength"]) - 1))
+        p = F.element_at(e["reach"], -1) * beat
+        if pins:
+            winner = F.try_element_at("pins", _tie(r, block(e, 1)))
+            p = F.when(winner.isNull(), p).otherwise(F.coalesce((winner == e["player_id"]).cast("double"), F.lit(0.0)))
+        return e.withField("reach", F.concat(e["reach"], F.array(p)))
+
+    return place
 
 
 def simulate(draws: DataFrame, chance: Chance, rounds: int, sims: int, seed: int = 11) -> DataFrame:
@@ -81,16 +99,17 @@ def simulate(draws: DataFrame, chance: Chance, rounds: int, sims: int, seed: int
 
 
 def played(draws: DataFrame, of_side: str, first_wins: Callable[[int, Column, Column], Column], rounds: int) -> DataFrame:
-    """draw_id, round, block, winner, loser of draws without byes, where first_wins says of a round's number and both sides, structs of player_id and the column of_side, who wins."""
+    """draw_id, round, block, winner, loser of padded draws, where byes are passed (loser null), ties of two byes are none, and first_wins says of a round's number and both sides, structs of player_id and the column of_side, who wins."""
     now, out = draws.select("draw_id", F.col("slot").cast("long").alias("at"), F.struct("player_id", of_side).alias("side")), None
     for r in range(1, rounds + 1):
         halves = [F.max_by("side", "at").alias("b"), F.min_by("side", "at").alias("a")]
-        pairs = now.groupBy("draw_id", F.floor(F.col("at") / 2).alias("block")).agg(*halves).withColumn("first", first_wins(r, F.col("a"), F.col("b")))
+        pairs = now.groupBy("draw_id", F.floor(F.col("at") / 2).alias("block")).agg(*halves)
+        pairs = pairs.withColumn("first", F.when(F.col("a.player_id").isNull(), F.lit(False)).when(F.col("b.player_id").isNull(), F.lit(True)).otherwise(first_wins(r, F.col("a"), F.col("b"))))
         done = pairs.select("draw_id", "block", F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("w"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("l"))
         one = done.select("draw_id", F.lit(r).alias("round"), "block", F.col("w.player_id").alias("winner"), F.col("l.player_id").alias("loser"))
         out = one if out is None else out.unionByName(one)
         now = done.select("draw_id", F.col("block").alias("at"), F.col("w").alias("side"))
-    return out
+    return out.filter("winner is not null")
 
 
 def frequencies(results: DataFrame, sims: int) -> DataFrame:
@@ -102,7 +121,7 @@ def frequencies(results: DataFrame, sims: int) -> DataFrame:
 def reconstructed(results: DataFrame, rounds: int) -> DataFrame:
     """draw_id, slot, player_id from who beat whom (draw_id, round, winner, loser), top down from the final.
 
-    The winner of a tie takes its even half. A draw whose final is not single or whose ties do not fill a tree is left out.
+    The winner of a tie takes its even half; a tie without a loser was a bye. A draw whose final is not single, or whose ties do not place each of its players once, is left out.
     """
     finals = results.filter(F.col("round") == rounds).groupBy("draw_id").agg(F.count("*").alias("n"), F.max("winner").alias("player_id")).filter("n = 1")
     now = finals.select("draw_id", F.lit(0).alias("slot"), "player_id")
@@ -110,7 +129,9 @@ def reconstructed(results: DataFrame, rounds: int) -> DataFrame:
         ties = results.filter(F.col("round") == r).select("draw_id", F.col("winner").alias("player_id"), "loser")
         both = F.explode(F.array(F.struct((2 * F.col("slot")).alias("slot"), "player_id"), F.struct((2 * F.col("slot") + 1).alias("slot"), F.col("loser").alias("player_id"))))
         now = now.join(ties, ["draw_id", "player_id"]).select("draw_id", both.alias("s")).select("draw_id", "s.slot", "s.player_id")
-    full = now.groupBy("draw_id").agg(F.count("*").alias("n"), F.countDistinct("player_id").alias("d")).filter((F.col("n") == 1 << rounds) & (F.col("d") == 1 << rounds))
+    now = now.filter("player_id is not null")
+    known = results.select("draw_id", F.explode(F.array("winner", "loser")).alias("p")).filter("p is not null").groupBy("draw_id").agg(F.countDistinct("p").alias("all"))
+    full = now.groupBy("draw_id").agg(F.count("*").alias("n"), F.countDistinct("player_id").alias("d")).join(known, "draw_id").filter((F.col("n") == F.col("d")) & (F.col("n") == F.col("all")))
     return now.join(full.select("draw_id"), "draw_id", "left_semi")
 
 
@@ -139,13 +160,13 @@ def reconciled(sheet: DataFrame, entrants: DataFrame) -> DataFrame:
     return out.select("draw_id", "slot", F.coalesce("alternate", "player_id").alias("player_id"), F.col("alternate").isNotNull().alias("replaced"))
 
 
-def complete_rounds(results: DataFrame, size: int) -> DataFrame:
-    """Results (draw_id, round, block, winner, loser) of the rounds before a draw's first incomplete one.
+def complete_rounds(results: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Results (draw_id, round, block, winner, loser) of the rounds before a draw's first incomplete one; sizes: draw_id, size (players, who fill a draw from its first slot).
 
-    A round is complete when all size >> round ties have a winner; ties played beyond are left out, so nothing is pinned early.
+    A round is complete when all ties that have players, byes included, have a winner; ties played beyond are left out, so nothing is pinned early.
     """
     done = results.filter("winner is not null").groupBy("draw_id", "round").agg(F.countDistinct("block").alias("n"))
-    full = done.filter(F.col("n") == F.lit(size) / F.pow(F.lit(2), F.col("round")))
+    full = done.join(sizes, "draw_id").filter(F.col("n") == F.ceil(F.col("size") / F.pow(F.lit(2), F.col("round"))))
     rounds = full.groupBy("draw_id").agg(F.array_sort(F.collect_set("round")).alias("rounds"))
     last = F.size(F.filter(F.transform("rounds", lambda r, i: F.struct(r.alias("r"), (i + 1).alias("i"))), lambda x: x["r"] == x["i"]))
     return results.join(rounds.select("draw_id", last.alias("_last")), "draw_id").filter(F.col("round") <= F.col("_last")).drop("_last")

@@ -58,18 +58,18 @@ def reaches(decimals: int = 6) -> str:
 
 
 def played_sql() -> list[str]:
-    """CTEs ``full`` of the draws without byes and ``results`` of their ties (draw_id, round, block, winner, loser)."""
+    """CTEs ``field`` of the padded draws, ``entrants`` of their players and ``results`` of the ties that have a player (draw_id, round, block, winner, loser; no loser where it was a bye)."""
     parts = [
-        DRAWS, "full_ids AS (SELECT draw_id FROM draws GROUP BY draw_id HAVING count(*) = 16)", "entrants AS (SELECT draws.* FROM draws JOIN full_ids USING (draw_id))",
-        "score AS (SELECT o_custkey AS player_id, o_orderkey % 4 + 1 AS round, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS v FROM orders GROUP BY ALL)", "s0 AS (SELECT draw_id, slot AS block, player_id AS winner FROM entrants)",
+        PADDED, "full_ids AS (SELECT draw_id, count(*) AS size FROM draws GROUP BY draw_id)", "entrants AS (SELECT * FROM draws)",
+        "score AS (SELECT o_custkey AS player_id, o_orderkey % 4 + 1 AS round, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS v FROM orders GROUP BY ALL)", "s0 AS (SELECT draw_id, slot AS block, player_id AS winner FROM field)",
     ]
     for r in range(1, ROUNDS + 1):
         parts.append(
             f"""p{r} AS (SELECT a.draw_id, a.block // 2 AS block, a.winner AS x, b.winner AS y, coalesce(u.v, 0) AS vx, coalesce(w.v, 0) AS vy FROM s{r - 1} a JOIN s{r - 1} b ON a.draw_id = b.draw_id AND b.block = a.block + 1
   LEFT JOIN score u ON u.player_id = a.winner AND u.round = {r} LEFT JOIN score w ON w.player_id = b.winner AND w.round = {r} WHERE a.block % 2 = 0),
-s{r} AS (SELECT draw_id, block, CASE WHEN vx >= vy THEN x ELSE y END AS winner, CASE WHEN vx >= vy THEN y ELSE x END AS loser FROM p{r})"""
+s{r} AS (SELECT draw_id, block, CASE WHEN y IS NULL OR x IS NOT NULL AND vx >= vy THEN x ELSE y END AS winner, CASE WHEN y IS NULL OR x IS NOT NULL AND vx >= vy THEN y ELSE x END AS loser FROM p{r})"""
         )
-    union = " UNION ALL ".join(f"SELECT draw_id, {r} AS round, block, winner, loser FROM s{r}" for r in range(1, ROUNDS + 1))
+    union = " UNION ALL ".join(f"SELECT draw_id, {r} AS round, block, winner, loser FROM s{r} WHERE winner IS NOT NULL" for r in range(1, ROUNDS + 1))
     return [*parts, f"results AS ({union})"]
 
 
@@ -77,7 +77,7 @@ def event_sql(select: str, *parts: str) -> str:
     return f"WITH {', '.join([*played_sql(), *parts])} {select}"
 
 
-WON = "won AS (SELECT draw_id, player_id, max(w) AS rounds_won FROM (SELECT draw_id, winner AS player_id, round AS w FROM results UNION ALL SELECT draw_id, loser, round - 1 FROM results) GROUP BY draw_id, player_id)"
+WON = "won AS (SELECT draw_id, player_id, max(w) AS rounds_won FROM (SELECT draw_id, winner AS player_id, round AS w FROM results UNION ALL SELECT draw_id, loser, round - 1 FROM results WHERE loser IS NOT NULL) GROUP BY draw_id, player_id)"
 
 
 @query("bracket_advancement", f"WITH {', '.join([PADDED, *advancement_sql('field', 'r')])} SELECT draw_id, slot, player_id, {reaches()} FROM r")
@@ -107,13 +107,12 @@ def bracket_simulation(spark, d):
 
 
 def one_event(spark, d):
-    """The draws without byes, and their results."""
+    """The players of all draws, and the draws' results; byes are passed."""
     rows = draws(spark, d)
-    full = rows.join(rows.groupBy("draw_id").agg(F.count("*").alias("n")).filter("n = 16").select("draw_id"), "draw_id")
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("player_id"), (F.col("o_orderkey") % 4).alias("m"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
     values = orders.groupBy("player_id").agg(F.array(*[F.sum(F.when(F.col("m") == r, F.col("v"))) for r in range(ROUNDS)]).alias("values"))
     value = lambda side, r: F.coalesce(side["values"][r - 1], F.lit(0))
-    return full, bracket.played(full.join(values, "player_id", "left"), "values", lambda r, a, b: value(a, r) >= value(b, r), ROUNDS)
+    return rows, bracket.played(bracket.padded(rows, 1 << ROUNDS).join(values, "player_id", "left"), "values", lambda r, a, b: value(a, r) >= value(b, r), ROUNDS)
 
 
 @query("bracket_reconstruction", event_sql("SELECT draw_id, min(player_id) AS lo, max(player_id) AS hi, true AS meets FROM entrants GROUP BY draw_id, slot // 2"))

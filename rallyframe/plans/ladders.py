@@ -70,7 +70,7 @@ def event_discovery(spark, d):
     event_sql(
         "SELECT draw_id, CAST(coalesce(max(round), 0) AS BIGINT) AS rounds, count(round) AS ties FROM full_ids LEFT JOIN (SELECT k.* FROM k JOIN f USING (draw_id) WHERE round <= last) USING (draw_id) GROUP BY draw_id",
         "k AS (SELECT * FROM results WHERE NOT (round >= 2 AND (draw_id + 3 * block + round) % 5 = 0))",
-        "c AS (SELECT draw_id, round, count(*) = 16 / (1 << round) AS done FROM k GROUP BY draw_id, round)",
+        "c AS (SELECT draw_id, round, count(*) = any_value(ceil(size / pow(2, round))) AS done FROM k JOIN full_ids USING (draw_id) GROUP BY draw_id, round)",
         f"f AS (SELECT g.draw_id, coalesce(min(CASE WHEN NOT coalesce(done, false) THEN r END), {ROUNDS + 1}) - 1 AS last FROM (SELECT draw_id, r FROM full_ids CROSS JOIN range(1, {ROUNDS + 1}) t(r)) g LEFT JOIN c ON c.draw_id = g.draw_id AND c.round = g.r GROUP BY g.draw_id)",
     ),
 )
@@ -78,19 +78,20 @@ def bracket_walk(spark, d):
     """Draws in which some ties are still to be played: how many are pinned by complete rounds."""
     full, results = one_event(spark, d)
     open_ = results.filter(~((F.col("round") >= 2) & ((F.col("draw_id") + 3 * F.col("block") + F.col("round")) % 5 == 0)))
-    pinned = bracket.complete_rounds(open_, 1 << ROUNDS)
+    pinned = bracket.complete_rounds(open_, full.groupBy("draw_id").agg(F.count("*").alias("size")))
     return full.select("draw_id").distinct().join(pinned.groupBy("draw_id").agg(F.max("round").alias("rounds"), F.count("*").alias("ties")), "draw_id", "left").select("draw_id", F.coalesce("rounds", F.lit(0)).cast("long").alias("rounds"), F.coalesce("ties", F.lit(0)).alias("ties"))
 
 
 @query(
     "bracket_convention",
     event_sql(
-        "SELECT draw_id, CASE WHEN bool_and(first) THEN 'first' WHEN bool_and(NOT first) THEN 'second' ELSE 'unknown' END AS convention FROM (SELECT draw_id, draw_id % 2 = 0 OR winner < loser AS first FROM results) GROUP BY draw_id"
+        "SELECT draw_id, CASE WHEN bool_and(first) THEN 'first' WHEN bool_and(NOT first) THEN 'second' ELSE 'unknown' END AS convention FROM (SELECT draw_id, draw_id % 2 = 0 OR winner < loser AS first FROM results WHERE loser IS NOT NULL) GROUP BY draw_id"
     ),
 )
 def bracket_convention(spark, d):
     """Which side a feed lists winners on, by draw; draws of even number list them first here, the others by chance."""
     _, results = one_event(spark, d)
+    results = results.filter("loser is not null")
     even = (F.col("draw_id") % 2 == 0) | (F.col("winner") < F.col("loser"))
     tie = F.concat_ws("/", "round", "block").alias("tie")
     listed = results.select("draw_id", tie, F.when(even, F.col("winner")).otherwise(F.col("loser")).alias("first_id"), F.when(even, F.col("loser")).otherwise(F.col("winner")).alias("second_id"))
