@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,36 +32,43 @@ from .tokens import UNSURE
 
 #: Different units of a chunk, documents' units of a chunk, and units and characters that a worker keeps.
 UNITS, PLACES, KEPT, KEPT_CHARS = 250_000, 3_000_000, 300_000, 30_000_000
+#: Units that are encoded as one text.
+JOINED = 1000
 #: White space and a word. No piece of either tokenizer goes on past a word, but some of B end in \r, so that is not cut off.
 UNIT = re.compile(r"\s*\S+(?:\r\s*\S*)*|\s+")
 
 
-def groups(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(i, i_end, j, j_end) of the groups between common ends of two rising lists with equal last values, by diagonal run skipping."""
-    i, j, n = 0, 0, len(a)
+def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """The indices after each common end of two rising lists with equal last values, by diagonal run skipping."""
+    i_ends, j_ends, i, j, n = [], [], 0, 0, len(a)
     while i < n:
-        step = 1
-        while i < n and a[i : i + step] == b[j : j + step]:  # slices at the current shift; a short slice at the end of either is unequal or complete
-            k = min(step, n - i)
-            for x in range(k):
-                yield i + x, i + x + 1, j + x, j + x + 1
-            i, j, step = i + k, j + k, 2 * step
-        while step > 1:
-            step //= 2
-            if i < n and a[i : i + step] == b[j : j + step]:
+        if a[i] == b[j]:
+            step = 1
+            while i < n and a[i : i + step] == b[j : j + step]:  # slices at the current shift; at the end of either they are unequal or complete
                 k = min(step, n - i)
-                for x in range(k):
-                    yield i + x, i + x + 1, j + x, j + x + 1
-                i, j = i + k, j + k
-        if i < n:
-            i_end, j_end = i, j
-            while a[i_end] != b[j_end]:
-                if a[i_end] < b[j_end]:
-                    i_end += 1
+                i_ends += range(i + 1, i + k + 1)
+                j_ends += range(j + 1, j + k + 1)
+                i, j, step = i + k, j + k, 2 * step
+            while step > 1 and i < n:
+                step //= 2
+                if a[i : i + step] == b[j : j + step]:
+                    k = min(step, n - i)
+                    i_ends += range(i + 1, i + k + 1)
+                    j_ends += range(j + 1, j + k + 1)
+                    i, j = i + k, j + k
+        else:
+            x, y = a[i], b[j]
+            while x != y:
+                if x < y:
+                    i += 1
+                    x = a[i]
                 else:
-                    j_end += 1
-            yield i, i_end + 1, j, j_end + 1
-            i, j = i_end + 1, j_end + 1
+                    j += 1
+                    y = b[j]
+            i, j = i + 1, j + 1
+            i_ends.append(i)
+            j_ends.append(j)
+    return i_ends, j_ends
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,7 +79,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Aligner:
-    """What both tokenizers make of a unit: (n_a, n_b, n_groups, n_links, groups as text, pairs), or None if a tokenizer does not give it back."""
+    """What both tokenizers make of a unit: (n_a, n_b, n_groups, groups as text with a semicolon after each, an array of pairs, and where its own begin and end there), or None if a tokenizer does not give it back."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,58 +94,78 @@ class Aligner:
         self.a_bytes = {i: bytes(alphabet.get(c, 63) for c in token) for token, i in self.a.get_vocab(with_added_tokens=True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_size[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        named = lambda n, sign: np.array([f"{i}{sign}" for i in range(n)], object)
+        self.a_named, self.b_named = (named(len(self.a_size), ","), named(len(self.a_size), "|")), (named(len(pieces), ","), named(len(pieces), ";"))
         self.lone = self.b.piece_to_id("▁")
         self.whole_only = any(re.search("[^\\s▁][^\\S\r]|[^\\s▁]▁|▁[^\\S\r]", p) for p in pieces)
         self.known: dict[str, tuple | None] = {}
+        self.alone: set[str] = set()
         self.chars = 0
 
     def units(self, text: str) -> list[str]:
         """Units of a space and the text, which no token of either tokenizer crosses."""
         if self.whole_only or UNSURE.search(text):
+            self.alone.add(" " + text)
             return [" " + text]
         return UNIT.findall(" " + text)
 
-    def learn(self, units: set[str]) -> None:
-        new = units.difference(self.known)
+    def learn(self, units: list[str]) -> None:
+        """Aligns the units that are not known. Units whose neighbours cannot change them are encoded JOINED at a time, as they would stand in a text."""
+        new = [u for u in units if u not in self.known]
         self.chars += sum(map(len, new))
         if len(self.known) + len(new) > KEPT or self.chars > KEPT_CHARS:
             self.known, new = {}, units
             self.chars = sum(map(len, new))
-        if not new:
-            return
-        listed = list(new)
-        a = [x.ids for x in self.a.encode_batch_fast(listed, add_special_tokens=False)]
-        # B puts a space before a text that is not empty: a unit's own first space, or one that is taken off again
-        b = [[self.lone] if unit == " " else ids if unit[0] == " " else ids[1:] if ids[0] == self.lone else [] for unit, ids in zip(listed, self.b.encode([u[1:] if u[0] == " " else u for u in listed], num_threads=1), strict=True)]
-        good = [k for k, u in enumerate(listed) if b"".join(map(self.a_bytes.__getitem__, a[k])) == (x := u.encode()) == b"".join(map(self.b_bytes.__getitem__, b[k]))]
-        self.known.update(dict.fromkeys(listed))
-        if not good:
-            return
-        a_ids, b_ids = [x for k in good for x in a[k]], [x for k in good for x in b[k]]
-        a_ends = np.cumsum([len(self.a_bytes[x]) for x in a_ids]).tolist()
-        b_ends = np.cumsum([len(self.b_bytes[x]) for x in b_ids]).tolist()
-        place, ends = 0, np.cumsum([len(a[k]) for k in good]).tolist()
-        said: list[str] = []
-        pairs: list[int] = []
-        first_a = first_b = 0
-        for i, i_end, j, j_end in groups(a_ends, b_ends):
-            if i_end == i + 1 and j_end == j + 1:
-                said.append(f"{a_ids[i]}|{b_ids[j]}")
-                pairs.append(a_ids[i] << 32 | b_ids[j])
-            else:
-                said.append(",".join(map(str, a_ids[i:i_end])) + "|" + ",".join(map(str, b_ids[j:j_end])))
-                x, y = i, j
-                while x < i_end and y < j_end:
-                    pairs.append(a_ids[x] << 32 | b_ids[y])
-                    if a_ends[x] <= b_ends[y]:
-                        step_y = a_ends[x] == b_ends[y]
-                        x += 1
-                        y += step_y
-                    else:
-                        y += 1
-            if i_end == ends[place]:  # the unit's last group: both end where a unit ends
-                self.known[listed[good[place]]] = (i_end - first_a, j_end - first_b, len(said), len(pairs), ";".join(said), np.array(pairs, np.int64))
-                place, first_a, first_b, said, pairs = place + 1, i_end, j_end, [], []
+        inner = [u for u in new if u[0] in " \n" and not u[-1].isspace() and u not in self.alone]
+        inner.sort(key=lambda u: u[0] != " ")  # a text begins with a space
+        alone = set(new).difference(inner)
+        for k in range(0, len(inner), JOINED * 50):
+            block = [inner[x : x + JOINED] for x in range(k, min(k + JOINED * 50, len(inner)), JOINED)]
+            alone.update(*self._encode(block))
+        self._encode([[u] for u in alone], last=True)
+        self.alone.clear()
+
+    def _encode(self, texts: list[list[str]], last: bool = False) -> list[list[str]]:
+        """Learns the units of texts of units; those of texts that do not come back are None if this is their last chance, and else returned."""
+        whole = ["".join(t) for t in texts]
+        a = [x.ids for x in self.a.encode_batch_fast(whole, add_special_tokens=False)]
+        # B puts a space before a text that is not empty: its own first space, or one that is taken off again
+        plain = self.b.encode([x[1:] if x[0] == " " else x for x in whole], num_threads=1)
+        b = [[self.lone] if x == " " else ids if x[0] == " " else ids[1:] if ids[0] == self.lone else [] for x, ids in zip(whole, plain, strict=True)]
+        back = [b"".join(map(self.a_bytes.__getitem__, i)) == x.encode() == b"".join(map(self.b_bytes.__getitem__, j)) for x, i, j in zip(whole, a, b, strict=True)]
+        kept = [k for k, good in enumerate(back) if good]
+        if kept:
+            self._align([u for k in kept for u in texts[k]], np.concatenate([np.array(a[k], np.int64) for k in kept]), np.concatenate([np.array(b[k], np.int64) for k in kept]))
+        lost = [texts[k] for k, good in enumerate(back) if not good]
+        if last:
+            self.known.update(dict.fromkeys(u for t in lost for u in t))
+        return lost
+
+    def _align(self, units: list[str], a_ids: np.ndarray, b_ids: np.ndarray) -> None:
+        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        i_ends, j_ends = map(np.array, group_ends(a_ends.tolist(), b_ends.tolist()))
+        n_i, n_j = np.diff(i_ends, prepend=0), np.diff(j_ends, prepend=0)
+        said = np.empty(len(a_ids) + len(b_ids), object)  # a group's A ids, then its B ids, group after group
+        for ids, names, ends, place in ((a_ids, self.a_named, i_ends, np.repeat(j_ends - n_j, n_i)), (b_ids, self.b_named, j_ends, np.repeat(i_ends, n_j))):
+            words = names[0][ids]
+            words[ends - 1] = names[1][ids[ends - 1]]
+            said[np.arange(len(ids)) + place] = words
+        said = said.tolist()
+        either = np.union1d(a_ends, b_ends)  # within a group, each end of either side is the end of one link
+        codes = a_ids[np.searchsorted(a_ends, either)] << 32 | b_ids[np.searchsorted(b_ends, either)]
+        unit_ends = np.cumsum([len(u.encode()) for u in units])
+        common = np.searchsorted(a_ends[i_ends - 1], unit_ends)  # the group that ends with each unit
+        if not (a_ends[i_ends - 1][common] == unit_ends).all():
+            raise ValueError("a token crosses the end of a unit")
+        a_unit, b_unit = i_ends[common], j_ends[common]
+        counts = [np.diff(x, prepend=0).tolist() for x in (a_unit, b_unit, common + 1)]
+        links = [0, *np.searchsorted(either, unit_ends, "right").tolist()]
+        at = 0
+        for k, (unit, x, y, n, end) in enumerate(zip(units, *counts, (a_unit + b_unit).tolist(), strict=True)):
+            self.known[unit] = (x, y, n, "".join(said[at:end]), codes, links[k], links[k + 1])
+            at = end
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -154,6 +183,42 @@ OWN = ("n_a", "n_b", "n_groups", "n_links")
 ALIGNED = columns(part="str", chunk="long", doc_id="long", **dict.fromkeys(OWN, "long"), groups_sha256="str", units="bytes", times="bytes", pair="long", number="int", n="long")
 
 
+class _Chunk:
+    """The units that a chunk's documents have used so far, numbered as they came."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.said: list[str] = []
+        self.pairs: list[np.ndarray] = []
+        self.sums, self.lost, self.totals, self.places = np.zeros((0, 4), np.int64), np.zeros(0, bool), np.zeros(0, np.int64), 0
+
+    def documents(self, split: list[list[str]], tool: Aligner) -> list[tuple]:
+        """For each list of units OWN, the digest of its groups, and its units with their numbers of times; a text that is not given back has none."""
+        before = len(self.numbers)
+        numbered = [np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units)) for units in split]
+        new = list(islice(reversed(self.numbers), len(self.numbers) - before))[::-1]
+        tool.learn(new)
+        made = [tool.known[u] or (0, 0, 0, "", NO_PAIRS, 0, 0) for u in new]
+        self.said += [x[3] for x in made]
+        self.pairs += [x[4][x[5] : x[6]] for x in made]
+        self.sums = np.concatenate([self.sums, np.array([(*x[:3], x[6] - x[5]) for x in made], np.int64).reshape(-1, 4)])
+        self.lost = np.concatenate([self.lost, np.array([not x[0] for x in made], bool)])
+        self.totals = np.concatenate([self.totals, np.zeros(len(new), np.int64)])
+        return [self._document(own) for own in numbered]
+
+    def _document(self, own: np.ndarray) -> tuple:
+        if not len(own) or self.lost[own].any():
+            return 0, 0, 0, 0, "", b"", b""
+        digest = hashlib.sha256("".join(map(self.said.__getitem__, own.tolist()))[:-1].encode()).hexdigest()
+        own, times = np.unique(own, return_counts=True)
+        self.totals[own] += times
+        self.places += len(own)
+        return *(times @ self.sums[own]).tolist(), digest, np.diff(own, prepend=0).astype("<u4").tobytes(), times.astype("<u4").tobytes()
+
+
+NO_PAIRS = np.zeros(0, np.int64)
+
+
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """The table of chunks (see ALIGNED), written once; its rows come back by part."""
     arrow = to_arrow(ALIGNED)
@@ -163,53 +228,29 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         whole = values | {"part": [part] * n, "chunk": [chunk] * n}
         return pa.RecordBatch.from_arrays([pa.array(whole[f.name], f.type) if f.name in whole else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
+    def end(held: _Chunk, chunk: int) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(x) for x in held.pairs], np.int64)
+        codes, number = np.unique(np.concatenate([np.zeros(0, np.int64), *held.pairs]), return_inverse=True)
+        n = np.zeros(len(codes), np.int64)
+        np.add.at(n, number, np.repeat(held.totals, sizes))
+        yield batch_of("unit", chunk, units=[number.astype("<u4").tobytes()], times=[sizes.astype("<u4").tobytes()], n=[len(codes)])
+        for k in range(0, len(codes), 100_000):
+            yield batch_of("pair", chunk, pair=codes[k : k + 100_000], number=np.arange(k, min(k + 100_000, len(codes)), dtype=np.int32), n=n[k : k + 100_000])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tool, chunk = aligner(a_path, b_path), TaskContext.get().partitionId() << 32
-        numbers: dict[str, int] = {}
-        pairs_of: list[np.ndarray] = []
-        totals, places = np.zeros(0, np.int64), 0
-
-        def end() -> Iterator[pa.RecordBatch]:
-            sizes = np.array([len(x) for x in pairs_of], np.int64)
-            codes, number = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs_of]), return_inverse=True)
-            n = np.zeros(len(codes), np.int64)
-            np.add.at(n, number, np.repeat(totals[: len(sizes)], sizes))
-            yield batch_of("unit", chunk, units=[number.astype("<u4").tobytes()], times=[sizes.astype("<u4").tobytes()], n=[len(codes)])
-            for k in range(0, len(codes), 100_000):
-                yield batch_of("pair", chunk, pair=codes[k : k + 100_000], number=np.arange(k, min(k + 100_000, len(codes)), dtype=np.int32), n=n[k : k + 100_000])
-
+        tool, chunk, held = aligner(a_path, b_path), TaskContext.get().partitionId() << 32, _Chunk()
         for batch in batches:
             ids, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text"))
-            for k in range(0, len(texts), 200):
-                split = [tool.units(t) if t else [] for t in texts[k : k + 200]]
-                tool.learn(set().union(*split))
-                out: dict[str, list] = {n: [] for n in ("doc_id", *OWN, "groups_sha256", "units", "times")}
-                for doc_id, units in zip(ids[k : k + 200], split, strict=True):
-                    made = [tool.known[u] for u in units]
-                    if not made or None in made:
-                        values = (doc_id, 0, 0, 0, 0, "", b"", b"")
-                    else:
-                        for u, x in zip(units, made, strict=True):
-                            if u not in numbers:
-                                numbers[u] = len(numbers)
-                                pairs_of.append(x[5])
-                        own, times = np.unique(np.fromiter(map(numbers.__getitem__, units), np.uint32, len(units)), return_counts=True)
-                        if len(totals) < len(numbers):
-                            totals = np.concatenate([totals, np.zeros(len(numbers), np.int64)])
-                        totals[own] += times
-                        places += len(own)
-                        digest = hashlib.sha256(";".join([x[4] for x in made]).encode()).hexdigest()
-                        sums = [sum(x[i] for x in made) for i in range(4)]
-                        values = (doc_id, *sums, digest, np.diff(own, prepend=np.uint32(0)).astype("<u4").tobytes(), times.astype("<u4").tobytes())
-                    for name, value in zip(out, values, strict=True):
-                        out[name].append(value)
-                yield batch_of("doc", chunk, **out)
-                if len(numbers) > UNITS or places > PLACES:
-                    yield from end()
-                    chunk, numbers, pairs_of, totals, places = chunk + 1, {}, [], np.zeros(0, np.int64), 0
-        yield from end()
+            for k in range(0, len(texts), 500):
+                rows = held.documents([tool.units(t) if t else [] for t in texts[k : k + 500]], tool)
+                values = {n: [r[i] for r in rows] for i, n in enumerate((*OWN, "groups_sha256", "units", "times"))}
+                yield batch_of("doc", chunk, doc_id=ids[k : k + 500], **values)
+                if len(held.numbers) > UNITS or held.places > PLACES:
+                    yield from end(held, chunk)
+                    chunk, held = chunk + 1, _Chunk()
+        yield from end(held, chunk)
 
     path = new_path(docs.sparkSession, "aligned")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ALIGNED)
@@ -242,7 +283,8 @@ def linked(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     for name in ("best", "n"):
         value = np.zeros(unit["n"] + 1, np.int64)
         value[order] = right.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
-        per_unit.append(np.add.reduceat(value[number], at) if len(at) else np.zeros(0, np.int64))  # every unit has a pair
+        sums = np.concatenate([[0], np.cumsum(value[number])])
+        per_unit.append(sums[at + sizes] - sums[at])
     out: dict[str, list] = {f.name: [] for f in LINKED}
     for r in docs:
         own, times = np.cumsum(np.frombuffer(r["units"], "<u4").astype(np.int64)), np.frombuffer(r["times"], "<u4").astype(np.int64)

@@ -264,7 +264,7 @@ def test_alignment_jumps():
             b += [10 * k + 10] if s else [10 * k + 3, 10 * k + 10]
             if random.random() < 0.2 and k < len(same) - 1:
                 a[-1] += 1
-        got = [(i2, j2) for _, i2, _, j2 in alignment.groups(a, b)]
+        got = list(zip(*alignment.group_ends(a, b), strict=True))
         assert [a[i - 1] for i, _ in got] == [b[j - 1] for _, j in got] == sorted(set(a) & set(b))
 
 
