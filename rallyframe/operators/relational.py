@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 
 def pair_key(a: str, b: str) -> list[Column]:
     """Two columns that are equal for (a, b) and (b, a)."""
@@ -111,6 +113,26 @@ def lookup(rows: DataFrame, out: str, *sources: tuple[str, DataFrame, str, str])
     return rows.withColumn(out, F.coalesce(*names)).drop(*names)
 
 
+def resolved(names: DataFrame, players: DataFrame) -> DataFrame:
+    """name, player_id, level of each different name (id, name; players: player_id, name, last_seen): by the whole plain name (0), by surname and initial (1), or by any later word as the surname
+    with the first word's initial (2 and on, in their order); null where none fits, or the name is null or blank.
+
+    One index of keys to players, one list of ranked keys a name, one join and the lowest rank. Where players share a key the one seen last has it, then the smaller id.
+    """
+    plain, surname = tx.plain_name(F.col("plain"), folded=True), tx.surname_key(F.col("plain"), folded=True)
+    key = lambda kind, x: F.concat(F.lit(kind), x)
+    known = players.select("player_id", F.coalesce("last_seen", F.lit(-(1 << 62))).alias("seen"), tx.unaccented(F.col("name")).alias("plain"))
+    index = known.select("player_id", "seen", F.explode(F.array(key("n", plain), key("s", surname))).alias("key")).filter(F.length("key") > 1)
+    index = index.groupBy("key").agg(F.max_by("player_id", F.struct("seen", -F.col("player_id"))).alias("player_id"))
+    long = F.filter(F.split(plain, " "), lambda w: F.length(w) > 1)
+    later = F.when(F.size(long) > 2, F.transform(F.slice(long, 2, F.size(long)), lambda w: key("s", F.concat_ws("|", w, F.substring(F.get(long, 0), 1, 1))))).otherwise(F.array())
+    asked = names.select("name").distinct().withColumn("plain", tx.unaccented(F.col("name")))
+    ranked = asked.select("name", F.posexplode(F.concat(F.array(key("n", plain), key("s", surname)), later)).alias("level", "key")).filter(F.length("key") > 1)
+    best = ranked.join(index, "key").groupBy("name").agg(F.min_by("player_id", "level").alias("player_id"), F.min("level").alias("level"))
+    found = names.withColumn("_n", F.col("name")).drop("player_id", "level").join(best.withColumnRenamed("name", "_n"), "_n", "left")
+    return found.drop("_n")
+
+
 def best_in_band(left: DataFrame, right: DataFrame, days: int = 10, least: float = 0.2) -> DataFrame:
     """left_id, right_id, jaccard, gap: for each left entity the right one of the most similar set within ``days`` of it, if ``least`` or more.
 

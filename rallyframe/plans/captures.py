@@ -164,6 +164,38 @@ def source_results(spark, d):
     return read.select(F.col("match_num").cast("long").alias("match_id"), "winner_id", "season", "level", "indoor", "status", "games", "margin", "usable", "has_stats")
 
 
+@query(
+    "source_mixed_headers",
+    """SELECT match_id, winner_id::VARCHAR AS winner_id, CASE WHEN match_id % 3 = 0 THEN CASE WHEN match_id % 2 = 0 THEN 1 ELSE 0 END END AS indoor, match_id % 3 <> 2 AS has_stats, CASE WHEN match_id % 3 = 2 THEN 'chall.csv' WHEN match_id % 3 = 1 THEN 'b.csv' ELSE 'a.csv' END AS kind FROM contest""",
+    "contest",
+)
+def source_mixed_headers(spark, d):
+    """One glob over files of three headers: all columns; none for indoor, and in another order; no counts, and a column that nobody asks for."""
+    m, path = F.col("match_id"), shared_path(spark, "headers")
+    known = {"indoor": F.when(m % 2 == 0, "I").otherwise("O"), "round": F.lit("F"), "match_num": m, "winner_id": F.col("winner_id"), "loser_id": F.col("loser_id"), "score": F.lit("6-4 6-3"), "tourney_date": F.lit("20240105"), "w_svpt": F.lit("61"), "l_svpt": F.lit("58"), "w_SvGms": F.lit("9")}
+    rows = contest(spark, d).select(*[known.get(c, F.lit(None)).cast("string").alias(c) for c in files.RESULTS.names])
+    third = lambda k: rows.filter(F.col("match_num").cast("long") % 3 == k)
+    third(0).write.option("header", True).csv(f"{path}/a")
+    third(1).select(*[c for c in reversed(files.RESULTS.names) if c != "indoor"]).write.option("header", True).csv(f"{path}/b")
+    third(2).drop("indoor", *files.COUNTS).withColumn("note", F.lit("x, y")).write.option("header", True).csv(f"{path}/chall")
+    read = files.cleaned(files.results(spark, f"{path}/*/*.csv", first_year=0))
+    kind = F.when(F.col("match_num") % 3 == 2, "chall.csv").when(F.col("match_num") % 3 == 1, "b.csv").otherwise("a.csv")
+    return read.select(F.col("match_num").cast("long").alias("match_id"), "winner_id", "indoor", F.coalesce("has_stats", F.lit(False)).alias("has_stats"), kind.alias("kind"))
+
+
+@query("table_reload", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+def table_reload(spark, d):
+    """A table that is loaded, reloaded from itself, and whose last reload fails its check: readers go on with the rows before it."""
+    path, rows = shared_path(spark, "reloaded"), table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    files.replace_table(rows, path)
+    files.replace_table(files.current_table(spark, path).filter("o_orderstatus <> 'P'"), path)
+    try:
+        files.replace_table(rows.withColumn("o_totalprice", F.lit(0.0)), path, check=lambda new: new.filter("o_totalprice <= 0").isEmpty())
+    except ValueError:
+        pass
+    return files.current_table(spark, path)
+
+
 @query(
     "source_new_files",
     """SELECT CASE WHEN page_id % 17 = 0 THEN 'ongoing-' ELSE 'p-' END || page_id AS name, page_id * 10 AS modified, coalesce(length(html), 0) AS size FROM pages WHERE page_id % 3 = 0 OR page_id % 5 = 0 OR page_id % 17 = 0""",

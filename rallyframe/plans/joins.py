@@ -159,6 +159,30 @@ def join_lookup_fallback(spark, d):
     return rel.lookup(rows, "kind", ("c_custkey", events.filter("value > 90"), "user_id", "event_type"), ("near", events, "user_id", "event_type")).select("c_custkey", "kind")
 
 
+#: What a feed makes of a part's name, and who the players are: words of colours, so that names are shared by many.
+FEED_NAME = """CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN concat(split_part(p_name, ' ', -1), ' ', left(p_name, 1), '.') WHEN 3 THEN concat(p_name, ' Xylo') WHEN 4 THEN concat('Q', p_name) ELSE CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE split_part(p_name, ' ', 1) END END"""
+KEYED = r"""len(l) AS n, CASE WHEN len(l) = 0 THEN coalesce(w[1], '') WHEN len(l) = 1 AND len(i) = 0 THEN l[1] ELSE l[-1] || '|' || coalesce(i[1], left(l[1], 1)) END AS skey
+  FROM (SELECT *, list_filter(w, lambda x: length(x) = 1) AS i, list_filter(w, lambda x: length(x) > 1) AS l FROM (SELECT *, list_filter(string_split(plain, ' '), lambda x: x <> '') AS w FROM {0}))"""
+PLAIN = r"""trim(regexp_replace(translate(lower(strip_accents(coalesce({0}, ''))), '-.' || chr(39), '  '), '\s+', ' ', 'g'))"""
+
+
+@query(
+    "join_names_resolved",
+    f"""WITH p0 AS (SELECT p_partkey AS player_id, p_size AS seen, {PLAIN.format("p_name")} AS plain FROM part), pk AS (SELECT player_id, seen, plain, {KEYED.format("p0")}),
+x AS (SELECT 'n' || plain AS key, player_id, seen FROM pk WHERE plain <> '' UNION ALL SELECT 's' || skey, player_id, seen FROM pk WHERE skey <> ''), ix AS (SELECT key, arg_max(player_id, (seen, -player_id)) AS player_id FROM x GROUP BY key),
+a0 AS (SELECT p_partkey AS id, name, {PLAIN.format("name")} AS plain FROM (SELECT p_partkey, {FEED_NAME} AS name FROM part)), ak AS (SELECT id, name, plain, l, {KEYED.format("a0")}),
+r AS (SELECT id, 0 AS level, 'n' || plain AS key FROM ak UNION ALL SELECT id, 1, 's' || skey FROM ak UNION ALL SELECT id, k, 's' || l[k] || '|' || left(l[1], 1) FROM (SELECT id, l, unnest(range(2, n + 1)) AS k FROM ak WHERE n > 2)),
+b AS (SELECT id, min(level) AS level, arg_min(player_id, level) AS player_id FROM r JOIN ix USING (key) WHERE length(key) > 1 GROUP BY id)
+SELECT ak.id, name, player_id, CAST(level AS INT) AS level FROM ak LEFT JOIN b USING (id)""",
+)
+def join_names_resolved(spark, d):
+    """Feed names to players: whole names, then surname and initial, then any later word as the surname; of players with one key the last seen."""
+    parts = table(spark, d, "part")
+    players = parts.select(F.col("p_partkey").alias("player_id"), F.col("p_name").alias("name"), F.col("p_size").alias("last_seen"))
+    feed = parts.select(F.col("p_partkey").alias("id"), F.expr(FEED_NAME).alias("name"))
+    return rel.resolved(feed, players).select("id", "name", "player_id", "level")
+
+
 @query(
     "join_all_pairs",
     f"""WITH {DRAWS} SELECT a.draw_id, a.player_id AS i, b.player_id AS j, round(1 / (1 + exp((b.strength - a.strength) / 3000)), 6) AS p FROM draws a JOIN draws b ON a.draw_id = b.draw_id AND a.slot < b.slot""",

@@ -187,7 +187,46 @@ def test_results_files(spark, tmp_path):
         ("2024_chall.csv", "challenger", 2024, 1, 19, None, True, 1), ("2024.csv", "slam", 2024, 1, 19, None, True, 2),
     ]
     with pytest.raises(ValueError):
-        files.replace_table(spark.range(0), str(tmp_path / "out"))
+        files.replace_table(spark.range(0), f"file://{tmp_path}/out")
+    with pytest.raises(ValueError):
+        files.current_table(spark, f"file://{tmp_path}/out")
+
+
+def test_files_of_several_headers(spark, tmp_path):
+    (tmp_path / "2001.csv").write_text("winner_id,loser_id,tourney_date,score,odd\na,b,20010203,6-1 6-1,\"x,y\"\n")
+    (tmp_path / "2002 b.csv").write_text("score,tourney_date,loser_id,winner_id,indoor\n6-2 6-2,20020203,d,c,I\n")
+    (tmp_path / "2003.csv").write_text("winner_id,loser_id,tourney_date,score,odd\ne,f,20030203,6-3 6-3,\n")
+    (tmp_path / "2004.csv").write_text("")
+    rows = files.cleaned(files.results(spark, f"file://{tmp_path}/*.csv")).collect()
+    assert sorted((r.winner_id, r.loser_id, r.games, r.indoor, r.season) for r in rows) == [("a", "b", 14, None, 2001), ("c", "d", 16, 1, 2002), ("e", "f", 18, None, 2003)]
+
+
+def test_a_reload_that_fails_leaves_the_old_rows(spark, tmp_path):
+    path, ids = f"file://{tmp_path}/t", lambda rows: sorted(r.id for r in rows.collect())
+    old = files.replace_table(spark.range(5), path)
+    for bad in (spark.range(0), spark.range(9).select(F.expr("assert_true(id < 3, 'no')").alias("x"), "id")):
+        with pytest.raises(Exception):  # noqa: B017
+            files.replace_table(bad, path)
+    with pytest.raises(ValueError):
+        files.replace_table(spark.range(9), path, check=lambda new: new.count() < 3)
+    assert ids(files.current_table(spark, path)) == list(range(5)) and len(list((tmp_path / "t").glob("version-*"))) == 1
+    files.replace_table(files.current_table(spark, path).filter("id > 1"), path)
+    assert ids(files.current_table(spark, path)) == [2, 3, 4] and ids(old) == list(range(5))  # readers that have begun go on
+    files.replace_table(spark.range(2), path)
+    assert len(list((tmp_path / "t").glob("version-*"))) == 2
+    parts = f"file://{tmp_path}/p"
+    files.replace_table(spark.range(6).withColumn("part", F.col("id") % 3), parts, ["part"])
+    got = files.replace_table(spark.createDataFrame([(100, 1)], "id bigint, part bigint"), parts, ["part"])
+    assert sorted((r.id, r.part) for r in got.collect()) == [(0, 0), (2, 2), (3, 0), (5, 2), (100, 1)]
+
+
+def test_names_find_the_player_seen_last(spark):
+    from rallyframe.operators import relational
+
+    players = [(1, "Ann Lee", 10), (2, "Ann Lee", 30), (3, "Amy Lee", 20), (4, "Dan Mer", 5), (5, "José Ñu-Paz", None), (6, None, 9), (7, "Solo", 1)]
+    feed = [(1, "ann lee"), (2, "Lee A."), (3, "Dan Mer Aguilar"), (4, "Jose Nu Paz"), (5, "Nobody Here"), (6, None), (7, " "), (8, "SOLO"), (9, "Paz J."), (10, "ann lee")]
+    rows = relational.resolved(spark.createDataFrame(feed, "id int, name string"), spark.createDataFrame(players, "player_id bigint, name string, last_seen int")).collect()
+    assert {r.id: (r.player_id, r.level) for r in rows} == {1: (2, 0), 2: (2, 1), 3: (4, 2), 4: (5, 0), 5: (None, None), 6: (None, None), 7: (None, None), 8: (7, 0), 9: (5, 1), 10: (2, 0)}
 
 
 def test_day_pages_with_odd_rows(spark):
