@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import expected_value, kelly
@@ -66,3 +66,13 @@ def bootstrap(per_cluster: DataFrame, cluster: str, value: str, weight: str, rep
     rows = dealt.withColumn("w", w)
     sums = rows.groupBy("replicate").agg(F.sum(F.col("w") * F.col(value)).alias("v"), F.sum(F.col("w") * F.col(weight)).alias("n"))
     return sums.select(F.col("replicate").cast("long").alias("replicate"), F.round(F.try_divide("v", "n"), 6).alias("estimate"))
+
+
+def expanding_best(rows: DataFrame, least: int = 100) -> DataFrame:
+    """season, weight, trained_on: for each season the weight with the least loss over all seasons before it (the smaller among equals), once those have ``least`` rows or more.
+
+    rows: season, weight, n, loss (a sum). A row a season and weight, so the running sums are over a short table whatever the number of matches; no season sees itself.
+    """
+    past = Window.partitionBy("weight").orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.select("season", "weight", F.sum("loss").over(past).alias("past"), F.sum("n").over(past).alias("trained_on")).filter(F.col("trained_on") >= least)
+    return before.groupBy("season").agg(F.min_by("weight", F.struct(F.round(F.col("past") / F.col("trained_on"), 9), "weight")).alias("weight"), F.max("trained_on").alias("trained_on"))

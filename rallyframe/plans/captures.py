@@ -45,18 +45,31 @@ def source_listing(spark, d):
     return pages.listing(page_of(table(spark, d, "orders"), F.floor(k / 50), "o_orderkey", html), keep=["page"])
 
 
-@query(
-    "source_book_prices",
-    """SELECT page, book, o1, o2, round(1 / o1 + 1 / o2, 9) AS overround FROM (SELECT l_orderkey AS page, 'Book ' || (l_suppkey % 12) AS book, CAST(120 + l_partkey % 40 * 5 AS DOUBLE) / 100 AS o1,
-  CAST(130 + l_suppkey % 60 * 3 AS DOUBLE) / 100 AS o2 FROM lineitem) WHERE 1 / o1 + 1 / o2 BETWEEN 96e-2 AND 12e-1""",
-)
-def source_book_prices(spark, d):
-    """A page an order with a heading row and a row a book; pairs with an impossible margin go."""
+BOOK_PRICES = """SELECT page, book, o1, o2, round(1 / o1 + 1 / o2, 9) AS overround FROM (SELECT l_orderkey AS page, 'Book ' || (l_suppkey % 12) AS book, CAST(120 + l_partkey % 40 * 5 AS DOUBLE) / 100 AS o1,
+  CAST(130 + l_suppkey % 60 * 3 AS DOUBLE) / 100 AS o2 FROM lineitem) WHERE 1 / o1 + 1 / o2 BETWEEN 96e-2 AND 12e-1"""
+
+
+def book_pages(spark, d):
+    """A page an order with a heading row and a row a book."""
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     cell = lambda cents: said('<span class="toSort noDsp"> ', money(cents), " </span>")
     name = lambda text: said('<div class="bookName"><a class="toSort" href="#">', text, "</a></div>")
     row = said(name(F.lit("Bookmakers")), cell(F.lit(150)), cell(F.lit(250)), name(said("Book ", s % 12)), cell(120 + p % 40 * 5), cell(130 + s % 60 * 3))
-    return pages.book_prices(page_of(table(spark, d, "lineitem"), F.col("l_orderkey"), "l_linenumber", row), keep=["page"]).withColumn("overround", F.round("overround", 9))
+    return page_of(table(spark, d, "lineitem"), F.col("l_orderkey"), "l_linenumber", row)
+
+
+@query("source_book_prices", BOOK_PRICES)
+def source_book_prices(spark, d):
+    """Pairs with an impossible margin go."""
+    return pages.book_prices(book_pages(spark, d), keep=["page"]).withColumn("overround", F.round("overround", 9))
+
+
+@query("source_book_prices_udtf", BOOK_PRICES)
+def source_book_prices_udtf(spark, d):
+    """The same rows from a Python table function that SQL calls on the table of pages, dealt by page."""
+    spark.udtf.register("book_prices_of", pages.BookPrices)
+    text = "SELECT page, book, o1, o2, round(overround, 9) AS overround FROM book_prices_of(TABLE({rows}) PARTITION BY page)"
+    return spark.sql(text, rows=book_pages(spark, d).select(F.col("page").cast("long").alias("page"), "html"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market as mk
 from ..operators import betting, metrics
+from ..session import written
 from .registry import query
 from .views import first_capture, forecast, last_capture, price, priced
 
@@ -390,6 +391,27 @@ def market_blend_sweep(spark, d):
     return rows.groupBy(F.col("weight").cast("long").alias("weight")).agg(F.round(mk.log_loss(F.col("y_win"), p), 6).alias("log_loss"))
 
 
+@query(
+    "market_walk_forward_blend",
+    f"""WITH s AS (SELECT season, y_win, ln(p_win / (1 - p_win)) AS a, ln({SHIN} / (1 - {SHIN})) AS b FROM priced), x AS (SELECT season, w, y_win, 1 / (1 + exp(-(w / 10 * a + (1 - w / 10) * b))) AS p FROM s, range(0, 11) t(w)),
+g AS (SELECT season, w, count(*) AS n, -sum(CASE WHEN y_win = 1 THEN ln(p) ELSE ln(1 - p) END) AS loss FROM x GROUP BY season, w),
+c AS (SELECT *, sum(loss) OVER o AS past, CAST(sum(n) OVER o AS BIGINT) AS before FROM g WINDOW o AS (PARTITION BY w ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT season, arg_min(w, (round(past / before, 9), w)) AS weight, max(before) AS trained_on FROM c WHERE before >= 100 GROUP BY season)
+SELECT b.season, m.n, trained_on, CAST(weight AS BIGINT) AS weight, round(e.loss / m.n, 6) AS blended, round(m.loss / m.n, 6) AS model, round(k.loss / m.n, 6) AS market
+FROM b JOIN g e ON e.season = b.season AND e.w = weight JOIN g m ON m.season = b.season AND m.w = 10 JOIN g k ON k.season = b.season AND k.w = 0""",
+    MARKET,
+)
+def market_walk_forward_blend(spark, d):
+    """Each season scored by the blend that was best in the seasons before it, beside the model and the market alone."""
+    rows = priced(spark, d).select("season", "y_win", mk.logit(F.col("p_win")).alias("a"), mk.logit(mk.shin(F.col("p1_price"), F.col("p2_price"))).alias("b"))
+    w = F.col("weight") / 10
+    rows = rows.withColumn("weight", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("p", mk.sigmoid(w * F.col("a") + (1 - w) * F.col("b")))
+    by = written(rows.groupBy("season", F.col("weight").cast("long").alias("weight")).agg(F.count("*").alias("n"), F.sum(-F.ln(F.when(F.col("y_win") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("loss")), "blends")
+    of = lambda weight, name: by.filter(F.col("weight") == weight).select("season", F.round(F.col("loss") / F.col("n"), 6).alias(name))
+    best = betting.expanding_best(by).join(by, ["season", "weight"]).select("season", "n", "trained_on", "weight", F.round(F.col("loss") / F.col("n"), 6).alias("blended"))
+    return best.join(of(10, "model"), "season").join(of(0, "market"), "season")
+
+
 @query(
     "market_upcoming_value",
     f"""WITH l AS (SELECT max(play_ts) AS last FROM forecast), u AS (SELECT p.* FROM priced p, l WHERE p.play_ts >= l.last - INTERVAL 30 DAY)

@@ -6,8 +6,11 @@ each row's own text, so no expression scans a whole page more than once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 PRICE = r"([0-9]+(?:\.[0-9]+)?)"
 
@@ -58,7 +61,7 @@ def book_prices(pages: DataFrame, html: str = "html", keep: list[str] = ["page_i
     prices = F.regexp_extract_all("row", F.lit(rf'<span class="toSort noDsp">\s*{PRICE}\s*</span>'), F.lit(1))
     got = rows.select(*keep, F.trim(F.regexp_extract("row", r'class="toSort"[^>]*>([^<]+)</a>', 1)).alias("book"), prices.alias("p")).filter("size(p) >= 2 and book <> '' and not lower(book) like 'bookmaker%'")
     out = got.select(*keep, "book", F.get("p", F.lit(0)).cast("double").alias("o1"), F.get("p", F.lit(1)).cast("double").alias("o2"))
-    return out.withColumn("overround", 1 / F.col("o1") + 1 / F.col("o2")).filter(F.col("overround").between(0.96, 1.20))
+    return out.withColumn("overround", F.try_divide(F.lit(1.0), "o1") + F.try_divide(F.lit(1.0), "o2")).filter(F.col("overround").between(0.96, 1.20))
 
 
 def fixtures(pages: DataFrame, html: str = "html", keep: list[str] = ["page_id"]) -> DataFrame:  # noqa: B006
@@ -132,3 +135,27 @@ def quotes(pages: DataFrame, html: str = "html", keep: list[str] = ["page_id"])
         _found(F.get(opening, F.lit(1)), at + price, 2).cast("double").alias("price_open"), _found(F.get(opening, F.lit(1)), at).alias("opened_at"),
     )
     return out.filter("price_close is not null")
+
+
+BOOK = re.compile(r'(?i)<div class="bookName">')
+LINK = re.compile(r'class="toSort"[^>]*>([^<]+)</a>')
+CELL = re.compile(rf'<span class="toSort noDsp">\s*{PRICE}\s*</span>')
+
+
+@udtf(returnType="page bigint, i bigint, book string, o1 double, o2 double, overround double", useArrow=True)
+class BookPrices:
+    """book_prices as a table function: ``SELECT * FROM book_prices_of(TABLE(pages) PARTITION BY page)`` over rows (page, html).
+
+    A row of a page; several rows of one page are read as they come. A null or broken page has no rows.
+    """
+
+    def eval(self, row: Row):
+        for i, part in enumerate(BOOK.split(row["html"] or "")[1:], 1):
+            name, prices = LINK.search(part), CELL.findall(part)
+            book = name[1].strip() if name else ""
+            if len(prices) < 2 or not book or book.lower().startswith("bookmaker"):
+                continue
+            o1, o2 = float(prices[0]), float(prices[1])
+            over = 1 / o1 + 1 / o2 if o1 and o2 else 0.0
+            if 0.96 <= over <= 1.20:
+                yield row["page"], i, book, o1, o2, over

@@ -267,3 +267,25 @@ def test_no_chance_has_no_loss(spark):
     loss = rows.agg(mk.log_loss(F.col("y"), F.col("p")).alias("l")).first().l
     assert math.isclose(loss, math.log(2))
     assert [r.k for r in rows.select(mk.kelly(F.col("p"), F.lit(3.0)).alias("k")).collect()] == [0.05, None]
+
+
+def test_no_season_chooses_its_own_weight(spark):
+    """Weight 10 is best in the first two seasons and the worst after that: each season goes by those before it."""
+    from rallyframe.operators import betting
+
+    rows = [(s, w, 200, 100.0 + (10 - w if s < 3 else 50 * w)) for s in (1, 2, 3, 4, 5) for w in (0, 5, 10)] + [(0, w, 50, 1.0) for w in (0, 5, 10)]
+    got = {r.season: (r.weight, r.trained_on) for r in betting.expanding_best(spark.createDataFrame(rows, "season int, weight bigint, n bigint, loss double")).collect()}
+    assert got == {2: (10, 250), 3: (10, 450), 4: (0, 650), 5: (0, 850)}
+
+
+def test_table_function_on_odd_pages(spark):
+    from rallyframe.sources import pages
+
+    spark.udtf.register("book_prices_of", pages.BookPrices)
+    cell = '<span class="toSort noDsp">{}</span>'
+    book = '<div class="bookName"><a class="toSort" href="#">{}</a></div>'
+    html = [None, "", "<p>no books", book.format("A") + cell.format(2.0) + cell.format(1.9), book.format("B") + cell.format(2.0), book.format("C") + cell.format(0) + cell.format(2), book.format("Bookmaker") + cell.format(2) + cell.format(2), book.format("D") + cell.format(9) + cell.format(9)]
+    rows = spark.createDataFrame([*enumerate(html), (3, html[3])], "page bigint, html string")
+    want = sorted((r.page_id, r.book, r.o1, r.o2) for r in pages.book_prices(rows.withColumnRenamed("page", "page_id")).collect())
+    got = spark.sql("SELECT * FROM book_prices_of(TABLE({rows}) PARTITION BY page)", rows=rows).collect()
+    assert sorted((r.page, r.book, r.o1, r.o2) for r in got) == want == [(3, "A", 2.0, 1.9), (3, "A", 2.0, 1.9)]
