@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from ..streaming import captures, frame
+from ..sources import pages
+from ..streaming import captures, frame, ledger
+from .captures import said
 from .registry import query
 from .views import contest, player_match, table
 
@@ -72,3 +76,38 @@ def stream_last_captures(spark, d):
     captures.close(spark, folder)
     out = captures.captured(spark, folder)
     return out.select("match_id", F.to_date("captured_at").cast("string").alias("day"), F.round("p1_price", 6).alias("p1_price"), "n_before", "n_after")
+
+
+DAY_ROWS = "match_id bigint, p1_name string, p2_name string, score string, day date, page bigint"
+
+
+def day_archive(spark, d):
+    """day, page, html: pages of 50 results of a day in two rows each."""
+    rows = contest(spark, d).select("match_id", F.to_date("ts").alias("day"), F.floor(F.col("match_id") / 50).alias("page"), "winner_id", "loser_id", F.floor("margin").cast("long").alias("m"))
+    link = said('<td><a href="/match-detail/?id=', F.col("match_id"), '">info</a></td>')
+    one = said('<tr class="one"><td class="t-name"><a href="#">Player ', F.col("winner_id"), '</a></td><td class="score">', F.col("m"), "</td>", link, "</tr>")
+    two = said('<tr class="two"><td class="t-name"><a href="#">Player ', F.col("loser_id"), "</a></td></tr>")
+    parts = rows.groupBy("day", "page").agg(F.sort_array(F.collect_list(F.struct("match_id", F.concat(one, two).alias("h")))).alias("s"))  # 50 results at most
+    return parts.select("day", "page", F.array_join(F.transform("s", lambda x: x["h"]), "\n").alias("html"))
+
+
+@query(
+    "stream_day_ledger",
+    """WITH l AS (SELECT max(CAST(ts AS DATE)) AS last FROM contest), r AS (SELECT match_id, CAST(ts AS DATE) AS day, winner_id, loser_id, CAST(floor(margin) AS BIGINT) AS m, date_diff('day', CAST(ts AS DATE), last) AS back FROM contest, l)
+SELECT match_id, day, 'Player ' || winner_id AS p1_name, 'Player ' || loser_id AS p2_name, CAST(m AS VARCHAR) AS score, CASE WHEN back < 16 AND day(day) % 7 = 3 THEN -1 ELSE back // 8 END::BIGINT AS batch FROM r""",
+    "contest",
+)
+def stream_day_ledger(spark, d):
+    """Day pages read newest first, eight days a batch: a first run over the last 16 days, in which some days' pages are broken; a later one over all, which begins with those."""
+    archive = shared_path(spark, "archive")
+    day_archive(spark, d).write.partitionBy("day").parquet(archive)
+    whole = spark.read.parquet(archive).select("day", "page", "html")
+    first, last = whole.agg(F.min("day"), F.max("day")).first()
+    at = lambda days: whole.filter(F.col("day").isin(days))
+    failing = lambda days: at(days).withColumn("html", F.when(F.dayofmonth("day") % 7 != 3, F.col("html")))
+    parse = lambda rows: pages.day_results(rows, keep=["day", "page"]).select("match_id", "p1_name", "p2_name", "score", "day", "page")
+    folder = shared_path(spark, "ledger")
+    ledger.backfill(spark, folder, last - timedelta(15), last, failing, parse, size=8)
+    ledger.backfill(spark, folder, first, last, at, parse, size=8)
+    rows = ledger.matches(spark, folder, DAY_ROWS)
+    return rows.select("match_id", "day", "p1_name", "p2_name", "score", F.col("batch").cast("long").alias("batch"))

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from rallyframe.streaming import captures, frame
+from rallyframe.streaming import captures, frame, ledger
 
 
 def plain_frame(rows):
@@ -96,3 +96,58 @@ def test_captures_before_at_and_after_play(feed):
     got, n = feed(batches)
     assert got == {1: (1.5, 3, 1), 2: (2.0, 1, 0), 3: (3.1, 1, 0), 4: (4.9, 2, 0), 5: (None, 0, 0), 6: (None, 0, 1), 7: (None, 0, 1)}
     assert n == 4 + 1 + 1 + 2 + 1 + 1 + 1
+
+
+def test_days_of_spans():
+    d = lambda n: (datetime(2024, 1, 1) + timedelta(n)).date()
+    done = [(d(3), d(4)), (d(8), d(8))]
+    assert list(ledger.days_down(d(0), d(10), done)) == [d(i) for i in (10, 9, 7, 6, 5, 2, 1, 0)]
+    assert list(ledger.days_down(d(3), d(4), done)) == [] and list(ledger.days_down(d(5), d(4), [])) == []
+    assert ledger.spans_of(ledger.text_of([(d(1), d(2)), (d(3), d(3)), (d(6), d(7))])) == [(d(6), d(7)), (d(1), d(3))]
+    assert ledger.text_of([]) == "" and ledger.spans_of("") == []
+
+
+@pytest.mark.parametrize("lost_at", ["before", "after"])
+def test_backfill_goes_on_after_a_loss(spark, tmp_path, lost_at):
+    d = lambda n: (datetime(2024, 1, 1) + timedelta(n)).date()
+    html = lambda n: None if n == 9 else "" if n == 5 else f"m{n},m{n}b" if n != 2 else "m2,m7"
+    site = {d(n): html(n) for n in range(12) if n != 6}  # m7 is also on a page of an earlier day, day 6 has no page
+    read: list = []
+
+    def pages(days, broken=False):
+        read.append(list(days))
+        if broken and len(read) == 3 and lost_at == "before":
+            raise RuntimeError("lost")
+        return spark.createDataFrame([(x, 1, site[x]) for x in days if x in site], "day date, page bigint, html string")
+
+    def parse(rows, broken=False):
+        out = rows.selectExpr("explode(split(html, ',')) match_id", "day", "page").filter("match_id <> ''")
+        if broken and len(read) == 3 and lost_at == "after":
+            out.write.parquet(f"{tmp_path}/b/rows/batch=2")  # the rows are there, the ledger is not
+            raise RuntimeError("lost")
+        return out
+
+    def state(folder):
+        rows = ledger.matches(spark, folder, "match_id string, day date, page bigint").collect()
+        return {r.match_id: r.day for r in rows}, {r.day: (r.status, r.n) for r in ledger.ledger(spark, folder).collect()}, rows
+
+    ledger.backfill(spark, f"{tmp_path}/a", d(0), d(11), pages, parse, 3)
+    read.clear()
+    with pytest.raises(Exception, match="lost"):
+        ledger.backfill(spark, f"{tmp_path}/b", d(0), d(11), lambda x: pages(x, True), lambda x: parse(x, True), 3)
+    assert len(state(f"{tmp_path}/b")[1]) == 6
+    read.clear()
+    ledger.backfill(spark, f"{tmp_path}/b", d(0), d(11), pages, parse, 3)
+    # days that failed come again, those that are done do not
+    assert read == [[d(9), d(6)], [d(5), d(4), d(3)], [d(2), d(1), d(0)]]
+    assert state(f"{tmp_path}/a")[:2] == state(f"{tmp_path}/b")[:2]
+    found, known, rows = state(f"{tmp_path}/b")
+    assert len(found) == len(rows) and found["m7"] == d(7) and len(known) == 12
+    assert {x: s for x, (s, _) in known.items() if s != "ok"} == {d(9): "error", d(6): "error", d(5): "empty"}
+    # the broken page is mended, and there are new days
+    site[d(9)], site[d(12)], site[d(6)] = "m9", "m12", ""
+    read.clear()
+    ledger.backfill(spark, f"{tmp_path}/b", d(0), d(13), pages, parse, 3)
+    assert read == [[d(9), d(6)], [d(13), d(12)]]
+    found, known, rows = state(f"{tmp_path}/b")
+    assert found["m9"] == d(9) and found["m12"] == d(12) and known[d(9)] == ("ok", 1) and known[d(6)] == ("empty", 0) and known[d(13)] == ("error", 0)
