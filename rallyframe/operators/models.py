@@ -6,6 +6,11 @@ before trees or linear models. All scoring is by DataFrame aggregation.
 
 from __future__ import annotations
 
+import math
+import random
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
 from .ordering import numbered, running_totals
@@ -40,13 +46,13 @@ def folds(rows: DataFrame, season: str = "season", least: int = LEAST_SEASONS) -
 
 def fitted(train: DataFrame, features: list[str], label: str, kind: str = "logistic", **settings) -> PipelineModel:
     makers = {
-        "logistic": lambda: LogisticRegression(featuresCol="x", labelCol=label, regParam=0.0, standardization=False, **settings),
-        "gbt": lambda: GBTClassifier(featuresCol="x", labelCol=label, maxIter=10, maxDepth=4, seed=5, **settings),
-        "gbt_regression": lambda: GBTRegressor(featuresCol="x", labelCol=label, maxIter=10, maxDepth=4, seed=5, **settings),
-        "linear": lambda: LinearRegression(featuresCol="x", labelCol=label, **settings),
-        "binomial": lambda: GeneralizedLinearRegression(featuresCol="x", labelCol=label, family="binomial", link="logit", **settings),
+        "logistic": lambda: LogisticRegression(featuresCol="_inputs", labelCol=label, **({"regParam": 0.0, "standardization": False} | settings)),
+        "gbt": lambda: GBTClassifier(featuresCol="_inputs", labelCol=label, **({"maxIter": 10, "maxDepth": 4, "seed": 5} | settings)),
+        "gbt_regression": lambda: GBTRegressor(featuresCol="_inputs", labelCol=label, **({"maxIter": 10, "maxDepth": 4, "seed": 5} | settings)),
+        "linear": lambda: LinearRegression(featuresCol="_inputs", labelCol=label, **settings),
+        "binomial": lambda: GeneralizedLinearRegression(featuresCol="_inputs", labelCol=label, family="binomial", link="logit", **settings),
     }
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), makers[kind]()]).fit(train)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_inputs"), makers[kind]()]).fit(train)
 
 
 def scored(model: PipelineModel, rows: DataFrame, out: str = "p") -> DataFrame:
@@ -82,6 +88,64 @@ def walk_forward(rows: DataFrame, features: list[str], label: str, order: list[s
     return out
 
 
+def random_settings(space: dict[str, list], n: int, seed: int = 0) -> list[dict]:
+    """n different settings drawn from the lists of space, or all of them where there are no more; equal seeds give equal draws."""
+    names = sorted(space)
+    size = math.prod(len(space[k]) for k in names)
+    out = []
+    for i in random.Random(seed).sample(range(size), min(n, size)):
+        one = {}
+        for k in names:
+            i, j = divmod(i, len(space[k]))
+            one[k] = space[k][j]
+        out.append(one)
+    return out
+
+
+def swept(rows: DataFrame, features: list[str], label: str, settings: list[dict], season: str = "season", kind: str = "logistic", least: int = LEAST_SEASONS, least_rows: int = 100, side_by_side: int = 4) -> DataFrame:
+    """season, setting (its place in settings), trained_on, n, log_loss, accuracy: each setting fitted before each season and scored on it.
+
+    A setting is a dict of the model's own parameters and ``window``: how many seasons before the scored one are seen (None: all). A season needs ``least`` earlier seasons, and a fit ``least_rows``
+    rows, else it has no row. Fits are jobs that run side by side; a season's rows pass once through all its models, and all scores come from one aggregation.
+    """
+    rows = written(rows.select(*dict.fromkeys([season, *features, label])), "sweep")  # every fit reads it
+    sizes = {r[0]: r[1] for r in rows.groupBy(season).agg(F.count("*")).collect()}  # a row a season
+    seasons = sorted(s for s in sizes if s is not None)
+    low = lambda s, w: s - w if w is not None else seasons[0]
+    seen = lambda s, w: sum(sizes[x] for x in seasons if low(s, w) <= x < s)
+    cells = [(s, i) for s in seasons[least:] for i, one in enumerate(settings) if seen(s, one.get("window")) >= least_rows]
+
+    def fit(cell: tuple) -> PipelineModel:
+        s, i = cell
+        own = {k: v for k, v in settings[i].items() if k != "window"}
+        return fitted(rows.filter((F.col(season) < s) & (F.col(season) >= low(s, settings[i].get("window")))), features, label, kind, **own)
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        models = dict(zip(cells, pool.map(fit, cells), strict=True))
+    parts = []
+    for s in sorted({s for s, _ in cells}):
+        part, mine = rows.filter(F.col(season) == s), [i for x, i in cells if x == s]
+        for i in mine:
+            part = scored(models[s, i], part, f"_p{i}")
+        found = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(seen(s, settings[i].get("window"))).cast("long").alias("trained_on"), F.col(f"_p{i}").alias("p")) for i in mine])
+        parts.append(part.select(season, F.col(label).alias("_y"), F.explode(found).alias("c")).select(season, "_y", "c.*"))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], T.StructType([rows.schema[season], *T._parse_datatype_string("setting int, trained_on bigint, n bigint, log_loss double, accuracy double")]))
+    p = F.least(F.lit(1 - 1e-15), F.greatest(F.lit(1e-15), F.col("p")))
+    hit = F.when((F.col("p") >= 0.5) == (F.col("_y") == 1), 1.0).otherwise(0.0)
+    return reduce(DataFrame.unionByName, parts).groupBy(season, "setting", "trained_on").agg(F.count("*").alias("n"), F.avg(-F.ln(F.when(F.col("_y") == 1, p).otherwise(1 - p))).alias("log_loss"), F.avg(hit).alias("accuracy"))
+
+
+def sweep_summary(scores: DataFrame, season: str = "season") -> DataFrame:
+    """setting, seasons, log_loss, accuracy, trained_on (means over the seasons that every setting has) and wins: in how many of them it was best, the lower setting among equals."""
+    whole = scores.groupBy(season).agg(F.count("*").alias("_n"))
+    most = whole.agg(F.max("_n").alias("_m"))
+    common = scores.join(whole.join(F.broadcast(most), F.col("_n") == F.col("_m")).select(season), season, "left_semi")  # most is one row
+    best = common.groupBy(season).agg(F.min_by("setting", F.struct("log_loss", "setting")).alias("setting")).groupBy("setting").agg(F.count("*").alias("wins"))
+    means = common.groupBy("setting").agg(F.count("*").alias("seasons"), *[F.avg(c).alias(c) for c in ("log_loss", "accuracy", "trained_on")])
+    return means.join(best, "setting", "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
+
+
 def symmetrised(forward: Column, reverse: Column, kind: str = "chance") -> Column:
     """One value from both orders of the sides: a chance and its complement, a common total, or a signed spread."""
     return {"chance": (forward + 1 - reverse) / 2, "total": (forward + reverse) / 2, "spread": (forward - reverse) / 2}[kind]

@@ -25,6 +25,30 @@ def model_walk_forward(spark, d):
     return out.groupBy("season").agg(*metrics.classification(F.col("label"), F.col("p")))
 
 
+def named_settings(summary, settings: list[dict]):
+    """A sweep's summary with its settings by name."""
+    fields = sorted({k for one in settings for k in one})
+    names = F.array(*[F.struct(*[F.lit(one.get(k)).cast("double").alias(k) for k in fields]) for one in settings])
+    rounded = summary.select(F.get(names, F.col("setting")).alias("s"), "seasons", *[F.round(c, 6).alias(c) for c in ("log_loss", "accuracy", "trained_on")], "wins")
+    return rounded.select("s.*", "seasons", "log_loss", "accuracy", "trained_on", "wins")
+
+
+@query("model_history_sweep")
+def model_history_sweep(spark, d):
+    """How much history helps: one, two, three or all seasons before the one that is scored."""
+    rows, features = models.with_indicators(inputs(spark, d), ["p_win", "market", "over"])
+    settings = [{"window": w} for w in (1, 2, 3, None)]
+    return named_settings(models.sweep_summary(models.swept(rows, features, "label", settings)), settings)
+
+
+@query("model_random_search")
+def model_random_search(spark, d):
+    """Settings drawn at random, each scored on seasons in order and never on one it has seen."""
+    rows, features = models.with_indicators(inputs(spark, d), ["p_win", "market", "over"])
+    settings = models.random_settings({"regParam": [0.0, 0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0], "window": [2, 4, None]}, 5, seed=3)
+    return named_settings(models.sweep_summary(models.swept(rows, features, "label", settings, least=3)), settings)
+
+
 @query("model_boosted")
 def model_boosted(spark, d):
     """A boosted model fitted on all seasons but the last, scored on the last, with the importance of each input."""
