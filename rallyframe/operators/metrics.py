@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import log_loss, logit
-from .ordering import running_totals
+from .ordering import quantiles, running_totals
 
 BINS = 10
 
@@ -77,11 +77,14 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], least: int = 4) -> Da
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho")).filter(F.col("n") >= least)
 
 
-def agreement(a: Column, b: Column) -> list[Column]:
-    """Correlations and differences of two probabilities as aggregates."""
+def agreement(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """Correlations and differences of two probabilities by group; the median gap comes from ranges of counted values."""
+    a, b = F.col(a), F.col(b)
     gap = F.abs(a - b)
-    return [
+    found = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.round(F.corr(a, b), 6).alias("pearson"), F.round(F.corr(logit(a), logit(b)), 6).alias("logit_pearson"),
-        F.round(F.avg(gap), 6).alias("mean_gap"), F.round(F.median(gap), 6).alias("median_gap"),
+        F.round(F.avg(gap), 6).alias("mean_gap"),
         F.round(F.avg(F.when(gap <= 0.02, 100.0).otherwise(0.0)), 6).alias("pct_within_2"), F.round(F.avg(F.when(gap > 0.10, 100.0).otherwise(0.0)), 6).alias("pct_over_10"),
-    ]
+    )
+    middle = quantiles(rows.select(*by, gap.alias("_gap")), "_gap", {"_median": 0.5}, by)
+    return found.join(middle, by, "left").withColumn("median_gap", F.round("_median", 6)).drop("_median")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .ordering import numbered, running_totals
+from .ordering import numbered, quantiles, running_totals
 
 #: Seasons that a fold needs before it, the part of a training window that fits (the rest calibrates), calibration's bounds.
 LEAST_SEASONS = 2
@@ -159,7 +159,8 @@ def residual_chance(rows: DataFrame, by: str, pred: str, actual: str, line: str,
     pools that are asked for. Counts and queries then run in one order, in ranges, so no row meets another and no pool is one task.
     """
     fit = rows if fit is None else fit
-    edges = fit.groupBy(by).agg(F.percentile(pred, F.array(*[F.lit(i / cells) for i in range(1, cells)])).alias("edges"))
+    at = {f"_q{i}": i / cells for i in range(1, cells)}
+    edges = written(quantiles(fit, pred, at, [by]).select(by, F.array(*at).alias("edges")), "edges")  # a row a group, read on both sides
     celled = lambda x: x.join(edges, by, "left").withColumn("cell", F.coalesce(F.size(F.filter("edges", lambda e: e < F.col(pred))), F.lit(0))).drop("edges")
     known = celled(rows)
     counts = written(celled(fit).groupBy(by, "cell", (F.col(actual) - F.col(pred)).alias("v")).agg(F.count("*").alias("c")), "residuals")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,3 +34,25 @@ def running_totals(rows: DataFrame, order: list[Column | str], values: dict[str,
 def numbered(rows: DataFrame, *order: Column | str, name: str = "seq", by: list[str] = []) -> DataFrame:  # noqa: B006
     """rows with a number from 1 on in the order given (within by)."""
     return running_totals(rows, list(order), {name: F.lit(1).cast("long")}, by).withColumn(name, F.col(name) + 1)
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by and a double for each share (a name and a number from 0 to 1): exact quantiles, interpolated between neighbours, nulls skipped; groups without values have no row.
+
+    Distinct values are counted first and their places come from totals over ranges, so no task holds the values of a group.
+    """
+    keys = by or ["_all"]
+    known = rows.filter(F.col(value).isNotNull()).select(*([] if by else [F.lit(0).alias("_all")]), *by, F.col(value).cast("double").alias("_v"))
+    counts = known.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    placed = running_totals(counts, ["_v"], {"_below": F.col("_c")}, keys)
+    sizes = placed.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    rows = placed.alias("p").join(sizes.alias("s"), same).select("p.*", "_n")
+    at = lambda place: F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_c")), F.col("_v")))
+    found = []
+    for name, share in shares.items():
+        place = (F.col("_n") - 1) * F.lit(float(share))
+        found += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    got = rows.groupBy(*[F.col(k) for k in keys]).agg(*found)
+    between = lambda n: F.when(F.col(f"_lo_{n}") == F.col(f"_hi_{n}"), F.col(f"_lo_{n}")).otherwise((1 - F.col(f"_part_{n}")) * F.col(f"_lo_{n}") + F.col(f"_part_{n}") * F.col(f"_hi_{n}"))
+    return got.select(*by, *[between(n).alias(n) for n in shares])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 
 
 def pair_key(a: str, b: str) -> list[Column]:
@@ -56,17 +57,20 @@ def set_similarity(sets: DataFrame, entity: str, item: str, least: float) -> Dat
 
     Prefix filtering: items are ordered from rare to common, and a pair that reaches ``least`` shares one among the first
     n - ceil(least n) + 1 items of each; common items never join, so an item that many share makes no product.
+    Only ids travel through that join; items follow for the pairs it leaves.
     """
     rows = sets.select(entity, item).distinct()
     freq = rows.groupBy(item).agg(F.count("*").alias("f"))
     ordered = rows.join(freq, item).groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("f", item))).alias("items"))
     n = F.size("items")
     prefix = ordered.select(entity, F.transform("items", lambda x: x[item]).alias("items"), F.slice("items", F.lit(1), n - F.ceil(n * least).cast("int") + 1).alias("p"))
-    probe = prefix.select(entity, "items", F.explode("p").alias("x")).select(entity, "items", F.col("x")[item].alias("x"))
-    a = probe.select(F.col(entity).alias("a"), F.col("items").alias("ia"), "x")
-    b = probe.select(F.col(entity).alias("b"), F.col("items").alias("ib"), "x")
-    sizes_fit = (F.size("ia") >= least * F.size("ib")) & (F.size("ib") >= least * F.size("ia"))
-    pairs = a.join(b, "x").filter((F.col("a") < F.col("b")) & sizes_fit).dropDuplicates(["a", "b"])
+    prefix = written(prefix, "prefixes")  # read by both sides of the join, and for the items of its pairs
+    probe = prefix.select(entity, n.alias("n"), F.explode("p").alias("x")).select(entity, "n", F.col("x")[item].alias("x"))
+    a = probe.select(F.col(entity).alias("a"), F.col("n").alias("na"), "x")
+    b = probe.select(F.col(entity).alias("b"), F.col("n").alias("nb"), "x")
+    sizes_fit = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    pairs = a.join(b, "x").filter((F.col("a") < F.col("b")) & sizes_fit).select("a", "b").distinct()
+    pairs = pairs.join(prefix.select(F.col(entity).alias("a"), F.col("items").alias("ia")), "a").join(prefix.select(F.col(entity).alias("b"), F.col("items").alias("ib")), "b")
     shared = F.size(F.array_intersect("ia", "ib"))
     out = pairs.select("a", "b", shared.cast("long").alias("shared"), (shared / (F.size("ia") + F.size("ib") - shared)).alias("jaccard"))
     return out.filter(F.col("jaccard") >= least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import market as mk
 from ..functions import probability as prob
 from ..operators import betting, metrics, models, ratings
+from ..operators.ordering import quantiles
 from ..session import written
 from .flagship import ELO_STEPS
 from .ladders import RUNGS, rungs
@@ -41,11 +42,13 @@ def report_lines(spark, d):
         "match_id", "season", (F.col("match_id") % 2).alias("fmt"), F.when(F.col("match_id") % 3 == 0, "challenger").otherwise("main tour").alias("tier"), "actual", (F.col("actual") / 2 + F.col("player_id") % 100).alias("pred")
     )
     asked = base.filter(F.col("season") >= FIT_BEFORE).join(rungs(spark, d), "match_id").withColumn("line", F.col("ln") * 60.0)
-    rows = models.residual_chance(asked, "fmt", "pred", "actual", "line", fit=base.filter(F.col("season") < FIT_BEFORE)).filter("actual <> line")
+    rows = written(models.residual_chance(asked, "fmt", "pred", "actual", "line", fit=base.filter(F.col("season") < FIT_BEFORE)).filter("actual <> line"), "lines")
     y = F.when(F.col("actual") > F.col("line"), 1).otherwise(0)
-    return rows.groupBy("tier").agg(
-        F.count("*").alias("n"), F.countDistinct("match_id").alias("matches"), F.round(F.median("t"), 6).alias("overround"), F.round(mk.log_loss(y, F.col("p_over")), 5).alias("model_loss"), F.round(mk.log_loss(y, F.col("p")), 5).alias("market_loss")
+    middle = quantiles(rows, "t", {"overround": 0.5}, ["tier"]).withColumn("overround", F.round("overround", 6))
+    found = rows.groupBy("tier").agg(
+        F.count("*").alias("n"), F.countDistinct("match_id").alias("matches"), F.round(mk.log_loss(y, F.col("p_over")), 5).alias("model_loss"), F.round(mk.log_loss(y, F.col("p")), 5).alias("market_loss")
     )
+    return found.join(middle, "tier", "left")
 
 
 @query(
@@ -59,7 +62,7 @@ FROM x JOIN e p ON p.kind = 'p' AND p.id = x.pool || '|' || x.player_id GROUP BY
 def report_movement(spark, d):
     """How far each player's rating moved since the season's first match, from the state before it, with wins and losses."""
     rows = pooled(spark, d)
-    opener = rows.agg(F.median("match_id")).first()[0]
+    opener = quantiles(rows, "match_id", {"half": 0.5}).first()[0]
     earlier, season = rows.filter(F.col("match_id") <= opener), rows.filter(F.col("match_id") > opener)
     before = written(ratings.elo_state(earlier, ["pool"]), "opener")
     now = ratings.elo_state(season, ["pool"], state=before).filter("scope is null").select("pool", "player_id", F.col("rating").alias("now"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market as mk
 from ..operators import betting, metrics
+from ..operators.ordering import quantiles
 from ..session import written
 from .registry import query
 from .views import first_capture, forecast, last_capture, price, priced
@@ -98,7 +99,7 @@ SELECT season, count(*) AS n, round(corr(a, b), 6) AS pearson, round(corr(ln(a /
 )
 def metrics_agreement(spark, d):
     rows = priced(spark, d).withColumn("p_market", mk.shin(F.col("p1_price"), F.col("p2_price")))
-    return rows.groupBy("season").agg(*metrics.agreement(F.col("p_win"), F.col("p_market")))
+    return metrics.agreement(rows, "p_win", "p_market", ["season"])
 
 
 @query(
@@ -137,7 +138,8 @@ FROM price WHERE p1_price > 1.001 AND p2_price > 1.001 AND 1 / p1_price + 1 / p2
 def market_overround(spark, d):
     over = mk.overround(F.col("p1_price"), F.col("p2_price"))
     sane = price(spark, d).filter((F.col("p1_price") > 1.001) & (F.col("p2_price") > 1.001)).withColumn("o", over).filter(F.col("o").between(0.96, 1.2))
-    return sane.groupBy("book").agg(F.count("*").alias("n"), F.round(F.median("o"), 6).alias("overround"), F.round(mk.vig_percent(F.median("o")), 6).alias("vig_pct"))
+    middle = quantiles(sane, "o", {"middle": 0.5}, ["book"])
+    return sane.groupBy("book").agg(F.count("*").alias("n")).join(middle, "book").select("book", "n", F.round("middle", 6).alias("overround"), F.round(mk.vig_percent(F.col("middle")), 6).alias("vig_pct"))
 
 
 @query(

@@ -8,6 +8,7 @@ from ..functions import market as mk
 from ..functions import probability as prob
 from ..functions import text as tx
 from ..operators import ratings
+from ..operators.ordering import quantiles
 from ..session import written
 from .registry import query
 from .views import contest, forecast, table
@@ -196,7 +197,7 @@ def rating_elo(spark, d):
 def rating_elo_resumed(spark, d):
     """Ratings of the later half of all results, folded from the state that the earlier half left."""
     rows = pooled(spark, d)
-    half = rows.agg(F.median("match_id")).first()[0]
+    half = quantiles(rows, "match_id", {"half": 0.5}).first()[0]
     state = ratings.elo_state(rows.filter(F.col("match_id") <= half), ["pool"])
     later = ratings.elo(rows.filter(F.col("match_id") > half), ["pool"], state=state)
     return later.select("pool", "match_id", F.round("w_elo", 6).alias("w_elo"), F.round("l_elo", 6).alias("l_elo"))
@@ -337,8 +338,8 @@ def rating_relative(spark, d):
     from .views import player_match
 
     rates = player_match(contest(spark, d)).groupBy("player_id", "surface").agg(F.avg("won").alias("rate"), F.count("*").alias("n"))
-    field = rates.groupBy("surface").agg(F.median(F.when(F.col("n") >= 5, F.col("rate"))).alias("mid"))
-    return rates.join(field, "surface").select("player_id", "surface", F.when(F.col("n") >= 5, F.round(F.col("rate") - F.col("mid"), 6)).alias("relative"))
+    field = quantiles(rates.filter("n >= 5"), "rate", {"mid": 0.5}, ["surface"])
+    return rates.join(field, "surface", "left").select("player_id", "surface", F.when(F.col("n") >= 5, F.round(F.col("rate") - F.col("mid"), 6)).alias("relative"))
 
 
 @query("order_numbered", "SELECT match_id, row_number() OVER (ORDER BY play_ts, match_id) AS seq FROM forecast", "forecast")

@@ -7,6 +7,7 @@ import random
 import numpy as np
 
 from rallyframe.operators import models
+from rallyframe.operators.ordering import quantiles
 
 
 def planted(n=400, seasons=range(2001, 2007)):
@@ -66,3 +67,18 @@ def test_random_settings_differ_and_repeat():
     assert one == models.random_settings(space, 8, seed=5) != models.random_settings(space, 8, seed=6)
     assert len({tuple(sorted(x.items(), key=str)) for x in one}) == 8 and all(x[k] in space[k] for x in one for k in space)
     assert len(models.random_settings(space, 100)) == 12
+
+
+def test_quantiles_by_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, -3.5, rng.random()])) for _ in range(301)] + [("one", 4.0), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"low": 0.0, "sixth": 1 / 6, "mid": 0.5, "high": 0.975, "top": 1.0}
+    got = {r.g: list(r[1:]) for r in quantiles(df, "v", shares, ["g"]).collect()}
+    groups = {g for g, v in rows if v is not None}
+    assert set(got) == groups
+    for g in groups:
+        assert np.allclose(got[g], np.quantile([v for h, v in rows if h == g and v is not None], list(shares.values())), atol=1e-12)
+    whole = quantiles(df, "v", {"mid": 0.5}).collect()
+    assert [list(r) for r in whole] == [[np.median([v for _, v in rows if v is not None])]]
+    assert quantiles(df.limit(0), "v", shares, ["g"]).collect() == [] and quantiles(df.filter("v is null"), "v", shares).collect() == []
