@@ -44,7 +44,8 @@ BANDS = COORDINATES // ROWS
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 CHUNK_BYTES = 1 << 21
 
-BLOCK = 4096
+#: A group of the comparison in blocks holds about 2 * BLOCK rows and 2 * BLOCK_BYTES bytes of units at most (its index takes some six times that), or one very long text.
+BLOCK, BLOCK_BYTES = 4096, 1 << 26
 
 SIGNED = columns(key="long", same="bytes", bands=T.ArrayType(T.LongType()), brief="bytes")
 U = np.uint64
@@ -316,24 +317,36 @@ class Postings:
         return met[small >= SIMILARITY * large]
 
 
-def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: links between members of a bucket that are in different components.
+def dealt_members(buckets: DataFrame, labels: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, label, foreign, g: the members of buckets with several components, dealt to groups g so that all pairs that need a comparison meet in one.
 
     In each bucket the foreign members, those outside its largest component, are compared with all members, both in
-    blocks of BLOCK: a bucket of n members, f of them foreign, costs about n * ceil(f / BLOCK) + f * ceil(n / BLOCK) rows, n where all but a
-    few are in one component. A group compares only what Postings does not exclude,
-    those first whose signatures agree most; a link joins two components, which then need no other.
+    blocks of BLOCK rows, or of BLOCK_BYTES where texts are long: a bucket of n members, f of them foreign, costs about n * ceil(f / BLOCK) + f * ceil(n / BLOCK) rows, n where all but a
+    few are in one component.
     """
     known = buckets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n_all"))
     largest = scratch.written(largest.filter("n_all > top.c").select("bucket", F.col("top.label").alias("main"), (F.col("n_all") - F.col("top.c")).alias("f")), "largest")
-    several = scratch.written(known.join(largest, "bucket"), "mixed")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    mixed_ = known.join(largest, "bucket").join(units.select("key", F.octet_length("units").cast("long").alias("w")), "key")
+    mixed_ = scratch.written(mixed_, "members")
+    wide = mixed_.groupBy("bucket").agg(F.sum("w").alias("n_w"), F.coalesce(F.sum(F.when(F.col("label") != F.col("main"), F.col("w"))), F.lit(0)).alias("f_w"))
+    several = scratch.written(mixed_.join(scratch.written(wide, "widths"), "bucket"), "mixed")
+    scratch.drop(mixed_)
+    blocks = lambda c: F.ceil(F.greatest(F.col(c) / BLOCK, F.col(f"{c}_w") / BLOCK_BYTES, F.lit(1.0))).cast("int")
     row, column = (F.pmod(F.xxhash64("key", F.lit(i)), blocks(c)).cast("int") for i, c in enumerate(("n", "f")))
     any_ = several.select("bucket", "key", "label", F.lit(False).alias("foreign"), row.alias("i"), F.explode(F.sequence(F.lit(0), blocks("f") - 1)).alias("j"))
     foreign = several.filter("label <> main").select("bucket", "key", "label", F.lit(True).alias("foreign"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("i"), column.alias("j"))
-    dealt = any_.unionByName(foreign).select("key", "label", "foreign", F.xxhash64("bucket", "i", "j").alias("g"))
+    return any_.unionByName(foreign).select("key", "label", "foreign", F.xxhash64("bucket", "i", "j").alias("g"))
+
+
+def between_components(buckets: DataFrame, labels: DataFrame, first: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: links between members of a bucket that are in different components.
+
+    A group of dealt_members compares only what Postings does not exclude,
+    those first whose signatures agree most; a link joins two components, which then need no other.
+    """
+    dealt = dealt_members(buckets, labels, units, scratch)
     dealt = dealt.join(first.select("key", "brief").join(units.hint("merge"), "key").hint("merge"), "key")
 
     def compared(rows: list[list]) -> list[tuple[int, int]]:
