@@ -8,7 +8,7 @@ language over all its grams; counts are corrected for each filter's false positi
 the language with the most decides. The score is its share of all corrected counts.
 
 Learning uses text and non-null lang of documents whose crc32(doc_id as text) mod 4 is not 2, at most about SAMPLE
-a language (chosen by a hash of doc_id, so the same on every run), for every language there is. A prediction reads the text alone.
+a language (chosen by a hash of doc_id, or of the text where that is null, so the same on every run), for every language there is. A prediction reads the text alone.
 
 Nulls: a null text, and one without letters, is ``und`` with score 0; a null lang is not learnt; a null doc_id is
 not held out. Without anything learnt all is ``und``. Ties go to the first language by name. Repeated
@@ -62,7 +62,8 @@ def gram_counts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     counts = rows.groupBy("lang").count().collect()  # a row a language
     shares = [x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))]
     share = F.try_element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(0.0)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    own = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))  # a null adds nothing to the hash
+    draw = F.pmod(own, F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.filter(draw < share).select("lang", "text")
 
     def each(batch: pa.RecordBatch) -> dict:

@@ -9,7 +9,7 @@ whatever store it is on and whichever executors are lost. A second, small table
 ids and blocks of each shard.
 
 Nulls: a null text is a document of its end id alone; null doc_ids come first. Rows that
-share a doc_id are told apart by a running number within the shard. An empty table makes
+share a doc_id come in the order of their texts and are told apart by a running number within the shard. An empty table makes
 an empty file.
 
 Plan: one range shuffle of texts by doc_id; shards stream through a task with one block in
@@ -93,7 +93,7 @@ def write_planes(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         yield from out(True)
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).withColumn("shard", F.spark_partition_id().cast("long"))
+    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))).withColumn("shard", F.spark_partition_id().cast("long"))
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     blocks = docs.sparkSession.read.schema(BLOCKS).parquet(f"{path}/blocks")
     blocks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.count("*").alias("n_blocks")).coalesce(1).write.parquet(f"{path}/chunk_index")

@@ -13,9 +13,10 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rallyframe.llm import extract, minhash, packing, planes
+from rallyframe.llm import extract, langid, minhash, packing, planes
 from rallyframe.llm.shared import Scratch
 from rallyframe.llm.tokens import PieceEncoder
 
@@ -65,6 +66,51 @@ def test_links_between_components_whose_signatures_differ(spark):
     assert len(links) == 1 and links <= {(3, 1), (3, 2)}
 
 
+def test_groups_of_very_long_texts_are_bounded_by_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = {}
+    for family in range(12):  # each text is like one other of its family at least
+        base = np.arange(1500) + 10_000 * family
+        for i in range(6):
+            sets[family * 10 + i] = np.unique(np.concatenate([base[rng.random(1500) > 0.05], 10**6 + rng.integers(0, 10**9, 40)])).astype(np.uint64)
+    buckets = spark.createDataFrame([(8, k, len(sets)) for k in sets], "bucket bigint, key bigint, n bigint")
+    labels = spark.createDataFrame([(k, 0 if k < 10 else k) for k in sets], "key bigint, label bigint")
+    first = spark.createDataFrame([(k, x[:100].astype(np.uint16).tobytes()) for k, x in sets.items()], "key bigint, brief binary")
+    held = spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "key bigint, units binary")
+    whole = sum(x.nbytes for x in sets.values())
+    for most in (minhash.BLOCK_BYTES, whole // 8):
+        monkeypatch.setattr(minhash, "BLOCK_BYTES", most)
+        with Scratch(spark) as scratch:
+            met = minhash.dealt_members(buckets, labels, held, scratch).collect()
+            links = [(r.a, r.b) for r in minhash.between_components(buckets, labels, first, held, scratch).collect()]
+        sizes: dict = {}
+        for r in met:
+            sizes[r.g] = sizes.get(r.g, 0) + sets[r.key].nbytes
+        if most < whole:
+            assert len(sizes) > 32 and max(sizes.values()) < 2 * 2 * most  # twice, and what a hash deals unevenly
+        else:
+            assert len(sizes) == 1
+        family = {k: k for k in sets} | {k: 0 for k in sets if k < 10}
+        for a, b in links:
+            family = {k: family[b] if v == family[a] else v for k, v in family.items()}
+        assert len(set(family.values())) == 12 and all(family[k] == family[k // 10 * 10] for k in sets)
+
+
+def test_rows_of_one_id_keep_one_order_and_tables_without_ids_are_learnt_in_part(spark):
+    texts = [f"text number {i} of one id" for i in range(40)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(None, None), (None, "a"), (9, "z")], "doc_id bigint, text string")
+    runs = [sorted(map(tuple, planes.plane_rows(d, BYTES).collect()), key=lambda r: r[1]) for d in (docs, docs.orderBy(F.rand(3)), docs.repartition(7))]
+    assert runs[0] == runs[1] == runs[2]
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4").tobytes())
+    library = Tokenizer.from_file(BYTES)
+    assert [r[3] for r in runs[0]] == [crc(t) for t in ["", "a", *sorted(texts), "z"]]
+    without = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit("en").alias("lang")).filter("text is not null")
+    counted = {r.gram: r.n for r in langid.gram_counts(without, sample=20).collect()}
+    assert 3 <= max(counted.values()) < 40
+    with_ids = without.withColumn("doc_id", F.xxhash64("text"))
+    assert 3 <= max(r.n for r in langid.gram_counts(with_ids, sample=20).collect()) < 40
+
+
 def test_no_similar_pair_is_out_of_reach():
     rng = np.random.default_rng(5)
     base = np.arange(200)
