@@ -57,10 +57,10 @@ def expected_value(p: Column, price: Column) -> Column:
 
 
 def kelly(p: Column, price: Column) -> Column:
-    """Share of the bank: (p b - q) / b between 0 and KELLY_CAP."""
+    """Share of the bank: (p b - q) / b between 0 and KELLY_CAP; 0 at a price that wins nothing, null without a chance or a price."""
     b = price - 1
-    share = (p * b - (1 - p)) / b
-    return F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(KELLY_CAP), share)))
+    share = F.coalesce((p * b - (1 - p)) / F.when(b > 0, b), F.lit(0.0))
+    return F.when(p.isNotNull() & price.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(KELLY_CAP), share)))
 
 
 def clipped(p: Column, eps: float = EPS) -> Column:

@@ -76,3 +76,23 @@ def expanding_best(rows: DataFrame, least: int = 100) -> DataFrame:
     past = Window.partitionBy("weight").orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.select("season", "weight", F.sum("loss").over(past).alias("past"), F.sum("n").over(past).alias("trained_on")).filter(F.col("trained_on") >= least)
     return before.groupBy("season").agg(F.min_by("weight", F.struct(F.round(F.col("past") / F.col("trained_on"), 9), "weight")).alias("weight"), F.max("trained_on").alias("trained_on"))
+
+
+def freshest_pairings(rows: DataFrame, a: str, b: str, *order: str) -> DataFrame:
+    """The last row, by order, of each pair of names, whichever of them is listed first; it stays as it was listed.
+
+    A match that was put off or listed anew is one pairing, so it is never bet on twice. Rows without one of the names are left out.
+    """
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    named = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    last = named.groupBy(F.least(a, b).alias("_lo"), F.greatest(a, b).alias("_hi")).agg(F.max_by(whole, F.struct(*order)).alias("_r"))
+    return last.select("_r.*")
+
+
+def with_picks(rows: DataFrame, p: str = "p_model", o1: str = "p1_price", o2: str = "p2_price") -> DataFrame:
+    """rows with side (1 or 2: the one of the larger expected value, 1 among equals), price, p_side, ev and stake (capped Kelly) of that side; nulls where there is no chance."""
+    ev1, ev2 = expected_value(F.col(p), F.col(o1)), expected_value(1 - F.col(p), F.col(o2))
+    out = rows.withColumn("side", F.when(F.round(ev1, 9) >= F.round(ev2, 9), 1).when(F.col(p).isNotNull(), 2))
+    first = F.col("side") == 1
+    out = out.withColumn("price", F.when(first, F.col(o1)).when(~first, F.col(o2))).withColumn("p_side", F.when(first, F.col(p)).when(~first, 1 - F.col(p)))
+    return out.withColumn("ev", expected_value(F.col("p_side"), F.col("price"))).withColumn("stake", kelly(F.col("p_side"), F.col("price")))

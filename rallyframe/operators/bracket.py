@@ -141,6 +141,13 @@ def progression(results: DataFrame) -> DataFrame:
     return sides.filter("s.p is not null").groupBy("draw_id", F.col("s.p").alias("player_id")).agg(F.max("s.w").cast("long").alias("rounds_won"))
 
 
+def stages(far: DataFrame, size: int) -> DataFrame:
+    """far (rounds_won) with the stage that a player reached (W for the winner) and the round in which the last tie was lost (none for the winner)."""
+    names = rounds_of(size)
+    of = lambda names: F.get(F.array(*map(F.lit, names)), F.col("rounds_won").cast("int"))
+    return far.withColumn("reached", of([*names, "W"])).withColumn("lost_in", of(names))
+
+
 def graded(p: Column) -> Column:
     """A call of a tie by the share that was given to its winner."""
     return F.when(p >= 0.5, "ok").when(p >= 0.4, "near").when(p >= 0.25, "miss").otherwise("upset")

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .folds import streamed
-
 ROLLING = (10, 25, 50)
 SESSION_DAYS = 30
 
@@ -54,29 +54,56 @@ def load_before(key: list[str], day: str, order: list[str], days: int, amount: C
     return F.coalesce(F.sum(x).over(by_day), F.lit(0)) - F.coalesce(F.sum(x).over(from_here), F.lit(0))
 
 
-class _Means:
-    """Bias-corrected exponential means of one key: two sums a half-life."""
-
-    def __init__(self, value: str, ids: list[str], half_lives: tuple[float, ...]):
-        self.value, self.ids, self.keep, self.sums = value, ids, [0.5 ** (1 / h) for h in half_lives], [(0.0, 0.0) for _ in half_lives]
+def _states_before(x: np.ndarray, same: np.ndarray, keep: float, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum and weight of an exponential mean before each value of x, and those after the last one.
 
-    def row(self, row: dict) -> Iterator[tuple]:
-        yield (*(row[c] for c in self.ids), *(s / w if w else None for s, w in self.sums))
-        x = row[self.value]
-        if x is not None and x == x:
-            self.sums = [(s * k + x * (1 - k), w * k + (1 - k)) for (s, w), k in zip(self.sums, self.keep, strict=True)]
-
-    def end(self) -> Iterator[tuple]:
-        return iter(())
+    same: whether a value's key is that of the value before (of ``carried``, for the first). A step is a linear map of the state;
+    maps are composed over stretches of doubling length, so a batch takes few passes.
+    """
+    there = ~np.isnan(x)
+    factor, own = np.where(there, keep, 1.0), np.stack([np.where(there, x, 0.0), there]) * (1 - keep)
+    a = np.where(same, np.concatenate([[1.0], factor[:-1]]), 0.0)
+    b = np.where(same, np.concatenate([carried[:, None], own[:, :-1]], axis=1), 0.0)
+    step = 1
+    while step < len(x) and a[step:].any():
+        b[:, step:] += a[step:] * b[:, :-step].copy()
+        a[step:] *= a[:-step].copy()
+        step *= 2
+    return b, factor[-1] * b[:, -1] + own[:, -1]
 
 
 def ewma_before(rows: DataFrame, key: list[str], order: str, value: str, half_lives: tuple[float, ...] = (5.0, 20.0)) -> DataFrame:
     """key, order and ewma_h for each half-life: the bias-corrected mean of all earlier values of the key, missing ones skipped; null before the first.
 
-    A fold with constant state over rows in order: work grows with rows and no history is held.
+    Rows stream in order through vectorised steps, a batch at a time; what goes from one batch to the next is a key and two numbers a half-life.
     """
-    schema = T.StructType([rows.schema[order], *[T.StructField(f"ewma_{h:g}", T.DoubleType()) for h in half_lives]])
-    return streamed(rows.select(*key, order, F.col(value).cast("double").alias(value)), key, [order], lambda _: _Means(value, [order], half_lives), schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = [f"ewma_{h:g}" for h in half_lives]
+    rows = rows.select(*key, order, F.col(value).cast("double").alias("_x"))
+    whole = T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, T.DoubleType()) for n in names]])
+    arrow, keeps = to_arrow_schema(whole), [0.5 ** (1 / h) for h in half_lives]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, [np.zeros(2) for _ in keeps]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(i) for i in range(len(key))]
+            same = np.ones(batch.num_rows, bool)
+            same[0] = last == [c[0].as_py() for c in own]
+            for c in own:
+                code = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                same[1:] &= code[1:] == code[:-1]
+            x = batch.column(len(key) + 1).to_numpy(zero_copy_only=False).astype(float)
+            means = []
+            for h, keep in enumerate(keeps):
+                (s, w), carried[h] = _states_before(x, same, keep, carried[h])
+                means.append(pa.array(s / np.where(w > 0, w, 1.0), pa.float64(), mask=w == 0))
+            last = [c[-1].as_py() for c in own]
+            yield pa.RecordBatch.from_arrays([*own, batch.column(len(key)), *means], schema=arrow)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, order).mapInArrow(run, whole)
 
 
 def head_to_head(results: DataFrame, by: list[str] = [], order: list[str] = ["match_id"]) -> DataFrame:  # noqa: B006

@@ -124,12 +124,23 @@ def bracket_reconstruction(spark, d):
     return tie(rebuilt, "hi").join(tie(full, "expected"), ["draw_id", "lo"]).select("draw_id", "lo", "hi", (F.col("hi") == F.col("expected")).alias("meets"))
 
 
-@query("bracket_progression", event_sql(f"SELECT draw_id, player_id, CAST(rounds_won AS BIGINT) AS rounds_won, {reaches()} FROM r JOIN won USING (draw_id, player_id)", *advancement_sql("entrants", "r"), WON))
+@query("bracket_progression", event_sql(f"SELECT draw_id, player_id, CAST(coalesce(rounds_won, 0) AS BIGINT) AS rounds_won, {reaches()} FROM r LEFT JOIN won USING (draw_id, player_id)", *advancement_sql("entrants", "r"), WON))
 def bracket_progression(spark, d):
-    """How far each player came against the chances before the event: a pre-event and actual table."""
+    """How far each player came against the chances before the event: a pre-event and actual table; a player without a result has won no round."""
     full, results = one_event(spark, d)
-    table_ = bracket.advancement(full, chance, ROUNDS).join(bracket.progression(results), ["draw_id", "player_id"])
-    return table_.select("draw_id", "player_id", "rounds_won", *[F.round(f"reach_{r}", 6).alias(f"reach_{r}") for r in range(1, ROUNDS + 1)])
+    table_ = bracket.advancement(full, chance, ROUNDS).join(bracket.progression(results), ["draw_id", "player_id"], "left")
+    return table_.select("draw_id", "player_id", F.coalesce("rounds_won", F.lit(0)).alias("rounds_won"), *[F.round(f"reach_{r}", 6).alias(f"reach_{r}") for r in range(1, ROUNDS + 1)])
+
+
+@query(
+    "bracket_stages",
+    event_sql(
+        "SELECT draw_id, player_id, CAST(rounds_won AS BIGINT) AS rounds_won, STAGE AS reached, CASE WHEN rounds_won < 4 THEN STAGE END AS lost_in FROM won".replace("STAGE", "CASE rounds_won WHEN 0 THEN 'R16' WHEN 1 THEN 'QF' WHEN 2 THEN 'SF' WHEN 3 THEN 'F' ELSE 'W' END"), WON
+    ),
+)
+def bracket_stages(spark, d):
+    """The stage that each player reached, and the round that ended the run."""
+    return bracket.stages(bracket.progression(one_event(spark, d)[1]), 1 << ROUNDS)
 
 
 @query(

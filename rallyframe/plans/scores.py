@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import market as mk
-from ..operators import betting, metrics
+from ..operators import betting, metrics, ratings
+from ..operators import relational as rel
 from ..operators.ordering import quantiles
 from ..session import written
+from .joins import FEED_NAME, KEYED, PLAIN
 from .registry import query
-from .views import first_capture, forecast, last_capture, price, priced
+from .views import CAPTURE_ORDER, first_capture, forecast, last_capture, price, priced, table
 
 CLASSIFY = """count(*) AS n,
   round(-avg(CASE WHEN y_win = 1 THEN ln(p_win) ELSE ln(1 - p_win) END), 6) AS log_loss, round(avg((p_win - y_win) * (p_win - y_win)), 6) AS brier,
@@ -430,3 +432,49 @@ def market_upcoming_value(spark, d):
     return rows.select(
         "match_id", F.round(mk.shin(o1, o2), 6).alias("p_market"), F.round(mk.expected_value(p, o1), 6).alias("ev1"), F.round(mk.expected_value(1 - p, o2), 6).alias("ev2"), F.round(mk.kelly(p, o1), 6).alias("stake1")
     )
+
+
+FIXTURE_DAYS = 60
+FIXTURES_SQL = f"""WITH q AS (SELECT *, k1 + 1 - ln % 2 AS a, k1 + ln % 2 AS b FROM price WHERE captured_at >= (SELECT max(captured_at) FROM price) - INTERVAL {FIXTURE_DAYS} DAY),
+fn AS (SELECT p_partkey, {FEED_NAME} AS name FROM part),
+f AS (SELECT *, 1 / p1_price + 1 / p2_price AS overround FROM (SELECT q.*, x.name AS p1_name, y.name AS p2_name,
+    row_number() OVER (PARTITION BY least(x.name, y.name), greatest(x.name, y.name) ORDER BY captured_at DESC, match_id DESC, ln DESC, k1 DESC, k2 DESC, k3 DESC, k4 DESC) AS place
+  FROM q JOIN fn x ON x.p_partkey = a JOIN fn y ON y.p_partkey = b WHERE x.name IS NOT NULL AND y.name IS NOT NULL) WHERE place = 1),
+p0 AS (SELECT p_partkey AS player_id, p_size AS seen, {PLAIN.format("p_name")} AS plain FROM part), pk AS (SELECT player_id, seen, plain, {KEYED.format("p0")}),
+x AS (SELECT 'n' || plain AS key, player_id, seen FROM pk WHERE plain <> '' UNION ALL SELECT 's' || skey, player_id, seen FROM pk WHERE skey <> ''), ix AS (SELECT key, arg_max(player_id, (seen, -player_id)) AS player_id FROM x GROUP BY key),
+a0 AS (SELECT name, {PLAIN.format("name")} AS plain FROM (SELECT p1_name AS name FROM f UNION SELECT p2_name FROM f)), ak AS (SELECT name, plain, l, {KEYED.format("a0")}),
+r AS (SELECT name, 0 AS level, 'n' || plain AS key FROM ak UNION ALL SELECT name, 1, 's' || skey FROM ak UNION ALL SELECT name, k, 's' || l[k] || '|' || left(l[1], 1) FROM (SELECT name, l, unnest(range(2, n + 1)) AS k FROM ak WHERE n > 2)),
+b AS (SELECT name, arg_min(player_id, level) AS player_id FROM r JOIN ix USING (key) WHERE length(key) > 1 GROUP BY name),
+m AS (SELECT f.*, u.player_id AS p1_id, v.player_id AS p2_id, 1 / (1 + pow(10, 8 * (t.p_size - s.p_size) / 400e0)) AS pm, {SHIN} AS pk FROM f
+  LEFT JOIN b u ON u.name = p1_name LEFT JOIN b v ON v.name = p2_name LEFT JOIN part s ON s.p_partkey = u.player_id LEFT JOIN part t ON t.p_partkey = v.player_id),
+e AS (SELECT *, CASE WHEN pm IS NOT NULL THEN round(pm * p1_price - 1, 9) >= round((1 - pm) * p2_price - 1, 9) END AS one FROM m),
+z AS (SELECT *, CASE WHEN one THEN p1_price WHEN NOT one THEN p2_price END AS price, CASE WHEN one THEN pm WHEN NOT one THEN 1 - pm END AS p FROM e)
+SELECT p1_name, p2_name, p1_id, p2_id, CASE WHEN one THEN p1_name WHEN NOT one THEN p2_name END AS pick, round(price, 6) AS price, round(p, 6) AS p_model, round(CASE WHEN one THEN pk WHEN NOT one THEN 1 - pk END, 6) AS p_market, round(p * price - 1, 6) AS ev,
+  CASE WHEN p IS NOT NULL THEN round(greatest(0, least(0.05, coalesce((p * (price - 1) - (1 - p)) / nullif(greatest(price - 1, 0), 0), 0))), 6) END AS stake, CASE WHEN pm IS NULL THEN 'unresolved' WHEN round(p * price - 1, 9) >= 0.05 THEN 'bet' ELSE 'no edge' END AS status FROM z"""
+
+
+@query("market_fixture_picks", FIXTURES_SQL, "price")
+def market_fixture_picks(spark, d):
+    """Fixtures listed in the last FIXTURE_DAYS days, one row a pairing from its last listing, its feed names resolved to players, with the side to back, its price, chance, value and stake.
+
+    Fixtures of which a name resolves to nobody stay, without a pick.
+    """
+    parts, quotes = table(spark, d, "part"), price(spark, d)
+    last = quotes.agg(F.max("captured_at")).first()[0]
+    feed = parts.select("p_partkey", F.expr(FEED_NAME).alias("name"))
+    of = lambda key, name: feed.select(F.col("p_partkey").alias(key), F.col("name").alias(name))
+    listed = quotes.filter(F.col("captured_at") >= F.lit(last) - F.expr(f"INTERVAL {FIXTURE_DAYS} DAYS")).withColumn("a", F.col("k1") + 1 - F.col("ln") % 2).withColumn("b", F.col("k1") + F.col("ln") % 2)
+    listed = listed.join(of("a", "p1_name"), "a").join(of("b", "p2_name"), "b")
+    fixtures = written(betting.freshest_pairings(listed, "p1_name", "p2_name", "captured_at", "match_id", "ln", *CAPTURE_ORDER), "fixtures")
+    players = parts.select(F.col("p_partkey").alias("player_id"), F.col("p_name").alias("name"), F.col("p_size").alias("last_seen"))
+    found = rel.resolved(fixtures.select(F.explode(F.array("p1_name", "p2_name")).alias("name")).distinct(), players).select("name", "player_id")
+    rated = written(found.join(players.select("player_id", (F.col("last_seen") * 8).cast("double").alias("rating")), "player_id", "left").select("name", "player_id", "rating"), "players")
+    side = lambda i: rated.select(F.col("name").alias(f"p{i}_name"), F.col("player_id").alias(f"p{i}_id"), F.col("rating").alias(f"_r{i}"))
+    rows = fixtures.join(side(1), "p1_name").join(side(2), "p2_name").withColumn("p_model", ratings.expected(F.col("_r1"), F.col("_r2")))
+    rows = betting.with_picks(rows)
+    first, market = F.col("side") == 1, mk.shin(F.col("p1_price"), F.col("p2_price"))
+    return rows.select(
+        "p1_name", "p2_name", "p1_id", "p2_id", F.when(first, F.col("p1_name")).when(~first, F.col("p2_name")).alias("pick"), F.round("price", 6).alias("price"), F.round("p_side", 6).alias("p_model"),
+        F.round(F.when(first, market).when(~first, 1 - market), 6).alias("p_market"), F.round("ev", 6).alias("ev"), F.round("stake", 6).alias("stake"),
+        F.when(F.col("p_model").isNull(), "unresolved").when(F.round("ev", 9) >= 0.05, "bet").otherwise("no edge").alias("status"),
+    )

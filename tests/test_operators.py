@@ -289,3 +289,47 @@ def test_table_function_on_odd_pages(spark):
     want = sorted((r.page_id, r.book, r.o1, r.o2) for r in pages.book_prices(rows.withColumnRenamed("page", "page_id")).collect())
     got = spark.sql("SELECT * FROM book_prices_of(TABLE({rows}) PARTITION BY page)", rows=rows).collect()
     assert sorted((r.page, r.book, r.o1, r.o2) for r in got) == want == [(3, "A", 2.0, 1.9), (3, "A", 2.0, 1.9)]
+
+
+def test_a_pairing_is_one_fixture_however_often_it_is_listed(spark):
+    from rallyframe.operators import betting
+
+    rows = [("Ito U.", "Sato R.", 10, 3.8), ("Ito U.", "Sato R.", 12, 3.9), ("Sato R.", "Ito U.", 13, 1.3), ("Kolar S.", "May A.", 12, 2.4), ("Kolar S.", None, 14, 2.0), (None, None, 15, 2.0)]
+    listed = spark.createDataFrame(rows, "a string, b string, captured int, odds double")
+    assert sorted(betting.freshest_pairings(listed, "a", "b", "captured").collect()) == [("Kolar S.", "May A.", 12, 2.4), ("Sato R.", "Ito U.", 13, 1.3)]
+    assert betting.freshest_pairings(listed.limit(0), "a", "b", "captured").count() == 0
+    priced = spark.createDataFrame([(0.5, 2.0, 2.0), (0.2, 2.0, 2.0), (None, 2.0, 2.0), (0.5, 1.0, 1.0)], "p_model double, p1_price double, p2_price double")
+    picks = [tuple(r) for r in betting.with_picks(priced).select("side", "price", "p_side", "ev", "stake").collect()]
+    assert picks[0] == (1, 2.0, 0.5, 0.0, 0.0) and picks[1][:3] == (2, 2.0, 0.8) and picks[1][4] == 0.05 and picks[2] == (None,) * 5 and picks[3] == (1, 1.0, 0.5, -0.5, 0.0)
+
+
+def test_exponential_means_of_any_batches_equal_a_fold(spark):
+    import random
+
+    from rallyframe.operators import form
+
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "b", None, "c"]), i, draw.choice([None, float("nan"), draw.gauss(0, 1), 3.0])) for i in range(700)] + [("long", i, draw.random()) for i in range(5000)]
+    want, state = {}, {}
+    for k, i, x in sorted(rows, key=lambda r: r[1]):
+        for h in (5.0, 20.0):
+            s, w = state.get((k, h), (0.0, 0.0))
+            want[k, i, h] = s / w if w else None
+            keep = 0.5 ** (1 / h)
+            if x is not None and x == x:
+                state[k, h] = s * keep + x * (1 - keep), w * keep + 1 - keep
+    frame = spark.createDataFrame(rows, "k string, i int, x double")
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for k, i, fast, slow in form.ewma_before(frame if size != "3" else frame.filter("i < 700"), ["k"], "i", "x").collect():
+            for h, got in ((5.0, fast), (20.0, slow)):
+                assert got == want[k, i, h] or abs(got - want[k, i, h]) < 1e-9, (k, i, h)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert form.ewma_before(frame.limit(0), ["k"], "i", "x").count() == 0
+
+
+def test_stages_of_a_run(spark):
+    from rallyframe.operators import bracket
+
+    far = spark.createDataFrame([(0,), (2,), (3,), (None,)], "rounds_won long")
+    assert [tuple(r) for r in bracket.stages(far, 8).collect()] == [(0, "QF", "QF"), (2, "F", "F"), (3, "W", None), (None, None, None)]
