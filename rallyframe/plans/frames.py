@@ -94,7 +94,7 @@ def day_archive(spark, d):
 @query(
     "stream_day_ledger",
     """WITH l AS (SELECT max(CAST(ts AS DATE)) AS last FROM contest), r AS (SELECT match_id, CAST(ts AS DATE) AS day, winner_id, loser_id, CAST(floor(margin) AS BIGINT) AS m, date_diff('day', CAST(ts AS DATE), last) AS back FROM contest, l)
-SELECT match_id, day, 'Player ' || winner_id AS p1_name, 'Player ' || loser_id AS p2_name, CAST(m AS VARCHAR) AS score, CASE WHEN back < 16 AND day(day) % 7 = 3 THEN -1 ELSE back // 8 END::BIGINT AS batch FROM r""",
+SELECT match_id, CAST(r.day AS VARCHAR) AS day, 'Player ' || winner_id AS p1_name, 'Player ' || loser_id AS p2_name, CAST(m AS VARCHAR) AS score, CASE WHEN back < 16 AND day(r.day) % 7 = 3 THEN -1 ELSE back // 8 END::BIGINT AS batch FROM r""",
     "contest",
 )
 def stream_day_ledger(spark, d):
@@ -110,4 +110,4 @@ def stream_day_ledger(spark, d):
     ledger.backfill(spark, folder, last - timedelta(15), last, failing, parse, size=8)
     ledger.backfill(spark, folder, first, last, at, parse, size=8)
     rows = ledger.matches(spark, folder, DAY_ROWS)
-    return rows.select("match_id", "day", "p1_name", "p2_name", "score", F.col("batch").cast("long").alias("batch"))
+    return rows.select("match_id", F.col("day").cast("string").alias("day"), "p1_name", "p2_name", "score", F.col("batch").cast("long").alias("batch"))
