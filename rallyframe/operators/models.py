@@ -183,5 +183,5 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     counts = d.groupBy("m").agg(F.count("*").alias("c"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("up"))
     ranked = running_totals(counts, ["m"], {"before": F.col("c")}).select("c", "up", (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
     sums = ranked.agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its third power is beyond a long from 1.7 million pairs on
     return sums.select("n", F.round("w", 4).alias("w"), F.round((F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24), 6).alias("z"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rallyframe.operators import models
 from rallyframe.operators.ordering import quantiles
@@ -82,3 +83,16 @@ def test_quantiles_by_ranges(spark):
     whole = quantiles(df, "v", {"mid": 0.5}).collect()
     assert [list(r) for r in whole] == [[np.median([v for _, v in rows if v is not None])]]
     assert quantiles(df.limit(0), "v", shares, ["g"]).collect() == [] and quantiles(df.filter("v is null"), "v", shares).collect() == []
+
+
+def test_wilcoxon_of_more_pairs_than_a_long_holds_cubed(spark):
+    n = 2_200_000
+    df = spark.range(n).select((F.col("id") % 50 - 20).cast("double").alias("a"), F.lit(0.0).alias("b"))
+    got = models.wilcoxon(df, "a", "b").collect()[0]
+    d = np.array([i - 20 for i in range(50) if i != 20])
+    c = n // 50
+    before = {m: c * int((abs(d) < m).sum()) for m in set(abs(d))}
+    w = sum(c * (before[m] + (c * int((abs(d) == m).sum()) + 1) / 2) for m in d if m > 0)
+    k = c * len(d)
+    assert got.n == k and got.w == w
+    assert abs(got.z - (w - k * (k + 1) / 4) / np.sqrt(float(k) * (k + 1) * (2 * k + 1) / 24)) < 1e-5
