@@ -135,10 +135,13 @@ def source_quotes(spark, d):
     f"WITH {PADDED} SELECT draw_id, slot, player_id, 'Customer ' || player_id AS name, CASE WHEN player_id IS NOT NULL AND slot < 4 THEN CAST(slot + 1 AS VARCHAR) END AS seed, player_id IS NULL AND slot % 2 = 1 AS is_bye FROM field",
 )
 def source_draw_sheet(spark, d):
-    """Sheets with a later round and byes: by the player who stands for one, on either side, and by the result's word."""
+    """Sheets with a later round and byes: by the player who stands for one, on either side, and by the result's word.
+
+    The feed's numbers of players are odd here, as the even number that stands for a bye may be a customer's own.
+    """
     field = bracket.padded(draws(spark, d), 1 << ROUNDS)
     known = F.col("player_id").isNotNull()
-    player = F.struct(F.coalesce("player_id", F.lit(drawsheets.BYE)).alias("id"), F.when(known, said("Customer ", F.col("player_id"))).alias("name"), F.when(known & (F.col("slot") < 4), (F.col("slot") + 1).cast("string")).alias("seed"))
+    player = F.struct(F.coalesce(2 * F.col("player_id") + 1, F.lit(drawsheets.BYE)).alias("id"), F.when(known, said("Customer ", F.col("player_id"))).alias("name"), F.when(known & (F.col("slot") < 4), (F.col("slot") + 1).cast("string")).alias("seed"))
     ties = field.groupBy("draw_id", F.floor(F.col("slot") / 2).cast("int").alias("tie")).agg(*[F.max(F.when(F.col("slot") % 2 == i, player)).alias(f"s{i}") for i in (0, 1)])
     turned = F.col("draw_id") % 2 == 1
     a, b = F.when(turned, F.col("s1")).otherwise(F.col("s0")), F.when(turned, F.col("s0")).otherwise(F.col("s1"))
@@ -152,7 +155,8 @@ def source_draw_sheet(spark, d):
     sheets = ties.select("draw_id", first.alias("t")).groupBy("draw_id").agg(F.collect_list("t").alias("t"))
     both = F.concat(F.transform("t", lambda t: F.to_json(t)), F.array(F.to_json(later)))
     payload = F.concat(F.lit('{"data":{"singles":['), F.array_join(both, ","), F.lit('],"doubles":[]}}'))
-    return drawsheets.first_round(sheets.select("draw_id", payload.alias("payload"))).withColumn("slot", F.col("slot").cast("long"))
+    read = drawsheets.first_round(sheets.select("draw_id", payload.alias("payload")))
+    return read.withColumns({"slot": F.col("slot").cast("long"), "player_id": F.expr("(player_id - 1) div 2")})
 
 
 @query(
