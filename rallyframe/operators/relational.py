@@ -21,20 +21,22 @@ def pair_key(a: str, b: str) -> list[Column]:
 def banded_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, days: int, left_id: str, right_id: str, low: int | None = None) -> DataFrame:
     """keys, left_id, right_id, gap: one-to-one matches on keys with days apart in [low, days], nearest first.
 
-    Rows meet by keys and a stretch of days as wide as the band: each right row goes to the stretches that its own day reaches, two or
-    three, so only rows near in time meet. Two passes: the best right row of each left row, then the best left row of each right row; ties go to smaller ids.
+    Two passes: the best right row of each left row, then the best left row of each right row; ties go to smaller ids. Which right row is best depends on the keys and the day alone, so
+    only the smallest right_id of each (keys, day) can win, and distinct (keys, day) of both sides meet instead of rows: a left one meets 2 * days + 1 at most, however many rows share
+    a key. They meet by keys and a stretch of days as wide as the band: each right day goes to the stretches that it reaches, two or three.
     """
     lowest = -days if low is None else low
     width = max(1, days - lowest)
-    stretch = lambda c, shift=0: F.floor((F.unix_date(F.to_date(c)) + shift) / width)
-    gap = F.datediff(F.col(right_day), F.col(left_day))
-    reached = F.explode(F.sequence(stretch(right_day, -days), stretch(right_day, -lowest)))
-    near_right = right.filter(F.col(right_day).isNotNull()).select(*keys, right_id, right_day, reached.alias("_s"))
-    joined = left.select(*keys, left_id, left_day, stretch(left_day).alias("_s")).join(near_right, [*keys, "_s"]).drop("_s")
-    near = joined.withColumn("gap", gap).filter(F.col("gap").between(lowest, days))
-    order = F.struct(F.abs("gap").alias("g"), left_id, right_id)
-    first = near.groupBy(left_id).agg(F.min_by(F.struct(*keys, right_id, "gap"), order).alias("m")).select(left_id, "m.*")
-    second = first.groupBy(right_id).agg(F.min_by(F.struct(*keys, left_id, "gap"), order).alias("m")).select("m.*", right_id)
+    day = lambda c: F.unix_date(F.to_date(c))
+    stretch = lambda c: F.floor(c / width)
+    lefts = left.filter(F.col(left_day).isNotNull()).select(*keys, left_id, day(left_day).alias("_a"))
+    rights = right.filter(F.col(right_day).isNotNull()).groupBy(*keys, day(right_day).alias("_b")).agg(F.min(right_id).alias(right_id))
+    reached = F.explode(F.sequence(stretch(F.col("_b") - days), stretch(F.col("_b") - lowest)))
+    near = lefts.select(*keys, "_a").distinct().withColumn("_s", stretch(F.col("_a"))).join(rights.select("*", reached.alias("_s")), [*keys, "_s"])
+    near = near.withColumn("gap", F.col("_b") - F.col("_a")).filter(F.col("gap").between(lowest, days))
+    best = near.groupBy(*keys, "_a").agg(F.min(F.struct(F.abs("gap").alias("g"), right_id, "gap")).alias("m")).select(*keys, "_a", F.col("m")[right_id].alias(right_id), "m.gap")
+    first = lefts.join(best, [*keys, "_a"]).groupBy(left_id).agg(F.min_by(F.struct(*keys, right_id, "gap"), F.struct(F.abs("gap").alias("g"), right_id, "gap")).alias("m")).select(left_id, "m.*")
+    second = first.groupBy(right_id).agg(F.min_by(F.struct(*keys, left_id, "gap"), F.struct(F.abs("gap").alias("g"), left_id)).alias("m")).select("m.*", right_id)
     return second.select(*keys, left_id, right_id, F.col("gap").cast("long").alias("gap"))
 
 

@@ -74,7 +74,7 @@ s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY
 @query("join_banded_nearest", BAND)
 def join_banded_nearest(spark, d):
     left = table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("k"), F.col("o_orderkey").alias("left_id"), F.to_date("o_orderdate").alias("a"))
-    right = table(spark, d, "lineitem").select((F.col("l_suppkey") % 500).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("right_id"), F.to_date("l_shipdate").alias("b")).distinct()  # lines repeat their numbers
+    right = table(spark, d, "lineitem").select((F.col("l_suppkey") % 500).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("right_id"), F.to_date("l_shipdate").alias("b"))
     return rel.banded_nearest(left, right, ["k"], "a", "b", 7, "left_id", "right_id")
 
 

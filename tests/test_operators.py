@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import time
 
 import pytest
@@ -358,3 +359,49 @@ def test_a_customer_may_have_the_number_of_the_bye(spark, tmp_path):
     spark.range(n - 20, n + 20).select(F.col("id").alias("c_custkey"), F.lit(0.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
     rows = source_draw_sheet(spark, str(tmp_path)).filter("player_id is not null").collect()
     assert sorted(r.player_id for r in rows) == list(range(n - 20, n + 20)) and all(r.name == f"Customer {r.player_id}" and not r.is_bye for r in rows)
+
+
+def most_rows(df):
+    """The most rows that any step of a plan gave out in its run."""
+    done = df.select("*")
+    done._jdf.queryExecution().executedPlan()
+    done._jdf.collectToPython()
+    plan, most = [done._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plan.append(node.plan())
+        elif kind == "ReusedExchangeExec":
+            continue
+        children = node.children()
+        plan += [children.apply(i) for i in range(children.size())]
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+    return most
+
+
+def test_band_join_does_not_pair_rows_that_share_a_key(spark):
+    rng = random.Random(4)
+    lefts = [(rng.randrange(3), 100 + rng.randrange(80), rng.randrange(40)) for _ in range(120)]
+    rights = [(rng.randrange(3), 500 + rng.randrange(60), rng.randrange(40)) for _ in range(90)]
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("d"))
+    left = spark.createDataFrame(lefts, "k int, left_id long, d int").select("k", "left_id", day.alias("a"))
+    right = spark.createDataFrame(rights, "k int, right_id long, d int").select("k", "right_id", day.alias("b"))
+    for low, days in ((None, 3), (0, 5), (-2, 0)):
+        lowest = -days if low is None else low
+        first = {}
+        for k, i, a in lefts:
+            for k2, j, b in rights:
+                if k == k2 and lowest <= b - a <= days:
+                    first[i] = min(first.get(i, (999,)), (abs(b - a), j, b - a, k))
+        second = {}
+        for i, (g, j, gap, k) in first.items():
+            second[j] = min(second.get(j, (999,)), (g, i, gap, k))
+        got = rel.banded_nearest(left, right, ["k"], "a", "b", days, "left_id", "right_id", low)
+        assert {(r.k, r.left_id, r.right_id, abs(r.gap)) for r in got.collect()} == {(k, i, j, g) for j, (g, i, gap, k) in second.items()}
+    same = lambda side, c: spark.range(2000).select(F.lit(1).alias("k"), F.col("id").alias(side), F.lit("2024-01-01").cast("date").alias(c))
+    one = rel.banded_nearest(same("left_id", "a"), same("right_id", "b"), ["k"], "a", "b", 7, "left_id", "right_id")
+    assert [tuple(r) for r in one.collect()] == [(1, 0, 0, 0)] and most_rows(one) <= 4000
