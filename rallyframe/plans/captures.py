@@ -66,9 +66,9 @@ def source_book_prices(spark, d):
 
 @query("source_book_prices_udtf", BOOK_PRICES)
 def source_book_prices_udtf(spark, d):
-    """The same rows from a Python table function that SQL calls on the table of pages, dealt by page."""
+    """The same rows from a Python table function that SQL calls on the table of pages; a page is one row, so rows go where they are and nothing is set up by page."""
     spark.udtf.register("book_prices_of", pages.BookPrices)
-    text = "SELECT page, book, o1, o2, round(overround, 9) AS overround FROM book_prices_of(TABLE({rows}) PARTITION BY page)"
+    text = "SELECT page, book, o1, o2, round(overround, 9) AS overround FROM book_prices_of(TABLE({rows}))"
     return spark.sql(text, rows=book_pages(spark, d).select(F.col("page").cast("long").alias("page"), "html"))
 
 

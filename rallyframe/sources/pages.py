@@ -7,10 +7,12 @@ each row's own text, so no expression scans a whole page more than once.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 PRICE = r"([0-9]+(?:\.[0-9]+)?)"
 
@@ -142,20 +144,28 @@ LINK = re.compile(r'class="toSort"[^>]*>([^<]+)</a>')
 CELL = re.compile(rf'<span class="toSort noDsp">\s*{PRICE}\s*</span>')
 
 
-@udtf(returnType="page bigint, i bigint, book string, o1 double, o2 double, overround double", useArrow=True)
+PRICES = pa.schema([("page", pa.int64()), ("i", pa.int64()), ("book", pa.string()), ("o1", pa.float64()), ("o2", pa.float64()), ("overround", pa.float64())])
+
+
+def _books_of(html: str | None) -> Iterator[tuple]:
+    for i, part in enumerate(BOOK.split(html or "")[1:], 1):
+        name, prices = LINK.search(part), CELL.findall(part)
+        book = name[1].strip() if name else ""
+        if len(prices) < 2 or not book or book.lower().startswith("bookmaker"):
+            continue
+        o1, o2 = float(prices[0]), float(prices[1])
+        over = 1 / o1 + 1 / o2 if o1 and o2 else 0.0
+        if 0.96 <= over <= 1.20:
+            yield i, book, o1, o2, over
+
+
+@arrow_udtf(returnType="page bigint, i bigint, book string, o1 double, o2 double, overround double")
 class BookPrices:
-    """book_prices as a table function: ``SELECT * FROM book_prices_of(TABLE(pages) PARTITION BY page)`` over rows (page, html).
+    """book_prices as a table function: ``SELECT * FROM book_prices_of(TABLE(pages))`` over rows (page, html).
 
-    A row of a page; several rows of one page are read as they come. A null or broken page has no rows.
+    A row of a page is read by itself, so no PARTITION BY is needed, which would set up and sort for each page; several rows of one page are read as they come, a batch at a time. A null or broken page has no rows.
     """
 
-    def eval(self, row: Row):
-        for i, part in enumerate(BOOK.split(row["html"] or "")[1:], 1):
-            name, prices = LINK.search(part), CELL.findall(part)
-            book = name[1].strip() if name else ""
-            if len(prices) < 2 or not book or book.lower().startswith("bookmaker"):
-                continue
-            o1, o2 = float(prices[0]), float(prices[1])
-            over = 1 / o1 + 1 / o2 if o1 and o2 else 0.0
-            if 0.96 <= over <= 1.20:
-                yield row["page"], i, book, o1, o2, over
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        found = [(page, *x) for page, html in zip(batch["page"].to_pylist(), batch["html"].to_pylist(), strict=True) for x in _books_of(html)]
+        yield pa.Table.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(PRICES)], schema=PRICES)

@@ -405,3 +405,18 @@ def test_band_join_does_not_pair_rows_that_share_a_key(spark):
     same = lambda side, c: spark.range(2000).select(F.lit(1).alias("k"), F.col("id").alias(side), F.lit("2024-01-01").cast("date").alias(c))
     one = rel.banded_nearest(same("left_id", "a"), same("right_id", "b"), ["k"], "a", "b", 7, "left_id", "right_id")
     assert [tuple(r) for r in one.collect()] == [(1, 0, 0, 0)] and most_rows(one) <= 4000
+
+
+def test_book_prices_are_read_in_batches(spark):
+    """A page is no partition and no call of its own: the function sees batches of pages."""
+    from rallyframe.plans.captures import source_book_prices_udtf
+
+    sizes = spark.range(40).select(F.lit('<div class="bookName">').alias("html"), F.col("id").alias("page"))
+    calls = []
+    real = pages.BookPrices.func
+    for batch in [b for b in sizes.coalesce(1).toArrow().to_batches() if b.num_rows]:
+        calls.append(sum(t.num_rows for t in real().eval(batch)))
+    assert calls == [0]
+    rows = source_book_prices_udtf(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # that which makes the pages
