@@ -156,7 +156,8 @@ def residual_chance(rows: DataFrame, by: str, pred: str, actual: str, line: str,
 
     Residuals are those of fit (by, pred, actual), or of rows where it is None. A cell is a group and a quantile range of fit's predictions; where there
     is no residual at all p_over is null. Residuals are counted by cell and value once; only the counts go to the
-    pools that are asked for. Counts and queries then run in one order, in ranges, so no row meets another and no pool is one task.
+    pools that are asked for. Counts and the different values that are asked then run in one order, in ranges, so no row meets another, no pool is one task and
+    a value that many rows ask for is one row; answers go back to the rows by pool and value.
     """
     fit = rows if fit is None else fit
     at = {f"_q{i}": i / cells for i in range(1, cells)}
@@ -170,11 +171,14 @@ def residual_chance(rows: DataFrame, by: str, pred: str, actual: str, line: str,
     asked = asked.withColumn("pool", level)
     pools = F.array(F.concat_ws("/", F.col(by).cast("string"), F.col("cell").cast("string")), F.col(by).cast("string"), F.lit("*"))
     residuals = counts.select(F.explode(pools).alias("pool"), "v", "c").join(asked.select("pool").distinct(), "pool", "left_semi").groupBy("pool", "v").agg(F.sum("c").alias("c"))
-    queries = known.join(asked.select(by, "cell", "pool"), [by, "cell"]).select("pool", (F.col(line) - F.col(pred)).alias("v"), F.struct(*rows.columns).alias("_row"), F.lit(0).cast("long").alias("c"))
-    both = residuals.select("pool", "v", F.lit(None).cast(queries.schema["_row"].dataType).alias("_row"), "c").unionByName(queries).withColumn("_asks", F.col("_row").isNotNull())
+    pooled = known.join(asked.select(by, "cell", "pool"), [by, "cell"]).withColumn("_v", F.col(line) - F.col(pred))
+    queries = pooled.select("pool", F.col("_v").alias("v")).distinct().select("pool", "v", F.lit(0).cast("long").alias("c"), F.lit(True).alias("_asks"))
+    both = residuals.select("pool", "v", "c", F.lit(False).alias("_asks")).unionByName(queries)
     placed = running_totals(both, ["v", "_asks"], {"below": F.col("c")}, ["pool"]).filter("_asks").join(residuals.groupBy("pool").agg(F.sum("c").alias("size")), "pool", "left")
     p = 1 - F.col("below") / F.col("size")
-    return placed.select("_row.*", F.when(p.isNotNull(), F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))).alias("p_over"))
+    bounded = F.when(p.isNotNull(), F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p)))
+    answers = written(placed.select(F.col("pool").alias("_pool"), F.col("v").alias("_asked"), bounded.alias("p_over")), "answers")  # of a size that is known when it is joined
+    return pooled.join(answers, (F.col("pool") == F.col("_pool")) & F.col("_v").eqNullSafe(F.col("_asked")), "left").select(*rows.columns, "p_over")
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import market as mk
 from ..operators import metrics, models
 from ..operators.ordering import numbered
+from ..session import written
 from .registry import query
 from .views import forecast, priced, table
 
@@ -15,7 +16,8 @@ def inputs(spark, d):
     """Forecasts with a market chance and a noisy input with gaps, labelled by whether the order was a large one."""
     rows = priced(spark, d).withColumn("market", mk.shin(F.col("p1_price"), F.col("p2_price")))
     gap = F.when(F.col("match_id") % 7 != 0, F.col("overround"))
-    return rows.select("match_id", "season", "play_ts", F.when(F.col("p_win") + F.pmod(F.xxhash64("match_id"), F.lit(100)) / 250 > 0.7, 1.0).otherwise(0.0).alias("label"), "p_win", "market", gap.alias("over"), "surface", "player_id")
+    rows = rows.select("match_id", "season", "play_ts", F.when(F.col("p_win") + F.pmod(F.xxhash64("match_id"), F.lit(100)) / 250 > 0.7, 1.0).otherwise(0.0).alias("label"), "p_win", "market", gap.alias("over"), "surface", "player_id")
+    return written(rows, "inputs")  # means, fits and scores each read them: without this every one would join and shuffle the prices anew
 
 
 @query("model_walk_forward")
@@ -87,13 +89,14 @@ def model_permutation(spark, d):
     model = models.fitted(rows, features, "label")
     keyed = numbered(rows, "match_id", name="_i", by=["season"])
     moved = numbered(rows.select("season", "match_id", "p_win", "market", "over"), F.xxhash64("match_id"), "match_id", name="_i", by=["season"])
-    out = None
-    base = models.scored(model, rows).agg(mk.log_loss(F.col("label"), F.col("p")).alias("loss"))
-    for f in ("p_win", "market", "over"):
-        mixed = keyed.join(moved.select("season", "_i", F.col(f).alias("_v")), ["season", "_i"]).withColumn(f, F.col("_v")).drop("_v", "_i")
-        one = models.scored(model, mixed).agg(mk.log_loss(F.col("label"), F.col("p")).alias("loss")).select(F.lit(f).alias("feature"), "loss")
-        out = one if out is None else out.unionByName(one)
-    return out.unionByName(base.select(F.lit("none").alias("feature"), "loss"))
+    names = ("p_win", "market", "over")
+    mixed = keyed.join(moved.select("season", "_i", *[F.col(f).alias(f"_v_{f}") for f in names]), ["season", "_i"])
+    found = models.scored(model, mixed, "_p_none")  # one join and one pass for all inputs
+    for f in names:
+        swapped = found.withColumns({"_own": F.col(f), f: F.col(f"_v_{f}")})
+        found = models.scored(model, swapped, f"_p_{f}").withColumn(f, F.col("_own")).drop("_own")
+    losses = found.agg(*[mk.log_loss(F.col("label"), F.col(f"_p_{f}")).alias(f) for f in (*names, "none")])
+    return losses.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("loss")) for f in (*names, "none")])).alias("x")).select("x.*")
 
 
 @query(

@@ -96,3 +96,38 @@ def test_wilcoxon_of_more_pairs_than_a_long_holds_cubed(spark):
     k = c * len(d)
     assert got.n == k and got.w == w
     assert abs(got.z - (w - k * (k + 1) / 4) / np.sqrt(float(k) * (k + 1) * (2 * k + 1) / 24)) < 1e-5
+
+
+def test_inputs_are_worked_out_once_and_all_are_moved_in_one_pass(spark, sf_dir):
+    from rallyframe.functions import market as mk
+    from rallyframe.plans import models as plans
+
+    assert "Exchange" not in plans.inputs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    got = plans.model_permutation(spark, sf_dir)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, ((season") == 1
+    losses = {r.feature: r.loss for r in got.collect()}
+    assert sorted(losses) == ["market", "none", "over", "p_win"]
+    # by hand: the same moves one at a time
+    rows, features = models.with_indicators(plans.inputs(spark, sf_dir), ["p_win", "market", "over"])
+    model = models.fitted(rows, features, "label")
+    frame = rows.select("*", F.xxhash64("match_id").alias("h")).toPandas()
+    keyed = frame.sort_values(["season", "match_id"]).reset_index(drop=True)
+    moved = frame.sort_values(["season", "h", "match_id"]).reset_index(drop=True)
+    for f in ("p_win", "market", "over", None):
+        one = keyed.drop(columns="h")
+        if f:
+            one[f] = moved[f]
+        want = models.scored(model, spark.createDataFrame(one)).agg(mk.log_loss(F.col("label"), F.col("p")).alias("x")).first().x
+        assert abs(losses[f or "none"] - want) < 1e-6
+
+
+def test_residual_chances_order_different_questions_only(spark, monkeypatch):
+    rows = spark.range(3000).select(F.lit("a").alias("g"), (F.col("id") % 20).cast("double").alias("pred"), (F.col("id") % 37).cast("double").alias("actual"), F.lit(15.0).alias("line"))
+    ordered = []
+    real = models.running_totals
+    monkeypatch.setattr(models, "running_totals", lambda rows, *a, **k: ordered.append(rows.count()) or real(rows, *a, **k))
+    got = models.residual_chance(rows, "g", "pred", "actual", "line", cells=2, least=2000).collect()
+    residuals = [(i % 37) - (i % 20) for i in range(3000)]
+    assert len(got) == 3000 and ordered == [len(set(residuals)) + 20]
+    for r in got[:50]:
+        assert abs(r.p_over - min(1 - 1e-6, max(1e-6, 1 - sum(v <= 15 - r.pred for v in residuals) / 3000))) < 1e-9
