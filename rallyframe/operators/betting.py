@@ -40,8 +40,11 @@ def returns(prefix: str = "") -> list[Column]:
 
 def uniform(*parts: Column | str | int) -> Column:
     """A number in [0, 1) from an md5 of its parts: the same in every engine and partitioning."""
-    text = F.concat_ws("|", *[x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in parts])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return F.conv(F.substring(_digest(*parts), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _digest(*parts: Column | str | int) -> Column:
+    return F.md5(F.concat_ws("|", *[x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in parts]))
 
 
 def poisson_weight(u: Column, most: int = 8) -> Column:
@@ -55,6 +58,17 @@ def poisson_weight(u: Column, most: int = 8) -> Column:
     return out
 
 
+def poisson_count(*parts: Column | str | int, most: int = 8) -> Column:
+    """``poisson_weight(uniform(*parts))`` without the number: the md5's text is compared with the texts of the same bounds, which stops at the first that is greater."""
+    import math
+
+    digest, out, cumulative = _digest(*parts), F, 0.0
+    for k in range(most):
+        cumulative += math.exp(-1) / math.factorial(k)
+        out = out.when(digest < f"{math.ceil(cumulative * (1 << 52)):013x}", k)  # u < cumulative, digit by digit
+    return out.otherwise(most)
+
+
 def bootstrap(per_cluster: DataFrame, cluster: str, value: str, weight: str, replicates: int, seed: int = 7) -> DataFrame:
     """replicate, estimate: a Poisson bootstrap of sum(value) / sum(weight) over clusters.
 
@@ -62,7 +76,7 @@ def bootstrap(per_cluster: DataFrame, cluster: str, value: str, weight: str, rep
     replicates and partial sums meet in one row a replicate.
     """
     dealt = per_cluster.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = poisson_weight(uniform(seed, F.col("replicate"), F.col(cluster)))
+    w = poisson_count(seed, F.col("replicate"), F.col(cluster))
     rows = dealt.withColumn("w", w)
     sums = rows.groupBy("replicate").agg(F.sum(F.col("w") * F.col(value)).alias("v"), F.sum(F.col("w") * F.col(weight)).alias("n"))
     return sums.select(F.col("replicate").cast("long").alias("replicate"), F.round(F.try_divide("v", "n"), 6).alias("estimate"))
