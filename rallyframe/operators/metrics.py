@@ -58,9 +58,9 @@ def calibration(df: DataFrame, y: str, p: str, by: list[str] = []) -> DataFrame:
 
 
 def average_rank(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
-    """df with the average rank of x within by."""
+    """df with the average rank of x within by; equal values are a range of the one order, so rows are sorted once."""
     w = Window.partitionBy(*by).orderBy(x)
-    same = Window.partitionBy(*by, x)
+    same = w.rangeBetween(Window.currentRow, Window.currentRow)
     return df.withColumn(out, F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
 
 

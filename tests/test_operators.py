@@ -420,3 +420,22 @@ def test_book_prices_are_read_in_batches(spark):
     rows = source_book_prices_udtf(spark, "/root/testdata/sf0.001")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # that which makes the pages
+
+
+def test_bootstrap_counts_are_those_of_the_uniforms(spark):
+    from rallyframe.operators import betting
+
+    rows = spark.range(20000)
+    a, b = betting.poisson_count(7, F.col("id"), 3), betting.poisson_weight(betting.uniform(7, F.col("id"), 3))
+    assert rows.filter(a != b).isEmpty() and rows.select(a.alias("k")).distinct().count() >= 6
+    plan = betting.bootstrap(rows.select("id", F.lit(1.0).alias("v"), F.lit(1).alias("n")), "id", "v", "n", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "conv(" not in plan
+
+
+def test_average_ranks_sort_once(spark):
+    from rallyframe.operators import metrics
+
+    rows = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 5.0), ("b", 5.0)], "g string, x double")
+    got = metrics.average_rank(rows, "x", ["g"], "r")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert sorted((r.g, r.x or 0.0, r.r) for r in got.collect()) == [("a", 0.0, 1.0), ("a", 1.0, 2.0), ("a", 2.0, 3.5), ("a", 2.0, 3.5), ("b", 5.0, 1.5), ("b", 5.0, 1.5)]
