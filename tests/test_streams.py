@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 
 from rallyframe.streaming import captures, frame, ledger
 
@@ -65,6 +66,28 @@ def test_a_late_result_is_marked(spark, tmp_path):
     assert len(got) == 2 and all(r.late for r in got)
 
 
+def test_a_batch_reads_and_writes_a_players_state_once():
+    """However many opponents there are; sums of windows that go on from it equal those of the rows."""
+    calls, kept = [], {}
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return kept.get("form")
+
+        def update(self, value):
+            calls.append("update")
+            kept["form"] = value
+
+    rows = [r for r in results(700, 30) if r["player_id"] == 3]
+    assert len(rows) > frame.RECENT // 2
+    form = frame.PlayerForm()
+    form.init(type("Handle", (), {"getValueState": lambda *_: State()})())
+    got = [x for part in (rows[:30], rows[30:]) for x in form.handleInputRows((3,), [Row(**r) for r in part], None)]
+    assert calls == ["get", "update"] * 2
+    assert by_key(got) == {k: [round(x, 9) if isinstance(x, float) else x for x in v] for k, v in plain_frame(rows).items()}
+
+
 T0 = datetime(2024, 1, 1)
 
 
