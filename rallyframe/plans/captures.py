@@ -24,8 +24,9 @@ def said(*parts: Column | str) -> Column:
 
 
 def page_of(rows, key: Column, order: str, html: Column):
-    """page, html: rows' texts in order, a bounded number of rows a page."""
-    parts = rows.select(key.cast("long").alias("page"), F.struct(F.col(order).alias("o"), html.alias("h")).alias("s")).groupBy("page").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    """page, html: rows' texts in order, a bounded number of rows a page. Rows are dealt by page before their texts are made, so that only columns travel."""
+    dealt = rows.withColumn("page", key.cast("long")).repartition("page")
+    parts = dealt.select("page", F.struct(F.col(order).alias("o"), html.alias("h")).alias("s")).groupBy("page").agg(F.sort_array(F.collect_list("s")).alias("s"))
     return parts.select("page", F.array_join(F.transform("s", lambda x: x["h"]), "\n").alias("html"))
 
 

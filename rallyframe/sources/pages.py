@@ -123,20 +123,21 @@ def quotes(pages: DataFrame, html: str = "html", keep: list[str] = ["page_id"])
     A heading names market, line and unit of the book rows below; a price with a hover table has its history, the closing price first
     and the opening price after its title; one without has a close alone.
     """
-    parts = _rows(pages, html, r'(?i)<th colspan="\d+">', keep).select(*keep, F.trim(F.regexp_extract("row", r"^([^<]*)</th>", 1)).alias("heading"), F.split("row", r'<tr class="').alias("rows"))
+    # Rows are left out by generators of nothing: a filter would be moved down and run the expressions of the columns it reads once more.
+    parts = _rows(pages, html, r'(?i)<th colspan="\d+">', keep).select(*keep, "row", F.trim(F.regexp_extract("row", r"^([^<]*)</th>", 1)).alias("heading"))
     market = F.coalesce(*[F.when(F.startswith("heading", F.lit(k)), v) for k, v in MARKETS.items()])
-    head = parts.select(*keep, market.alias("market"), _found("heading", r"([-+]?\d+(?:\.\d+)?)").cast("double").alias("line"), _found("heading", r"\b(sets|games)\b").alias("line_unit"), F.explode("rows").alias("row"))
-    cells = head.filter("market is not null").withColumn("book", F.trim(F.regexp_extract("row", r'<span class="t">([^<]+)</span>', 1))).filter("book <> ''")
-    cells = cells.select(*keep, "book", "market", "line", "line_unit", F.posexplode(F.slice(F.split("row", r'<td class="k[12]">'), 2, 2)).alias("k", "cell"))
+    head = parts.select(*keep, "row", market.alias("market"), _found("heading", r"([-+]?\d+(?:\.\d+)?)").cast("double").alias("line"), _found("heading", r"\b(sets|games)\b").alias("line_unit"))
+    head = head.select(*keep, "market", "line", "line_unit", F.explode(F.when(F.col("market").isNotNull(), F.split("row", r'<tr class="'))).alias("row"))
+    cells = head.withColumn("book", F.trim(F.regexp_extract("row", r'<span class="t">([^<]+)</span>', 1)))
+    cells = cells.select(*keep, "book", "market", "line", "line_unit", F.posexplode(F.when(F.col("book") != "", F.slice(F.split("row", r'<td class="k[12]">'), 2, 2))).alias("k", "cell"))
     at, price = r"(\d\d\.\d\d\. \d\d:\d\d)</td><td class=\"bold\">", PRICE
-    opening = F.split("cell", "Opening odds")
-    out = cells.select(
-        *keep, "book", "market", "line", "line_unit",
-        F.when(F.col("market") == "totals", F.when(F.col("k") == 0, "over").otherwise("under")).when(F.col("k") == 0, "p1").otherwise("p2").alias("side"),
-        _found("cell", rf'class="odds-in[^"]*">\s*{price}').cast("double").alias("price_close"), _found(F.get(opening, F.lit(0)), at).alias("closed_at"),
-        _found(F.get(opening, F.lit(1)), at + price, 2).cast("double").alias("price_open"), _found(F.get(opening, F.lit(1)), at).alias("opened_at"),
-    )
-    return out.filter("price_close is not null")
+    title, market = "Opening odds", F.col("market")
+    closing, opening = F.substring_index("cell", title, 1), F.when(F.contains("cell", F.lit(title)), F.substring_index(F.substring_index("cell", title, 2), title, -1))
+    side = F.when(market == "totals", F.when(F.col("k") == 0, "over").otherwise("under")).when(F.col("k") == 0, "p1").otherwise("p2")
+    read = cells.select(*keep, "book", "market", "line", "line_unit", side.alias("side"), _found("cell", rf'class="odds-in[^"]*">\s*{price}').cast("double").alias("price_close"), closing.alias("closing"), opening.alias("opening"))
+    priced = read.select(*read.columns[:-2], F.explode(F.when(F.col("price_close").isNotNull(), F.array(F.struct("closing", "opening")))).alias("h"))
+    found = {"closed_at": _found("h.closing", at), "price_open": _found("h.opening", at + price, 2).cast("double"), "opened_at": _found("h.opening", at)}
+    return priced.select(*priced.columns[:-1], *[c.alias(n) for n, c in found.items()])
 
 
 BOOK = re.compile(r'(?i)<div class="bookName">')

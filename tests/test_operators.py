@@ -439,3 +439,25 @@ def test_average_ranks_sort_once(spark):
     got = metrics.average_rank(rows, "x", ["g"], "r")
     assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     assert sorted((r.g, r.x or 0.0, r.r) for r in got.collect()) == [("a", 0.0, 1.0), ("a", 1.0, 2.0), ("a", 2.0, 3.5), ("a", 2.0, 3.5), ("b", 5.0, 1.5), ("b", 5.0, 1.5)]
+
+
+def test_quotes_run_each_expression_once_and_read_odd_pages(spark, sf_dir):
+    from rallyframe.plans.captures import source_quotes
+    from rallyframe.sources import pages
+
+    plan = source_quotes(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StartsWith(") == len(pages.MARKETS)  # not in a filter as well
+    assert plan.index("RepartitionByExpression") > plan.index('<th colspan="4">')  # texts are made above the exchange
+    then = '<tr><td>01.02. 10:45</td><td class="bold">1.5</td></tr>'
+    first = '<tr><td>01.01. 09:05</td><td class="bold">1.9</td></tr>'
+    cell = lambda price, history="": f'<td class="k1"><div class="odds-in">{price}</div>{history}</td>'
+    row = lambda *cells: '<tr class="one"><td><span class="t"> Book </span></td>' + "".join(cells) + "</tr>"
+    html = [
+        None, "", '<th colspan="4">Other</th>' + row(cell("1.5"), cell("2")), '<th colspan="4">Home/Away</th>' + row(cell("-"), cell("2")) + '<tr class="one">no book</tr>',
+        '<th colspan="4">Home/Away</th>' + row(cell("1.5", then + "Opening odds" + first), cell("2", "Opening odds" + first + "Opening odds" + then), cell("9")),
+    ]
+    rows = pages.quotes(spark.createDataFrame(list(enumerate(html)), "page long, html string"), keep=["page"]).collect()
+    assert sorted((r.page, r.side, r.price_close, r.closed_at, r.price_open, r.opened_at) for r in rows) == [
+        (3, "p2", 2.0, None, None, None), (4, "p1", 1.5, "01.02. 10:45", 1.9, "01.01. 09:05"), (4, "p2", 2.0, None, 1.9, "01.01. 09:05"),
+    ]
+    assert {r.book for r in rows} == {"Book"}
