@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: Rows that leave a fold at a time, also those of its end.
+ROWS = 10_000
+
 
 def streamed(rows: DataFrame, pool: list[str], order: list[str], start: Callable, schema: T.StructType) -> DataFrame:
     """pool and the columns of schema: what a fold emits for the rows of each pool in order.
@@ -19,25 +23,23 @@ def streamed(rows: DataFrame, pool: list[str], order: list[str], start: Callable
     whole = T.StructType([*rows.select(*pool).schema, *schema])
     arrow = to_arrow_schema(whole)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         key, fold = None, None
-        out: list[tuple] = []
-
-        def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
         for batch in batches:
             for row in batch.to_pylist():
                 own = tuple(row[c] for c in pool)
                 if fold is None or own != key:
                     if fold is not None:
-                        out += [(*key, *x) for x in fold.end()]
+                        yield from ((*key, *x) for x in fold.end())
                     key, fold = own, start(own)
-                out += [(*key, *x) for x in fold.row(row)]
-            yield table()
-            out = []
+                for x in fold.row(row):
+                    yield (*key, *x)
         if fold is not None:
-            out += [(*key, *x) for x in fold.end()]
-            yield table()
+            yield from ((*key, *x) for x in fold.end())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = emitted(batches)
+        while out := list(islice(found, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return rows.repartition(*pool).sortWithinPartitions(*pool, *order).mapInArrow(run, whole)

@@ -9,8 +9,10 @@ rows of an earlier state come before a pool's results, so a fold of new results
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,49 +63,86 @@ def _fields(ddl: str) -> list[T.StructField]:
     return [T.StructField(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))]
 
 
+class _Scope:
+    """Ratings of all results (None) or of a surface: flat arrays by a player's number. A rating knows at which change of season it was written, -1 where a player has none."""
+
+    def __init__(self):
+        self.rating, self.played, self.written = array("d"), array("q"), array("q")
+
+    def reach(self, i: int) -> None:
+        """Makes room for number i, and for as many again."""
+        if i >= len(self.rating):
+            more = i + 1
+            self.rating.extend(repeat(0.0, more))
+            self.played.extend(repeat(0, more))
+            self.written.extend(repeat(-1, more))
+
+    def has(self, i: int | None) -> bool:
+        return i is not None and i < len(self.written) and self.written[i] >= 0
+
+
 class _Pool:
-    """Ratings of a pool. A change of season moves all ratings, but only its number is kept: each rating knows at which change it was last written and is moved when it is read."""
+    """Ratings of a pool. A change of season moves all ratings, but only its number is kept: each rating knows at which change it was last written and is moved when it is read.
 
-    def __init__(self, rule: EloRule):
-        self.rule, self.rating, self.played, self.last = rule, {}, {}, {}
-        self.season, self.changes, self.written = None, 0, {}
+    Players are numbered as they come and their state lies in arrays, about 24 bytes a player and scope, and a dictionary entry a player.
+    """
 
-    def value(self, player, scope, day, seed: float) -> float:
+    NEVER = -(1 << 62)
+
+    def __init__(self, rule: EloRule, rated: bool = True, state: bool = True):
+        self.rule, self.rated, self.state = rule, rated, state
+        self.number: dict = {}
+        self.last = array("q")
+        self.scopes: dict[str | None, _Scope] = {None: _Scope()}
+        self.season, self.changes = None, 0
+
+    def index(self, player) -> int:
+        i = self.number.get(player)
+        if i is None:
+            i = self.number[player] = len(self.last)
+            self.last.append(self.NEVER)
+        return i
+
+    def scope(self, surface) -> _Scope:
+        found = self.scopes.get(surface)
+        if found is None:
+            found = self.scopes[surface] = _Scope()
+        return found
+
+    def value(self, i: int | None, scope: _Scope, day, seed: float) -> float:
         """The stored rating, or seed, with the drift that idle days owe."""
-        r = self.rating.get((player, scope), seed)
-        behind = self.changes - self.written.get((player, scope), self.changes)
-        if behind:
-            r = self.rule.base + (r - self.rule.base) * (1.0 - self.rule.season_regress) ** behind
-        last = self.last.get(player)
-        if day is not None and last is not None:
-            years = (day - last - self.rule.idle_grace) / 365.0
+        r = seed
+        if scope.has(i):
+            r = scope.rating[i]
+            if behind := self.changes - scope.written[i]:
+                r = self.rule.base + (r - self.rule.base) * (1.0 - self.rule.season_regress) ** behind
+        if day is not None and i is not None and self.last[i] != self.NEVER:
+            years = (day - self.last[i] - self.rule.idle_grace) / 365.0
             if years > 0:
                 r = self.rule.base + (r - self.rule.base) * (1.0 - self.rule.idle_rate) ** years
         return r
 
     def seen(self, player, surface, day) -> tuple[float, float]:
         """Overall rating, and surface rating blended by matches on the surface."""
-        overall = self.value(player, None, day, self.rule.base)
-        n = self.played.get((player, surface), 0)
-        own = self.value(player, surface, day, overall)
-        return overall, (n * own + self.rule.blend * overall) / (n + self.rule.blend)
+        i, own = self.number.get(player), self.scope(surface)
+        overall, n = self.value(i, self.scopes[None], day, self.rule.base), own.played[i] if own.has(i) else 0
+        return overall, (n * self.value(i, own, day, overall) + self.rule.blend * overall) / (n + self.rule.blend)
 
     def fold(self, winner, loser, surface, day, margin: float) -> None:
         rule, factor = self.rule, 1.0
         if rule.margin_weight:
             factor = min(1.8, max(0.5, math.log1p(max(0.0, margin)) / math.log1p(5)))
-        for scope in (None, surface):  # a new surface rating starts from the overall one just updated
-            seeds = [self.value(p, None, day, rule.base) for p in (winner, loser)]
-            a, b = (self.value(p, scope, day, s) for p, s in zip((winner, loser), seeds, strict=True))
+        sides, overall = (self.index(winner), self.index(loser)), self.scopes[None]
+        for scope in (overall, self.scope(surface)):  # a new surface rating starts from the overall one just updated
+            a, b = (self.value(i, scope, day, self.value(i, overall, day, rule.base)) for i in sides)
             surprise = 1 - 1 / (1 + 10 ** ((b - a) / 400))
-            for player, r, sign in ((winner, a, 1), (loser, b, -1)):
-                n = self.played.get((player, scope), 0)
-                self.rating[player, scope] = r + sign * factor * rule.k_scale / (n + rule.k_offset) ** rule.k_power * surprise
-                self.played[player, scope] = n + 1
-                if self.rule.season_regress:
-                    self.written[player, scope] = self.changes
+            scope.reach(max(sides))
+            for i, r, sign in ((sides[0], a, 1), (sides[1], b, -1)):
+                n = scope.played[i]
+                scope.rating[i] = r + sign * factor * rule.k_scale / (n + rule.k_offset) ** rule.k_power * surprise
+                scope.played[i], scope.written[i] = n + 1, self.changes
         if day is not None:
-            self.last[winner] = self.last[loser] = day
+            self.last[sides[0]] = self.last[sides[1]] = day
 
     def begin(self, season) -> None:
         """Counts a change of season before the season's first result."""
@@ -113,46 +152,54 @@ class _Pool:
 
     def row(self, row: dict) -> Iterator[tuple]:
         if row["_known"]:
-            key = (row["player_id"], row["scope"])
-            self.rating[key], self.played[key], self.season, self.written[key] = row["rating"], row["played"], row["season"], 0
+            i, scope = self.index(row["player_id"]), self.scope(row["scope"])
+            scope.reach(i)
+            scope.rating[i], scope.played[i], scope.written[i], self.season = row["rating"], row["played"], 0, row["season"]
             if row["last_day"] is not None:
-                self.last[row["player_id"]] = row["last_day"]
+                self.last[i] = row["last_day"]
             return
         m, day, surface, w, x, margin, walkover = (row[c] for c in RESULT)
         self.begin(row["_season"])
-        (wo, ws), (lo, ls) = self.seen(w, surface, day), self.seen(x, surface, day)
-        yield (m, wo, lo, ws, ls, *NO_STATE)
+        if self.rated:
+            (wo, ws), (lo, ls) = self.seen(w, surface, day), self.seen(x, surface, day)
+            yield (m, wo, lo, ws, ls, *NO_STATE)
         if not walkover:
             self.fold(w, x, surface, day, margin)
 
     def end(self) -> Iterator[tuple]:
-        for player, scope in self.rating:
-            yield (*[None] * 5, player, scope, self.value(player, scope, None, self.rule.base), self.played[player, scope], self.last.get(player), self.season)
+        if not self.state:
+            return
+        for name, scope in self.scopes.items():
+            for player, i in self.number.items():
+                if scope.has(i):
+                    last = self.last[i]
+                    yield (*[None] * 5, player, name, self.value(i, scope, None, self.rule.base), scope.played[i], None if last == self.NEVER else last, self.season)
 
 
 class _AskedPool(_Pool):
     """A pool that answers questions about players on the way and says nothing else."""
 
+    def __init__(self, rule: EloRule):
+        super().__init__(rule, rated=False, state=False)
+
     def row(self, row: dict) -> Iterator[tuple]:
         if row["ask_id"] is None:
-            for _ in super().row(row):
-                pass
+            yield from super().row(row)
         else:
             self.begin(row["_season"])
-            player = row["player_id"]
-            yield (row["ask_id"], player, *self.seen(player, row["surface"], row["day"]), self.played.get((player, None), 0))
-
-    def end(self) -> Iterator[tuple]:
-        return iter(())
+            player, overall = row["player_id"], self.scopes[None]
+            i = self.number.get(player)
+            yield (row["ask_id"], player, *self.seen(player, row["surface"], row["day"]), overall.played[i] if overall.has(i) else 0)
 
 
-def elo_fold(results: DataFrame, pool: list[str], rules: EloRule | dict[str, EloRule] = EloRule(), state: DataFrame | None = None) -> DataFrame:  # noqa: B008
+def elo_fold(results: DataFrame, pool: list[str], rules: EloRule | dict[str, EloRule] = EloRule(), state: DataFrame | None = None, says: tuple[bool, bool] = (True, True)) -> DataFrame:  # noqa: B008
     """pool, and either the columns MATCH of each result or, after them, the columns STATE of each player and scope.
 
     results: pool, match_id (the order), day (a number of days, or null), surface, winner_id, loser_id, margin, walkover, and season where a rule regresses at its changes.
     Walkovers are emitted but not folded in. Several rules are named by the pool's last column. state: pool and STATE of earlier results.
+    says: whether rows of matches and of players leave the fold.
     """
-    start = (lambda key: _Pool(rules[key[-1]])) if isinstance(rules, dict) else (lambda key: _Pool(rules))
+    start = (lambda key: _Pool(rules[key[-1]], *says)) if isinstance(rules, dict) else (lambda key: _Pool(rules, *says))
     rows = results.select(*pool, *RESULT, _season(results)).withColumn("_known", F.lit(False))
     known = _fields(STATE)
     if state is None:
@@ -179,18 +226,18 @@ def elo_asked(results: DataFrame, questions: DataFrame, pool: list[str], rule: E
 
 def elo(results: DataFrame, pool: list[str], rule: EloRule = EloRule(), state: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """pool, match_id and the ratings of both players before each match."""
-    return elo_fold(results, pool, rule, state).filter("match_id is not null").select(*pool, *[f.name for f in _fields(MATCH)])
+    return elo_fold(results, pool, rule, state, (True, False)).filter("match_id is not null").select(*pool, *[f.name for f in _fields(MATCH)])
 
 
 def elo_state(results: DataFrame, pool: list[str], rule: EloRule = EloRule(), state: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """pool and STATE after the last result: a row a player for all results (null scope) and for each surface."""
-    return elo_fold(results, pool, rule, state).filter("match_id is null").select(*pool, *[f.name for f in _fields(STATE)])
+    return elo_fold(results, pool, rule, state, (False, True)).filter("match_id is null").select(*pool, *[f.name for f in _fields(STATE)])
 
 
 def elo_sweep(results: DataFrame, pool: list[str], rules: dict[str, EloRule]) -> DataFrame:
     """elo under several rules, named in ``rule``: pools times rules run in parallel over one reading of the results."""
     several = results.withColumn("rule", F.explode(F.array(*map(F.lit, rules))))
-    return elo_fold(several, [*pool, "rule"], rules).filter("match_id is not null").select(*pool, "rule", *[f.name for f in _fields(MATCH)])
+    return elo_fold(several, [*pool, "rule"], rules, says=(True, False)).filter("match_id is not null").select(*pool, "rule", *[f.name for f in _fields(MATCH)])
 
 
 SERVE = "match_id bigint, w_serve double, w_return double, l_serve double, l_return double"

@@ -76,3 +76,19 @@ def test_questions_are_answered_before_their_match(spark):
     for pool, ask, m, p, _, _, _ in asked:
         r, n = history[m]
         assert got[ask].elo == pytest.approx(r.get((pool, p), RULE.base)) and got[ask].played == n.get((pool, p), 0), m
+
+
+def test_state_of_many_players_is_small_and_leaves_as_it_is_read():
+    import tracemalloc
+
+    pool = ratings._Pool(ratings.EloRule())
+    tracemalloc.start()
+    for m in range(20_000):
+        for surface in "xy":
+            pool.fold(2 * m, 2 * m + 1, surface, m, 1.0)
+    held = tracemalloc.get_traced_memory()[0]
+    end = iter(pool.end())
+    first = next(end)
+    assert 1 + sum(1 for _ in end) == 3 * 40_000 and first[5:7] == (0, None)
+    assert held < 250 * 40_000  # bytes a player with three ratings
+    tracemalloc.stop()
