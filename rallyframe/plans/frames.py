@@ -60,7 +60,7 @@ m AS (SELECT r.match_id, play_ts, captured_at, p1_price, place, captured_at <= p
 SELECT match_id, CAST(max(captured_at) FILTER (WHERE before) AS DATE)::VARCHAR AS day, round(arg_max(p1_price, (captured_at, place)) FILTER (WHERE before), 6) AS p1_price, count(*) FILTER (WHERE before) AS n_before, count(*) FILTER (WHERE NOT before) AS n_after FROM m GROUP BY match_id""",
 )
 def stream_last_captures(spark, d):
-    """Each order is played 60 days after it was made, its lines are captures: the last one before play, by a join of two streams over five batches of time."""
+    """Each order is played 60 days after it was made, its lines are captures: the last one before play, by a stream of both over five batches of time."""
     r = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), (F.col("o_orderdate") + F.expr("interval 60 days")).cast("timestamp").alias("play_ts"))
     p1 = 1.2 + (F.col("l_partkey") % 40) * 0.1
     c = table(spark, d, "lineitem").select(

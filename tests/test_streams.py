@@ -121,6 +121,43 @@ def test_captures_before_at_and_after_play(feed):
     assert n == 4 + 1 + 1 + 2 + 1 + 1 + 1
 
 
+def test_captures_of_odd_matches(spark, tmp_path):
+    """Matches below zero, without a number, without a time of play and of early years are matches too."""
+    folder, day = f"file://{tmp_path}/odd", lambda n: None if n is None else T0 + timedelta(days=n)
+    played = [(-5, day(5)), (-2, day(6)), (None, day(7)), (8, None), (9, day(-40_000))]
+    seen = [(m, day(t), p, 2.0, str(p)) for m, t, p in ((-5, 4, 1.4), (None, 7, 7.0), (8, None, 8.0), (9, -40_001, 9.1), (-5, None, 5.0))]
+    captures.run_batch(spark, folder, spark.createDataFrame(played, captures.RESULTS), spark.createDataFrame(seen, captures.CAPTURES))
+    captures.close(spark, folder)
+    got = {r.match_id: (r.p1_price, r.n_before, r.n_after) for r in captures.captured(spark, folder).collect()}
+    assert got == {-5: (1.4, 1, 0), -2: (None, 0, 0), None: (None, 0, 0), 8: (None, 0, 0), 9: (9.1, 1, 0)}
+
+
+def test_wide_batches_keep_a_band_and_equal_one_join(spark, tmp_path):
+    """A batch of a year leaves some days of rows behind, in no state store; a batch that is written again changes nothing; pairs of all batches are those of one join."""
+    random.seed(7)
+    folder, at = f"file://{tmp_path}/wide", lambda n: T0 + timedelta(hours=n)
+    played = [(m, random.randrange(900 * 24)) for m in range(400)]
+    seen = [(m, t + random.choice([-169, -168, -1, 0, 1, 168, 169, random.randrange(-400, 400)]), m + i / 8, str(i)) for m, t in played for i in range(random.randrange(5))]
+    r = [(m, at(t)) for m, t in played]
+    c = [(m, at(t), p, 2.0, s) for m, t, p, s in seen]
+    cuts = [None, at(365 * 24), at(620 * 24), None]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = lambda rows: [x for x in rows if (a is None or x[1] >= a) and (b is None or x[1] < b)]  # noqa: B023, E731
+        captures.run_batch(spark, folder, spark.createDataFrame(part(r), captures.RESULTS), spark.createDataFrame(part(c), captures.CAPTURES))
+        kept = spark.read.parquet(f"{folder}/kept/batch={i}").collect()
+        mark = min(max(x[1] for x in part(rows)) for rows in (r, c)) - timedelta(days=2)
+        assert {(x.match_id, x.at) for x in kept} == {x[:2] for rows, reach in ((part(r), 7), (part(c), 15)) for x in rows if x[1] + timedelta(days=reach) >= mark}
+    out = lambda: sorted(map(tuple, spark.read.parquet(f"{folder}/out/batch=2").collect()), key=str)
+    first = out()
+    batch = lambda rows, played: [(x[0], x[1], *(x[2:] or (None, None, None)), played) for x in part(rows)]
+    captures.step(spark.createDataFrame(batch(r, True) + batch(c, False), captures.ROWS), 2, folder)
+    assert out() == first and not (tmp_path / "wide" / "checkpoint" / "state").exists() and sorted(x.name for x in (tmp_path / "wide" / "kept").iterdir()) == ["batch=1", "batch=2"]
+    captures.close(spark, folder)
+    whole = captures.promoted(captures.met(spark.createDataFrame(r, captures.RESULTS), spark.createDataFrame(c, captures.CAPTURES)))
+    assert sorted(map(tuple, captures.captured(spark, folder).collect())) == sorted(map(tuple, whole.collect())) and whole.count() == len(r)
+
+
+
 def test_days_of_spans():
     d = lambda n: (datetime(2024, 1, 1) + timedelta(n)).date()
     done = [(d(3), d(4)), (d(8), d(8))]
